@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyfold.plans import series_queries
+from tallyfold.plans import ingest_queries, series_queries
 
-MODULES = [series_queries]
+MODULES = [ingest_queries, series_queries]
 
 
 def queries():
