@@ -50,13 +50,13 @@ def clamp_score(value: Column, low: float, high: float) -> Column:
 def iso_day(text: Column) -> Column:
     """Lenient date: the day part of an ISO date or timestamp, null if invalid."""
     day = F.split(F.split(F.trim(text.cast("string")), "T")[0], " ")[0]
-    return F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(day, F.lit("yyyy-MM-dd")))
+    return F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(day, "yyyy-MM-dd"))
 
 
 def compact_day(text: Column) -> Column:
     """yyyymmdd text to a date, null if invalid."""
     day = F.trim(text)
-    return F.when(day.rlike(r"^\d{8}$"), F.try_to_date(day, F.lit("yyyyMMdd")))
+    return F.when(day.rlike(r"^\d{8}$"), F.try_to_date(day, "yyyyMMdd"))
 
 
 def duration_bucket(start: Column, end: Column) -> Column:
@@ -74,7 +74,7 @@ def period_label(period_end: Column, period_type: Column) -> Column:
 def label_day(label: Column) -> Column:
     """The date a period label ends on."""
     parts = F.regexp_extract(label, r"(\d{2}/\d{2}/\d{4})", 1)
-    return F.when(parts != "", F.try_to_date(parts, F.lit("MM/dd/yyyy")))
+    return F.when(parts != "", F.try_to_date(parts, "MM/dd/yyyy"))
 
 
 def open_bound(value: str | None) -> str | None:

@@ -80,45 +80,46 @@ def _is_flow() -> Column:
 
 
 def _claims(per_filing: bool, has_start: bool) -> Column:
-    """The slots one fact competes for, as an array of (metric, alias, role, label, year)."""
+    """The slots one fact competes for: a stored row, a point of its fiscal year, a debt part.
+
+    An array of (metric_type, alias_rank, role, slot_label, slot_year) whose
+    entries have a null role where the fact claims no such slot.
+    """
     label, year, bucket = c("fiscal_period"), c("fiscal_year"), c("bucket")
-    no_year, no_label = F.lit(None).cast("int"), F.lit(None).cast("string")
+    flow = _is_flow() if has_start else F.lit(False)
+    quarter, annual = bucket == "quarter", bucket == "annual"
 
-    def claim(ok: Column, role: str, slot_label=no_label, slot_year=no_year, metric=None) -> Column:
-        return F.when(ok, F.struct(
-            (metric if metric is not None else c("metric_type")).alias("metric_type"),
-            (F.lit(0) if metric is not None else c("alias_rank")).alias("alias_rank"),
-            F.lit(role).alias("role"), slot_label.alias("slot_label"), slot_year.cast("int").alias("slot_year"),
-        ))
+    def claim(role: Column, slot_label: Column, slot_year: Column, metric=None) -> Column:
+        return F.struct(
+            (c("metric_type") if metric is None else metric).alias("metric_type"),
+            (c("alias_rank") if metric is None else F.lit(0)).alias("alias_rank"),
+            role.alias("role"), slot_label.alias("slot_label"), slot_year.cast("int").alias("slot_year"),
+        )
 
-    flow = _is_flow() if has_start else F.lit(False)
-    as_labelled = ~flow & label.isin(LABELS)
-    if not has_start and not per_filing:
-        as_labelled = as_labelled & ~(_is_flow() & (label == "Q4"))
-    of_year = flow & year.isNotNull()
-    claims = [
-        claim(as_labelled, "direct", label),
-        claim(of_year & (bucket == "quarter") & (label == "Q1"), "q1", slot_year=year),
-        claim(of_year & (bucket == "ytd_6m"), "ytd_6m", slot_year=year),
-        claim(of_year & (bucket == "ytd_9m"), "ytd_9m", slot_year=year),
-    ]
+    labels = LABELS if has_start or per_filing else LABELS[:4]
+    as_labelled = ~flow & (label.isin(LABELS) & ~_is_flow() | label.isin(labels))
     if per_filing:
-        claims += [
-            claim(flow & bucket.isin("quarter", "annual") & label.isin(LABELS), "direct", label),
-            claim(of_year & (bucket == "annual"), "annual_point", slot_year=year),
-        ]
+        stored = F.when(as_labelled | (flow & (quarter | annual) & label.isin(LABELS)), "direct")
+        year_end = F.when(annual, "annual_point")
     else:
-        claims += [
-            claim(flow & (bucket == "quarter") & label.isin(LABELS[1:]), "direct", label),
-            claim(flow & (bucket == "annual") & (label == "FY"), "annual"),
-        ]
+        stored = F.when(as_labelled | (flow & quarter & label.isin(LABELS[1:])), "direct").when(
+            flow & annual & (label == "FY"), "annual")
+        year_end = F.lit(None).cast("string")
+    point = F.when(flow & year.isNotNull(), F.when(quarter & (label == "Q1"), "q1").when(
+        bucket.isin("ytd_6m", "ytd_9m"), bucket).otherwise(year_end))
+    none_text, none_year = F.lit(None).cast("string"), F.lit(None).cast("int")
+    claims = [
+        claim(stored, F.when(stored == "direct", label), none_year),
+        claim(point, none_text, year),
+    ]
+    if not per_filing:
         parts = {**{t: "total" for t in M.DEBT_TOTAL_TAGS}, **{t: "noncurrent" for t in M.DEBT_NONCURRENT_TAGS},
                  **{t: "current" for t in M.DEBT_CURRENT_TAGS}}
-        part = F.try_element_at(
-            F.create_map(*[F.lit(x) for t, g in parts.items() for x in (M.TAG_PREFIX + t, g)]), c("concept"))
-        claims.append(claim(part.isNotNull() & label.isin(LABELS), "direct", label,
-                            metric=F.concat(F.lit(DEBT), part, F.lit("_"), label)))
-    return F.filter(F.array(*claims), lambda s: s.isNotNull())
+        part = F.coalesce(*[F.when(c("concept") == M.TAG_PREFIX + t, F.lit(g)) for t, g in parts.items()])
+        is_part = part.isNotNull() & label.isin(LABELS)
+        claims.append(claim(F.when(is_part, "direct"), label, none_year,
+                            F.concat(F.lit(DEBT), part, F.lit("_"), label)))
+    return F.array(*claims)
 
 
 def _best_per_slot(facts: DataFrame, per_filing: bool) -> DataFrame:
@@ -134,7 +135,7 @@ def _best_per_slot(facts: DataFrame, per_filing: bool) -> DataFrame:
     claimed = usable.select(
         "ticker", "cik", "accession", "form", "strategy", "numeric_value", "period_end", "fiscal_year",
         F.inline(_claims(per_filing, has_start)),
-    )
+    ).where(c("role").isNotNull())
     return claimed.groupBy(*KEYS, "role", "slot_label", "slot_year", "period_end").agg(
         F.max("numeric_value").alias("value"), F.min("fiscal_year").alias("first_year"),
     )
@@ -169,11 +170,9 @@ def _with_derived_quarters(slots: DataFrame) -> DataFrame:
             gap.alias("value"), F.lit(label).alias("label"), F.lit(2).alias("kind"),
         ))
 
-    steps = F.filter(
-        F.array(step("Q2", "ytd_6m", "q1"), step("Q3", "ytd_9m", "ytd_6m"), step("Q4", "annual", "ytd_9m")),
-        lambda s: s.isNotNull(),
-    )
-    return grouped.select(*KEYS, "fiscal_year", F.inline(F.concat("stored", steps)))
+    steps = F.array(step("Q2", "ytd_6m", "q1"), step("Q3", "ytd_9m", "ytd_6m"), step("Q4", "annual", "ytd_9m"))
+    rows = grouped.select(*KEYS, "fiscal_year", F.inline(F.concat("stored", steps)))
+    return rows.where(c("period_end").isNotNull())
 
 
 def candidate_rows(facts: DataFrame, per_filing: bool = False) -> DataFrame:
@@ -284,14 +283,14 @@ def complete_periods(rows: DataFrame, extra_keys: list[str] = (), debt_rule: boo
         return F.when(ok, F.struct(
             F.lit(name).alias("metric_type"), signed(F.lit(name), value).alias("value"), derived_source.alias("source")))
 
-    extras = F.filter(F.array(
+    extras = F.array(
         extra("gross_profit", c("v_gross_profit").isNull() & gp.isNotNull(), gp),
         extra("operating_expenses", c("v_operating_expenses").isNull() & (opex <= 0), opex),
-    ), lambda i: i.isNotNull())
+    )
     return grouped.select(
         *keys, "cik", *([] if "accession" in extra_keys else [accession.alias("accession")]),
         F.explode(F.concat(items, extras)).alias("i"),
-    ).select(
+    ).where(c("i").isNotNull()).select(
         "ticker", "cik", c("i.metric_type").alias("metric_type"), flip_zero(c("i.value")).alias("value"),
         F.lit("USD").alias("currency"), period_label(c("period_end"), c("period_type")).alias("period"),
         "period_type", "period_end", c("i.source").alias("source"),
