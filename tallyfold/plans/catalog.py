@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyfold.plans import filing_queries, ingest_queries, reconcile_queries, series_queries, text_queries
+from tallyfold.plans import (
+    filing_queries, ingest_queries, more_queries, reconcile_queries, series_queries, text_queries)
 
-MODULES = [ingest_queries, series_queries, filing_queries, text_queries, reconcile_queries]
+MODULES = [ingest_queries, series_queries, filing_queries, text_queries, reconcile_queries, more_queries]
 
 
 def queries():

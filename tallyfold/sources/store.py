@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,13 +92,13 @@ class Log:
         self.spark, self.path, self.partition_by = spark, path.rstrip("/"), list(partition_by)
         self.schema = T.StructType(list(schema.fields) + [T.StructField("batch", T.StringType())])
 
+        # an empty first batch makes the folder exist; kept as it is when there is one
+        leaf = "".join(f"/{p}=none" for p in self.partition_by)
+        data = T.StructType([f for f in schema if f.name not in self.partition_by])
+        spark.createDataFrame([], data).write.mode("ignore").parquet(f"{self.path}/batch=0{leaf}")
+
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(f"{self.path}/batch=*")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(f"{self.path}/batch=*")
 
     def append(self, df: DataFrame, batch: str | None = None) -> int:
         """Write one batch and return its row count, counted while writing."""
