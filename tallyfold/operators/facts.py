@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tallyfold import model as M
 from tallyfold.functions.columns import duration_bucket, flip_zero, period_label, signed
@@ -79,6 +80,10 @@ def _is_flow() -> Column:
 # ---------------------------------------------------------------- slots
 
 
+def _usable() -> Column:
+    return c("period_end").isNotNull() & c("numeric_value").isNotNull() & ~F.isnan("numeric_value")
+
+
 def _claims(per_filing: bool, has_start: bool) -> Column:
     """The slots one fact competes for: a stored row, a point of its fiscal year, a debt part.
 
@@ -108,11 +113,16 @@ def _claims(per_filing: bool, has_start: bool) -> Column:
     point = F.when(flow & year.isNotNull(), F.when(quarter & (label == "Q1"), "q1").when(
         bucket.isin("ytd_6m", "ytd_9m"), bucket).otherwise(year_end))
     none_text, none_year = F.lit(None).cast("string"), F.lit(None).cast("int")
+    if per_filing:
+        usable = _usable()
+        stored, point = F.when(usable, stored), F.when(usable, point)
     claims = [
         claim(stored, F.when(stored == "direct", label), none_year),
         claim(point, none_text, year),
     ]
-    if not per_filing:
+    if per_filing:
+        claims.append(claim(F.when(~c("is_dimensioned"), "consolidated"), none_text, none_year))
+    else:
         parts = {**{t: "total" for t in M.DEBT_TOTAL_TAGS}, **{t: "noncurrent" for t in M.DEBT_NONCURRENT_TAGS},
                  **{t: "current" for t in M.DEBT_CURRENT_TAGS}}
         part = F.coalesce(*[F.when(c("concept") == M.TAG_PREFIX + t, F.lit(g)) for t, g in parts.items()])
@@ -129,15 +139,37 @@ def _best_per_slot(facts: DataFrame, per_filing: bool) -> DataFrame:
         if name not in facts.columns:
             facts = facts.withColumn(name, F.lit(None).cast(kind))
     start = c("period_start") if has_start else F.lit(None).cast("date")
-    usable = facts.where(
-        c("period_end").isNotNull() & c("numeric_value").isNotNull() & ~F.isnan("numeric_value")
-    ).withColumn("bucket", duration_bucket(start, c("period_end")))
-    claimed = usable.select(
-        "ticker", "cik", "accession", "form", "strategy", "numeric_value", "period_end", "fiscal_year",
+    if "is_dimensioned" not in facts.columns:
+        facts = facts.withColumn("is_dimensioned", F.lit(False))
+    if not per_filing:
+        facts = facts.where(_usable())
+    claimed = facts.withColumn("bucket", duration_bucket(start, c("period_end"))).select(
+        "ticker", "cik", "accession", "form", "strategy", "numeric_value", "period_end", "fiscal_year", "is_dimensioned",
         F.inline(_claims(per_filing, has_start)),
     ).where(c("role").isNotNull())
-    return claimed.groupBy(*KEYS, "role", "slot_label", "slot_year", "period_end").agg(
-        F.max("numeric_value").alias("value"), F.min("fiscal_year").alias("first_year"),
+    keys = [*KEYS, "role", "slot_label", "slot_year", "period_end"]
+    if not per_filing:
+        return claimed.groupBy(*keys).agg(
+            F.max("numeric_value").alias("value"), F.min("fiscal_year").alias("first_year"))
+    best = claimed.groupBy(*keys).agg(
+        F.max("numeric_value").alias("any_value"),
+        F.max(F.when(~c("is_dimensioned"), c("numeric_value"))).alias("total_value"),
+        F.min("fiscal_year").alias("first_year"),
+    )
+    return _consolidated(best)
+
+
+def _consolidated(slots: DataFrame) -> DataFrame:
+    """Dimensioned values only count where the filing's concept has no consolidated row at all.
+
+    The window runs over slots, and its keys are those of the next step, so it
+    adds no shuffle of its own.
+    """
+    has_total = F.max((c("role") == "consolidated").cast("int")).over(W.partitionBy(*KEYS)) == 1
+    value = F.when(c("has_total"), c("total_value")).otherwise(c("any_value"))
+    return (
+        slots.withColumn("has_total", has_total).where(c("role") != "consolidated")
+        .withColumn("value", value).where(c("value").isNotNull()).drop("any_value", "total_value", "has_total")
     )
 
 
@@ -345,7 +377,7 @@ def extract_companies(facts: DataFrame, standardized: DataFrame | None = None) -
 
 def extract_filings(facts: DataFrame) -> DataFrame:
     """The fast path: metric rows per filing; facts carry ticker, cik, accession and form."""
-    mapped = consolidated_only(map_concepts(facts).where(filing_unit_ok()))
+    mapped = map_concepts(facts).where(filing_unit_ok())
     rows = candidate_rows(mapped, per_filing=True).withColumn("flow_dated", F.lit(False))
     source = F.when(c("form").isin("10-K", "10-K/A"), "10-K").otherwise("10-Q")
     stored = _stored(rows, [*M.PK, "accession", "form"], source, c("accession"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tallyfold import model as M
 from tallyfold.functions.columns import lookup, signed
@@ -53,16 +54,18 @@ def dera_points(candidates: DataFrame) -> DataFrame:
     """
     keys = ["ticker", "period_type", "period_end"]
     names = M.GOLDEN_FLOW_METRICS + M.GOLDEN_STOCK_METRICS + M.DERA_DEBT_PARTS
-    resolved = resolve_candidates(candidates)
-    wide = resolved.groupBy(*keys).agg(*[F.max(F.when(c("metric_type") == n, c("value"))).alias(n) for n in names])
-    bounds = wide.where(c("net_income").isNotNull() & c("gross_profit").isNotNull()).select(
-        *keys, c("net_income").alias("lo"), c("gross_profit").alias("hi"))
-    inside = (
-        candidates.where(c("metric_type") == "operating_income").join(bounds, keys)
-        .where((c("value") > c("lo")) & (c("value") < c("hi")))
-        .groupBy(*keys).agg(F.min("value").alias("__oi"))
-    )
-    wide = wide.join(inside, keys, "left")
+    size = F.struct(F.abs("value").alias("size"), "value")
+    w = W.partitionBy(*keys)
+
+    def resolved(name: str) -> Column:
+        return F.max(F.when(c("metric_type") == name, size))
+
+    # candidates are made distinct before the periods are gathered
+    bounded = candidates.select(*POINT, "value").distinct().withColumns({
+        "lo": resolved("net_income").over(w)["value"], "hi": resolved("gross_profit").over(w)["value"]})
+    inside = (c("metric_type") == "operating_income") & (c("value") > c("lo")) & (c("value") < c("hi"))
+    wide = bounded.groupBy(*keys).agg(
+        *[resolved(n)["value"].alias(n) for n in names], F.min(F.when(inside, c("value"))).alias("__oi"))
     identity = c("total_assets") - c("total_liabilities")
     cur, debt_cur = c("__long_term_debt_current"), c("__debt_current")
     cp, total = c("__commercial_paper"), c("__long_term_debt_total")
@@ -106,26 +109,43 @@ def vendor_points(statements: DataFrame, period_type: str, metrics: list[str] |
 # ---------------------------------------------------------------- matching
 
 
+def _side_by_side(left: DataFrame, right: DataFrame, keys: list[str], left_cols: list[str], right_cols: list[str]) -> DataFrame:
+    """Both inputs as one relation, each row with the closest right row before and after it.
+
+    Rows of one key lie in one window, so each input is read once and no pairs
+    are formed. ``right`` has one row per key and date.
+    """
+    l_type = left.select(F.struct(*left_cols).alias("x")).schema["x"].dataType
+    r_type = right.select(F.struct(*right_cols).alias("x")).schema["x"].dataType
+    a = left.select(*keys, c("period_end").alias("__day"), F.struct(*left_cols).alias("l"), F.lit(None).cast(r_type).alias("r"))
+    b = right.select(*keys, c("period_end").alias("__day"), F.lit(None).cast(l_type).alias("l"), F.struct(*right_cols).alias("r"))
+    both = a.unionByName(b)
+    right_first = c("r").isNull().cast("int")
+    up = W.partitionBy(*keys).orderBy(c("__day"), right_first).rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*keys).orderBy(c("__day").desc(), right_first).rowsBetween(W.unboundedPreceding, 0)
+    return both.select(
+        "*", F.last("r", ignorenulls=True).over(up).alias("before"), F.last("r", ignorenulls=True).over(down).alias("after"))
+
+
+def _nearest(max_days: int) -> Column:
+    """The closer neighbour within the tolerance, the earlier one on a tie."""
+    ahead, behind = F.datediff("after.period_end", "__day"), F.datediff("__day", "before.period_end")
+    pick = F.when(behind.isNotNull() & (ahead.isNull() | (behind <= ahead)), c("before")).otherwise(c("after"))
+    days = F.least(behind, ahead)
+    return F.when(c("l").isNotNull() & (days <= max_days), pick)
+
+
 def match_within(left: DataFrame, right: DataFrame, keys: list[str], max_days: int = MAX_DAYS,
                  left_cols=("period_end", "value"), right_cols=("period_end", "value")) -> DataFrame:
     """For every left row the nearest right row with the same keys at most ``max_days`` away.
 
-    The nearer date wins, then the earlier one. Dates are put into buckets one
-    day wider than the tolerance and the right side is offered to its own and
-    both neighbour buckets, so this is an equi-join that only meets rows close
-    in time.
+    The nearer date wins, then the earlier one.
     """
-    width = max_days + 1
-    bucket = F.floor(F.unix_date(c("period_end")) / width)
-    a = left.select(*keys, *[c(x).alias(f"l_{x}") for x in left_cols], bucket.alias("__b"))
-    b = right.select(*keys, *[c(x).alias(f"r_{x}") for x in right_cols],
-                     F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__b"))
-    gap = F.abs(F.datediff("l_period_end", "r_period_end"))
-    pairs = a.join(b, [*keys, "__b"]).where(gap <= max_days)
-    rest = [f"r_{x}" for x in right_cols if x != "period_end"]
-    best = F.min(F.struct(gap.alias("days"), "r_period_end", *rest)).alias("m")
-    return pairs.groupBy(*keys, *[f"l_{x}" for x in left_cols]).agg(best).select(
-        *keys, *[f"l_{x}" for x in left_cols], "m.days", "m.r_period_end", *[c(f"m.{x}").alias(x) for x in rest])
+    rows = _side_by_side(left, right, keys, list(left_cols), list(right_cols))
+    hit = rows.withColumn("m", _nearest(max_days)).where(c("m").isNotNull())
+    return hit.select(
+        *keys, *[c(f"l.{x}").alias(f"l_{x}") for x in left_cols],
+        F.abs(F.datediff("l.period_end", "m.period_end")).alias("days"), *[c(f"m.{x}").alias(f"r_{x}") for x in right_cols])
 
 
 MATCH_KEYS = ["ticker", "metric_type", "period_type"]
@@ -153,15 +173,26 @@ def cross_reference_counts(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def merge_sources(left: DataFrame, right: DataFrame, left_name="dera", right_name="fmp") -> DataFrame:
-    """All points with provenance: the left value counts, "both" when a right point lies close by."""
-    pairs = source_matches(left, right)
-    confirmed = pairs.select(*MATCH_KEYS, c("l_period_end").alias("period_end")).withColumn("__both", F.lit(True))
-    used = pairs.select(*MATCH_KEYS, c("r_period_end").alias("period_end")).distinct()
-    ours = left.join(confirmed, POINT, "left").withColumn(
-        "source", F.when(c("__both"), "both").otherwise(left_name)).drop("__both")
-    theirs = right.join(used, POINT, "left_anti").join(left.select(*POINT), POINT, "left_anti")
-    return ours.select(*POINT, "value", "source").unionByName(
-        theirs.select(*POINT, "value", F.lit(right_name).alias("source")))
+    """All points with provenance: the left value counts, "both" when a right point lies close by.
+
+    A right point that no left point took, on a date without a left point,
+    stands for itself.
+    """
+    rows = _side_by_side(left, right, MATCH_KEYS, ["period_end", "value"], ["period_end", "value"])
+    rows = rows.withColumn("m", _nearest(MAX_DAYS))
+    # one entry per left point, one per right point, one per right point taken
+    parts = F.array(
+        F.struct(c("__day").alias("period_end"), c("l.value").alias("lv"), c("m").isNotNull().alias("both"),
+                 c("r.value").alias("rv"), F.lit(False).alias("taken")),
+        F.struct(c("m.period_end").alias("period_end"), F.lit(None).cast("double").alias("lv"), F.lit(False).alias("both"),
+                 F.lit(None).cast("double").alias("rv"), F.lit(True).alias("taken")),
+    )
+    flat = rows.select(*MATCH_KEYS, F.inline(parts)).where(c("period_end").isNotNull())
+    g = flat.groupBy(*POINT).agg(
+        F.max("lv").alias("lv"), F.bool_or("both").alias("both"), F.max("rv").alias("rv"), F.bool_or("taken").alias("taken"))
+    return g.where(c("lv").isNotNull() | ~c("taken")).select(
+        *POINT, F.coalesce("lv", "rv").alias("value"),
+        F.when(c("lv").isNull(), right_name).when(c("both"), "both").otherwise(left_name).alias("source"))
 
 
 def apply_curation(points: DataFrame, preferred: DataFrame | None = None, right: DataFrame | None = None,

@@ -11,15 +11,21 @@ from tallyfold.functions.derived import DERIVED_INPUTS, with_derived
 from tallyfold.operators.series import melt
 
 c = F.col
+OTHER_FLOW, OTHER_STOCK = "__other_flow", "__other_stock"
 NAMES = M.FLOW_METRICS + M.STOCK_METRICS
 OUTPUT = list(dict.fromkeys(NAMES + DERIVED_INPUTS + ["total_receivables"]))
 
 
 def _candidates(metrics: DataFrame, names: list[str]) -> DataFrame:
+    """Quarterly rows, and annual ones of the fallback metrics.
+
+    Metrics nobody asked for only matter through the ticker's newest date, so
+    they share one name per kind and shrink to four rows.
+    """
     annual_ok = (c("period_type") == M.ANNUAL) & c("metric_type").isin(M.TTM_ANNUAL_FALLBACK)
-    return metrics.where(
-        ((c("period_type") == M.QUARTERLY) & c("metric_type").isin(names)) | annual_ok
-    )
+    other = F.when(c("metric_type").isin(M.FLOW_METRICS), OTHER_FLOW).otherwise(OTHER_STOCK)
+    name = F.when(c("metric_type").isin(names), c("metric_type")).otherwise(other)
+    return metrics.where((c("period_type") == M.QUARTERLY) | annual_ok).withColumn("metric_type", name)
 
 
 def _newest_four(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,46 +48,51 @@ def _newest_four(rows: DataFrame, keys: list[str]) -> DataFrame:
 def ttm_raw(metrics: DataFrame, keys: list[str], names: list[str] = NAMES) -> DataFrame:
     """Wide TTM row per key before derived metrics."""
     four = _newest_four(_candidates(metrics, names), keys)
-    quarterly, flow = c("period_type") == M.QUARTERLY, c("metric_type").isin(M.FLOW_METRICS)
+    quarterly, flow = c("period_type") == M.QUARTERLY, c("metric_type").isin([*M.FLOW_METRICS, OTHER_FLOW])
 
-    def pick(name: str, period_type: str, *fields: str) -> Column:
-        here = (c("metric_type") == name) & (c("period_type") == period_type)
-        return F.max(F.when(here, F.struct(*fields)))
+    def pick(name: str, period_type: str, field: str) -> Column:
+        return F.max(F.when((c("metric_type") == name) & (c("period_type") == period_type), c(field)))
 
     flows = [n for n in names if n in M.FLOW_METRICS]
     stocks = [n for n in names if n not in M.FLOW_METRICS]
     per_key = four.groupBy(*keys).agg(
         F.max(F.when(quarterly, c("newest"))).alias("__newest"),
         F.max(F.when(quarterly & ~flow, c("newest"))).alias("__newest_stock"),
-        *[pick(n, M.QUARTERLY, "newest", "sum4").alias(f"__q_{n}") for n in flows],
-        *[pick(n, M.QUARTERLY, "newest", "last_value").alias(f"__q_{n}") for n in stocks],
-        *[pick(n, M.ANNUAL, "newest", "last_value").alias(f"__a_{n}") for n in M.TTM_ANNUAL_FALLBACK],
+        *[pick(n, M.QUARTERLY, f).alias(f"__q_{n}_{f}") for n in flows for f in ("newest", "sum4")],
+        *[pick(n, M.QUARTERLY, "last_value").alias(f"__q_{n}") for n in stocks],
+        *[pick(n, M.ANNUAL, f).alias(f"__a_{n}_{f}") for n in stocks if n in M.TTM_ANNUAL_FALLBACK
+          for f in ("newest", "last_value")],
     )
 
     def flow_value(n: str) -> Column:
-        fresh = F.datediff(c("__newest"), c(f"__q_{n}.newest")) <= M.TTM_MAX_FLOW_STALENESS_DAYS
-        return F.when(fresh, c(f"__q_{n}.sum4")).alias(n)
+        fresh = F.datediff(c("__newest"), c(f"__q_{n}_newest")) <= M.TTM_MAX_FLOW_STALENESS_DAYS
+        return F.when(fresh, c(f"__q_{n}_sum4")).alias(n)
 
     def stock_value(n: str) -> Column:
-        own = c(f"__q_{n}.last_value")
+        own = c(f"__q_{n}")
         if n not in M.TTM_ANNUAL_FALLBACK:
             return own.alias(n)
-        spare = c(f"__a_{n}.last_value")
+        spare = c(f"__a_{n}_last_value")
         if n == "common_shares_outstanding":
-            age = F.datediff(c("__newest_stock"), c(f"__a_{n}.newest"))
+            age = F.datediff(c("__newest_stock"), c(f"__a_{n}_newest"))
             spare = F.when(age.isNull() | (age <= M.TTM_MAX_SHARE_STALENESS_DAYS), spare)
         return F.coalesce(own, spare).alias(n)
 
     return per_key.select(*keys, *[flow_value(n) for n in flows], *[stock_value(n) for n in stocks])
 
 
-def ttm_wide(metrics: DataFrame, as_of: str | None = None, tickers: list[str] | None = None) -> DataFrame:
-    """TTM metrics with derived ones, one row per ticker; only data up to ``as_of`` counts."""
+def ttm_wide(metrics: DataFrame, as_of: str | None = None, tickers: list[str] | None = None,
+             names: list[str] = NAMES) -> DataFrame:
+    """TTM metrics with derived ones, one row per ticker; only data up to ``as_of`` counts.
+
+    ``names`` limits the stored metrics that are read; a derived metric needs
+    its inputs among them.
+    """
     if tickers is not None:
         metrics = metrics.where(c("ticker").isin(tickers))
     if as_of:
         metrics = metrics.where(c("period_end") <= F.lit(as_of).cast("date"))
-    return with_derived(ttm_raw(metrics, ["ticker"]))
+    return with_derived(ttm_raw(metrics, ["ticker"], names))
 
 
 def ttm_wide_at(metrics: DataFrame, dates: DataFrame) -> DataFrame:

@@ -383,4 +383,4 @@ order by net_profit_margin desc, ticker limit 20"""
 def flagship(spark, d):
     """Raw facts, decomposition, signs, merge, TTM with staleness, derived metrics, ratio, top 20."""
     rows = X.extract_companies(MP.facts(spark, d))
-    return RO.top_ttm_ratio(T.ttm_wide(rows), "net_profit_margin", 20)
+    return RO.top_ttm_ratio(T.ttm_wide(rows, names=["revenue", "net_income"]), "net_profit_margin", 20)

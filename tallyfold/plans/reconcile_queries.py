@@ -182,7 +182,7 @@ def vendor(spark, d):
 
 @query("j7_matches_within_days", f"""with {PAIR_SQL} select ticker, metric_type, period_type, l_period_end, l_value, r_period_end, r_value, days from pairs""")
 def j7(spark, d):
-    return RC.source_matches(points(spark, d), vendor(spark, d)).withColumnRenamed("value", "r_value")
+    return RC.source_matches(points(spark, d), vendor(spark, d))
 
 
 @query("a7_cross_reference", f"""with {PAIR_SQL} select metric_type, period_type, count(*) as pairs, count(*) filter (ok) as matches,
