@@ -274,7 +274,7 @@ def metric_text(value: Column, fmt: Column) -> Column:
         F.when(value.isNull(), "—")
         .when(fmt == "per_share", F.concat(sign, F.lit("$"), _fixed(F.abs(value), 2)))
         .when(fmt == "count", count_short(value))
-        .when(fmt == "number", F.format_number(value, "#,##0.##"))
+        .when(fmt == "number", F.call_function("format_number", value, F.lit("#,##0.##")))
         .otherwise(F.concat(sign, F.format_number(F.abs(value) / 1e6, 0)))
     )
 
