@@ -111,9 +111,13 @@ def ticker_key(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, "[./]+", "-"), "^-+|-+$", "")
 
 
+# White space in the Unicode sense, spelled out: much faster than the regex flag for it.
+WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, f"[{WHITE}]+", " "))
 
 
 def alnum_key(text: Column) -> Column:

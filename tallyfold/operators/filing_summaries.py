@@ -221,17 +221,22 @@ def provenance(rows: DataFrame, as_of: str | None = None) -> DataFrame:
     for name in ("period_end", "filing_date"):
         day = F.max(K.iso_day(c(name))) if name in cols else F.lit(None).cast("date")
         aggs.append(day.alias(f"latest_{name}"))
-    one = rows.agg(*aggs)
+    parts = [rows.agg(*aggs)]
     for name, options, n, ascending in (("accession_numbers", ("accession", "accession_number"), 10, False),
                                         ("sources", ("source",), 5, True)):
         present = [F.when(F.trim(x) != "", F.trim(x)) for x in options if x in cols]
         if not present:
-            one = one.withColumn(name, F.array().cast("array<string>"))
             continue
         values = rows.select(F.coalesce(*present).alias("v")).where(c("v").isNotNull()).distinct()
         few = values.orderBy(c("v").asc() if ascending else c("v").desc()).limit(n)
-        listed = few.agg(F.sort_array(F.collect_list("v"), asc=ascending).alias(name))
-        one = one.join(F.broadcast(listed))
+        parts.append(few.agg(F.sort_array(F.collect_list("v"), asc=ascending).alias(name)))
+    both = parts[0]
+    for more in parts[1:]:
+        both = both.unionByName(more, allowMissingColumns=True)  # one row per part
+    one = both.agg(*[F.first(x, ignorenulls=True).alias(x) for x in both.columns])
+    for name in ("accession_numbers", "sources"):
+        empty = F.array().cast("array<string>")
+        one = one.withColumn(name, F.coalesce(c(name), empty) if name in one.columns else empty)
     today = F.lit(as_of).cast("date") if as_of else F.current_date()
     return one.withColumn(
         "staleness_days", F.datediff(today, F.coalesce("latest_filing_date", "latest_period_end")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.session import cut_lineage
+
 c = F.col
 HOP_DECAY = 0.9
 
@@ -28,13 +30,13 @@ def ripple(edges: DataFrame, starts: DataFrame, hops: int = 3, min_confidence: f
     so the frontier never grows past one row per (start, node).
     """
     usable = edges.where(c("confidence") > min_confidence).select("src", "dst", "confidence")
-    usable = usable.groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
+    usable = cut_lineage(usable.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")))
     front = starts.select(c("node").alias("start"), "node", F.lit(1.0).alias("best"), F.lit(1).cast("long").alias("paths")).distinct()
     found = None
     for hop in range(1, hops + 1):
         step = front.join(usable, front["node"] == usable["src"]).select(
             "start", c("dst").alias("node"), (c("best") * c("confidence") * HOP_DECAY).alias("best"), "paths")
-        front = step.groupBy("start", "node").agg(F.max("best").alias("best"), F.sum("paths").alias("paths"))
+        front = cut_lineage(step.groupBy("start", "node").agg(F.max("best").alias("best"), F.sum("paths").alias("paths")))
         level = front.withColumn("hops", F.lit(hop))
         found = level if found is None else found.unionByName(level)
     return found.select("start", "node", "hops", c("best").alias("confidence"), "paths",

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from tallyfold.functions.columns import alnum_key, ticker_key
 from tallyfold.operators.ordered import newest_per
+from tallyfold.session import cut_lineage
 
 c = F.col
 
@@ -93,12 +94,14 @@ def resolve_tickers(requests: DataFrame, tickers: DataFrame) -> DataFrame:
     Output: requested, resolved, exact, candidates (at most five, prefix
     matches first, close matches when there is none).
     """
-    known = tickers.select("ticker").distinct()
+    known = cut_lineage(tickers.select("ticker").distinct())
     asked = requests.select(F.trim("requested").alias("requested")).distinct().withColumn("word", ticker_key(c("requested")))
-    exact = asked.join(known, c("word") == c("ticker"), "left_semi").withColumn("__exact", F.lit(True)).select("requested", "__exact")
-    open_ = asked.join(exact, "requested", "left_anti").where(c("word") != "")
+    hit = known.select(c("ticker").alias("word"), F.lit(True).alias("__exact"))
+    asked = cut_lineage(asked.join(hit, "word", "left"))
+    open_ = asked.where(c("__exact").isNull() & (c("word") != ""))
     lengths = open_.select(F.length("word").alias("n")).distinct()
-    table = _prefixes(known, lengths).join(open_.select(c("word").alias("prefix")).distinct(), "prefix", "left_semi")
+    wanted = open_.select(c("word").alias("prefix")).distinct()
+    table = cut_lineage(_prefixes(known, lengths).join(wanted, "prefix", "left_semi"))
     counts = table.groupBy("prefix").agg(F.count("*").alias("__n"))
     first = newest_per(table, ["prefix"], [c("ticker")], 5).groupBy("prefix").agg(
         F.sort_array(F.collect_list("ticker")).alias("__prefixed"))
@@ -108,8 +111,7 @@ def resolve_tickers(requests: DataFrame, tickers: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     only = F.when(c("__n") == 1, c("__prefixed")[0])
     return (
-        asked.join(exact, "requested", "left")
-        .join(counts.join(first, "prefix").withColumnRenamed("prefix", "word"), "word", "left")
+        asked.join(counts.join(first, "prefix").withColumnRenamed("prefix", "word"), "word", "left")
         .join(close, "word", "left")
         .select(
             "requested",

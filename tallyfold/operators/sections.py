@@ -15,14 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.functions.columns import accession_key, alnum_key, excerpt, squeeze
+from tallyfold.functions.columns import WHITE, accession_key, alnum_key, excerpt, squeeze
 
 c = F.col
 
 # Fixed value: an item heading at the start of a line, optionally a markdown
 # heading. Groups: heading, item code, title. White space may span lines.
-HEADING = r"^(?:#{1,6}\s*)?(item\s+(\d+(?:\.\d+)?[a-z]?)\.?(?:\s+([^\n]+?))?)\s*$"
-FLAGS = "(?imdU)"
+HEADING = r"^(?:#{1,6}\s*)?(item\s+(\d+(?:\.\d+)?[a-z]?)\.?(?:\s+([^\n]+?))?)\s*$".replace(r"\s", f"[{WHITE}]")
+FLAGS = "(?imd)"
 MARK, STOP = "\u0001", "\u0002"
 # Characters that count as white space at the ends of a text.
 SPACE = (" \t\n\r\u000b\u000c\u001c\u001d\u001e\u001f\u0085         "
@@ -166,7 +166,7 @@ def search(
     key = selector_key(section_name) if section_name else None
     if not tokens or max_matches <= 0 or key == "":
         return filings.select(*keys).where(F.lit(False))
-    pattern = "(?iuU)" + r"\s+".join(tokens)
+    pattern = "(?iu)" + f"[{WHITE}]+".join(tokens)
     around = max(context_chars, 0)
     candidates = filings.where(c(text).rlike(pattern))
     source = F.transform("sections", lambda s: F.struct(

@@ -161,11 +161,12 @@ def fcf_ranking(metrics: DataFrame, tickers: list[str] | None = None, limit: int
         .agg(F.max(F.struct("period_end", "free_cash_flow")).alias("n"))
         .select("ticker", c("n.period_end").alias("period_end"), c("n.free_cash_flow").alias("free_cash_flow"))
     )
-    if tickers is not None:
-        found = latest.agg(F.count("*").alias("found"))
-        latest = latest.join(F.broadcast(found), c("found") == len(set(tickers))).drop("found")
-        limit = len(set(tickers))
-    return top_ranked(latest, limit, c("free_cash_flow").desc(), c("ticker"))
+    order = (c("free_cash_flow").desc(), c("ticker"))
+    if tickers is None:
+        return top_ranked(latest, limit, *order)
+    size = len(set(tickers))
+    ranked = top_ranked(latest, size, *order).withColumn("__found", F.count("*").over(W.partitionBy(F.lit(1))))
+    return ranked.where(c("__found") == size).drop("__found")
 
 
 def top_ranked(df: DataFrame, limit: int, *order: Column) -> DataFrame:

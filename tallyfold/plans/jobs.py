@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.operators.facts import extract_companies
+from tallyfold.session import shared_folder
 from tallyfold.sources.store import CompanyState, MetricStore, ticker_list
 
 c = F.col
@@ -46,8 +46,5 @@ def rerun_companies(store: MetricStore, state: CompanyState, facts: DataFrame, t
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; local only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/tallyfold-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="tallyfold-")
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/tallyfold-{uuid.uuid4().hex}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,18 +27,19 @@ def local_session(cores: int | str = "*", app: str = "tallyfold", shuffle_partit
     )
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where none is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyfold-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used. ``fallback_dir`` is
-    only for sessions without that setting, such as tests.
+    For inputs that several branches of one plan read and for the rounds of an
+    iteration, so that neither is computed again and a lost executor does not
+    start them over.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        target = configured or fallback_dir
-        if target is None:
-            raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
-        sc.setCheckpointDir(target)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
