@@ -156,7 +156,7 @@ TTM_ANNUAL_FALLBACK = [
     "common_shares_outstanding", "total_current_assets", "total_current_liabilities",
 ]
 
-# Forms of the incremental ingest, and the default ticker scope size rule.
+# Forms of the incremental ingest.
 TARGET_FORMS = ["10-K", "10-K/A", "10-Q", "10-Q/A"]
 
 # Statement views.

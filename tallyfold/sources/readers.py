@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold import model as M
-from tallyfold.functions.columns import accession_key, base_form, compact_day, date_range, iso_day
+from tallyfold.functions.columns import accession_key, compact_day, date_range, iso_day
 
 c = F.col
 
@@ -123,7 +123,3 @@ def records(df: DataFrame) -> DataFrame:
 
 def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
-
-
-def same_base_form(a, b):
-    return base_form(a) == base_form(b)
