@@ -15,25 +15,20 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import documents, map_texts
+from tallyfold.llm.pieces import PieceEncoder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MEMORY = 900_000
 """Pieces whose ids a worker remembers."""
 
-_BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
-_AWKWARD = re.compile(r"\s ")
-
 
 class Ranks:
     """A rank file: byte strings by id, and merges by pair of ids."""
@@ -50,8 +45,18 @@ class Ranks:
         for b in range(256):
             self.single[b] = ranks.get(bytes([b]), -1)
         pairs = [(ranks[t[:i]] * self.size + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        table = np.array(sorted(pairs), np.int64)
-        self.keys, self.merged = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1])
+        self.room = max(10, (4 * len(pairs)).bit_length())
+        self.keys, self.merged = np.full(1 << self.room, -1, np.int64), np.full(1 << self.room, -1, np.int64)
+        key, merged = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
+        while len(key):  # open addressing: whoever lost its slot tries the next
+            slot = self.slot(key)
+            free = self.keys[slot] < 0
+            while not free.all():
+                slot = np.where(free, slot, (slot + 1) & (len(self.keys) - 1))
+                free = self.keys[slot] < 0
+            self.keys[slot], self.merged[slot] = key, merged
+            lost = self.keys[slot] != key
+            key, merged = key[lost], merged[lost]
         length = np.array([len(x) for x in self.bytes], np.int64)
         self.length, self.start = length, np.cumsum(length) - length
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -59,8 +64,21 @@ class Ranks:
     def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each adjacent pair, -1 where it doesn't merge."""
         key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.merged[at], -1)
+        slot = self.slot(key)
+        found = self.keys[slot]
+        out = np.where(found == key, self.merged[slot], -1)
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+            found = self.keys[slot[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.merged[slot[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        """First slot of a key in the table of pairs."""
+        return ((key * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF) >> (63 - self.room)).astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of a run of ids."""
@@ -94,6 +112,7 @@ def replay(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     pair = np.full(n + 1, -1, np.int64)  # the rank of the pair that begins here
     alive, mark = np.ones(n + 1, bool), np.zeros(n + 1, bool)
     odd: list[np.ndarray] = []
+    narrow = np.uint16 if ranks.size <= 1 << 16 else np.int64
     index: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
 
@@ -108,7 +127,7 @@ def replay(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
         at, rank = at[good], rank[good]
         if not len(at):
             return
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank.astype(narrow), kind="stable")  # 16 bits sort by radix
         at, rank = at[order], rank[order]
         cuts = np.flatnonzero(np.diff(rank, prepend=-1)).tolist()
         for r, lo, hi in zip(rank[cuts].tolist(), cuts, [*cuts[1:], len(at)]):
@@ -155,68 +174,14 @@ def replay(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.asarray(x, np.int64) for x in each]), np.array([len(x) for x in each], np.int64)
 
 
-class Memory:
-    """Ids of strings met before, flat."""
-
-    def __init__(self):
-        self.at: dict[str, int] = {}
-        self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, keys: list[str], flat: np.ndarray, count: np.ndarray) -> None:
-        self.at.update(zip(keys, range(len(self.start), len(self.start) + len(keys))))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-
-    def get(self, keys: list[str], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all keys in a row, and how many each group of keys has; ``groups`` has the number of its keys."""
-        own = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
-        count = self.count[own]
-        total = np.append(0, np.cumsum(count))
-        ends = np.cumsum(groups)
-        shift = np.repeat(self.start[own] - total[:-1], count)
-        return self.flat[np.arange(len(shift)) + shift], total[ends] - total[ends - groups]
-
-
-class Encoder:
-    """Texts to ids for one rank file and pattern, with a bounded memory of pieces."""
-
-    def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, memory: int = MEMORY):
-        self.ranks, self.pieces, self.limit = Ranks(path), regex.compile(pattern), memory
-        self.known = Memory()
-
-    def units(self, text: str) -> list[str]:
-        """Parts of a text at whose borders a piece always ends: before a space that follows no white space."""
-        if _AWKWARD.search(text) or text[:1] == " ":
-            return _BEFORE_SPACE.split(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _BEFORE_SPACE.split(text)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has."""
-        if len(self.known.at) > self.limit:
-            self.known = Memory()
-        known = self.known
-        split = [self.units(x) if x else [] for x in texts]
-        every = list(chain.from_iterable(split))
-        new = list(set(every).difference(known.at))
-        if new:
-            parts = [self.pieces.findall(u) for u in new]
-            fresh = list(set(chain.from_iterable(parts)).difference(known.at))
-            known.add(fresh, *replay([p.encode() for p in fresh], self.ranks))
-            rest = [(u, own) for u, own in zip(new, parts) if u not in known.at]
-            if rest:
-                flat, count = known.get([p for _, own in rest for p in own], np.array([len(own) for _, own in rest]))
-                known.add([u for u, _ in rest], flat, count)
-        return known.get(every, np.fromiter(map(len, split), np.int64, len(split)))
-
-
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(path: str, pattern: str) -> Encoder:
-    """This worker's encoder."""
+_ENCODERS: dict[tuple[str, str], tuple[Ranks, PieceEncoder]] = {}
+
+
+def encoder(path: str, pattern: str) -> tuple[Ranks, PieceEncoder]:
+    """This worker's ranks and encoder."""
     if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
+        ranks = Ranks(path)
+        _ENCODERS[path, pattern] = ranks, PieceEncoder(lambda pieces: replay([p.encode() for p in pieces], ranks), pattern, MEMORY)
     return _ENCODERS[path, pattern]
 
 
@@ -224,19 +189,18 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
     """``doc_id`` and ``ids`` of every whole text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [x or "" for x in batch.column("text").to_pylist()]
-        flat, count = encoder(path, pattern).encode(texts)
+        flat, count = encoder(path, pattern)[1].encode(batch.column("text"))
         offsets = np.append(0, np.cumsum(count)).astype(np.int32)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=["doc_id", "ids"])
 
-    return map_texts(documents(docs), work, "doc_id long, ids array<int>", limit=8 << 20)
+    return map_texts(documents(docs), work, "doc_id long, ids array<int>", limit=32 << 20)
 
 
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     """All columns and ``decoded``, the bytes of ``ids``; null ids decode to no bytes."""
 
     def run(batches):
-        ranks = encoder(path, public_tokenizers.PATTERN).ranks
+        ranks = encoder(path, public_tokenizers.PATTERN)[0]
         for batch in batches:
             ids = batch.column("ids")
             out = [ranks.decode(np.asarray(x.values, np.int64)).tobytes() if x.is_valid else b"" for x in ids]
