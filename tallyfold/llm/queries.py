@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm import byte_bpe, decontamination, exact_dedup, language_id, simhash
+from tallyfold.llm import byte_bpe, decontamination, exact_dedup, language_id, simhash, token_blocks
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.token_files(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +37,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_token_blocks": op2_token_blocks,
     "op4_decontamination": op4_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
@@ -40,6 +45,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_token_blocks": op2_token_blocks,
     "op4_decontamination": decontamination.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
