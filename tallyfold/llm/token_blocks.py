@@ -39,7 +39,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 BLOCK = 1024
 PERCENTILE = 95
 END_ID = 0
-MEMORY = 900_000
+MEMORY = 400_000
 """Strings whose ids a worker remembers."""
 _HEAD = struct.Struct("<4sQQQII")
 
@@ -173,7 +173,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: in
     """
 
     def run(batches):
-        for batch in slices(batches, limit=16 << 20):
+        for batch in slices(batches, limit=6 << 20):
             flat, count = encoder(path).encode(batch.column("text"))
             length = count + 1
             ids = np.full(len(flat) + len(count), end_id, np.int64)

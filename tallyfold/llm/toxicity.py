@@ -1,9 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
 The terms of a text are its distinct lower-case words and their first four and
-five letters, hashed into ``2**BITS`` slots. The machine adds a weight for each
-term and, through ``FACTORS`` latent factors a term, one for every pair of terms
-of the text, in time linear in the terms.
+five letters, hashed into ``2**BITS`` slots. Slots whose smoothed shares in the
+two labels differ by less than a factor ``e`` are pruned. The machine adds a
+weight for each term left and, through ``FACTORS`` latent factors a term, one
+for every pair of terms of the text, in time linear in the terms.
 
 Training reads a bounded sample (``rows`` documents a label), collected as slot
 numbers, with AdaGrad steps in a fixed order, then fits a logistic curve to the
@@ -26,9 +27,10 @@ from tallyfold.llm.labelled import training_rows
 from tallyfold.llm.quality import logistic
 
 ROWS = 3000
-BITS = 18
+BITS = 20
 FACTORS = 4
 EPOCHS = 6
+SMOOTHING = 8.0
 THRESHOLD = 0.3
 
 
@@ -54,13 +56,32 @@ def text_slots(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarra
     return keys & ((1 << bits) - 1), np.bincount(keys >> bits, minlength=len(texts))
 
 
+def telling(slots: np.ndarray, count: np.ndarray, y: np.ndarray, bits: int = BITS, smoothing: float = SMOOTHING, least: float = 1.0) -> np.ndarray:
+    """A row number for every slot worth keeping, -1 for the others."""
+    of = np.repeat(y, count)
+    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    with1, with0 = (np.bincount(slots[of == k], minlength=1 << bits) for k in (1, 0))
+    prior = smoothing * n1 / len(y), smoothing * n0 / len(y)
+    ratio = np.log((with1 + prior[0]) / (n1 + smoothing)) - np.log((with0 + prior[1]) / (n0 + smoothing))
+    keep = np.abs(ratio) >= least
+    keep &= with1 + with0 > 0
+    return np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32)
+
+
+def kept(place: np.ndarray, slots: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the kept slots, and how many each text has."""
+    rows = place[slots]
+    good = rows >= 0
+    return rows[good], np.bincount(np.repeat(np.arange(len(count)), count)[good], minlength=len(count))
+
+
 class Machine:
-    """Weights and factors; a text's slots are its non-zero inputs, all equal, with unit length."""
+    """Weights and factors; a text's terms are its non-zero inputs, all equal, with unit length."""
 
-    def __init__(self, bits: int = BITS, factors: int = FACTORS, seed: int = 11):
+    def __init__(self, terms: int, factors: int = FACTORS, seed: int = 11):
         self.bias = 0.0
-        self.weight = np.zeros(1 << bits, np.float32)
-        self.factor = (np.random.default_rng(seed).standard_normal((1 << bits, factors)) * 0.01).astype(np.float32)
+        self.weight = np.zeros(terms, np.float32)
+        self.factor = (np.random.default_rng(seed).standard_normal((terms, factors)) * 0.01).astype(np.float32)
 
     def raw(self, slots: np.ndarray, count: np.ndarray) -> np.ndarray:
         return self._parts(slots, count)[0]
@@ -78,7 +99,7 @@ class Machine:
             square[some] = np.add.reduceat((v * v).sum(axis=1), starts, dtype=np.float64)
         return self.bias + scale * linear + 0.5 * scale ** 2 * ((total ** 2).sum(axis=1) - square), total, scale
 
-    def fit(self, slots: np.ndarray, count: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3, ridge: float = 1e-5, batch: int = 64, eps: float = 1e-6, seed: int = 5):
+    def fit(self, slots: np.ndarray, count: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, rate: float = 1.0, ridge: float = 1e-5, batch: int = 64, eps: float = 1e-2, seed: int = 5):
         """AdaGrad on the weighted logistic loss."""
         ends = np.cumsum(count)
         seen_w, seen_v, seen_b = np.full(len(self.weight), eps), np.full(self.factor.shape, eps), eps
@@ -136,10 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         rank[y == k] = np.arange((y == k).sum())
     aside = rank % 4 == 1
     pick = lambda m: (np.array([s for r, ok in zip(found, m) if ok for s in r[2]], np.int64), count[m])
-    machine = Machine()
-    machine.fit(*pick(~aside), y[~aside], weight[~aside])
-    curve = logistic(machine.raw(*pick(aside)), y[aside], weight[aside], ridge=0.1)
-    return {"share": share, "bias": machine.bias, "weight": machine.weight, "factor": machine.factor, "curve": curve}
+    place = telling(*pick(~aside), y[~aside])
+    machine = Machine(int(place.max()) + 1)
+    machine.fit(*kept(place, *pick(~aside)), y[~aside], weight[~aside])
+    curve = logistic(machine.raw(*kept(place, *pick(aside))), y[aside], weight[aside], ridge=0.1)
+    return {"share": share, "place": place, "bias": machine.bias, "weight": machine.weight, "factor": machine.factor, "curve": curve}
 
 
 def score_texts(docs: DataFrame, model: dict) -> DataFrame:
@@ -152,7 +174,7 @@ def score_texts(docs: DataFrame, model: dict) -> DataFrame:
         if "curve" in own:
             machine = Machine.__new__(Machine)
             machine.bias, machine.weight, machine.factor = own["bias"], own["weight"], own["factor"]
-            raw = machine.raw(*text_slots(batch.column("text")))
+            raw = machine.raw(*kept(own["place"], *text_slots(batch.column("text"))))
             score = 1 / (1 + np.exp(-np.clip(own["curve"][0] + own["curve"][1] * raw, -30, 30)))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
