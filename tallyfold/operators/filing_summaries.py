@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tallyfold.functions import columns as K
 from tallyfold.operators.filings import event_title, trade_amount, trade_day
-from tallyfold.operators.ordered import exact_sum, newest_per, ordered_distinct
+from tallyfold.operators.ordered import exact_sum, newest_per
 
 c = F.col
 
@@ -31,8 +32,8 @@ def _fields(table: dict, group_by: str) -> list[str]:
     return table[group_by]
 
 
-def insider_sales(trades: DataFrame, group_by: str = "insider_name", limit: int | None = 25, keys=("ticker",)) -> DataFrame:
-    """Grouped insider sales, the largest ``limit`` groups per company."""
+def insider_sales(trades: DataFrame, group_by: str = "insider_name", limit: int | None = None, keys=("ticker",)) -> DataFrame:
+    """Grouped insider sales: all groups, or the largest ``limit`` per company when asked for."""
     by = list(dict.fromkeys([*keys, *_fields(TRADE_GROUPS, group_by)]))
     amount, day = trade_amount(), trade_day()
     split = trades.withColumns({"__amount": amount, "__code": c("transaction_code")}).groupBy(*by, "__code").agg(
@@ -75,28 +76,58 @@ def _event_rank() -> Column:
     return F.struct("filing_date", "date_of_report", "accession_number")
 
 
-def material_event_summary(events: DataFrame, group_by: str = "item_code", limit: int | None = 25, keys=("ticker",)) -> DataFrame:
-    """Grouped 8-K events: counts, latest dates, content types, up to three newest distinct samples."""
+def _grouped_events(events: DataFrame, by: list[str], values: dict[str, tuple[str, Column, int | None]], aggregates: list[Column]) -> DataFrame:
+    """Groups of events with lists of their distinct values, from one scan.
+
+    ``values`` maps a list's name to (column, order, n): the distinct non-empty
+    values, best order first, all or the first n; all only for small
+    vocabularies. Rows are first combined over everything a list may hold; what
+    is left meets once by group.
+    """
+    fields = list(dict.fromkeys(v[0] for v in values.values()))
+    ranks = {name: order for name, (_, order, _) in values.items()}
+    fine = events.groupBy(*by, *fields).agg(*aggregates, *[F.max(order).alias(f"__r_{name}") for name, order in ranks.items()])
+    fine = fine.repartition(*by)
+    for name, (value, _, n) in values.items():
+        present = c(value).isNotNull() & (c(value).cast("string") != "")
+        best = F.max(f"__r_{name}").over(W.partitionBy(*by, value))
+        fine = fine.withColumn(f"__b_{name}", F.when(present, best))
+        if n is not None:
+            place = F.dense_rank().over(W.partitionBy(*by).orderBy(c(f"__b_{name}").desc_nulls_last(), c(value)))
+            fine = fine.withColumn(f"__p_{name}", F.when(present & (place <= n), True))
+    lists = []
+    for name, (value, _, n) in values.items():
+        wanted = c(f"__b_{name}").isNotNull() if n is None else c(f"__p_{name}")
+        pairs = F.collect_set(F.when(wanted, F.struct(c(f"__b_{name}").alias("r"), c(value).cast("string").alias("v"))))
+        ordered = F.array_sort(pairs, lambda x, y: F.when(x["r"] > y["r"], -1).when(x["r"] < y["r"], 1).when(x["v"] < y["v"], -1).when(x["v"] > y["v"], 1).otherwise(0))
+        lists.append(F.transform(ordered, lambda x: x["v"]).alias(name))
+    return fine.groupBy(*by).agg(
+        F.sum("event_count").alias("event_count"), F.min("earliest").alias("earliest"), F.max("latest").alias("latest"),
+        F.max("latest_report").alias("latest_report"), F.bool_or("press").alias("press"),
+        F.min("first_year").alias("first_year"), F.max("last_year").alias("last_year"), F.max("newest").alias("newest"), *lists)
+
+
+def _event_aggregates() -> list[Column]:
+    return [F.count("*").alias("event_count"), F.min("filing_date").alias("earliest"), F.max("filing_date").alias("latest"),
+            F.max("date_of_report").alias("latest_report"), F.bool_or("has_press_release").alias("press"),
+            F.min(F.year("filing_date")).alias("first_year"), F.max(F.year("filing_date")).alias("last_year"),
+            F.max(F.struct(_event_rank().alias("r"), event_title().alias("title"))).alias("newest")]
+
+
+def material_event_summary(events: DataFrame, group_by: str = "item_code", limit: int | None = None, keys=("ticker",)) -> DataFrame:
+    """Grouped 8-K events: counts, latest dates, content types, up to three newest distinct samples.
+
+    All groups, or the largest ``limit`` per company when asked for.
+    """
     by = [*keys, *_fields(EVENT_GROUPS, group_by)]
     rows = events.withColumn("__type", c("content_type"))
-    base = rows.groupBy(*by).agg(
-        F.count("*").alias("event_count"), F.max("filing_date").alias("latest_filing_date"),
-        F.max("date_of_report").alias("latest_date_of_report"), F.bool_or("has_press_release").alias("has_press_release"),
-    )
-    if limit is not None:
-        order = [c("event_count").desc(), c("latest_filing_date").desc_nulls_last(), *[c(x) for x in by if x not in keys]]
-        base = newest_per(base, list(keys), order, limit)
-    types = ordered_distinct(rows, by, "__type", _event_rank(), None, "content_types")
-    samples = ordered_distinct(rows, by, "summary", _event_rank(), 3, "sample_summaries")
-    return _attach(_attach(base, types, by, "content_types"), samples, by, "sample_summaries")
-
-
-def _attach(base: DataFrame, lists: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Null-safe left join of a list column; no list means an empty one."""
-    right = lists.select(*[c(k).alias(f"__{k}") for k in keys], name)
-    on = [c(k).eqNullSafe(c(f"__{k}")) for k in keys]
-    return base.join(right, on, "left").drop(*[f"__{k}" for k in keys]).withColumn(
-        name, F.coalesce(c(name), F.array().cast("array<string>")))
+    out = _grouped_events(rows, by, {"content_types": ("__type", _event_rank(), None), "sample_summaries": ("summary", _event_rank(), 3)}, _event_aggregates())
+    out = out.select(*by, "event_count", c("latest").alias("latest_filing_date"), c("latest_report").alias("latest_date_of_report"),
+                     c("press").alias("has_press_release"), "content_types", "sample_summaries")
+    if limit is None:
+        return out
+    order = [c("event_count").desc(), c("latest_filing_date").desc_nulls_last(), *[c(x) for x in by if x not in keys]]
+    return newest_per(out, list(keys), order, limit)
 
 
 def event_accessions(events: DataFrame, group_by: str = "item_code", keys=("ticker",)) -> DataFrame:
@@ -115,73 +146,81 @@ def event_digest(events: DataFrame, keys=("ticker",)) -> DataFrame:
     """Per item: rows, three newest distinct dates, content types, two newest distinct examples, years, title."""
     by = [*keys, "item_code"]
     rows = events.withColumns({"__day": c("filing_date").cast("string"), "__type": c("content_type")})
-    base = rows.groupBy(*by).agg(
-        F.count("*").alias("row_count"), F.min("filing_date").alias("earliest"), F.max("filing_date").alias("latest"),
-        F.min(F.year("filing_date")).alias("first_year"), F.max(F.year("filing_date")).alias("last_year"),
-        F.max_by(event_title(), _event_rank()).alias("title"),
-    )
-    days = ordered_distinct(rows, by, "__day", c("filing_date"), 3, "recent_dates")
-    types = ordered_distinct(rows, by, "__type", F.lit(0), None, "content_types")
-    texts = ordered_distinct(rows, by, "summary", _event_rank(), 2, "examples")
-    for lists, name in ((days, "recent_dates"), (types, "content_types"), (texts, "examples")):
-        base = _attach(base, lists, by, name)
-    return base
+    values = {"recent_dates": ("__day", c("filing_date"), 3), "content_types": ("__type", F.lit(0), None), "examples": ("summary", _event_rank(), 2)}
+    out = _grouped_events(rows, by, values, _event_aggregates())
+    return out.select(*by, c("event_count").alias("row_count"), "earliest", "latest", "first_year", "last_year",
+                      c("newest.title").alias("title"), "recent_dates", "content_types", "examples")
+
 
+OWNERSHIP_HISTORY = ["accession_number", "form_type", "filing_date", "event_date", "total_shares", "total_percent",
+                     "is_amendment", "amendment_number", "rule_designation", "is_passive_investor", "reporting_person_names"]
+PROXY_HISTORY = ["filing_date", "fiscal_year_end", "accession_number", "peo_name", "peo_total_comp", "peo_actually_paid_comp",
+                 "neo_avg_total_comp", "neo_avg_actually_paid_comp"]
 
-def ownership_summary(reports: DataFrame, limit: int = 10, keys=("ticker",)) -> DataFrame:
-    """Newest 13D/G report per company with the history of its newest ``limit`` reports."""
+
+def ownership_summary(reports: DataFrame, keys=("ticker",)) -> DataFrame:
+    """Newest 13D/G report per company; counts and forms over all its reports.
+
+    The history is :func:`ownership_history`, a row per report.
+    """
     keys = list(keys)
     rank = F.struct("filing_date", "accession_number")
     head = ["issuer_name", "issuer_cik", "issuer_cusip", "security_title", "accession_number", "form_type",
             "filing_date", "event_date", "total_shares", "total_percent", "reporting_person_names", "reporting_persons",
             "purpose_of_transaction", "source_of_funds", "certification", "rule_designation", "is_passive_investor"]
     head = [x for x in head if x in reports.columns]
-    past = ["accession_number", "form_type", "filing_date", "event_date", "total_shares", "total_percent",
-            "is_amendment", "amendment_number", "rule_designation", "is_passive_investor", "reporting_person_names"]
-    past = [x for x in past if x in reports.columns]
-    newest = newest_per(reports, keys, [c("filing_date").desc(), c("accession_number").desc()], limit)
-    item = F.struct(c("filing_date").alias("__d"), c("accession_number").alias("__a"), F.struct(*past).alias("h"))
-    recent = newest.groupBy(*keys).agg(
-        F.max_by(F.struct(*head), rank).alias("l"),
-        F.transform(F.sort_array(F.collect_list(item), asc=False), lambda x: x["h"]).alias("history"),
-        F.count("*").alias("filings_count"),
-    )
-    forms = ordered_distinct(newest, keys, "form_type", rank, None, "form_types_present")
+    # one row per company and form type leaves each task; form types are few
+    by_form = reports.groupBy(*keys, "form_type").agg(
+        F.count("*").alias("n"), F.max(rank).alias("seen"), F.max_by(F.struct(*[c(x).alias(f"h_{x}") for x in head]), rank).alias("l"))
+    forms = F.array_sort(
+        F.collect_list(F.when(c("form_type") != "", F.struct(c("seen"), c("form_type").alias("v")))),
+        lambda a, b: F.when(a["seen"] > b["seen"], -1).when(a["seen"] < b["seen"], 1).when(a["v"] < b["v"], -1).otherwise(1))
     plain = {"issuer_name", "issuer_cik", "issuer_cusip", "security_title"}
-    return recent.join(forms, keys, "left").select(
-        *keys, *[c(f"l.{x}").alias(x if x in plain else f"latest_{x}") for x in head],
-        "filings_count", "history", "form_types_present",
-    )
+    return by_form.groupBy(*keys).agg(
+        F.max_by("l", "seen").alias("l"), F.sum("n").alias("filings_count"), F.transform(forms, lambda x: x["v"]).alias("form_types_present"),
+    ).select(*keys, *[c(f"l.h_{x}").alias(x if x in plain else f"latest_{x}") for x in head], "filings_count", "form_types_present")
+
 
+def ownership_history(reports: DataFrame, keys=("ticker",), newest: int | None = None) -> DataFrame:
+    """A row per report; only the ``newest`` per company when asked for."""
+    rows = reports.select(*keys, *[x for x in OWNERSHIP_HISTORY if x in reports.columns])
+    return rows if newest is None else newest_per(rows, list(keys), [c("filing_date").desc(), c("accession_number").desc()], newest)
 
-def proxy_summary(records: DataFrame, limit: int = 5, keys=("cik",)) -> DataFrame:
-    """Newest DEF 14A per company, change against the one before, history of the newest ``limit`` filings."""
+
+def proxy_summary(records: DataFrame, keys=("cik",)) -> DataFrame:
+    """Newest DEF 14A per company and its change against the one before; counts and measures over all filings.
+
+    Filings are ordered by fiscal year end, filing date and accession number.
+    The history is :func:`proxy_history`, a row per filing.
+    """
     keys = list(keys)
-    newest = newest_per(records, keys, [c("filing_date").desc(), c("accession_number").desc()], limit)
-    history = ["filing_date", "fiscal_year_end", "peo_name", "peo_total_comp", "peo_actually_paid_comp",
-               "neo_avg_total_comp", "neo_avg_actually_paid_comp"]
-    history = [x for x in history if x in records.columns]
-    body = [x for x in records.columns if x not in keys]
     order = ["fiscal_year_end", "filing_date", "accession_number"]
+    body = [x for x in records.columns if x not in keys]
+    pair = newest_per(records, keys, [c(x).desc_nulls_last() for x in order], 2)
     rank = [c(x).alias(f"__{i}") for i, x in enumerate(order)]
-    rows = F.sort_array(F.collect_list(F.struct(*rank, F.struct(*body).alias("r"))), asc=False)
-    g = newest.groupBy(*keys).agg(rows.alias("rows"), F.count("*").alias("filings_count"))
+    g = pair.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*rank, F.struct(*body).alias("r"))), asc=False).alias("rows"))
+    counts = records.groupBy(*keys).agg(F.count("*").alias("filings_count"))
+    names = records.select(*keys, F.explode("performance_measures").alias("m")).distinct().groupBy(*keys).agg(
+        F.array_sort(F.collect_list("m")).alias("available_performance_measures"))
     last, before = c("rows")[0]["r"], F.try_element_at(c("rows"), F.lit(2))["r"]
     now, prev = last["peo_total_comp"], before["peo_total_comp"]
-    measures = F.sort_array(F.array_distinct(F.flatten(F.transform("rows", lambda x: x["r"]["performance_measures"]))))
-    names = {"accession_number", "form_type", "filing_date", "fiscal_year_end", "peo_name", "peo_total_comp",
-             "peo_actually_paid_comp", "neo_avg_total_comp", "neo_avg_actually_paid_comp", "total_shareholder_return",
-             "peer_group_tsr", "net_income", "company_selected_measure", "company_selected_measure_value"}
-    return g.select(
+    latest = {"accession_number", "form_type", "filing_date", "fiscal_year_end", "peo_name", "peo_total_comp",
+              "peo_actually_paid_comp", "neo_avg_total_comp", "neo_avg_actually_paid_comp", "total_shareholder_return",
+              "peer_group_tsr", "net_income", "company_selected_measure", "company_selected_measure_value"}
+    return g.join(counts, keys).join(names, keys, "left").select(
         *keys, "filings_count",
-        *[last[x].alias(f"latest_{x}" if x in names else x) for x in body if x != "performance_measures"],
-        measures.alias("available_performance_measures"),
-        F.transform(F.reverse("rows"), lambda x: F.struct(*[x["r"][h].alias(h) for h in history])).alias("compensation_history"),
+        *[last[x].alias(f"latest_{x}" if x in latest else x) for x in body if x != "performance_measures"],
+        F.coalesce("available_performance_measures", F.array().cast("array<string>")).alias("available_performance_measures"),
         (now - prev).alias("peo_total_comp_change"),
         (K.div(now - prev, prev) * 100.0).alias("peo_total_comp_change_pct"),
     )
 
 
+def proxy_history(records: DataFrame, keys=("cik",)) -> DataFrame:
+    """A row per filing with its pay figures."""
+    return records.select(*keys, *[x for x in PROXY_HISTORY if x in records.columns])
+
+
 def holdings_concentration(holdings: DataFrame, top_n: int = 10) -> DataFrame:
     """Per 13F filing: total, rows, share of the top 5 and top 10, and the top n holdings.
 
@@ -190,23 +229,23 @@ def holdings_concentration(holdings: DataFrame, top_n: int = 10) -> DataFrame:
     key = "accession_number"
     head = ["manager_name", "manager_cik", "form_type", "filing_date", "report_period", "total_holdings"]
     head = [x for x in head if x in holdings.columns]
-    sums = holdings.groupBy(key).agg(
+    size = max(top_n, 10)
+    filled = F.coalesce("value", F.lit(0.0))
+    # one pass: rows meet once by filing, ranked, and the largest go into the list
+    ranked = holdings.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(filled.desc(), c("cusip"))))
+    item = F.when(c("__n") <= size, F.struct((-filled).alias("neg"), "cusip", "issuer", filled.alias("value")))
+    sums = ranked.groupBy(key).agg(
         *[F.min(x).alias(x) for x in head], F.max("total_value").alias("__filed"),
-        F.sum(F.coalesce(c("value"), F.lit(0.0)).cast("decimal(38,6)")).cast("double").alias("__summed"),
-        F.count("*").alias("distinct_securities"),
+        F.sum(filled.cast("decimal(38,6)")).cast("double").alias("__summed"),
+        F.count("*").alias("distinct_securities"), F.sort_array(F.collect_list(item)).alias("top"),
     )
-    top = holdings.select(key, "issuer", "cusip", F.coalesce("value", F.lit(0.0)).alias("value"))
-    size = max(top_n, 10)
-    big = newest_per(top, [key], [c("value").desc(), c("cusip")], size)
-    item = F.struct((-c("value")).alias("neg"), "cusip", "issuer", "value")
-    lists = big.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("top"))
 
     def share(n: int) -> Column:
         part = F.aggregate(F.slice("top", 1, n), F.lit(0.0), lambda a, x: a + x["value"])
         return F.round(K.div(part, c("total_value")) * 100.0, 6)
 
     total = F.when(c("__filed") != 0, c("__filed")).otherwise(c("__summed"))
-    return sums.join(lists, key).withColumn("total_value", total).select(
+    return sums.withColumn("total_value", total).select(
         key, *head, "total_value", "distinct_securities",
         share(5).alias("top_5_concentration_pct"), share(10).alias("top_10_concentration_pct"),
         F.transform(F.slice("top", 1, top_n), lambda x: F.struct(x["issuer"], x["cusip"], x["value"])).alias("top_holdings"),

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from tallyfold import model as M
 from tallyfold.functions.columns import display_format, div
 from tallyfold.functions.derived import free_cash_flow
+from tallyfold.session import numbered_once
 
 c = F.col
 
@@ -149,8 +150,8 @@ def cashflow_timeseries(metrics: DataFrame, period_type: str = M.ANNUAL, tickers
     return melt(cashflow_pivot(metrics, period_type, tickers), M.CASHFLOW_METRICS, ["ticker", "period_end"])
 
 
-def fcf_ranking(metrics: DataFrame, tickers: list[str] | None = None, limit: int = 100) -> DataFrame:
-    """Top companies by their latest annual free cash flow.
+def fcf_ranking(metrics: DataFrame, tickers: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """All companies, or the top ``limit``, by their latest annual free cash flow.
 
     With a ticker list all of them are ranked, but only when every one has a value.
     """
@@ -163,10 +164,24 @@ def fcf_ranking(metrics: DataFrame, tickers: list[str] | None = None, limit: int
     )
     order = (c("free_cash_flow").desc(), c("ticker"))
     if tickers is None:
-        return top_ranked(latest, limit, *order)
+        return ranked(latest, *order) if limit is None else top_ranked(latest, limit, *order)
     size = len(set(tickers))
-    ranked = top_ranked(latest, size, *order).withColumn("__found", F.count("*").over(W.partitionBy(F.lit(1))))
-    return ranked.where(c("__found") == size).drop("__found")
+    named = top_ranked(latest, size, *order).withColumn("__found", F.count("*").over(W.partitionBy(F.lit(1))))
+    return named.where(c("__found") == size).drop("__found")
+
+
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """All rows with their 1-based rank in a total order.
+
+    Rows are dealt by ranges of the order and numbered inside their partition;
+    the partitions' sizes, one row each, give the offsets. Only those meet in
+    one task.
+    """
+    place = F.monotonically_increasing_id()
+    rows = numbered_once(df.orderBy(*order).select("*", F.shiftright(place, 33).alias("__part"), place.bitwiseAND((1 << 33) - 1).alias("__at")))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - c("__n")).alias("__before"))
+    return rows.join(before, "__part").withColumn("rank", (c("__before") + c("__at") + 1).cast("int")).drop("__part", "__at", "__before")
 
 
 def top_ranked(df: DataFrame, limit: int, *order: Column) -> DataFrame:
@@ -406,8 +421,8 @@ def margin_compression(ratio_rows: DataFrame, ratio: str = "gross_profit_margin"
     )
 
 
-def peer_growth_ranking(metrics: DataFrame, metric: str = "revenue", limit: int = 100) -> DataFrame:
-    """Top peers by the change of the newest quarter against three rows earlier."""
+def peer_growth_ranking(metrics: DataFrame, metric: str = "revenue", limit: int | None = None) -> DataFrame:
+    """All peers, or the top ``limit``, by the change of the newest quarter against three rows earlier."""
     w = W.partitionBy("ticker").orderBy("period_end")
     newest = W.partitionBy("ticker").orderBy(c("period_end").desc())
     start = F.first("value").over(w.rowsBetween(-3, 0))
@@ -418,7 +433,8 @@ def peer_growth_ranking(metrics: DataFrame, metric: str = "revenue", limit: int
         .where(c("rn") == 1)
         .drop("rn")
     )
-    return top_ranked(latest, limit, c("growth").desc_nulls_last(), c("ticker"))
+    order = (c("growth").desc_nulls_last(), c("ticker"))
+    return ranked(latest, *order) if limit is None else top_ranked(latest, limit, *order)
 
 
 def macro_recent(macro: DataFrame, indicator: str, n: int = 60) -> DataFrame:

@@ -101,8 +101,7 @@ g as (select ticker, {by}, count(*) as transaction_count, min(tx_date) as first_
    cast(sum(cast(shares as decimal(38,6))) as double) as total_shares, cast(sum(cast(amount as decimal(38,6))) as double) as total_proceeds,
    max(amount) as max_trade_value from sales group by ticker, {by})
 select g.*, transaction_codes, total_proceeds / nullif(total_shares, 0) as average_price, {SIG.format('total_proceeds')} as classification
-from (select *, row_number() over (partition by ticker order by total_proceeds desc, last_tx_date desc, {by}) as n from g) g
-join codes using (ticker, {by}) where n <= 25""".replace("select g.*,", "select g.* exclude (n),")
+from g join codes using (ticker, {by})"""
 
 
 def _flat(df):
@@ -298,19 +297,24 @@ def p14(spark, d):
 @query("a16_ownership_summary", f"""with {OWN_SQL},
 t as (select *, row_number() over (partition by ticker order by filing_date desc, accession_number desc) as n from rep),
 forms as (select ticker, string_agg(form_type, ',' order by seen desc, form_type) as form_types_present from (
-  select ticker, form_type, max((filing_date, accession_number)) as seen from t where n <= 5 group by all) group by ticker)
+  select ticker, form_type, max((filing_date, accession_number)) as seen from t group by all) group by ticker)
 select t.ticker, max(case when n = 1 then issuer_name end) as issuer_name, max(case when n = 1 then accession_number end) as latest_accession_number,
   max(case when n = 1 then total_shares end) as latest_total_shares, max(case when n = 1 then names end) as latest_names,
-  count(*) as filings_count, string_agg(accession_number, ',' order by n) as history, max(form_types_present) as form_types_present
-from t join forms using (ticker) where n <= 5 group by t.ticker""")
+  count(*) as filings_count, max(form_types_present) as form_types_present
+from t join forms using (ticker) group by t.ticker""")
 def a16(spark, d):
-    s = FS.ownership_summary(FL.ownership_reports(ownership(spark, d)), 5)
+    s = FS.ownership_summary(FL.ownership_reports(ownership(spark, d)))
     return s.select("ticker", "issuer_name", "latest_accession_number", "latest_total_shares",
                     F.concat_ws(",", F.sort_array("latest_reporting_person_names")).alias("latest_names"), "filings_count",
-                    F.concat_ws(",", F.transform("history", lambda h: h["accession_number"])).alias("history"),
                     F.concat_ws(",", "form_types_present").alias("form_types_present"))
 
 
+@query("a16_ownership_history", f"""with {OWN_SQL} select ticker, accession_number, form_type, filing_date, total_shares from rep""")
+def a16h(spark, d):
+    rows = FS.ownership_history(FL.ownership_reports(ownership(spark, d)))
+    return rows.select("ticker", "accession_number", "form_type", "filing_date", "total_shares")
+
+
 @query("p25_primary_issuer", f"""with {OWN_SQL},
 k as (select ticker, issuer_name, count(*) as n, max((filing_date, accession_number)) as seen from own group by all),
 m as (select ticker, arg_max(issuer_name, (n, seen)) as issuer_name from k group by ticker)
@@ -322,29 +326,35 @@ def p25(spark, d):
 
 # ------------------------------------------------------------ DEF 14A
 
-@query("a17_proxy_summary", """with p as (select 'C' || o_custkey as cik, cast(o_orderdate as date) as day, lpad(cast(o_orderkey as varchar), 10, '0') as acc,
+PROXY_SQL = """p as (select 'C' || o_custkey as cik, cast(o_orderdate as date) as day, lpad(cast(o_orderkey as varchar), 10, '0') as acc,
   case when o_orderstatus = 'P' then 0 else o_totalprice end as comp, o_orderpriority as measure,
-  row_number() over (partition by o_custkey order by o_orderdate desc, lpad(cast(o_orderkey as varchar), 10, '0') desc) as n from orders)
+  cast(date_trunc('year', cast(o_orderdate as date)) as date) as fye from orders)"""
+
+
+@query("a17_proxy_summary", f"""with {PROXY_SQL}, r as (select *, row_number() over (partition by cik order by fye desc, day desc, acc desc) as n from p)
 select cik, count(*) as filings_count, max(case when n = 1 then acc end) as latest_accession_number,
   max(case when n = 1 then comp end) as latest_peo_total_comp,
   string_agg(distinct measure, ',' order by measure) as available_performance_measures,
-  string_agg(cast(day as varchar), ',' order by n desc) as history,
   max(case when n = 1 then comp end) - max(case when n = 2 then comp end) as peo_total_comp_change,
   (max(case when n = 1 then comp end) - max(case when n = 2 then comp end)) / nullif(max(case when n = 2 then comp end), 0) * 100 as peo_total_comp_change_pct
-from p where n <= 5 group by cik""")
+from r group by cik""")
 def a17(spark, d):
-    s = FS.proxy_summary(proxies(spark, d), 5)
+    s = FS.proxy_summary(proxies(spark, d))
     return s.select("cik", "filings_count", "latest_accession_number", "latest_peo_total_comp",
                     F.concat_ws(",", "available_performance_measures").alias("available_performance_measures"),
-                    F.concat_ws(",", F.transform("compensation_history", lambda h: h["filing_date"].cast("string"))).alias("history"),
                     "peo_total_comp_change", "peo_total_comp_change_pct")
 
 
+@query("a17_proxy_history", f"""with {PROXY_SQL} select cik, day as filing_date, fye as fiscal_year_end, acc as accession_number, comp as peo_total_comp from p""")
+def a17h(spark, d):
+    return FS.proxy_history(proxies(spark, d)).select("cik", "filing_date", "fiscal_year_end", "accession_number", "peo_total_comp")
+
+
 def proxies(spark, d):
     day = c("o_orderdate").cast("date")
     raw = MP.table(spark, d, "orders").select(
         F.concat(F.lit("C"), "o_custkey").alias("cik"), F.lpad(c("o_orderkey").cast("string"), 10, "0").alias("accession_number"),
-        F.lit("DEF 14A").alias("form_type"), day.alias("filing_date"), day.alias("fiscal_year_end"),
+        F.lit("DEF 14A").alias("form_type"), day.alias("filing_date"), F.trunc(day, "year").alias("fiscal_year_end"),
         F.concat(F.lit("Chief "), "o_orderstatus").alias("peo_name"),
         F.when(c("o_orderstatus") == "P", F.lit(0.0)).otherwise(c("o_totalprice")).alias("peo_total_comp"),
         F.array("o_orderpriority").alias("performance_measures"), F.lit(None).cast("boolean").alias("has_xbrl"))

@@ -298,7 +298,7 @@ def d13s(spark, d):
 @query("d16_fcf_ranking", CF_SQL.replace('@type', A) + """
 select ticker, period_end, free_cash_flow, row_number() over (order by free_cash_flow desc, ticker) as rank
 from (select *, row_number() over (partition by ticker order by period_end desc) as rn from cf
-      where free_cash_flow is not null) where rn = 1 order by free_cash_flow desc, ticker limit 100""")
+      where free_cash_flow is not null) where rn = 1""")
 def d16(spark, d):
     return S.fcf_ranking(MP.metrics(spark, d, CF))
 
@@ -612,7 +612,7 @@ g as (select ticker, period_end, value as latest_value, value / nullif(first_val
    partition by ticker order by period_end rows between 3 preceding and current row), 0) - 1 as growth,
    row_number() over (partition by ticker order by period_end desc) as rn from metrics where period_type = 'quarterly')
 select ticker, period_end, latest_value, growth, row_number() over (order by growth desc nulls last, ticker) as rank
-from g where rn = 1 order by growth desc nulls last, ticker limit 100""")
+from g where rn = 1""")
 def x3(spark, d):
     return S.peer_growth_ranking(MP.metrics(spark, d, ["revenue"], (Q,)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +30,36 @@ def local_session(cores: int | str = "*", app: str = "tallyfold", shuffle_partit
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyfold-")
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets one of its own, removed when the
+    driver ends; on a cluster a local folder would be a different one on every
+    machine, so that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    global _LOCAL
+    if _LOCAL is None:
+        _LOCAL = tempfile.mkdtemp(prefix="tallyfold-")
+        atexit.register(shutil.rmtree, _LOCAL, ignore_errors=True)
+    return _LOCAL
+
+
+_LOCAL: str | None = None
+
+
+def numbered_once(df: DataFrame) -> DataFrame:
+    """``df`` fixed at its first use, so that row numbers drawn in it are the same wherever it is read.
+
+    Nothing runs until a query over it does.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=False)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def test_ownership(spark):
     assert rep.count() == 2 and FL.ownership_reports(df, "13g").count() == 1
     assert rep.first().reporting_persons[0].total_voting_power == 5_250_000
     s = FS.ownership_summary(rep).first()
-    assert (s.latest_accession_number, s.filings_count, len(s.history)) == ("O2", 2, 2)
+    assert (s.latest_accession_number, s.filings_count, FS.ownership_history(rep).count(), FS.ownership_history(rep, newest=1).count()) == ("O2", 2, 2, 1)
     assert s.form_types_present == ["SCHEDULE 13G/A", "SC 13D"]
 
 
@@ -114,7 +114,34 @@ def test_proxy_summary(spark):
     s = FS.proxy_summary(FL.proxy_records(df)).first()
     assert (s.latest_accession_number, s.peo_total_comp_change, s.peo_total_comp_change_pct) == ("P2025", 150.0, None)
     assert s.available_performance_measures == ["EPS", "Rev", "TSR"]
-    assert [h.peo_total_comp for h in s.compensation_history] == [100.0, 0.0, 150.0]
+    assert [h.peo_total_comp for h in FS.proxy_history(FL.proxy_records(df)).orderBy("filing_date").collect()] == [100.0, 0.0, 150.0]
+
+
+def test_summaries_count_beyond_any_limit(spark):
+    """Thirty reports, proxies, insiders and items of one company: none is cut."""
+    days = [D(2020 + i // 12, i % 12 + 1, 1) for i in range(30)]
+    own = spark.createDataFrame([("T", f"O{i:02}", "SC 13D" if i else "SC 13G", d, ["P"]) for i, d in enumerate(days)],
+                                "ticker string, accession_number string, form_type string, filing_date date, reporting_person_names array<string>")
+    s = FS.ownership_summary(own).first()
+    assert (s.filings_count, s.form_types_present, s.latest_accession_number) == (30, ["SC 13D", "SC 13G"], "O29")
+    proxy = spark.createDataFrame([("1", f"P{i:02}", d, D(2050 - i, 1, 1), float(i), [f"m{i:02}"]) for i, d in enumerate(days)],
+                                  "cik string, accession_number string, filing_date date, fiscal_year_end date, peo_total_comp double, performance_measures array<string>")
+    p = FS.proxy_summary(proxy).first()
+    assert (p.filings_count, len(p.available_performance_measures), p.latest_accession_number, p.peo_total_comp_change) == (30, 30, "P00", -1.0)
+    rows = [("T", f"E{i}", "8-K", d, d, "press", True, [(f"Item {i + 1}.01", f"text {i}")]) for i, d in enumerate(days)]
+    schema = ("ticker string, accession_number string, form_type string, filing_date date, date_of_report date, content_type string, "
+              "has_press_release boolean, items array<struct<item: string, text: string>>")
+    found = FL.material_events(spark.createDataFrame(rows, schema))
+    assert FS.material_event_summary(found).count() == 30 and FS.material_event_summary(found, limit=4).count() == 4
+
+
+def test_ranking_of_all_rows(spark):
+    from tallyfold.operators.series import ranked
+
+    rows = spark.range(500).select(F.col("id"), (F.col("id") % 7).alias("v")).repartition(5)
+    got = [(r.id, r["rank"]) for r in ranked(rows, F.col("v").desc(), F.col("id")).collect()]
+    want = sorted(range(500), key=lambda i: (-(i % 7), i))
+    assert sorted(got) == sorted((x, i + 1) for i, x in enumerate(want))
 
 
 def holdings(spark):
