@@ -26,8 +26,10 @@ from tallyfold.llm.common import documents, map_texts
 from tallyfold.llm.pieces import PieceEncoder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-MEMORY = 900_000
-"""Pieces whose ids a worker remembers."""
+MEMORY = 300_000
+"""Strings whose ids a worker remembers."""
+SLICE = 6 << 20
+"""Bytes of text that are encoded at once."""
 
 
 class Ranks:
@@ -185,35 +187,42 @@ def encoder(path: str, pattern: str) -> tuple[Ranks, PieceEncoder]:
     return _ENCODERS[path, pattern]
 
 
-def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``doc_id`` and ``ids`` of every whole text."""
+def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, decoded: bool = False) -> DataFrame:
+    """``doc_id`` and ``ids`` of every whole text; with ``decoded`` also the bytes that the ids decode to."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        flat, count = encoder(path, pattern)[1].encode(batch.column("text"))
-        offsets = np.append(0, np.cumsum(count)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=["doc_id", "ids"])
+        ranks, pieces = encoder(path, pattern)
+        flat, count = pieces.encode(batch.column("text"))
+        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(flat, pa.int32()))
+        columns = {"doc_id": batch.column("doc_id"), "ids": ids}
+        if decoded:
+            columns["decoded"] = decode_lists(ids, ranks)
+        return pa.RecordBatch.from_pydict(columns)
 
-    return map_texts(documents(docs), work, "doc_id long, ids array<int>", limit=32 << 20)
+    return map_texts(documents(docs), work, "doc_id long, ids array<int>" + ", decoded binary" * decoded, limit=SLICE)
+
+
+def decode_lists(ids: pa.ListArray, ranks: Ranks) -> pa.Array:
+    """The bytes of each list of ids; a null list has none."""
+    return pa.array([ranks.decode(np.asarray(x.values, np.int64)).tobytes() if x.is_valid else b"" for x in ids], pa.binary())
 
 
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     """All columns and ``decoded``, the bytes of ``ids``; null ids decode to no bytes."""
+    from pyspark.sql.types import BinaryType, StructType
 
     def run(batches):
         ranks = encoder(path, public_tokenizers.PATTERN)[0]
-        for batch in batches:
-            ids = batch.column("ids")
-            out = [ranks.decode(np.asarray(x.values, np.int64)).tobytes() if x.is_valid else b"" for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
-
-    from pyspark.sql.types import BinaryType, StructType
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                yield pa.RecordBatch.from_arrays([*batch.columns, decode_lists(batch.column("ids"), ranks)], names=[*batch.schema.names, "decoded"])
 
-    schema = StructType([*encoded.schema.fields]).add("decoded", BinaryType())
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add("decoded", BinaryType()))
 
 
 def token_digests(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every text, encoded and decoded again."""
-    both = decode(encode(docs, path), path)
+    both = encode(docs, path, decoded=True)
     text = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
