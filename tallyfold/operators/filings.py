@@ -81,8 +81,9 @@ def material_events(filings: DataFrame, codes: list[str] | None = None, summary_
     """One row per reported item; ``items`` is an array of (item, text)."""
     rows = filings.select(
         *keep, "accession_number", "form_type", "filing_date", "date_of_report", "content_type",
-        F.coalesce("has_press_release", F.lit(False)).alias("has_press_release"), F.inline("items"),
-    ).withColumn("item_code", K.item_code(c("item")))
+        F.coalesce("has_press_release", F.lit(False)).alias("has_press_release"),
+        F.posexplode("items").alias("item_position", "__i"),
+    ).select("*", "__i.*").drop("__i").withColumn("item_code", K.item_code(c("item")))
     if codes:
         wanted = [x for x in (_plain_code(v) for v in codes) if x]
         rows = rows.where(c("item_code").isin(wanted)) if wanted else rows
@@ -90,7 +91,7 @@ def material_events(filings: DataFrame, codes: list[str] | None = None, summary_
         *keep, "accession_number", "form_type", "filing_date", "date_of_report", "item", "item_code",
         F.coalesce(K.item_label(c("item_code")), c("item")).alias("item_label"), "content_type",
         K.excerpt(c("text"), summary_chars).alias("summary"),
-        F.coalesce(F.length("text"), F.lit(0)).alias("text_length"), "has_press_release",
+        F.coalesce(F.length("text"), F.lit(0)).alias("text_length"), "has_press_release", "item_position",
     )
 
 
@@ -132,10 +133,11 @@ def eightk_sections(events: DataFrame) -> DataFrame:
     heading = F.when(raw == "", plain).otherwise(raw)
     full = F.when(title.isNotNull() & (F.lower(heading) == F.lower(plain)), F.concat(plain, F.lit(". "), title)).otherwise(heading)
     rows = events.where(c("item_code").isNotNull() & (F.trim("item_code") != "")).select(
-        "accession_number", "item_code", full.alias("heading"), title.alias("title"), "text_length",
+        "accession_number", "item_code", "item_position", full.alias("heading"), title.alias("title"), "text_length",
         F.when(F.trim("summary") != "", F.trim("summary")).alias("preview"))
-    first = F.min(F.struct("heading", "title", "text_length", "preview")).alias("r")
-    return rows.groupBy("accession_number", "item_code").agg(first).select("accession_number", "item_code", "r.*")
+    # the first reported row of a code counts
+    first = F.min(F.struct("item_position", "heading", "title", "text_length", "preview")).alias("r")
+    return rows.groupBy("accession_number", "item_code").agg(first).select("accession_number", "item_code", "r.*").drop("item_position")
 
 
 # ---------------------------------------------------------------- 13D / 13G

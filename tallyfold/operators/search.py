@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -22,14 +19,14 @@ def search_companies(metrics: DataFrame, query: str, limit: int = 20) -> DataFra
     names = metrics.select("ticker")
     if not q:
         return names.where(F.lit(False))
-    hit = c("ticker").like(q + "%") if any(x in q for x in "%_\\") else c("ticker").startswith(q)
+    hit = c("ticker").like(q.replace("\\", "\\\\") + "%") if any(x in q for x in "%_") else c("ticker").startswith(q)
     return names.where(hit).distinct().orderBy("ticker").limit(limit)
 
 
 def _prefixes(tickers: DataFrame, lengths: DataFrame) -> DataFrame:
     spread = F.explode(F.sequence(F.lit(1), F.length("ticker")))
     rows = tickers.where(F.length("ticker") > 0).select("ticker", spread.alias("n"))
-    return rows.join(F.broadcast(lengths), "n").select("ticker", F.expr("substring(ticker, 1, n)").alias("prefix"))
+    return rows.join(lengths, "n").select("ticker", F.expr("substring(ticker, 1, n)").alias("prefix"))
 
 
 # Letters of upper-case text from rare to common, for the candidate filter only:
@@ -46,46 +43,41 @@ def _tokens(text: Column) -> Column:
     return F.sort_array(numbered)
 
 
-def _with_filter_tokens(df: DataFrame, name: str, cutoff: float) -> DataFrame:
-    """Explode the tokens of which a close match must share at least one.
+def _with_filter_keys(df: DataFrame, name: str, cutoff: float, other: str) -> DataFrame:
+    """Explode keys of which two close texts must share at least one.
 
-    A ratio of at least ``cutoff`` needs ``cutoff / 2 * (len a + len b)``
-    common characters; with all tokens in one fixed order, two texts with that
-    overlap share a token among the first ``len - overlap + 1`` of each.
+    Texts of lengths n and m within ``(1 - cutoff) * max(n, m)`` edits have at
+    least ``need = max(n, m)`` less that many characters in common. With all
+    characters in one fixed order the first two of those are among the first
+    ``n - need + 2`` of each text, so a key is both lengths and a pair of
+    characters (one character where ``need`` is 1).
     """
-    h = cutoff / 2
     size = F.length(name)
-    shortest = F.ceil(size * (h / (1 - h)) - 1e-9)
-    need = F.greatest(F.ceil((size + shortest) * h - 1e-9), F.lit(1))
-    keep = (size - need + 1).cast("int")
-    return df.withColumn("__t", F.explode(F.slice(_tokens(c(name)), 1, F.greatest(keep, F.lit(1)))))
-
-
-def _ratio_udf():
-    @F.pandas_udf("double")
-    def ratio(candidate: pd.Series, word: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(candidate, word)], dtype="float64")
-
-    return ratio
+    lengths = F.sequence(F.greatest(F.ceil(size * cutoff - 1e-9).cast("int"), F.lit(1)), F.floor(size / cutoff + 1e-9).cast("int"))
+    rows = df.withColumns({"__n": size, "__tokens": _tokens(c(name))}).withColumn("__m", F.explode(lengths))
+    longest = F.greatest("__n", "__m")
+    need = longest - F.floor(longest * (1 - cutoff) + 1e-9).cast("int")
+    rows = rows.withColumns({"__need": need, "__first": F.slice("__tokens", 1, F.greatest(c("__n") - need + F.when(need > 1, 2).otherwise(1), F.lit(1)))})
+    single = F.transform("__first", lambda x: F.array(x))
+    pairs = F.flatten(F.transform("__first", lambda x, i: F.transform(F.slice("__first", i + 2, F.size("__first")), lambda y: F.array(x, y))))
+    mine, others = ("__n", "__m") if other == "right" else ("__m", "__n")
+    return rows.select(name, c(mine).alias("__a"), c(others).alias("__b"), F.explode(F.when(c("__need") > 1, pairs).otherwise(single)).alias("__t"))
 
 
 def close_matches(requests: DataFrame, tickers: DataFrame, n: int = 5, cutoff: float = 0.6) -> DataFrame:
-    """Up to n closest tickers per ``word`` with a similarity ratio of at least ``cutoff``, best first.
+    """Up to n closest tickers per ``word``, best first: ``1 - edits / longer length`` of at least ``cutoff``.
 
-    Candidates come from an equi-join on filter tokens, never from all pairs;
-    only candidates with enough common characters reach the exact ratio.
+    Candidates come from an equi-join on both lengths and a pair of characters,
+    never from all pairs; the edit distance decides. Ties go to the larger ticker.
     """
-    a = _with_filter_tokens(requests.select("word").where(c("word") != "").distinct(), "word", cutoff)
-    b = _with_filter_tokens(tickers.select("ticker").distinct(), "ticker", cutoff)
-    total = F.length("word") + F.length("ticker")
-    fits = F.least(F.length("word"), F.length("ticker")) * 2 >= total * cutoff - 1e-9
-    pairs = a.join(b, "__t").where(fits).select("word", "ticker").distinct()
-    common = F.size(F.array_intersect(_tokens(c("word")), _tokens(c("ticker"))))
-    likely = pairs.where(common * 2 >= total * cutoff - 1e-9)
-    scored = likely.withColumn("score", _ratio_udf()(c("ticker"), c("word"))).where(c("score") >= cutoff)
-    order = [c("score").desc(), c("ticker").desc()]
-    w = W.partitionBy("word").orderBy(*order)
-    return newest_per(scored, ["word"], order, n).withColumn("rank", F.row_number().over(w))
+    words = requests.select("word").where(c("word") != "").distinct()
+    names = tickers.select("ticker").where(c("ticker") != "").distinct()
+    a, b = _with_filter_keys(words, "word", cutoff, "right"), _with_filter_keys(names, "ticker", cutoff, "left")
+    pairs = a.join(b, ["__a", "__b", "__t"]).select("word", "ticker").distinct()
+    longest = F.greatest(F.length("word"), F.length("ticker"))
+    scored = pairs.withColumn("score", 1 - F.levenshtein("word", "ticker") / longest).where(c("score") >= cutoff - 1e-9)
+    w = W.partitionBy("word").orderBy(c("score").desc(), c("ticker").desc())
+    return scored.withColumn("rank", F.row_number().over(w)).where(c("rank") <= n)
 
 
 def resolve_tickers(requests: DataFrame, tickers: DataFrame) -> DataFrame:
@@ -124,11 +116,19 @@ def resolve_tickers(requests: DataFrame, tickers: DataFrame) -> DataFrame:
 
 
 def resolve_entities(mentions: DataFrame, companies: DataFrame) -> DataFrame:
-    """Mentions (cik, symbol, name) to companies (cik, ticker, name): by CIK, then ticker, then exact name."""
-    m = mentions.withColumns({"__cik": c("cik").try_cast("long"), "__sym": ticker_key(c("symbol")), "__name": alnum_key(c("name"))})
-    by_cik = companies.select(c("cik").try_cast("long").alias("__cik"), c("ticker").alias("t1")).groupBy("__cik").agg(F.min("t1").alias("t1"))
-    by_sym = companies.select(c("ticker").alias("__sym"), c("ticker").alias("t2")).distinct()
-    by_name = companies.select(alnum_key(c("name")).alias("__name"), c("ticker").alias("t3")).groupBy("__name").agg(F.min("t3").alias("t3"))
+    """Mentions (cik, symbol, name) to companies (cik, ticker, name): by CIK, then ticker, then exact name.
+
+    A mention without a key takes part under a key of its own that no company
+    has, so missing keys don't meet in one task.
+    """
+    row = F.xxhash64(*[F.coalesce(c(x).cast("string"), F.lit("")) for x in ("cik", "symbol", "name")])
+    none = F.concat(F.lit("\u0000"), row.cast("string"))
+    m = mentions.withColumns({
+        "__cik": F.coalesce(c("cik").try_cast("long").cast("string"), none), "__sym": F.coalesce(ticker_key(c("symbol")), none),
+        "__name": F.coalesce(alnum_key(c("name")), none)})
+    by_cik = companies.select(c("cik").try_cast("long").cast("string").alias("__cik"), c("ticker").alias("t1")).where(c("__cik").isNotNull()).groupBy("__cik").agg(F.min("t1").alias("t1"))
+    by_sym = companies.select(c("ticker").alias("__sym"), c("ticker").alias("t2")).where(c("__sym").isNotNull()).distinct()
+    by_name = companies.select(alnum_key(c("name")).alias("__name"), c("ticker").alias("t3")).where(c("__name").isNotNull()).groupBy("__name").agg(F.min("t3").alias("t3"))
     out = m.join(by_cik, "__cik", "left").join(by_sym, "__sym", "left").join(by_name, "__name", "left")
     how = F.when(c("t1").isNotNull(), "cik").when(c("t2").isNotNull(), "ticker").when(c("t3").isNotNull(), "name").otherwise("none")
     return out.select(*mentions.columns, F.coalesce("t1", "t2", "t3").alias("resolved"), how.alias("resolved_by"))

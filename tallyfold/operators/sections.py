@@ -9,9 +9,7 @@ regular expressions run inside the engine, once over the whole text.
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +21,6 @@ c = F.col
 # heading. Groups: heading, item code, title. White space may span lines.
 HEADING = r"^(?:#{1,6}\s*)?(item\s+(\d+(?:\.\d+)?[a-z]?)\.?(?:\s+([^\n]+?))?)\s*$".replace(r"\s", f"[{WHITE}]")
 FLAGS = "(?imd)"
-MARK, STOP = "\u0001", "\u0002"
 # Characters that count as white space at the ends of a text.
 SPACE = (" \t\n\r\u000b\u000c\u001c\u001d\u001e\u001f\u0085         "
          "        　")
@@ -58,7 +55,8 @@ def _total(array: Column) -> Column:
 
 def _marked_parts(text: Column, pattern: str, limit: int = -1) -> Column:
     """Text before the first match, then each match with what follows it."""
-    return F.split(F.regexp_replace(text, pattern, MARK + "$0"), MARK, limit)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.transform(F.split(text, pattern, limit), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.get(found, i - 1), p)))
 
 
 # ---------------------------------------------------------------- sections
@@ -182,16 +180,16 @@ def search(
         source = F.when(F.size("sections") > 0, source).otherwise(whole)
 
     def with_parts(s: Column) -> Column:
-        marked = F.regexp_replace(s["content"], pattern, f"{MARK}$0{STOP}")
-        return F.struct(s.alias("s"), F.split(marked, MARK, max_matches + 1).alias("p"))
+        found = F.regexp_extract_all(s["content"], F.lit(pattern), F.lit(0))
+        return F.struct(s.alias("s"), _marked_parts(s["content"], pattern, max_matches + 1).alias("p"), found.alias("f"))
 
     def hits(x: Column) -> Column:
         content = x["s"]["content"]
         tail = F.slice(x["p"], 2, F.greatest(F.size(x["p"]) - 1, F.lit(0)))
 
         def hit(part: Column, i: Column) -> Column:
-            before = F.replace(F.array_join(F.slice(x["p"], 1, i + 1), ""), F.lit(STOP), F.lit(""))
-            found = F.split_part(part, F.lit(STOP), F.lit(1))
+            before = F.array_join(F.slice(x["p"], 1, i + 1), "")
+            found = F.get(x["f"], i)
 
             def place(start: Column, lines: Column) -> Column:
                 end = start + F.length(found)
@@ -225,38 +223,32 @@ def blocks(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), squeeze), lambda b: b != "")
 
 
-DIFF_TYPE = "similarity double, current_only array<string>, previous_only array<string>"
-
-
-def _diff_udf():
-    """Order-sensitive block comparison; the only step here that needs Python."""
-
-    @F.pandas_udf(DIFF_TYPE)
-    def diff(current: pd.Series, previous: pd.Series) -> pd.DataFrame:
-        out = []
-        for now, old in zip(current, previous):
-            now, old = list(now), list(old)
-            m = SequenceMatcher(a=old, b=now, autojunk=False)
-            ops = [o for o in m.get_opcodes() if o[0] != "equal"]
-            out.append((
-                round(m.ratio(), 6),
-                [b for _, _, _, j1, j2 in ops for b in now[j1:j2]],
-                [b for _, i1, i2, _, _ in ops for b in old[i1:i2]],
-            ))
-        return pd.DataFrame(out, columns=["similarity", "current_only", "previous_only"])
-
-    return diff
+def _numbered(items: Column) -> Column:
+    """Each block with the number of equal blocks before it, so that lists compare as multisets."""
+    plain = F.transform(items, lambda b: F.struct(b.alias("b"), F.lit(0).alias("k")))
+    counted = F.transform(items, lambda b, i: F.struct(b.alias("b"), F.size(F.filter(F.slice(items, 1, i), lambda y: y == b)).alias("k")))
+    return F.when(F.size(F.array_distinct(items)) == F.size(items), plain).otherwise(counted)
 
 
 def compare_sections(pairs: DataFrame, filings: DataFrame, section_name: str, max_changes: int = 5,
                      excerpt_chars: int = 280, text: str = "markdown") -> DataFrame:
-    """Block changes of one section between pairs (accession_number, previous_accession)."""
-    found = extract_section(filings, section_name, ("accession_number",), text)
+    """Block changes of one section between pairs (accession_number, previous_accession).
+
+    Blocks compare as multisets, wherever they stand: with ``m`` blocks in both
+    and ``t`` in all, the similarity is ``2 m / t``, 1 without any block. The
+    others are listed in the order of their text. Only filings of a pair are
+    parsed.
+    """
+    asked = pairs.select(F.explode(F.array("accession_number", "previous_accession")).alias("accession_number")).distinct()
+    found = extract_section(filings.join(asked, "accession_number", "left_semi"), section_name, ("accession_number",), text)
     cols = ["item_code", "heading", "title", "line_number", "text_length", "content"]
     now = found.select("accession_number", *[c(x).alias(f"n_{x}") for x in cols])
     old = found.select(c("accession_number").alias("previous_accession"), *[c(x).alias(f"o_{x}") for x in cols])
     both = pairs.join(now, "accession_number").join(old, "previous_accession")
-    d = both.withColumn("d", _diff_udf()(blocks(c("n_content")), blocks(c("o_content"))))
+    d = pinned(both, __now=_numbered(blocks(c("n_content"))), __old=_numbered(blocks(c("o_content"))))
+    d = pinned(d, now_only=F.transform(F.array_except("__now", "__old"), lambda x: x["b"]), old_only=F.transform(F.array_except("__old", "__now"), lambda x: x["b"]))
+    total = F.size("__now") + F.size("__old")
+    similarity = F.when(total == 0, 1.0).otherwise(F.round((total - F.size("now_only") - F.size("old_only")) / total, 6))
 
     def few(col: str) -> Column:
         return F.transform(F.slice(c(col), 1, max_changes), lambda b: excerpt(b, excerpt_chars))
@@ -266,9 +258,9 @@ def compare_sections(pairs: DataFrame, filings: DataFrame, section_name: str, ma
         *[F.coalesce(f"n_{x}", f"o_{x}").alias(x) for x in ("item_code", "heading", "title")],
         c("n_line_number").alias("current_line_number"), c("o_line_number").alias("previous_line_number"),
         c("n_text_length").alias("current_text_length"), c("o_text_length").alias("previous_text_length"),
-        c("d.similarity").alias("similarity_ratio"), F.size("d.current_only").alias("current_only_count"),
-        F.size("d.previous_only").alias("previous_only_count"), few("d.current_only").alias("current_only_excerpts"),
-        few("d.previous_only").alias("previous_only_excerpts"),
+        similarity.alias("similarity_ratio"), F.size("now_only").alias("current_only_count"),
+        F.size("old_only").alias("previous_only_count"), few("now_only").alias("current_only_excerpts"),
+        few("old_only").alias("previous_only_excerpts"),
     )
 
 

@@ -8,6 +8,7 @@ of a customer. 13F: a supplier's quarter is a filing, its parts are holdings.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tallyfold.functions import columns as K
 from tallyfold.operators import filing_summaries as FS
@@ -221,11 +222,14 @@ def a21(spark, d):
                           "examples": F.concat_ws("|", "examples")})
 
 
-@query("a22_distinct_events", f"""with {EV_SQL} select count(*) as n, count(distinct ticker) as tickers from (
-  select distinct filing_date, item_code from ev), (select 1 as ticker)""")
+@query("a22_distinct_events", f"""with {EV_SQL}, e as (select *, coalesce(summary, '') as s from ev)
+select 'summary' as variant, accession_number as place, item_code, s as summary from e group by all
+union all select 'date', cast(filing_date as varchar), item_code, '' from e group by all""")
 def a22(spark, d):
-    e = FL.distinct_events(events(spark, d), by_summary=False)
-    return e.agg(F.count("*").alias("n"), F.lit(1).cast("long").alias("tickers"))
+    rows = events(spark, d)
+    one = FL.distinct_events(rows).select(F.lit("summary").alias("variant"), c("accession_number").alias("place"), "item_code", F.coalesce("summary", F.lit("")).alias("summary"))
+    two = FL.distinct_events(rows, by_summary=False).select(F.lit("date").alias("variant"), c("filing_date").cast("string").alias("place"), "item_code", F.lit("").alias("summary"))
+    return one.unionByName(two)
 
 
 @query("t12_eightk_sections", f"""with {EV_SQL}, s as (select accession_number, item_code,
@@ -443,16 +447,23 @@ def w12(spark, d):
     return FL.pick_13f(thirteenf_filings(spark, d)).select("manager_cik", "accession_number", "report_period")
 
 
-@query("x5_holdings_change", f"""with {HOLD_SQL}, a as (select * from hold where report_period = date '1998-06-30'), b as (select * from hold where report_period = date '1998-03-31')
-select coalesce(a.manager_cik, b.manager_cik) as manager_cik, coalesce(a.cusip, b.cusip) as cusip, b.shares as previous_shares, a.shares as current_shares,
+@query("x5_holdings_change", f"""with {HOLD_SQL}, days as (select report_period as day, lag(report_period) over (order by report_period) as before from (select distinct report_period from hold)),
+k as (select manager_cik, cusip, day, before from hold join days on report_period = day where before is not null
+  union select manager_cik, cusip, day, before from hold join days on report_period = before)
+select k.manager_cik, k.cusip, k.day as report_period, b.shares as previous_shares, a.shares as current_shares,
   case when b.shares is null then 'new' when a.shares is null then 'sold_out' when a.shares > b.shares then 'increased'
        when a.shares < b.shares then 'decreased' else 'unchanged' end as change,
   (a.shares - b.shares) / nullif(b.shares, 0) * 100 as change_pct
-from a full join b on a.manager_cik = b.manager_cik and a.cusip = b.cusip""")
+from k left join hold a on a.manager_cik = k.manager_cik and a.cusip = k.cusip and a.report_period = k.day
+left join hold b on b.manager_cik = k.manager_cik and b.cusip = k.cusip and b.report_period = k.before""")
 def x5(spark, d):
+    """All consecutive quarters: the earlier side carries the day of the next one."""
     h = FL.holdings_rows(holdings(spark, d), limit=None)
-    now = h.where(c("report_period") == F.lit("1998-06-30").cast("date"))
-    return FL.holdings_change(now, h.where(c("report_period") == F.lit("1998-03-31").cast("date")))
+    days = h.select("report_period").distinct().select("report_period", F.lead("report_period").over(W.orderBy("report_period")).alias("next"))
+    first = days.agg(F.min("report_period")).withColumnRenamed("min(report_period)", "first")
+    now = h.join(first, c("report_period") > c("first")).drop("first")
+    before = h.join(days, "report_period").where(c("next").isNotNull()).withColumn("report_period", c("next")).drop("next")
+    return FL.holdings_change(now, before, ("manager_cik", "report_period", "cusip"))
 
 
 @query("a19_provenance", f"""with {FILINGS_SQL} select count(*) as row_count, max(filing_date) as latest_filing_date,

@@ -9,6 +9,7 @@ from tallyfold.functions import columns as K
 from tallyfold.operators import facts as X
 from tallyfold.operators import ratio_ops as RO
 from tallyfold.operators import ttm as T
+from tallyfold.plans import jobs
 from tallyfold.plans import mapping as MP
 from tallyfold.plans import oracle_base as O
 from tallyfold.plans.series_queries import lst, ttm_sql
@@ -293,14 +294,15 @@ def j2(spark, d):
 
 
 @query("s11_ledger_merge", f"""with {FILINGS_SQL}
-select accession_number, ticker, form_type, filing_date,
-  case when status = 'F' then 0 else 1 end as batch from filings where status in ('F', 'P')""")
+select accession_number, ticker, form_type, filing_date from filings where status in ('F', 'P')""")
 def s11(spark, d):
-    old = filings(spark, d).where("status = 'F'").withColumn("batch", F.lit(0))
-    new = filings(spark, d).where("status in ('F', 'P')").withColumn("batch", F.lit(1))
-    return X.keep_first(old.unionByName(new), ["batch"], ["accession_number"]).join(
-        old.select("accession_number", F.lit(0).alias("b")), "accession_number", "left"
-    ).select("accession_number", "ticker", "form_type", "filing_date", F.coalesce("b", F.lit(1)).alias("batch"))
+    """Insert or ignore: what is in the ledger already stays as it is."""
+    rows = filings(spark, d).withColumnRenamed("filing_date", "filed_date").withColumn("filed_date", c("filed_date").cast("string"))
+    book = ST.Ledger(spark, jobs.work_folder(spark))
+    book.mark(rows.where("status = 'F'"))
+    again = rows.where("status = 'F'").withColumn("form_type", F.lit("changed"))
+    book.mark(again.unionByName(rows.where("status = 'P'")))
+    return book.read().select("accession_number", "ticker", "form_type", c("filed_date").cast("date").alias("filing_date"))
 
 
 UPSERT = ["revenue", "net_income", "capex"]
@@ -331,13 +333,17 @@ def s9(spark, d):
         "ticker", "period_type", "period_end", "value")
 
 
-@query("s12_company_state", f"""with {FILINGS_SQL} select ticker, max(cik) as cik, max(filing_date) as last_extracted,
-  arg_max(form_type, accession_number) filter (filing_date = m) as extraction_type from (
-    select *, max(filing_date) over (partition by ticker) as m from filings) group by ticker""")
+@query("s12_company_state", f"""with {FILINGS_SQL}, s as (select ticker, min(cik) as cik, bool_or(status = 'P') as again, bool_or(status = 'F') as first,
+  ticker in (select ticker from filings where cik = '1') as gone from filings group by ticker)
+select ticker, cik, case when again then 'fast_path' else 'slow_path' end as extraction_type from s where (first or again) and not gone""")
 def s12(spark, d):
-    log = filings(spark, d).select("ticker", "cik", c("filing_date").alias("last_extracted"),
-                                   c("form_type").alias("extraction_type"), "accession_number")
-    return ST.newest_per_key(log, ["ticker"], ["last_extracted", "accession_number"]).drop("accession_number")
+    """Two rounds of updates, the newer one wins; one company is deleted."""
+    rows = filings(spark, d)
+    state = ST.CompanyState(spark, jobs.work_folder(spark))
+    state.update(rows.where("status = 'F'"), "slow_path")
+    state.update(rows.where("status = 'P'"), "fast_path")
+    state.delete(["c1"])
+    return state.read().select("ticker", "cik", "extraction_type")
 
 
 RAW_SIGNS = ["capex", "cash", "income_tax_expense", "revenue", "dividends_paid"]

@@ -21,7 +21,7 @@ from tallyfold.plans.ingest_queries import (
 from tallyfold.plans.reconcile_queries import CUR_SQL, _curation, points, vendor
 from tallyfold.plans.series_queries import has, lst, ttm_sql
 from tallyfold.sources import readers as RD
-from tallyfold.sources.store import Ledger, MetricStore
+from tallyfold.sources.store import CompanyState, Ledger, MetricStore
 from tallyfold.streaming import ingest as IN
 
 c = F.col
@@ -76,12 +76,32 @@ def p8(spark, d):
     return MP.table(spark, d, "orders").groupBy("o_orderstatus", K.iso_day(text).alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("p11_form_and_ticker_scope", f"""with {FILINGS_SQL} select 'C' || cast(cast(cik as bigint) as varchar) as ticker, accession_number, form_type
-from filings where form_type in ({lst(M.TARGET_FORMS)}) and cik in ('1', '2', '3', '5', '8')""")
+DEFAULTS = ", ".join(f"({i + 1}, '{t}')" for i, t in enumerate(IN.DEFAULT_SCOPE))
+
+
+@query("p11_form_and_ticker_scope", f"""with {FILINGS_SQL}, d(k, t) as (values {DEFAULTS}),
+f as (select coalesce(t, 'C' || cast(cast(cik as bigint) as varchar)) as ticker, accession_number, form_type from filings left join d on k = cast(cik as bigint)
+  where form_type in ({lst(M.TARGET_FORMS)}))
+select 'ALL' as mode, * from f union all select 'unset', * from f where ticker in ({lst(IN.DEFAULT_SCOPE)})
+union all select 'list', * from f where ticker in ('C11', 'C12', 'C13', 'AAPL')""")
 def p11(spark, d):
     rows = filings(spark, d).drop("ticker").withColumnRenamed("form_type", "form")
-    ref = MP.table(spark, d, "customer").select(c("c_custkey").alias("cik"), F.concat(F.lit("C"), "c_custkey").alias("ticker"))
-    return IN.in_scope(rows, ref, ["c1", " C2", "C3", "c5 ", "C8", ""]).select("ticker", "accession_number", c("form").alias("form_type"))
+    ref = MP.table(spark, d, "customer").select(c("c_custkey").alias("cik"), F.coalesce(
+        F.get(F.array(*[F.lit(t) for t in IN.DEFAULT_SCOPE]), c("c_custkey").cast("int") - 1), F.concat(F.lit("C"), "c_custkey")).alias("ticker"))
+    modes = {"ALL": " all ", "unset": None, "list": "c11, C12,C13 ,aapl,,"}
+    parts = [IN.in_scope(rows, ref, IN.ticker_scope(v)).select(F.lit(k).alias("mode"), "ticker", "accession_number", c("form").alias("form_type")) for k, v in modes.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("s5_share_classes", f"""with {FILINGS_SQL}, ref as (select c_custkey, unnest(['A' || c_custkey, 'B' || c_custkey]) as tk from customer where c_acctbal > 0)
+select accession_number, tk as ticker, max(tk) over (partition by accession_number) as one from filings join ref on cast(cik as bigint) = c_custkey""")
+def s5c(spark, d):
+    """Every ticker of a company in the slow path, one in the fast path."""
+    ref = MP.table(spark, d, "customer").where("c_acctbal > 0").select(
+        c("c_custkey").alias("cik"), F.explode(F.array(F.concat(F.lit("A"), "c_custkey"), F.concat(F.lit("B"), "c_custkey"))).alias("ticker"))
+    rows = filings(spark, d).drop("ticker").select("cik", "accession_number")
+    one = RD.with_ticker(rows, ref, one=True).select("accession_number", c("ticker").alias("one"))
+    return RD.with_ticker(rows, ref).join(one, "accession_number").select("accession_number", "ticker", "one")
 
 
 @query("p13_open_date_ranges", f"""with {FILINGS_SQL} select form_type, count(*) filter (filing_date >= date '1998-01-01') as since,
@@ -251,12 +271,32 @@ def s16(spark, d):
 
 # ------------------------------------------------------------ stores and streams
 
-@query("s13_empty_store", "select count(*) > 0 as before, count(*) = 0 as after from lineitem")
+@query("s13_empty_store", f"""with {O.metrics(["revenue"])}, q as (select ticker, metric_type, period_end, value from metrics where period_type = 'quarterly')
+select true as empty_before, false as empty_after, * from q""")
 def s13(spark, d):
+    """An empty store reads as no rows; what is written to it is read back."""
     store = MetricStore(spark, jobs.work_folder(spark))
     before = store.is_empty()
     store.upsert(MP.metrics(spark, d, ["revenue"], ("quarterly",)))
-    return MP.lines(spark, d).agg(F.lit(before).alias("before"), F.lit(store.is_empty()).alias("after"))
+    return store.read().select(F.lit(before).alias("empty_before"), F.lit(store.is_empty()).alias("empty_after"), "ticker", "metric_type", "period_end", "value")
+
+
+@query("s10_targeted_rerun", f"""with {EXTRACT}, w as (select ticker, metric_type, period_type, period_end, value from done where ticker <> 'S3')
+select 'row' as kind, ticker, metric_type, period_type, period_end, value from w
+union all select 'deleted', ticker, '', '', null, count(*) from done where ticker in ('S2', 'S3') group by ticker
+union all select 'written', t, '', '', null, (select count(*) from w where ticker = t) from (values ('S2'), ('S3')) v(t)""")
+def s10(spark, d):
+    """Two companies are extracted again from facts that no longer hold one of them."""
+    base = jobs.work_folder(spark)
+    store, state = MetricStore(spark, f"{base}/store"), CompanyState(spark, f"{base}/state")
+    facts = MP.facts(spark, d)
+    jobs.refresh_companies(store, state, facts)
+    counts = jobs.rerun_companies(store, state, facts.where(c("ticker") != "S3"), ["s2", "S3"])
+    blank = [F.lit("").alias("metric_type"), F.lit("").alias("period_type"), F.lit(None).cast("date").alias("period_end")]
+    rows = store.read().select(F.lit("row").alias("kind"), "ticker", "metric_type", "period_type", "period_end", "value")
+    for kind in ("deleted", "written"):
+        rows = rows.unionByName(counts.select(F.lit(kind).alias("kind"), "ticker", *blank, c(f"{kind}_rows").cast("double").alias("value")))
+    return rows
 
 
 @query("s8_store_roundtrip", f"""with {O.metrics(["revenue", "capex"])} select ticker, metric_type, period_type, period_end,
@@ -311,13 +351,37 @@ def r4(spark, d):
     return job.store.read().select("ticker", "metric_type", "period_type", "period_end", "value", "accession")
 
 
-@query("r2_stream_unique_filings", "select lpad(cast(o_orderkey as varchar), 10, '0') as accession_number, o_orderpriority as form from orders")
+R3_SQL = f"""{FAST}, years as (select *, cast(split_part(accession, '-', 2) as integer) as y from done),
+landed as (select ticker, metric_type, period_type, period_end, value, accession, y, 1 as b from years where y % 2 = 0
+  union all select ticker, metric_type, period_type, period_end, value, accession || 'A', y, 2 from years where y % 4 = 0
+  union all select ticker, metric_type, period_type, period_end, value, accession, y, 3 from years where y % 2 = 1)"""
+
+
+@query("r3_late_amendments", f"""with {R3_SQL} select ticker, metric_type, period_type, period_end, value, accession from (
+  select *, row_number() over (partition by ticker, metric_type, period_type, period_end order by b desc, y desc, accession desc) as n from landed) where n = 1""")
+def r3(spark, d):
+    """Even years first, then amendments, then the odd years late and through a stream with a checkpoint of its own."""
+    base = jobs.work_folder(spark)
+    rows = filing_facts(spark, d).withColumn("filing_date", F.format_string("%d-06-30", "fiscal_year"))
+    rows = rows.select(*[f.name for f in M.FILING_FACTS_SCHEMA])
+    amended = rows.withColumns({"accession": F.concat("accession", F.lit("A")), "filing_date": F.format_string("%d-09-30", "fiscal_year")})
+    job = IN.FilingIngest(MetricStore(spark, f"{base}/store"), Ledger(spark, f"{base}/ledger"), _reference(spark, d))
+    parts = [(rows.where("fiscal_year % 2 = 0"), "a"), (amended.where("fiscal_year % 4 = 0"), "a"), (rows.where("fiscal_year % 2 = 1"), "b")]
+    for part, checkpoint in parts:
+        part.write.mode("append").parquet(f"{base}/landing")
+        job.start(IN.filing_fact_stream(spark, f"{base}/landing"), f"{base}/checkpoint-{checkpoint}").awaitTermination()
+    return job.store.read().select("ticker", "metric_type", "period_type", "period_end", "value", "accession")
+
+
+@query("r2_stream_unique_filings", "select lpad(cast(o_orderkey as varchar), 10, '0') as accession_number, o_orderpriority as form_type from orders")
 def r2(spark, d):
-    """Orders as a stream of filings, each offered twice."""
+    """Orders as a stream of filings, each offered twice, against the ledger."""
     schema = MP.table(spark, d, "orders").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
     twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).select(
-        F.lpad(c("o_orderkey").cast("string"), 10, "0").alias("accession_number"), c("o_orderpriority").alias("form"), c("o_orderdate").cast("timestamp").alias("filed_at"))
+        F.lpad(c("o_orderkey").cast("string"), 10, "0").alias("accession_number"), F.concat(F.lit("C"), "o_custkey").alias("ticker"),
+        c("o_orderpriority").alias("form_type"), c("o_orderdate").cast("date").cast("string").alias("filed_date"))
     base = jobs.work_folder(spark)
-    IN.drain_to_parquet(IN.unique_filings(twice, delay="4000 days"), f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out").select("accession_number", "form")
+    ledger = Ledger(spark, f"{base}/ledger")
+    IN.mark_unique(ledger, twice, f"{base}/checkpoint").awaitTermination()
+    return ledger.read().select("accession_number", "form_type")

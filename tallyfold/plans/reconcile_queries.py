@@ -341,18 +341,32 @@ def p16(spark, d):
     return requests(spark, d).select(F.trim("requested").alias("requested")).distinct().withColumn("word", K.ticker_key(c("requested")))
 
 
+CLOSE = """select word, ticker, 1 - levenshtein(word, ticker) / greatest(length(word), length(ticker)) as score from {words}, {names}
+  where word <> '' and 1 - levenshtein(word, ticker) / greatest(length(word), length(ticker)) >= 0.6 - 1e-9"""
+
+
 @query("p17_resolve_tickers", f"""with {REQ_SQL},
-m as (select requested, word, count(t.ticker) as n, min(t.ticker) as one, bool_or(t.ticker = word) as exact from req left join tick t on starts_with(t.ticker, word) group by all)
-select requested, case when exact then word when n = 1 then one else word end as resolved, coalesce(exact, false) as exact from m""")
+m as (select requested, word, count(t.ticker) as n, min(t.ticker) as one, bool_or(t.ticker = word) as exact,
+  array_to_string(list_sort(list(t.ticker) filter (t.ticker is not null))[1:5], ',') as prefixed from req left join tick t on starts_with(t.ticker, word) group by all),
+s as ({CLOSE.format(words="(select distinct word from m where n = 0)", names="tick")}),
+k as (select word, string_agg(ticker, ',' order by score desc, ticker desc) as close from (
+  select *, row_number() over (partition by word order by score desc, ticker desc) as rn from s) where rn <= 5 group by word)
+select requested, case when exact then word when n = 1 then one else word end as resolved, coalesce(exact, false) as exact,
+  case when exact then word when n > 0 then prefixed else coalesce(close, '') end as candidates from m left join k using (word)""")
 def p17(spark, d):
-    return SE.resolve_tickers(requests(spark, d), ticker_universe(spark, d)).select("requested", "resolved", "exact")
+    return SE.resolve_tickers(requests(spark, d), ticker_universe(spark, d)).select(
+        "requested", "resolved", "exact", F.concat_ws(",", "candidates").alias("candidates"))
 
 
-@query("p17_close_matches")
+@query("p17_close_matches", f"""with w as (select upper(n_name) as word from nation),
+t as (select 'NATION-' || s_nationkey as ticker from supplier union select upper(replace(p_brand, '#', '')) from part union select upper(substr(n_name, 1, 5)) || 'E' from nation),
+s as ({CLOSE.format(words="w", names="t")})
+select word, ticker, score, rank from (select *, row_number() over (partition by word order by score desc, ticker desc) as rank from s) where rank <= 5""")
 def p17c(spark, d):
     words = MP.table(spark, d, "nation").select(F.upper("n_name").alias("word"))
     names = MP.table(spark, d, "supplier").select(F.concat(F.lit("NATION-"), "s_nationkey").alias("ticker")).unionByName(
-        MP.table(spark, d, "part").select(F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("ticker")))
+        MP.table(spark, d, "part").select(F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("ticker"))).unionByName(
+        MP.table(spark, d, "nation").select(F.concat(F.upper(F.substring("n_name", 1, 5)), F.lit("E")).alias("ticker")))
     return SE.close_matches(words, names.distinct())
 
 

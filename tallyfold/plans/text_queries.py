@@ -132,9 +132,26 @@ def t5p(spark, d):
     return section_pairs(spark, d)
 
 
-@query("t5_compare_sections")
+T5_SQL = rf"""{S_SQL}, pr as (select accession_number as a, lag(accession_number) over (partition by cik, form_type order by filing_date, accession_number) as b from txt),
+bl as (select accession_number as acc, pos, trim({SP.format('b')}) as b from (
+  select accession_number, unnest(l) as b, unnest(range(1, len(l) + 1)) as pos from (
+    select accession_number, regexp_split_to_array(content, '\n\s*\n') as l from ss where item_code = '7')) where trim({SP.format('b')}) <> ''),
+nb as (select *, row_number() over (partition by acc, b order by pos) as k from bl),
+pa as (select a, p.b as old from pr p join ss x on x.accession_number = p.a and x.item_code = '7' join ss y on y.accession_number = p.b and y.item_code = '7'),
+n1 as (select pa.a, pa.old, nb.b, nb.k, nb.pos from pa join nb on nb.acc = pa.a), o1 as (select pa.a, pa.old, nb.b, nb.k, nb.pos from pa join nb on nb.acc = pa.old),
+x as (select coalesce(n1.a, o1.a) as a, coalesce(n1.old, o1.old) as old, n1.pos as np, o1.pos as op, coalesce(n1.b, o1.b) as b
+  from n1 full join o1 on n1.a = o1.a and n1.old = o1.old and n1.b = o1.b and n1.k = o1.k),
+y as (select a, old, count(np) as n, count(op) as o, count(*) filter (op is null) as only_n, count(*) filter (np is null) as only_o,
+  string_agg(case when op is null then b end, '|' order by np) as now_text, string_agg(case when np is null then b end, '|' order by op) as old_text from x group by all)"""
+
+
+@query("t5_compare_sections", f"""with {T5_SQL} select a as accession_number, old as previous_accession, round((n + o - only_n - only_o) / (n + o), 6) as similarity_ratio,
+  only_n as current_only_count, only_o as previous_only_count, md5(coalesce(now_text, '')) as now_md5, md5(coalesce(old_text, '')) as old_md5 from y""")
 def t5(spark, d):
-    return X.compare_sections(section_pairs(spark, d), texts(spark, d), "7")
+    """All changed blocks, whole: no limit of changes or characters."""
+    rows = X.compare_sections(section_pairs(spark, d), texts(spark, d), "7", max_changes=1 << 30, excerpt_chars=1 << 30)
+    return rows.select("accession_number", "previous_accession", "similarity_ratio", "current_only_count", "previous_only_count",
+                       F.md5(F.concat_ws("|", "current_only_excerpts")).alias("now_md5"), F.md5(F.concat_ws("|", "previous_only_excerpts")).alias("old_md5"))
 
 
 LN = "list_filter(list_transform(string_split(raw, chr(10)), lambda x: trim(x)), lambda x: x <> '')"

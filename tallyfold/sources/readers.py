@@ -23,8 +23,8 @@ _corrupt_record string
 def companyfacts(spark: SparkSession, path: str, tickers: DataFrame | None = None) -> DataFrame:
     """Bulk company-facts JSON, one file per company, as fact rows.
 
-    A file that does not parse is left out (its ``_corrupt_record`` is set)
-    instead of failing the job. ``tickers`` is (cik, ticker).
+    A file that does not parse is left out instead of failing the job;
+    :func:`rejected_files` names those. ``tickers`` is (cik, ticker).
     """
     raw = (
         spark.read.schema(COMPANYFACTS_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
@@ -45,11 +45,26 @@ def companyfacts(spark: SparkSession, path: str, tickers: DataFrame | None = Non
     return rows if tickers is None else with_ticker(rows, tickers)
 
 
-def with_ticker(rows: DataFrame, tickers: DataFrame) -> DataFrame:
-    """Inner join with the CIK-to-ticker reference on the number, whatever the padding."""
-    ref = tickers.select(c("cik").cast("long").alias("__cik"), "ticker").dropDuplicates(["__cik", "ticker"])
-    one = ref.groupBy("__cik").agg(F.min("ticker").alias("ticker"))
-    return rows.withColumn("__cik", c("cik").cast("long")).join(one, "__cik").drop("__cik")
+def rejected_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` and ``size`` of each company-facts file that :func:`companyfacts` leaves out."""
+    raw = spark.read.schema(COMPANYFACTS_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return raw.where(c("_corrupt_record").isNotNull()).select(
+        F.input_file_name().alias("file"), F.octet_length("_corrupt_record").alias("size"))
+
+
+def with_ticker(rows: DataFrame, tickers: DataFrame, one: bool = False) -> DataFrame:
+    """Inner join with the CIK-to-ticker reference on the number, whatever the padding.
+
+    Every ticker of a company gets its rows. With ``one`` a company has one
+    ticker, the last of the reference by ``position`` if it has that column,
+    else by name.
+    """
+    if one:
+        last = F.max_by("ticker", F.struct("position", "ticker")) if "position" in tickers.columns else F.max("ticker")
+        ref = tickers.groupBy(c("cik").cast("long").alias("__cik")).agg(last.alias("ticker"))
+    else:
+        ref = tickers.select(c("cik").cast("long").alias("__cik"), "ticker").distinct()
+    return rows.withColumn("__cik", c("cik").cast("long")).join(ref, "__cik").drop("__cik")
 
 
 def filing_facts(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:

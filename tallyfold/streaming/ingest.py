@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,25 @@ from tallyfold.sources.store import Ledger, MetricStore, newest_per_key, ticker_
 c = F.col
 
 
+# The tickers in scope where none are named.
+DEFAULT_SCOPE = ["AAPL", "NVDA", "UNH", "WMT", "XOM", "MSFT", "AMZN", "GOOGL", "META", "TSLA"]
+
+
+def ticker_scope(value: str | None) -> list[str] | None:
+    """A scope setting: unset or empty is the default list, ``ALL`` is None (no limit), else a comma-separated list."""
+    text = (value or "").strip()
+    if not text:
+        return list(DEFAULT_SCOPE)
+    return None if text.upper() == "ALL" else ticker_list(text.split(","))
+
+
 def in_scope(filings: DataFrame, tickers: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Filings of the target forms with a known ticker, optionally of a ticker list only.
+    """Filings of the target forms with a known ticker, one per company, optionally of a ticker list only.
 
     A filing with an unknown CIK is left out and thus stays unmarked, so it is
     retried once the reference is refreshed.
     """
-    rows = with_ticker(filings.where(c("form").isin(M.TARGET_FORMS)), tickers)
+    rows = with_ticker(filings.where(c("form").isin(M.TARGET_FORMS)), tickers, one=True)
     return rows if scope is None else rows.where(c("ticker").isin(ticker_list(scope)))
 
 
@@ -65,11 +78,23 @@ class FilingIngest:
         return count
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True):
-        """Run the batch step on every micro-batch of a stream of filing facts."""
-        writer = stream.writeStream.foreachBatch(
-            lambda df, epoch: self.run_batch(df, f"s{epoch:012d}") and None
-        ).option("checkpointLocation", checkpoint)
-        return (writer.trigger(availableNow=True) if available_now else writer).start()
+        """Run the batch step on every micro-batch of a stream of filing facts.
+
+        The batch id holds the query's id, which its checkpoint keeps: a retried
+        batch overwrites its own folders, and a stream with another checkpoint,
+        whose epochs start at 0 again, never touches them.
+        """
+        started, name = threading.Event(), []
+
+        def step(df: DataFrame, epoch: int) -> None:
+            started.wait()
+            self.run_batch(df, f"q{name[0]}-{epoch:012d}")
+
+        writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        query = (writer.trigger(availableNow=True) if available_now else writer).start()
+        name.append(query.id)
+        started.set()
+        return query
 
 
 def filing_fact_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -79,8 +104,29 @@ def filing_fact_stream(spark: SparkSession, path: str, files_per_batch: int | No
     return reader.parquet(path)
 
 
+def mark_unique(ledger: Ledger, stream: DataFrame, checkpoint: str):
+    """Put each filing of a stream (accession_number, ticker, form_type, filed_date) into the ledger once, however late it comes.
+
+    The ledger itself is the state, so none is held in memory and no row is
+    ever too late.
+    """
+    started, name = threading.Event(), []
+
+    def step(df: DataFrame, epoch: int) -> None:
+        started.wait()
+        ledger.mark(df, f"q{name[0]}-{epoch:012d}")
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    name.append(query.id)
+    started.set()
+    return query
+
+
 def unique_filings(filings: DataFrame, time_col: str = "filed_at", delay: str = "30 days") -> DataFrame:
-    """Stream of filings with each accession once within the watermark delay."""
+    """Stream of filings with each accession once within the watermark delay.
+
+    For feeds whose lateness is bounded; :func:`mark_unique` has no bound.
+    """
     return filings.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["accession_number"])
 
 

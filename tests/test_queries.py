@@ -1,6 +1,6 @@
 """Registered queries against their SQL counterparts in DuckDB.
 
-By default one or two queries per family run; TALLYFOLD_ALL_QUERIES=1 runs all.
+All of the library's own queries run; those of the training-data subpackage have tests of their own.
 """
 
 import os
@@ -9,14 +9,12 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
+from tallyfold.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = [
-    "flagship_ttm_net_margin", "s2_slow_path", "d2_fast_path", "d11_ttm_ratios", "d10_ratios_annual", "w7_growth_quarterly",
-    "d14_quarterly_detail", "a14_sales_by_insider_name", "a15_events_by_item_code", "a18_holdings_concentration", "j9_prior_comparable",
-    "t1_sections", "t4_search", "j8_merged_sources", "r1_stream_ingest", "p17_resolve_tickers", "x7_ripple",
-]
-NAMES = list(entry.oracle_sql()) if os.environ.get("TALLYFOLD_ALL_QUERIES") else SAMPLE
+
+
+NAMES = list(catalog.oracles())
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
@@ -32,7 +30,7 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"t5_compare_sections", "p17_close_matches"}
+    assert set(catalog.queries()) == set(catalog.oracles())
 
 
 def test_entry_runs(spark):
