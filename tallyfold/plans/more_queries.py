@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyfold import model as M
 from tallyfold.functions import columns as K
+from tallyfold.operators import bundles as BU
 from tallyfold.operators import facts as X
 from tallyfold.operators import filings as FL
 from tallyfold.operators import reconcile as RC
@@ -19,6 +20,7 @@ from tallyfold.plans.filing_queries import EV_SQL, HOLD_SQL, TX_SQL, events, for
 from tallyfold.plans.ingest_queries import (
     COMPANY, EXTRACT, FAST, FILINGS_SQL, FLOW, MAPPED, filing_facts, filings)
 from tallyfold.plans.reconcile_queries import CUR_SQL, _curation, points, vendor
+from tallyfold.plans import series_queries as SQ
 from tallyfold.plans.series_queries import has, lst, ttm_sql
 from tallyfold.sources import readers as RD
 from tallyfold.sources.store import CompanyState, Ledger, MetricStore
@@ -154,22 +156,66 @@ def u1(spark, d):
 
 # ------------------------------------------------------------ views
 
-def _bundle_sql(names, period_type):
-    return f"""with {O.metrics()}, {ttm_sql()},
-p as (select ticker, cast(period_end as varchar) as period, metric_type, value from metrics where period_type = '{period_type}' and metric_type in ({lst(names)})),
-t as (select ticker, 'TTM' as period, metric_type, value from (unpivot (select ticker, {', '.join(has(names))} from ttm) on {', '.join(has(names))} into name metric_type value value))
-select ticker, period, metric_type, value from p union all select * from t"""
+def _long(part: str, sql: str, names: list[str], period: str = "cast(period_end as varchar)") -> str:
+    """Columns ``names`` of a query as rows of a bundle."""
+    cols = ", ".join(names)
+    return f"select ticker, '{part}' as part, {period} as period, name, value from (unpivot (select ticker, {'period_end, ' if 'period_end' in period else ''}{cols} from ({sql})) on {cols} into name name value value)"
 
 
-def _bundle(spark, d, names, period_type):
-    m = MP.metrics(spark, d)
-    rows = S.timeseries(m, names, period_type).select("ticker", c("period_end").cast("string").alias("period"), "metric_type", "value")
-    ttm = T.ttm_long(T.ttm_wide(m), has(names)).select("ticker", F.lit("TTM").alias("period"), "metric_type", "value")
-    return rows.unionByName(ttm)
+def _series_sql(part: str, names: list[str], period_type: str) -> str:
+    return f"""select ticker, '{part}' as part, cast(period_end as varchar) as period, metric_type as name, value from (
+  with {O.metrics(has(names))} select * from metrics where period_type = '{period_type}') where value is not null"""
 
 
-query("d21_income_bundle", _bundle_sql(M.INCOME_METRICS, "annual"))(lambda spark, d: _bundle(spark, d, M.INCOME_METRICS, "annual"))
-query("d21_balance_bundle", _bundle_sql(M.BALANCE_METRICS, "quarterly"))(lambda spark, d: _bundle(spark, d, M.BALANCE_METRICS, "quarterly"))
+def _ttm_rows(names: list[str]) -> str:
+    return _long("ttm", f"with {O.metrics()}, {ttm_sql()} select * from ttm", [n for n in has(names) if n in T.OUTPUT], "'TTM'")
+
+
+def _ratio_rows(part: str, key: str, period: str = "cast(period_end as varchar)") -> str:
+    return f"select ticker, '{part}' as part, {period} as period, ratio_name as name, value from ({SQ.ORACLES[key]}) where value is not null"
+
+
+def _all(*parts: str) -> str:
+    return " union all ".join(f"select * from ({p})" for p in parts)
+
+
+def _growth_rows(names: list[str], period_type: str) -> str:
+    return _long("growth", SQ._growth_sql(has(names), period_type, 4 if period_type == "quarterly" else 1), has(names))
+
+
+BUNDLE_SQL = {
+    "income": _all(_series_sql("series", M.INCOME_METRICS, "annual"), _ttm_rows(M.INCOME_METRICS)),
+    "balance": _all(_series_sql("series", M.BALANCE_METRICS, "annual"), _ttm_rows(M.BALANCE_METRICS)),
+    "cashflow": _all(_long("series", SQ.CF_SQL.replace("@type", "annual") + " select * from cf", SQ.CF), _ttm_rows(M.CASHFLOW_METRICS)),
+    "growth": _all(_growth_rows(M.GROWTH_METRICS, "annual"), _series_sql("margins", M.GROWTH_METRICS, "annual"), _series_sql("earnings_quality", BU.EARNINGS_QUALITY, "annual")),
+    "kpi": _all(f"select ticker, 'summary' as part, cast(period_end as varchar) as period, metric_type as name, value from ({SQ.ORACLES['w1_latest_values']}) where value is not null",
+                _growth_rows(M.KEY_METRICS, "annual"), _ttm_rows(M.KEY_METRICS)),
+    "ratios": _all(_ratio_rows("latest", "w9_latest_ratios"), _ratio_rows("series", "d10_ratios_annual"), _ratio_rows("ttm", "d11_ttm_ratios", "'TTM'")),
+    "health": _all(_ratio_rows("latest", "w9_latest_ratios"), _ratio_rows("ttm", "d11_ttm_ratios", "'TTM'"), _growth_rows(["revenue"], "annual")),
+}
+for _name, _rows in BU.BUNDLES.items():
+    query(f"d21_{_name}_bundle", BUNDLE_SQL[_name])(lambda spark, d, rows=_rows: rows(MP.metrics(spark, d)))
+
+Q_NAMES = ["revenue", "net_income", "interest_expense"]
+
+
+@query("j14_quarterly_and_ttm", _all(
+    f"""select ticker, 'quarter' as part, cast(period_end as varchar) as period, metric_type as name, value from (with {O.metrics(Q_NAMES)}
+  select * from metrics where period_type = 'quarterly' qualify row_number() over (partition by ticker, metric_type order by period_end desc) <= 8)""",
+    _long("margin", SQ.ORACLES["d15_quarterly_margins"], ["gross_margin", "operating_margin", "net_margin"]), _ttm_rows(Q_NAMES)))
+def j14q(spark, d):
+    return BU.quarterly_and_ttm(MP.metrics(spark, d), Q_NAMES)
+
+
+@query("j14_events_with_cash_flow", f"""with ev as (select 'S' || substr(ticker, 2) as ticker, accession_number, filing_date, item_code from (with {EV_SQL} select * from ev)),
+flows as (select ticker, period_end, operating_cash_flow as o, free_cash_flow as f from ({SQ.CF_SQL.replace('@type', 'annual')} select * from cf)),
+top as (select ticker, max(period_end) as latest_period, arg_max(f, period_end) as latest_free_cash_flow from flows group by ticker)
+select ev.ticker, ev.filing_date, ev.accession_number, ev.item_code, k.period_end as known_period, k.o as known_operating_cash_flow,
+  k.f as known_free_cash_flow, latest_period, latest_free_cash_flow
+from ev asof left join flows k on ev.ticker = k.ticker and ev.filing_date >= k.period_end left join top on top.ticker = ev.ticker""")
+def j14e(spark, d):
+    ev = events(spark, d).withColumn("ticker", F.concat(F.lit("S"), F.substring("ticker", 2, 20)))
+    return BU.events_with_cash_flow(ev, MP.metrics(spark, d, SQ.CF))
 
 
 @query("j5_recent_periods", f"""with {O.metrics(["revenue", "interest_expense"])}, r as (select ticker, period_end from (select *, row_number() over (
