@@ -281,7 +281,3 @@ def metric_text(value: Column, fmt: Column) -> Column:
         .when(fmt == "number", F.call_function("format_number", value, F.lit("#,##0.##")))
         .otherwise(F.concat(sign, F.format_number(F.abs(value) / 1e6, 0)))
     )
-
-
-def any_of(preds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, preds)

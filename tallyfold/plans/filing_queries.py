@@ -126,7 +126,7 @@ ITEM_OF = {"click": "Item 7.01", "view": "Item 8 . 01", "purchase": "Item 2.02",
 EV_SQL = """ev as (select 'U' || user_id as ticker, lpad(cast(event_id as varchar), 10, '0') as accession_number,
   case when value > 60 then '8-K/A' else '8-K' end as form_type, cast(ts as date) as filing_date,
   cast(ts as date) - cast(round(value * 100) as integer) % 3 as date_of_report, event_type as content_type, value > 20 as has_press_release,
-  i.item, i.code as item_code, coalesce('Item ' || i.code, i.item) as item_label, i.tx as summary, coalesce(length(i.tx), 0) as text_length
+  i.item, i.code as item_code, coalesce('Item ' || i.code, i.item) as item_label, i.tx as summary, coalesce(length(i.tx), 0) + case when i.item = 'Item 9.01' then 2 else 0 end as text_length
   from events, lateral (select unnest([
     {'item': case event_type when 'click' then 'Item 7.01' when 'view' then 'Item 8 . 01' when 'purchase' then 'Item 2.02'
              when 'signup' then 'Item 5.02 Departure of an officer' else 'Other' end,
@@ -156,9 +156,9 @@ EV_COLS = ["ticker", "accession_number", "form_type", "filing_date", "date_of_re
            "content_type", "summary", "text_length", "has_press_release"]
 
 
-@query("f2_material_events", f"with {EV_SQL} select {', '.join(x for x in EV_COLS if x != 'text_length')} from ev")
+@query("f2_material_events", f"with {EV_SQL} select {', '.join(EV_COLS)} from ev")
 def f2(spark, d):
-    return events(spark, d).select(*[x for x in EV_COLS if x != "text_length"])
+    return events(spark, d).select(*EV_COLS)
 
 
 @query("f2_events_of_items", f"with {EV_SQL} select ticker, accession_number, item_code from ev where item_code in ('5.02', '9.01')")

@@ -351,12 +351,12 @@ RAW_SIGNS = ["capex", "cash", "income_tax_expense", "revenue", "dividends_paid"]
 
 def _unsigned(spark, d):
     # stored by an older writer: outflows positive, one balance negative
-    m = MP.metrics(spark, d, RAW_SIGNS, ("quarterly",))
+    m = MP.metrics(spark, d, RAW_SIGNS)
     return m.withColumn("value", F.when(c("metric_type").isin("cash", "capex"), -c("value")).otherwise(c("value")))
 
 
 @query("s14_sign_report", f"""with {O.metrics(RAW_SIGNS)},
-u as (select metric_type, case when metric_type in ('cash', 'capex') then -value else value end as v from metrics where period_type = 'quarterly')
+u as (select metric_type, case when metric_type in ('cash', 'capex') then -value else value end as v from metrics)
 select case metric_type when 'capex' then 'negative_magnitude' when 'cash' then 'positive_magnitude' else 'sign_flip' end as rule,
   metric_type, count(*) as rows_changed from u where metric_type in ('capex', 'cash') and v <> 0 or metric_type = 'income_tax_expense' and v <> 0 group by all""")
 def s14(spark, d):
@@ -364,10 +364,10 @@ def s14(spark, d):
 
 
 @query("p9_signs_fixed", f"""with {O.metrics(RAW_SIGNS)}
-select ticker, metric_type, period_end, case when metric_type = 'income_tax_expense' then 0.0::double - value else value end + 0.0::double as value
-from metrics where period_type = 'quarterly'""")
+select ticker, metric_type, period_type, period_end, case when metric_type = 'income_tax_expense' then 0.0::double - value else value end + 0.0::double as value
+from metrics""")
 def p9(spark, d):
-    return ST.with_fixed_signs(_unsigned(spark, d)).select("ticker", "metric_type", "period_end", "value")
+    return ST.with_fixed_signs(_unsigned(spark, d)).select("ticker", "metric_type", "period_type", "period_end", "value")
 
 
 # ------------------------------------------------------------ flagship

@@ -304,16 +304,22 @@ def a23c(spark, d):
     return Q.core_metric_gaps(MP.metrics(spark, d, core).where(c("period_end") < F.lit("1996-01-01").cast("date")), core)
 
 
-@query("a23_label_breaks", f"with {O.metrics(['revenue'])} select count(*) as n from metrics where period not like '%Ended %'")
+@query("a23_label_breaks", f"""with {O.metrics(['revenue'])} select ticker, period_type, period_end, case period_type when 'annual' then 'Quarter' else 'Q' end || substr(period, 1, 0) as lead
+from metrics where month(period_end) in (6, 12) and year(period_end) % 2 = 0""")
 def a23l(spark, d):
-    return Q.label_breaks(MP.metrics(spark, d, ["revenue"])).agg(F.count("*").alias("n"))
+    """Labels of every second year's June and December rows are broken; all others pass."""
+    m = MP.metrics(spark, d, ["revenue"])
+    broken = F.when(c("period_type") == "annual", F.regexp_replace("period", "^Twelve Months", "Quarter")).otherwise(F.regexp_replace("period", "^Quarter", "Q"))
+    hit = F.month("period_end").isin(6, 12) & (F.year("period_end") % 2 == 0)
+    rows = Q.label_breaks(m.withColumn("period", F.when(hit, broken).otherwise(c("period"))))
+    return rows.select("ticker", "period_type", "period_end", F.split_part("period", F.lit(" "), F.lit(1)).alias("lead"))
 
 
 # ------------------------------------------------------------ lookup
 
-@query("p15_search_prefix", f"""with {O.metrics(['revenue'])} select distinct ticker from metrics where ticker like 'S1%' order by ticker limit 20""")
+@query("p15_search_prefix", f"""with {O.metrics()} select distinct ticker from metrics where ticker like 'S1%' order by ticker limit 20""")
 def p15(spark, d):
-    return SE.search_companies(MP.metrics(spark, d, ["revenue"], ("quarterly",)), " s1 ", 20)
+    return SE.search_companies(MP.metrics(spark, d), " s1 ", 20)
 
 
 REQ_SQL = """req as (select distinct trim(r) as requested, trim(regexp_replace(regexp_replace(upper(r), '\\s+', '', 'g'), '[./]+', '-', 'g'), '-') as word from (

@@ -179,9 +179,9 @@ def s1(spark, d):
     return S.timeseries(MP.metrics(spark, d, ["revenue", "net_income"], (Q,)), ["revenue", "net_income"], Q)
 
 
-@query("a11_tickers", f"with {O.metrics(['revenue'])} select distinct ticker from metrics order by ticker")
+@query("a11_tickers", f"{WITH} select distinct ticker from metrics order by ticker")
 def a11(spark, d):
-    return S.all_tickers(MP.metrics(spark, d, ["revenue"], (Q,)))
+    return S.all_tickers(MP.metrics(spark, d))
 
 
 @query("a11_table_stats", f"""{WITH} select count(*) as row_count, count(distinct ticker) as ticker_count,

@@ -228,10 +228,9 @@ def t13(spark, d):
 
 
 @query("p20_text_keys", f"""with {T_SQL} select accession_number,
-  regexp_replace(lower(trim(substr(raw, 1, position('.' in raw || '.')))), '[^a-z0-9]+', '', 'g') as key from txt
-  where regexp_replace(lower(trim(substr(raw, 1, position('.' in raw || '.')))), '[^a-z0-9]+', '', 'g') <> ''""")
+  nullif(regexp_replace(lower(trim(substr(raw, 1, position('.' in raw || '.')))), '[^a-z0-9]+', '', 'g'), '') as key from txt""")
 def p20(spark, d):
     from tallyfold.functions.columns import alnum_key
     raw = F.regexp_extract("markdown", r"(?s)Business\n\n(.*?)\n\n## Item 1A", 1)
     first = F.substr(raw, F.lit(1), F.locate(".", F.concat(raw, F.lit("."))))
-    return texts(spark, d).select("accession_number", alnum_key(first).alias("key")).where(c("key").isNotNull())
+    return texts(spark, d).select("accession_number", alnum_key(first).alias("key"))
