@@ -300,14 +300,14 @@ def l4(spark, d):
 
 FORMATS = ["pct", "days", "dollar", "x"]
 VALUE_SQL = """v as (select o_orderkey as k, case when o_orderkey % 11 = 0 then null else (cast(round(o_totalprice * 100) as bigint) * case o_orderkey % 5
-   when 0 then -1 when 1 then 10 when 2 then 3000 when 3 then 40000000 else 1 end) / 61.0::double end as value, ['pct', 'days', 'dollar', 'x'][o_orderkey % 4 + 1] as fmt from orders),
+   when 0 then -1 when 1 then 10 when 2 then 3000 when 3 then 40000000 else 1 end) * 1.0000000123::double / 61.0::double end as value, ['pct', 'days', 'dollar', 'x'][o_orderkey % 4 + 1] as fmt from orders),
 u as (select *, abs(value) as a, case when value < 0 then '-' else '' end as s from v)"""
 
 
 def _values(spark, d):
     k = c("o_orderkey")
     scale = F.when(k % 5 == 0, -1).when(k % 5 == 1, 10).when(k % 5 == 2, 3000).when(k % 5 == 3, 40000000).otherwise(1)
-    value = F.when(k % 11 != 0, (F.round(c("o_totalprice") * 100).cast("long") * scale).cast("double") / 61.0)
+    value = F.when(k % 11 != 0, (F.round(c("o_totalprice") * 100).cast("long") * scale).cast("double") * F.lit(1.0000000123) / 61.0)
     return MP.table(spark, d, "orders").select(k.alias("k"), value.alias("value"), F.get(F.array(*[F.lit(x) for x in FORMATS]), (k % 4).cast("int")).alias("fmt"))
 
 
@@ -315,13 +315,14 @@ SHORT = """case when value is null then 'N/A' when a >= 1e12 then s || '$' || pr
   when a >= 1e6 then s || '$' || printf('%.1f', a / 1e6) || 'M' when a >= 1e3 then s || '$' || printf('%.1f', a / 1e3) || 'K' else s || '$' || printf('%.2f', a) end"""
 
 
-@query("fmt_short", f"""with {VALUE_SQL} select k, {SHORT} as currency, case when value is null then 'N/A' when a >= 1e9 then printf('%.2f', value / 1e9) || 'B'
-  when a >= 1e6 then printf('%.1f', value / 1e6) || 'M' when a >= 1e3 then printf('%.1f', value / 1e3) || 'K' else printf('%.0f', value) end as count,
-  case when value is null then 'N/A' when fmt = 'pct' then printf('%.2f', value * 100) || '%' when fmt = 'days' then printf('%.1f', value) || ' days'
-    when fmt = 'dollar' then {SHORT} else printf('%.2f', value) || 'x' end as ratio from u""")
+@query("fmt_short", f"""with {VALUE_SQL}, r as (select k, fmt, value / 1e6 as value, a / 1e6 as a, s from u),
+ra as (select k, case when value is null then 'N/A' when fmt = 'pct' then printf('%.2f', value * 100) || '%' when fmt = 'days' then printf('%.1f', value) || ' days'
+    when fmt = 'dollar' then {SHORT} else printf('%.2f', value) || 'x' end as ratio from r)
+select k, {SHORT} as currency, case when value is null then 'N/A' when a >= 1e9 then printf('%.2f', value / 1e9) || 'B'
+  when a >= 1e6 then printf('%.1f', value / 1e6) || 'M' when a >= 1e3 then printf('%.1f', value / 1e3) || 'K' else printf('%.0f', value) end as count, ratio from u join ra using (k)""")
 def fmt_short(spark, d):
     v = _values(spark, d)
-    return v.select("k", K.currency_short(c("value")).alias("currency"), K.count_short(c("value")).alias("count"), K.ratio_text(c("value"), c("fmt")).alias("ratio"))
+    return v.select("k", K.currency_short(c("value")).alias("currency"), K.count_short(c("value")).alias("count"), K.ratio_text(c("value") / F.lit(1e6), c("fmt")).alias("ratio"))
 
 
 @query("fmt_ticker_tokens", """select o_orderkey as k, 'C' || chr(65 + cast(o_orderkey % 26 as integer)) || ',AB' as tokens, '2024-0' || (o_orderkey % 9 + 1) || '-11' as day from orders""")
