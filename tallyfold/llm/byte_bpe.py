@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import documents, map_texts
+from tallyfold.llm.common import documents, held_by_worker, map_texts
 from tallyfold.llm.pieces import PieceEncoder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MEMORY = 300_000
 """Strings whose ids a worker remembers."""
-SLICE = 6 << 20
+SLICE = 4 << 20
 """Bytes of text that are encoded at once."""
 
 
@@ -176,15 +176,14 @@ def replay(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.asarray(x, np.int64) for x in each]), np.array([len(x) for x in each], np.int64)
 
 
-_ENCODERS: dict[tuple[str, str], tuple[Ranks, PieceEncoder]] = {}
-
-
 def encoder(path: str, pattern: str) -> tuple[Ranks, PieceEncoder]:
     """This worker's ranks and encoder."""
-    if (path, pattern) not in _ENCODERS:
+
+    def build():
         ranks = Ranks(path)
-        _ENCODERS[path, pattern] = ranks, PieceEncoder(lambda pieces: replay([p.encode() for p in pieces], ranks), pattern, MEMORY)
-    return _ENCODERS[path, pattern]
+        return ranks, PieceEncoder(lambda pieces: replay([p.encode() for p in pieces], ranks), pattern, MEMORY)
+
+    return held_by_worker(("byte_bpe", path, pattern), build)
 
 
 def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, decoded: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,17 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+def text_column(batch: pa.RecordBatch, text: str = "text") -> pa.Array:
+    """The text column, or the field of that name of a batch's only struct."""
+    return batch.column(text) if text in batch.schema.names else pc.struct_field(batch.column(0), text)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each hold about ``limit`` bytes."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        size = np.fromiter((len(x) for x in byte_views(batch.column(text))), dtype=np.int64, count=batch.num_rows)
+        size = pc.fill_null(pc.binary_length(text_column(batch, text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = (np.cumsum(size) - size) // limit
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
@@ -53,6 +59,17 @@ def map_texts(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return docs.mapInArrow(run, schema)
 
 
+_HELD: dict = {}
+
+
+def held_by_worker(key, build: Callable):
+    """``build()``, kept by this Python worker until it needs another one: at most one model is held at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"

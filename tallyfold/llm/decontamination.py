@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import byte_views, slices
+from tallyfold.llm.common import byte_views, slices, text_column
 
 WINDOW = 10
 BLOCK = 2
@@ -96,7 +96,7 @@ def benchmark_blocks(benchmark: DataFrame, limit: int = BENCHMARK_BYTES) -> list
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BENCHMARK_BYTES, keep: str = "doc_id") -> DataFrame:
     """One row per document: ``keep``, ``n_words``, ``spans`` of hit words ([start, end), merged), ``items``.
 
-    ``keep`` is the id, or a struct of everything a caller wants back.
+    ``keep`` is the id, or ``row`` for a struct of all columns.
     """
     blocks = benchmark_blocks(benchmark, limit)
     parts = [_search(docs, block, window, keep) for block in blocks]
@@ -123,7 +123,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 def _search(docs: DataFrame, block: list[tuple[str, bytes]], window: int, keep: str) -> DataFrame:
     from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-    texts = docs.select(keep, F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.struct(*docs.columns).alias("row")) if keep == "row" else docs.select(keep, F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(block)
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
     schema = StructType([texts.schema[keep], StructField("n_words", LongType()), StructField("spans", ArrayType(span)),
@@ -133,7 +133,7 @@ def _search(docs: DataFrame, block: list[tuple[str, bytes]], window: int, keep:
         finders, names = searchers(shared.value, window)
         for batch in slices(batches):
             counts, spans, items, keys = [], [], [], []
-            for raw in byte_views(batch.column("text")):
+            for raw in byte_views(text_column(batch)):
                 own = words(raw)
                 found, hit = [], set()
                 for finder in finders:
@@ -173,8 +173,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any hit, with all their columns."""
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return benchmark_hits(whole, benchmark, window, keep="row").where(F.size("spans") == 0).select("row.*")
+    return benchmark_hits(docs, benchmark, window, keep="row").where(F.size("spans") == 0).select("row.*")
 
 
 ORACLE = r"""

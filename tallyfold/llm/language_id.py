@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import byte_views, held_out, slices, smallest_sample
+from tallyfold.llm.common import byte_views, held_by_worker, held_out, slices, smallest_sample, text_column
 
 ORDER = 3
 SAMPLE_ROWS = 2000
@@ -55,7 +55,7 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``lang``, ``gram`` (context and byte as one number), ``n`` over whole texts; combined in each task first."""
 
     def run(batches):
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=2 << 20):
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = byte_views(batch.column("text"))
             for lang in dict.fromkeys(langs.tolist()):
@@ -99,15 +99,15 @@ class ContextTrees:
             with np.errstate(divide="ignore", invalid="ignore"):
                 escape = np.where(room > 0, -np.log2(kinds / room), 0.0)
                 direct = -np.log2(count / room[where])
-            fresh = cost[parent] + escape[:, None, :].astype(np.float32)
+            fresh = cost[parent]
+            fresh += escape[:, None, :].astype(np.float32)
             rows, cols, width_at = where, self.symbol[key & 255], count > 0
             seen = fresh[rows, cols]
             fresh[rows, cols] = np.where(width_at, direct, seen)
             base = len(cost)
             cost = np.concatenate([cost, fresh])
-            deeper = np.arange(1 << (8 * k), dtype=np.int64)
-            step = node[deeper & ((1 << (8 * (k - 1))) - 1)] if k else np.zeros(1, np.int32)
-            step = step.copy()
+            # a longer context that isn't kept goes where its end goes
+            step = np.tile(node, 256) if k else np.zeros(1, np.int32)
             step[own] = base + np.arange(len(own), dtype=np.int32)
             node = step
         self.node, self.cost = node, np.ascontiguousarray(cost.reshape(-1, width))
@@ -120,7 +120,7 @@ class ContextTrees:
         row = self.node[context] * np.int32(self.width) + self.symbol[byte]
         full = np.flatnonzero(length)
         start = (np.cumsum(length) - length)[full]
-        step = 1 << 22
+        step = 1 << 20
         for a in range(0, len(row), step):  # bounded copies, also for one very long text
             b = min(a + step, len(row))
             lo = int(np.searchsorted(start, a, "right")) - 1
@@ -144,34 +144,28 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, order: int = ORDER, contexts
     return langs, [lang, found.column("gram").to_numpy(), found.column("n").to_numpy()]
 
 
-_TREES: dict = {}
-
-
 def identify(docs: DataFrame, keep: str = "doc_id", rows: int = SAMPLE_ROWS, order: int = ORDER, contexts: int = CONTEXTS) -> DataFrame:
     """``keep``, ``lang_pred``, ``score`` and ``bits`` a byte of every text.
 
-    ``docs`` has ``doc_id``, ``text``, ``lang`` and whatever ``keep`` names (the
-    id, or a struct of everything a caller wants back). The score is the share
-    of the winner if each language is as likely as its code is short.
+    ``docs`` has ``doc_id``, ``text``, ``lang``; ``keep`` is the id, or ``row`` for
+    a struct of all columns. The score is the share of the winner if each
+    language is as likely as its code is short.
     """
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     langs, stats = train(docs, rows, order, contexts)
     shared = docs.sparkSession.sparkContext.broadcast((langs, stats))
     name_of_model = uuid.uuid4().hex
-    texts = docs.select(keep, F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.struct(*docs.columns).alias("row")) if keep == "row" else docs.select(keep, F.col("text").cast("string").alias("text"))
     schema = StructType([texts.schema[keep]]).add("lang_pred", StringType()).add("score", DoubleType()).add("bits", DoubleType())
 
     def run(batches):
         trees = None
-        for batch in slices(batches, limit=4 << 20):
-            raw = byte_views(batch.column("text"))
+        for batch in slices(batches, limit=2 << 20):
+            raw = byte_views(text_column(batch))
             letter = np.array([bool(_LETTER.search(x.decode("utf-8", "replace"))) for x in raw], bool)
             if langs and trees is None:
-                if name_of_model not in _TREES:  # a worker builds the trees once, not once a task
-                    _TREES.clear()
-                    _TREES[name_of_model] = ContextTrees(shared.value[0], *shared.value[1], order, contexts)
-                trees = _TREES[name_of_model]
+                trees = held_by_worker(name_of_model, lambda: ContextTrees(shared.value[0], *shared.value[1], order, contexts))
             size = np.array([max(1, len(x)) for x in raw])
             if langs:
                 bits = trees.code_lengths(raw)
@@ -197,6 +191,5 @@ def languages(docs: DataFrame) -> DataFrame:
 
 def recognised(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents of a known language, with all their columns."""
-    whole = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
-    found = identify(whole, keep="row")
+    found = identify(docs, keep="row")
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

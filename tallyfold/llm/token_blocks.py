@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import documents, slices, work_folder
+from tallyfold.llm.common import documents, held_by_worker, slices, work_folder
 from tallyfold.llm.pieces import PieceEncoder
 from tallyfold.session import cut_lineage
 
@@ -39,7 +39,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 BLOCK = 1024
 PERCENTILE = 95
 END_ID = 0
-MEMORY = 400_000
+MEMORY = 300_000
 """Strings whose ids a worker remembers."""
 _HEAD = struct.Struct("<4sQQQII")
 
@@ -138,9 +138,6 @@ def frames(content: memoryview) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarr
         at += size + 1
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """This worker's encoder.
 
@@ -148,7 +145,8 @@ def encoder(path: str) -> PieceEncoder:
     by itself, so the library's model is asked once a distinct match, written in
     the byte alphabet of the vocabulary.
     """
-    if path not in _ENCODERS:
+
+    def build() -> PieceEncoder:
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path).model
@@ -161,8 +159,9 @@ def encoder(path: str) -> PieceEncoder:
             count = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for own in found for i in own), np.int64, int(count.sum())), count
 
-        _ENCODERS[path] = PieceEncoder(ids, public_tokenizers.PATTERN, MEMORY)
-    return _ENCODERS[path]
+        return PieceEncoder(ids, public_tokenizers.PATTERN, MEMORY)
+
+    return held_by_worker(("token_blocks", path), build)
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: int = END_ID) -> None:
@@ -173,7 +172,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: in
     """
 
     def run(batches):
-        for batch in slices(batches, limit=6 << 20):
+        for batch in slices(batches, limit=4 << 20):
             flat, count = encoder(path).encode(batch.column("text"))
             length = count + 1
             ids = np.full(len(flat) + len(count), end_id, np.int64)
