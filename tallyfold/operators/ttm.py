@@ -47,7 +47,11 @@ def _newest_four(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def ttm_raw(metrics: DataFrame, keys: list[str], names: list[str] = NAMES) -> DataFrame:
     """Wide TTM row per key before derived metrics."""
-    four = _newest_four(_candidates(metrics, names), keys)
+    return _wide_from(_newest_four(_candidates(metrics, names), keys), keys, names)
+
+
+def _wide_from(four: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Wide TTM row per key from the newest value, date and sum of four of each metric."""
     quarterly, flow = c("period_type") == M.QUARTERLY, c("metric_type").isin([*M.FLOW_METRICS, OTHER_FLOW])
 
     def pick(name: str, period_type: str, field: str) -> Column:
@@ -95,12 +99,29 @@ def ttm_wide(metrics: DataFrame, as_of: str | None = None, tickers: list[str] |
     return with_derived(ttm_raw(metrics, ["ticker"], names))
 
 
-def ttm_wide_at(metrics: DataFrame, dates: DataFrame) -> DataFrame:
-    """TTM metrics for many (ticker, as_of) points in one job."""
-    known = metrics.join(dates.select("ticker", "as_of").distinct(), "ticker").where(
-        c("period_end") <= c("as_of")
-    )
-    return with_derived(ttm_raw(known, ["ticker", "as_of"]))
+def ttm_wide_at(metrics: DataFrame, dates: DataFrame, names: list[str] = NAMES) -> DataFrame:
+    """TTM metrics for many (ticker, as_of) points in one job.
+
+    Every stored row knows its sum of four; it holds from its date until the
+    next row of the metric. Rows and asked dates are put in one order by day,
+    and a date takes the last row before it, so each row is read once, however
+    many dates follow it. Dates before a ticker's first row have no result.
+    """
+    by = ["ticker", "metric_type", "period_type"]
+    w = W.partitionBy(*by).orderBy("period_end")
+    four = c("value") + F.lag("value", 1).over(w) + F.lag("value", 2).over(w) + F.lag("value", 3).over(w)
+    rows = _candidates(metrics, names).select(
+        *by, c("period_end").alias("day"), F.lit(0).alias("asked"),
+        F.struct(c("period_end").alias("newest"), c("value").alias("last_value"), four.alias("sum4")).alias("r"))
+    quarterly = [(n, M.QUARTERLY) for n in [*names, OTHER_FLOW, OTHER_STOCK]]
+    annual = [(n, M.ANNUAL) for n in [*M.TTM_ANNUAL_FALLBACK, OTHER_STOCK, OTHER_FLOW]]
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("metric_type"), F.lit(p).alias("period_type")) for n, p in dict.fromkeys(quarterly + annual)]))
+    points = dates.select("ticker", "as_of").distinct().withColumn("x", wanted).select(
+        "ticker", "x.*", c("as_of").alias("day"), F.lit(1).alias("asked"), F.lit(None).cast(rows.schema["r"].dataType).alias("r"))
+    before = F.last("r", ignorenulls=True).over(W.partitionBy(*by).orderBy("day", "asked").rowsBetween(W.unboundedPreceding, 0))
+    found = rows.unionByName(points).withColumn("r", before).where((c("asked") == 1) & c("r").isNotNull())
+    known = found.select("ticker", c("day").alias("as_of"), "metric_type", "period_type", "r.newest", "r.last_value", "r.sum4")
+    return with_derived(_wide_from(known, ["ticker", "as_of"], names))
 
 
 def ttm_long(wide: DataFrame, names: list[str] | None = None, keys: list[str] = ("ticker",)) -> DataFrame:
