@@ -191,6 +191,12 @@ class Ledger:
         return rows.groupBy("accession_number").agg(first).select(
             "accession_number", "r.ticker", "r.form_type", "r.filed_date", "r.processed_at")
 
+    def compact_to(self, path: str) -> "Ledger":
+        """Write the current entries as the single batch of a new ledger, clustered by accession."""
+        target = Ledger(self.log.spark, path)
+        target.log.append(self.read().repartitionByRange("accession_number").sortWithinPartitions("accession_number"), "t0")
+        return target
+
     def mark(self, filings: DataFrame, batch: str | None = None) -> int:
         """Add filings (accession_number, ticker, form_type, filed_date) that are not in the ledger."""
         fresh = new_accessions(filings.select("accession_number", "ticker", "form_type", "filed_date"), self.read())
@@ -215,6 +221,12 @@ class CompanyState:
         newest = newest_per_key(self.log.read(), ["ticker"], ["last_extracted", "batch"])
         return newest.where(~c("deleted")).select("ticker", "cik", "last_extracted", "extraction_type")
 
+    def compact_to(self, path: str) -> "CompanyState":
+        """Write the current entries as the single batch of a new state."""
+        target = CompanyState(self.spark, path)
+        target.log.append(self.read().withColumn("deleted", F.lit(False)), "t0")
+        return target
+
     def update(self, companies: DataFrame, extraction_type: str = "slow_path", batch: str | None = None) -> int:
         rows = companies.select("ticker", c("cik").cast("string").alias("cik")).distinct()
         return self.log.append(rows.withColumns({

@@ -61,11 +61,10 @@ class FilingIngest:
 
     def run_batch(self, facts: DataFrame, batch: str | None = None) -> int:
         scoped = in_scope(facts, self.tickers, self.scope)
-        seen = self.ledger.read()
+        seen = self.ledger.log.read()
         if batch is not None:
             # a repeated batch must not be hidden by its own first attempt
-            mine = self.ledger.log.read().where(c("batch") == batch).select("accession_number").distinct()
-            seen = seen.join(mine, "accession_number", "left_anti")
+            seen = seen.where(c("batch") != batch)
         fresh = scoped.join(seen.select(c("accession_number").alias("accession")), "accession", "left_anti").persist()
         try:
             count = self.store.upsert(newest_filing_rows(extract_filings(fresh), fresh), batch)

@@ -440,6 +440,20 @@ def test_stream_ingest_is_exactly_once_and_equals_batch(spark, tmp_path):
     assert batch.store.read().drop("ingested_at").collect() == job.store.read().drop("ingested_at").collect()
 
 
+def test_compaction_keeps_the_newest_entries(spark, tmp_path):
+    from tallyfold.sources.store import CompanyState
+
+    book, state = Ledger(spark, str(tmp_path / "l")), CompanyState(spark, str(tmp_path / "c"))
+    rows = spark.createDataFrame([("a", "T", "10-K", "2024-01-01"), ("b", "T", "10-Q", "2024-02-01")], "accession_number string, ticker string, form_type string, filed_date string")
+    for n in range(3):
+        book.mark(rows)
+        state.update(spark.createDataFrame([("T", "1"), ("U", "2")], "ticker string, cik string"), f"x{n}")
+    state.delete(["U"])
+    assert book.compact_to(str(tmp_path / "l2")).log.read().count() == 2 and book.count() == 2
+    small = state.compact_to(str(tmp_path / "c2"))
+    assert small.log.read().count() == 1 and [(r.ticker, r.extraction_type) for r in small.read().collect()] == [("T", "x2")]
+
+
 def test_streams_with_two_checkpoints_keep_all(spark, tmp_path):
     """Epochs of a new checkpoint start at 0 again; nothing stored before is touched."""
     ref = spark.createDataFrame([(1, "AAA")], "cik long, ticker string")
