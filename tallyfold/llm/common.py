@@ -78,23 +78,29 @@ def work_folder(spark: SparkSession) -> str:
 def smallest_sample(docs: DataFrame, group: str, rows: int, seed: int = 7) -> DataFrame:
     """At most ``rows`` documents of each value of ``group``: those whose hashed id is smallest.
 
-    The bound is a parameter of every operator that fits a model. Two passes: the
-    first ranks ids alone (each task keeps its first ``rows`` before anything is
-    shuffled), the second reads texts under the cut-off of each group. The driver
-    sees one number a group.
+    The bound is a parameter of every operator that fits a model. Groups are
+    counted first; as hashes are spread evenly, only ids below a share of twice
+    ``rows`` (and at least 100 more) are then ranked, so no task ever sees a whole group. The last
+    pass reads texts under the exact cut-off. The driver sees two numbers a group.
     """
     from pyspark.sql import Window
 
     keyed = docs.withColumn("__h", F.xxhash64(F.lit(seed), F.col("doc_id")))
+
+    def below(limits: list[tuple]):
+        rule = F.lit(None).cast("long")
+        for value, limit in limits:
+            rule = F.when(F.col(group) == F.lit(value), F.lit(limit)).otherwise(rule)
+        return F.col("__h") <= rule
+
+    counts = docs.groupBy(group).count().where(F.col(group).isNotNull()).collect()
+    share = [(r[0], min((1 << 63) - 1, -(1 << 63) + ((2 * rows + 100) << 64) // r[1])) for r in counts]
+    if not share:
+        return docs.where("false")
     order = Window.partitionBy(group).orderBy("__h")
-    cut = (keyed.select(group, "__h").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= rows)
+    cut = (keyed.select(group, "__h").where(below(share)).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= rows)
            .groupBy(group).agg(F.max("__h").alias("__cut")).collect())
-    if not cut:
-        return docs.limit(0)
-    rule = F.lit(None).cast("long")
-    for row in cut:
-        rule = F.when(F.col(group) == F.lit(row[0]), F.lit(row[1])).otherwise(rule)
-    return keyed.where(F.col("__h") <= rule).drop("__h")
+    return keyed.where(below([(r[0], r[1]) for r in cut])).drop("__h")
 
 
 def components(edges: DataFrame) -> DataFrame:
