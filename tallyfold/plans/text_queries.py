@@ -30,11 +30,15 @@ TOC = "Table of Contents\nItem 1. Business 3\nItem 1A. Risk Factors 9\nItem 7. M
 H1, H1A, H7 = "## Item 1. Business\n\n", "\n\n## Item 1A. Risk Factors\n\nRisks related to ", "\nItem 7. Management's Discussion and Analysis\n\nOverview:\n- "
 
 
-def texts(spark, d):
+def texts(spark, d, led: bool = False):
+    """``led``: every text begins with a sentence of its own, so that its first line has one."""
+    docs = MP.table(spark, d, "documents")
+    if led:
+        docs = docs.withColumn("text", F.concat(F.lit("Note "), "doc_id", F.lit(". "), "text"))
     body = F.concat(
         F.lit(TOC + H1), c("text"), F.lit(H1A), c("source"), F.lit(":\n"), c("text"), F.lit(H7),
         F.replace(c("text"), F.lit("\n"), F.lit("\n- ")))
-    return MP.table(spark, d, "documents").select(
+    return docs.select(
         F.concat_ws("-", F.substring(F.lpad(c("doc_id").cast("string"), 10, "0"), 1, 4), F.substring(F.lpad(c("doc_id").cast("string"), 10, "0"), 5, 6)).alias("accession_number"),
         c("source").alias("cik"), c("lang").alias("form_type"),
         F.date_add(F.lit("2000-01-01").cast("date"), c("n_chars").cast("int")).alias("filing_date"), body.alias("markdown"))
@@ -164,33 +168,31 @@ def t6(spark, d):
     return r.select("accession_number", F.concat_ws("|", X.risk_themes(c("content"))).alias("themes"))
 
 
-@query("t7_risk_highlights", f"""with {T_SQL}, s as (select accession_number, 'Risks related to ' || cik as h, {LN}[1] as l from txt)
-select accession_number, {short_sql("h || ': ' || regexp_extract(l, '^(.*?[.!?])(\\s|$)', 1)", 320)} as highlights from s
-where regexp_matches(l, '[.!?](\\s|$)')""")
+LED_SQL = T_SQL.replace("from documents", "from (select * replace ('Note ' || doc_id || '. ' || text as text) from documents)")
+
+
+@query("t7_risk_highlights", f"""with {LED_SQL}, s as (select accession_number, 'Risks related to ' || cik as h, {LN}[1] as l from txt)
+select accession_number, {short_sql("h || ': ' || regexp_extract(l, '^(.*?[.!?])(\\s|$)', 1)", 320)} as highlights from s""")
 def t7(spark, d):
-    r = X.extract_section(texts(spark, d), "1A").where(
-        F.regexp_extract("content", r"Risks related to \S+:\s*(.*)", 1).rlike(r"[.!?](\s|$)"))
+    r = X.extract_section(texts(spark, d, led=True), "1A")
     return r.select("accession_number", F.concat_ws("|", X.risk_highlights(c("content"))).alias("highlights"))
 
 
-@query("t8_narrative_highlights", f"""with {T_SQL} select accession_number,
-  {short_sql("'Overview: ' || trim(string_split(raw, chr(10))[1])", 320)} as highlights from txt
-  where trim(string_split(raw, chr(10))[1]) <> ''""")
+@query("t8_narrative_highlights", f"""with {LED_SQL} select accession_number,
+  {short_sql("'Overview: ' || trim(string_split(raw, chr(10))[1])", 320)} as highlights from txt""")
 def t8(spark, d):
-    r = X.extract_section(texts(spark, d), "7")
-    first = F.trim(F.regexp_extract("content", r"Overview:\n- (.*)", 1))
-    return r.where(first != "").select(
+    r = X.extract_section(texts(spark, d, led=True), "7")
+    return r.select(
         "accession_number", F.concat_ws("|", X.narrative_highlights(c("content"))).alias("highlights"))
 
 
 @query("t9_pick_highlights", f"""with {T_SQL}, p as (select accession_number, list_filter(list_distinct(list_transform(
    string_split(raw, chr(10)), lambda x: cik || ': ' || trim(x))), lambda x: true) as d0, list_transform(string_split(raw, chr(10)), lambda x: cik || ': ' || trim(x)) as all_ from txt)
-select accession_number, md5(all_[1] || '|' || coalesce(list_filter(all_, lambda x: x <> all_[1])[1], '')) as picked from p
-where not contains(all_[1][7:], ':')""")
+select accession_number, md5(all_[1] || '|' || coalesce(list_filter(all_, lambda x: x <> all_[1])[1], '')) as picked from p""")
 def t9(spark, d):
     rows = texts(spark, d).select("accession_number", "cik", F.regexp_extract("markdown", r"(?s)Business\n\n(.*?)\n\n## Item 1A", 1).alias("raw"))
     cands = F.array_distinct(F.transform(F.split("raw", "\n"), lambda x: F.concat(c("cik"), F.lit(": "), F.trim(x))))
-    rows = rows.withColumn("cands", cands).where(~F.substring(c("cands")[0], 7, 1000000).contains(":"))
+    rows = rows.withColumn("cands", cands)
     two = X.pick_highlights(c("cands"), 2)
     return rows.select("accession_number", F.md5(F.concat(two[0], F.lit("|"), F.coalesce(F.try_element_at(two, F.lit(2)), F.lit("")))).alias("picked"))
 
