@@ -172,11 +172,12 @@ def cross_reference_counts(left: DataFrame, right: DataFrame) -> DataFrame:
         F.count("*").alias("pairs"), F.count_if("agrees").alias("matches"), F.count_if(~c("agrees")).alias("discrepancies"))
 
 
-def merge_sources(left: DataFrame, right: DataFrame, left_name="dera", right_name="fmp") -> DataFrame:
+def merge_sources(left: DataFrame, right: DataFrame, left_name="dera", right_name="fmp", keep_right: bool = False) -> DataFrame:
     """All points with provenance: the left value counts, "both" when a right point lies close by.
 
     A right point that no left point took, on a date without a left point,
-    stands for itself.
+    stands for itself. With ``keep_right`` the right value of the same date
+    comes along as ``right_value``, for :func:`apply_curation`.
     """
     rows = _side_by_side(left, right, MATCH_KEYS, ["period_end", "value"], ["period_end", "value"])
     rows = rows.withColumn("m", _nearest(MAX_DAYS))
@@ -192,18 +193,24 @@ def merge_sources(left: DataFrame, right: DataFrame, left_name="dera", right_nam
         F.max("lv").alias("lv"), F.bool_or("both").alias("both"), F.max("rv").alias("rv"), F.bool_or("taken").alias("taken"))
     return g.where(c("lv").isNotNull() | ~c("taken")).select(
         *POINT, F.coalesce("lv", "rv").alias("value"),
-        F.when(c("lv").isNull(), right_name).when(c("both"), "both").otherwise(left_name).alias("source"))
+        F.when(c("lv").isNull(), right_name).when(c("both"), "both").otherwise(left_name).alias("source"),
+        *([c("rv").alias("right_value")] if keep_right else []))
 
 
-def apply_curation(points: DataFrame, preferred: DataFrame | None = None, right: DataFrame | None = None,
+def apply_curation(points: DataFrame, preferred: DataFrame | None = None,
                    excluded_points: DataFrame | None = None, excluded_rules: DataFrame | None = None,
                    right_name: str = "fmp") -> DataFrame:
-    """Take the right value at preferred points, then drop excluded points and (ticker, metric, type) rules."""
-    if preferred is not None and right is not None:
-        better = right.join(preferred.select(*POINT).distinct(), POINT, "left_semi").select(*POINT, c("value").alias("__v"))
-        points = points.join(better, POINT, "left").withColumns({
-            "source": F.when(c("__v").isNotNull(), right_name).otherwise(c("source")),
-            "value": F.coalesce("__v", "value")}).drop("__v")
+    """Take the right value at preferred points, then drop excluded points and (ticker, metric, type) rules.
+
+    ``points`` carries ``right_value`` where points are preferred.
+    """
+    if preferred is not None:
+        chosen = preferred.select(*POINT).distinct().withColumn("__p", F.lit(True))
+        taken = c("__p") & c("right_value").isNotNull()
+        points = points.join(chosen, POINT, "left").withColumns({
+            "source": F.when(taken, right_name).otherwise(c("source")),
+            "value": F.when(taken, c("right_value")).otherwise(c("value"))}).drop("__p")
+    points = points.drop("right_value")
     if excluded_points is not None:
         points = points.join(excluded_points.select(*POINT).distinct(), POINT, "left_anti")
     if excluded_rules is not None:
@@ -216,6 +223,12 @@ def with_tolerance(points: DataFrame) -> DataFrame:
     return points.withColumn("tolerance_pct", F.when(c("metric_type") == "eps_diluted", EPS_TOLERANCE).otherwise(PCT_TOLERANCE))
 
 
+def write_fixture(points: DataFrame, path: str) -> None:
+    """The fixture rows as JSON lines, in the order of ticker, metric, type and date over all files."""
+    order = ["ticker", "metric_type", "period_type", "period_end"]
+    points.select(*order, *[x for x in points.columns if x not in order]).orderBy(*order).write.mode("overwrite").json(path)
+
+
 def fiscal_year_totals(points: DataFrame) -> DataFrame:
     return points.where((c("period_type") == M.ANNUAL) & c("metric_type").isin(M.GOLDEN_FLOW_METRICS)).select(
         "ticker", "metric_type", "period_end", "value")

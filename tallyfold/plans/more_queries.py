@@ -19,7 +19,7 @@ from tallyfold.plans import oracle_base as O
 from tallyfold.plans.filing_queries import EV_SQL, HOLD_SQL, TX_SQL, events, form4, holdings
 from tallyfold.plans.ingest_queries import (
     COMPANY, EXTRACT, FAST, FILINGS_SQL, FLOW, MAPPED, filing_facts, filings)
-from tallyfold.plans.reconcile_queries import CUR_SQL, _curation, points, vendor
+from tallyfold.plans.reconcile_queries import CUR_SQL, curated
 from tallyfold.plans import series_queries as SQ
 from tallyfold.plans.series_queries import has, lst, ttm_sql
 from tallyfold.sources import readers as RD
@@ -339,14 +339,14 @@ def s15(spark, d):
     return rec.select("r.ticker", "r.period_end", "ok")
 
 
-@query("s16_fixture_rows", f"""with {CUR_SQL} select metric_type, period_type, count(*) as n, min(period_end) as first_day, count(*) filter (source = 'both') as both_sources
-from cur group by all""")
+@query("s16_fixture_rows", f"""with {CUR_SQL} select ticker, metric_type, period_type, period_end, value, source,
+  case when metric_type = 'eps_diluted' then 0.02 else 1.0 end as tolerance_pct from cur""")
 def s16(spark, d):
-    pref, rules = _curation(spark, d)
-    right = vendor(spark, d)
-    rows = RC.with_tolerance(RC.apply_curation(RC.merge_sources(points(spark, d), right), pref, right, None, rules))
-    return rows.groupBy("metric_type", "period_type").agg(
-        F.count("*").alias("n"), F.min("period_end").alias("first_day"), F.count_if(c("source") == "both").alias("both_sources"))
+    """The fixture, written in order and read back."""
+    folder = f"{jobs.work_folder(spark)}/fixture"
+    rows = curated(spark, d)
+    RC.write_fixture(rows, folder)
+    return spark.read.schema(rows.schema).json(folder).select("ticker", "metric_type", "period_type", "period_end", "value", "source", "tolerance_pct")
 
 
 # ------------------------------------------------------------ stores and streams

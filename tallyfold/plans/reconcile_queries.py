@@ -211,7 +211,16 @@ def _curation(spark, d):
                         F.lit("quarterly").alias("period_type"), F.last_day(F.make_date(c("yr"), c("qn") * 3, F.lit(1))).alias("period_end"))
     rules = MP.table(spark, d, "supplier").where("s_acctbal < 1000").select(
         F.concat(F.lit("S"), "s_suppkey").alias("ticker"), F.lit("total_assets").alias("metric_type"), F.lit("quarterly").alias("period_type"))
-    return pref, rules
+    left_out = MP.table(spark, d, "supplier").where("s_nationkey = 3").select(
+        F.concat(F.lit("S"), "s_suppkey").alias("ticker"), F.lit("revenue").alias("metric_type"), F.lit("annual").alias("period_type"),
+        F.lit("1997-12-31").cast("date").alias("period_end"))
+    return pref, rules, left_out
+
+
+def curated(spark, d):
+    pref, rules, left_out = _curation(spark, d)
+    merged = RC.merge_sources(points(spark, d), vendor(spark, d), keep_right=True)
+    return RC.with_tolerance(RC.apply_curation(merged, pref, left_out, rules))
 
 
 CUR_SQL = f"""{MERGE_SQL},
@@ -221,15 +230,13 @@ cur as (select m.ticker, m.metric_type, m.period_type, m.period_end, coalesce(v.
     case when v.value is not null then 'fmp' else m.source end as source
    from merged m left join pref on m.metric_type = 'net_income' and m.period_type = 'quarterly' and pref.ticker = m.ticker and pref.period_end = m.period_end
    left join vendor v on pref.ticker = v.ticker and v.metric_type = m.metric_type and v.period_type = m.period_type and v.period_end = m.period_end
-   where not (m.metric_type = 'total_assets' and m.period_type = 'quarterly' and m.ticker in (select 'S' || s_suppkey from supplier where s_acctbal < 1000)))"""
+   where not (m.metric_type = 'revenue' and m.period_type = 'annual' and m.period_end = date '1997-12-31' and m.ticker in (select 'S' || s_suppkey from supplier where s_nationkey = 3))
+   and not (m.metric_type = 'total_assets' and m.period_type = 'quarterly' and m.ticker in (select 'S' || s_suppkey from supplier where s_acctbal < 1000)))"""
 
 
 @query("p28_curated_points", f"""with {CUR_SQL} select *, case when metric_type = 'eps_diluted' then 0.02 else 1.0 end as tolerance_pct from cur""")
 def p28(spark, d):
-    pref, rules = _curation(spark, d)
-    right = vendor(spark, d)
-    merged = RC.merge_sources(points(spark, d), right)
-    return RC.with_tolerance(RC.apply_curation(merged, pref, right, None, rules))
+    return curated(spark, d)
 
 
 @query("a8_fiscal_year_totals", f"""with {O.metrics(M.GOLDEN_FLOW_METRICS)} select ticker, metric_type, period_end, value from metrics
