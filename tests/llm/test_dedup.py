@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import compare, duck
-from conftest import SF
+from llm_data import SF
 from tallyfold.llm import common, exact_dedup, paragraph_dedup, simhash, suffix_dedup
 
 

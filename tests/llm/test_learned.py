@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from llm_data import SF
 from tallyfold.llm import language_id, quality, toxicity
 from tallyfold.llm.common import held_out
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from compare import compare, duck
-from conftest import SF
+from llm_data import SF
 from tallyfold.llm import decontamination
 from test_dedup import plain_components, plain_fingerprint
 

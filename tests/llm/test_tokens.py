@@ -12,7 +12,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from conftest import SF
+from llm_data import SF
 from tallyfold.llm import byte_bpe, token_blocks
 
 RANKS, PIECES = byte_bpe.encoder(byte_bpe.RANKS, public_tokenizers.PATTERN)
