@@ -4,6 +4,8 @@ A zstandard dictionary is built from labelled good texts and one from bad ones.
 A text is compressed with each; the difference of the sizes, divided by the
 text's length, becomes a probability by a logistic curve fitted to labelled
 texts that the dictionaries have not seen, weighted back to the labels' shares.
+The curve also sees how far the text compresses at all, with its length, since
+a text that repeats itself is as small under either dictionary.
 
 Training reads a bounded sample (``rows`` documents a label). An empty or null
 text has difference 0. With labels of one kind or none, every score is that
@@ -42,24 +44,33 @@ def compressor(data: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=level, dict_data=known) if data else zstandard.ZstdCompressor(level=level)
 
 
-def differences(texts: list[bytes], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
-    """Compressed size with the bad dictionary less that with the good one, for each byte of text."""
-    return np.array([(len(bad.compress(x)) - len(good.compress(x))) / max(1, len(x)) for x in texts])
+def features(texts: list[bytes], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
+    """Size with the bad dictionary less that with the good one, a byte of text; how often the text is as long as the smaller; its length (logs)."""
+    size = np.array([(len(bad.compress(x)), len(good.compress(x)), len(x)) for x in texts], float).reshape(-1, 3)
+    length = np.maximum(size[:, 2], 1)
+    gain = np.log(length / size[:, :2].min(axis=1))
+    return np.stack([(size[:, 0] - size[:, 1]) / length, gain, np.log(length)], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Intercept and slope of the weighted logistic curve, by Newton's steps."""
-    design = np.stack([np.ones(len(x)), x / (np.std(x) or 1.0)], axis=1)
-    beta = np.zeros(2)
-    for _ in range(50):
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> list[float]:
+    """Intercept and slopes of the weighted logistic curve, by Newton's steps."""
+    middle, spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    design = np.concatenate([np.ones((len(x), 1)), (x - middle) / spread], axis=1)
+    beta = np.zeros(design.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         slope = design.T @ (weight * (y - p)) - ridge * beta
-        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
-        step = np.linalg.solve(curve, slope)
-        beta += np.clip(step, -5, 5)
+        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(beta))
+        step = np.clip(np.linalg.solve(curve, slope), -2, 2)
+        beta += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(beta[1] / (np.std(x) or 1.0))
+    slopes = beta[1:] / spread
+    return [float(beta[0] - slopes @ middle), *slopes.tolist()]
+
+
+def probability(x: np.ndarray, curve: list[float]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(curve[0] + x @ np.array(curve[1:]), -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS) -> dict:
@@ -74,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     texts = kinds[1][1::2] + kinds[0][1::2]
     y = np.repeat([1.0, 0.0], [len(kinds[1][1::2]), len(kinds[0][1::2])])
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    curve = logistic(differences(texts, compressor(good), compressor(bad)), y, weight)
+    curve = logistic(features(texts, compressor(good), compressor(bad)), y, weight)
     return {"share": share, "good": good, "bad": bad, "curve": curve}
 
 
@@ -86,8 +97,8 @@ def score_texts(docs: DataFrame, model: dict) -> DataFrame:
         own = shared.value
         texts = byte_views(batch.column("text"))
         if "curve" in own:
-            x = differences(texts, compressor(own["good"]), compressor(own["bad"]))
-            score = 1 / (1 + np.exp(-np.clip(own["curve"][0] + own["curve"][1] * x, -30, 30)))
+            found = features(texts, compressor(own["good"]), compressor(own["bad"]))
+            x, score = found[:, 0], probability(found, own["curve"])
         else:
             x, score = np.zeros(len(texts)), np.full(len(texts), own["share"])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x), pa.array(score)], names=["doc_id", "difference", "score"])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import documents, held_out, map_texts
 from tallyfold.llm.labelled import training_rows
-from tallyfold.llm.quality import logistic
+from tallyfold.llm.quality import logistic, probability
 
 ROWS = 3000
 BITS = 20
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     place = telling(*pick(~aside), y[~aside])
     machine = Machine(int(place.max()) + 1)
     machine.fit(*kept(place, *pick(~aside)), y[~aside], weight[~aside])
-    curve = logistic(machine.raw(*kept(place, *pick(aside))), y[aside], weight[aside], ridge=0.1)
+    curve = logistic(machine.raw(*kept(place, *pick(aside)))[:, None], y[aside], weight[aside], ridge=0.1)
     return {"share": share, "place": place, "bias": machine.bias, "weight": machine.weight, "factor": machine.factor, "curve": curve}
 
 
@@ -175,7 +175,7 @@ def score_texts(docs: DataFrame, model: dict) -> DataFrame:
             machine = Machine.__new__(Machine)
             machine.bias, machine.weight, machine.factor = own["bias"], own["weight"], own["factor"]
             raw = machine.raw(*kept(own["place"], *text_slots(batch.column("text"))))
-            score = 1 / (1 + np.exp(-np.clip(own["curve"][0] + own["curve"][1] * raw, -30, 30)))
+            score = probability(raw[:, None], own["curve"])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     return map_texts(documents(docs), work, "doc_id long, score double", limit=8 << 20)
