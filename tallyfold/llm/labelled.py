@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import documents, smallest_sample
 
-LONGEST = 64 << 10
+LONGEST = 32 << 10
 """Documents of more bytes than this aren't used for training; with the row bound it bounds what is collected."""
 
 

@@ -146,17 +146,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     """Machine and curve. Every fourth text of the sample is left for the curve."""
     sample, counts = training_rows(docs, labels, label, held_out(4, 2), rows)
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.0
-    found = sorted(((r["doc_id"], r["y"], r["slots"]) for r in slots_of(sample, "doc_id", "y").collect()), key=lambda r: r[:2])
-    y = np.array([r[1] for r in found], float)
+    found = slots_of(sample, "doc_id", "y").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    y = found.column("y").to_numpy().astype(float)
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return {"share": share}
-    count = np.array([len(r[2]) for r in found])
+    lists = found.column("slots").combine_chunks()
+    flat, count = lists.flatten().to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy().astype(np.int64)
     weight = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y)
     rank = np.empty(len(y), int)
     for k in (0, 1):
         rank[y == k] = np.arange((y == k).sum())
     aside = rank % 4 == 1
-    pick = lambda m: (np.array([s for r, ok in zip(found, m) if ok for s in r[2]], np.int64), count[m])
+    pick = lambda m: (flat[np.repeat(m, count)], count[m])
     place = telling(*pick(~aside), y[~aside])
     machine = Machine(int(place.max()) + 1)
     machine.fit(*kept(place, *pick(~aside)), y[~aside], weight[~aside])
