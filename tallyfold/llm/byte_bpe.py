@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import documents, held_by_worker, map_texts
+from tallyfold.llm.common import documents, give_back, held_by_worker, map_texts
 from tallyfold.llm.pieces import PieceEncoder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-MEMORY = 300_000
+MEMORY = 600_000
 """Strings whose ids a worker remembers."""
 SLICE = 4 << 20
 """Bytes of text that are encoded at once."""
@@ -196,6 +196,7 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
         columns = {"doc_id": batch.column("doc_id"), "ids": ids}
         if decoded:
             columns["decoded"] = decode_lists(ids, ranks)
+        give_back()
         return pa.RecordBatch.from_pydict(columns)
 
     return map_texts(documents(docs), work, "doc_id long, ids array<int>" + ", decoded binary" * decoded, limit=SLICE)

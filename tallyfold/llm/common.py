@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,6 +60,15 @@ def map_texts(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return docs.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the C library keep for later, so that an idle worker stays small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 _HELD: dict = {}
 
 

@@ -24,20 +24,21 @@ _AWKWARD = r"(^|[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{20
 
 
 class Memory:
-    """Ids of strings met before, flat."""
+    """Ids of strings met before. Keys are one Arrow array, ids are flat: some tens of bytes a string."""
 
     def __init__(self):
-        self.at: dict[str, int] = {}
-        self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys = pa.array([""], pa.large_string())  # the empty string has no ids
+        self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def add(self, keys: list[str], flat: np.ndarray, count: np.ndarray) -> None:
-        self.at.update(zip(keys, range(len(self.start), len(self.start) + len(keys))))
+    def add(self, keys: pa.Array, flat: np.ndarray, count: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, keys])
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
 
-    def numbers(self, keys: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+    def numbers(self, keys: pa.Array) -> np.ndarray:
+        """The number of each key, -1 where it isn't known."""
+        return pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def get(self, own: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all numbered keys in a row, and how many each group of keys has; ``groups`` has the number of its keys."""
@@ -62,57 +63,62 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has. Null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        n = len(texts)
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         awkward = pc.match_substring_regex(texts, _AWKWARD).to_numpy(zero_copy_only=False)
         easy = pc.split_pattern(pc.if_else(pa.array(awkward), "", texts), " ")
         parts = easy.flatten().dictionary_encode()
         own = parts.indices.to_numpy().astype(np.int64)
         size = pc.list_value_length(easy).to_numpy().astype(np.int64)
         first = np.cumsum(size) - size
-        # a text's first part has no space before it
-        width = len(parts.dictionary)
+        # a text's first part has no space before it, every other one has
+        words = parts.dictionary.cast(pa.large_string())
+        width = len(words)
         own[first] += width
         used = np.flatnonzero(np.bincount(own, minlength=2 * width))
-        words = parts.dictionary.to_pylist()
-        units = [" " + words[i] if i < width else words[i - width] for i in used.tolist()]
-        place = np.zeros(2 * width, np.int64)
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, pa.scalar(" ", pa.large_string()))
+        units = pa.concat_arrays([spaced, words]).take(pa.array(used))
         hard = [_BEFORE_SPACE.split(texts[i].as_py()) for i in np.flatnonzero(awkward).tolist()]
-        self.learn(units, chain.from_iterable(hard))
+        others = pa.array(list(chain.from_iterable(hard)), pa.large_string())
+        every = pc.unique(pa.concat_arrays([units, others]))
+        self.learn(every)
+        place = np.zeros(2 * width, np.int64)
         place[used] = self.known.numbers(units)
         numbers = place[own]
         if hard:
             # the awkward texts' parts go where their one empty part stood
-            counts = np.array([len(x) for x in hard])
-            other = self.known.numbers(list(chain.from_iterable(hard)))
-            size[awkward] = counts
+            size[awkward] = [len(x) for x in hard]
             out = np.empty(int(size.sum()), np.int64)
             mine = np.repeat(awkward, size)
-            out[mine] = other
+            out[mine] = self.known.numbers(others)
             out[~mine] = np.delete(numbers, first[awkward])
             numbers = out
-        return self.known.get(numbers, size) if n else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        return self.known.get(numbers, size)
 
-    def learn(self, units: list[str], more) -> None:
-        """Make sure that all these parts of texts are known."""
+    def learn(self, units: pa.Array) -> None:
+        """Make sure that all these distinct parts of texts are known."""
         gc.disable()  # hundreds of thousands of lists of strings, none in a cycle
         try:
-            self._learn(units, more)
+            new = units.filter(pa.array(self.known.numbers(units) < 0))
+            if len(self.known.keys) + len(new) > self.limit:
+                self.known = Memory()
+                new = units
+            if len(new):
+                self._learn(new)
         finally:
             gc.enable()
 
-    def _learn(self, units: list[str], more) -> None:
-        if len(self.known.at) > self.limit:
-            self.known = Memory()
+    def _learn(self, new: pa.Array) -> None:
         known = self.known
-        if "" not in known.at:
-            known.add([""], np.zeros(0, np.int32), np.zeros(1, np.int64))
-        new = list(dict.fromkeys(x for x in chain(units, more) if x not in known.at))
-        if not new:
-            return
-        parts = list(map(self.pattern.findall, new))
-        fresh = list(set(chain.from_iterable(parts)).difference(known.at))
-        known.add(fresh, *self.encode_pieces(fresh))
-        rest = [(u, own) for u, own in zip(new, parts) if len(own) > 1]
-        if rest:
-            flat, count = known.get(known.numbers(list(chain.from_iterable(own for _, own in rest))), np.fromiter((len(own) for _, own in rest), np.int64, len(rest)))
-            known.add([u for u, _ in rest], flat, count)
+        parts = list(map(self.pattern.findall, new.to_pylist()))
+        groups = np.fromiter(map(len, parts), np.int64, len(parts))
+        pieces = pa.array(list(chain.from_iterable(parts)), pa.large_string()).dictionary_encode()
+        distinct = pieces.dictionary
+        fresh = distinct.filter(pa.array(known.numbers(distinct) < 0))
+        if len(fresh):
+            known.add(fresh, *self.encode_pieces(fresh.to_pylist()))
+        # a part of one piece is that piece; the others are their pieces in a row
+        flat, count = known.get(known.numbers(distinct)[pieces.indices.to_numpy()], groups)
+        several = groups > 1
+        if several.any():
+            known.add(new.filter(pa.array(several)), flat[np.repeat(several, count)], count[several])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import documents, held_by_worker, slices, work_folder
+from tallyfold.llm.common import documents, give_back, held_by_worker, slices, work_folder
 from tallyfold.llm.pieces import PieceEncoder
 from tallyfold.session import cut_lineage
 
@@ -39,7 +39,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 BLOCK = 1024
 PERCENTILE = 95
 END_ID = 0
-MEMORY = 300_000
+MEMORY = 600_000
 """Strings whose ids a worker remembers."""
 _HEAD = struct.Struct("<4sQQQII")
 
@@ -181,6 +181,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: in
             ids[~ends] = flat
             data = frame(batch.column("doc_id"), ids, length)
             yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["frame"])
+            del flat, ids, ends, data
+            give_back()
 
     dealt = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # the text writer puts the bytes of a row and one newline into the file as they are
