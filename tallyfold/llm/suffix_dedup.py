@@ -9,9 +9,12 @@ neighbours are compared for how far they agree to the right, then to the left,
 and a window of ``LENGTH`` words that agrees is a repeat. The result is exact:
 every window of ``LENGTH`` words that occurs at two places is found, and no other.
 
-Suffixes that share their first words form a block. Blocks beyond ``BLOCK_ROWS``
-are not sorted in one task: their windows are grouped by 128-bit hashes, with
-counts combined before the shuffle.
+Suffixes that share their first ``GRAM`` words form a block. A block beyond
+``BLOCK_ROWS`` (a line that very many documents share) is split by content: a
+window either reaches far right of the position or far left of it, so suffixes
+only meet those with the same further words on that side. What is still too
+large is a repeated passage itself; its windows are grouped by 128-bit hashes,
+with counts combined before the shuffle.
 
 Null, empty and shorter texts have no windows, rows without a ``doc_id`` are left
 out. Rows that repeat a ``doc_id`` and
@@ -23,16 +26,19 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import byte_views, documents, slices
+from tallyfold.llm.common import byte_views, documents, give_back, slices, work_folder
 from tallyfold.session import cut_lineage
 
 LENGTH = 50
 GRAM = 8
 BLOCK_ROWS = 20_000
+SIEVE = 1 << 20
+WHOLE, RIGHT, LEFT = 0, 1, 2
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -65,23 +71,47 @@ def minimisers(hashes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tu
     return at, key[at]
 
 
+def range_hashes(hashes: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` words from each start; the same words have the same one wherever they stand."""
+    n = len(hashes)
+    power = np.cumprod(np.append(np.uint64(1), np.full(n, _ODD, np.uint64)))
+    back = np.cumprod(np.append(np.uint64(1), np.full(n, pow(_ODD, -1, 1 << 64), np.uint64)))
+    total = np.append(np.uint64(0), np.cumsum(hashes * power[:n]))
+    out = (total[start + size] - total[start]) * back[start]
+    return (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id``, ``text_key``, ``pos``, ``gram``: the chosen suffixes of each document."""
+    """``doc_id``, ``text_key``, ``pos``, ``gram``: the chosen suffixes of each document.
+
+    ``right`` is a hash of the words that every window with at most half of its
+    reach left of the position has, ``left`` of those of all other windows; null
+    where the text has no such window.
+    """
+    reach = length - gram
+    half = reach // 2
 
     def run(batches):
         for batch in slices(batches, limit=4 << 20):
-            at, keys, count = [], [], []
+            at, keys, count, sides = [], [], [], []
             for raw in byte_views(batch.column("text")):
-                p, k = minimisers(word_hashes(raw), length, gram)
+                own = word_hashes(raw)
+                p, k = minimisers(own, length, gram)
+                fits = p + length - half <= len(own), p > half
+                side = np.zeros((2, len(p)), np.uint64)
+                side[0, fits[0]] = range_hashes(own, p[fits[0]], length - half)
+                side[1, fits[1]] = range_hashes(own, p[fits[1]] - half - 1, half + 1 + gram)
                 at.append(p)
                 keys.append(k)
                 count.append(len(p))
-            own = np.repeat(np.arange(batch.num_rows), count)
+                sides.append((side, *fits))
+            own = pa.array(np.repeat(np.arange(batch.num_rows), count))
+            right, left = (pa.array(np.concatenate([x[0][i] for x in sides]).view(np.int64), mask=~np.concatenate([x[1 + i] for x in sides])) for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(own)), batch.column("text_key").take(pa.array(own)),
-                 pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64))], names=["doc_id", "text_key", "pos", "gram"])
+                [batch.column("doc_id").take(own), batch.column("text_key").take(own), pa.array(np.concatenate(at).astype(np.int32)),
+                 pa.array(np.concatenate(keys).view(np.int64)), right, left], names=["doc_id", "text_key", "pos", "gram", "right", "left"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, pos int, gram long")
+    return docs.mapInArrow(run, "doc_id long, text_key long, pos int, gram long, right long, left long")
 
 
 def contexts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -93,29 +123,37 @@ def contexts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     reach = length - gram
 
     def run(batches):
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=2 << 20):
             rows = []
             for doc_id, raw, chosen in zip(batch.column("doc_id").to_pylist(), byte_views(batch.column("text")), batch.column("chosen").to_pylist()):
                 words = raw.split()
                 for x in chosen:
                     p = x["pos"]
-                    rows.append((doc_id, p, x["gram"], x["hot"], b" ".join(words[max(0, p - reach):p]), b" ".join(words[p:p + length])))
+                    rows.append((doc_id, p, x["kind"], x["key"], b" ".join(words[max(0, p - reach):p]), b" ".join(words[p:p + length])))
             if rows:
-                doc, pos, gram_, hot, before, after = zip(*rows)
+                doc, pos, kind, key, before, after = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(gram_, pa.int64()), pa.array(hot, pa.bool_()),
-                     pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["doc_id", "pos", "gram", "hot", "before", "after"])
+                    [pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(kind, pa.int32()), pa.array(key, pa.int64()),
+                     pa.array(before, pa.binary()).cast(pa.string()), pa.array(after, pa.binary()).cast(pa.string())], names=["doc_id", "pos", "kind", "key", "before", "after"])
+
+    return docs.mapInArrow(run, "doc_id long, pos int, kind int, key long, before string, after string")
 
-    return docs.mapInArrow(run, "doc_id long, pos int, gram long, hot boolean, before binary, after binary")
 
+def _words(text: pa.Array, width: int, right: bool, of: pa.Array) -> np.ndarray:
+    """Word numbers of each row, nearest to the position first; where a row has no word, a number no other row has.
 
-def _words(column: list[bytes], width: int, right: bool, numbers: dict[bytes, int]) -> np.ndarray:
-    """Word numbers of each row, nearest to the position first; where a row has no word, a number no other row has."""
-    out = -1 - np.arange(len(column), dtype=np.int64)[:, None].repeat(width, axis=1)
-    for i, text in enumerate(column):
-        own = text.split()
-        own = own[:width] if right else own[::-1][:width]
-        out[i, :len(own)] = [numbers.setdefault(w, len(numbers)) for w in own]
+    ``of`` numbers the words: their index in it.
+    """
+    parts = pc.split_pattern(text.cast(pa.large_string()), " ")
+    size = pc.list_value_length(parts).to_numpy().astype(np.int64)
+    number = pc.index_in(parts.flatten(), value_set=of).to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    if not right:
+        at = size[row] - 1 - at
+    good = at < width
+    out = np.repeat(-1 - np.arange(len(size), dtype=np.int64)[:, None], width, axis=1)
+    out[row[good], at[good]] = number[good]
     return out
 
 
@@ -127,27 +165,33 @@ def _same(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_repeats(frame: pd.DataFrame, length: int = LENGTH, gram: int = GRAM) -> pd.DataFrame:
+def block_repeats(table: pa.Table, length: int = LENGTH, gram: int = GRAM) -> pa.Table:
     """Repeated windows in complete blocks of suffixes, sorted by block and by what follows.
 
     A row for each suffix and each earliest place that some of its windows also
     stand at: the windows start ``high`` down to ``low`` words before the suffix.
     """
     reach = length - gram
-    numbers: dict[bytes, int] = {}
-    right = _words(frame["after"].tolist(), length, True, numbers)
-    left = _words(frame["before"].tolist(), reach, False, numbers)
-    block = frame["gram"].to_numpy()
+    after, before = (table.column(x).combine_chunks().cast(pa.large_string()) for x in ("after", "before"))
+    # the empty text has one empty word, which is none
+    every = pc.unique(pa.concat_arrays([pc.split_pattern(x, " ").flatten() for x in (after, before)]))
+    right, left = _words(after, length, True, every), _words(before, reach, False, every)
+    empty = pc.equal(before, "").to_numpy(zero_copy_only=False)
+    left[empty] = -1 - np.flatnonzero(empty)[:, None]
+    block, kind = table.column("key").to_numpy(), table.column("kind").to_numpy()
     agree = _same(right)
-    agree[1:][block[1:] != block[:-1]] = 0
-    doc, pos = frame["doc_id"].to_numpy(), frame["pos"].to_numpy().astype(np.int64)
-    mixed = np.zeros(len(frame), np.uint64)
+    agree[1:][(block[1:] != block[:-1]) | (kind[1:] != kind[:-1])] = 0
+    doc, pos = table.column("doc_id").to_numpy(), table.column("pos").to_numpy().astype(np.int64)
+    mixed = np.zeros(len(doc), np.uint64)
     parts = []
     for back in range(reach + 1):
         if back:
             mixed = mixed * np.uint64(_ODD) + left[:, back - 1].astype(np.uint64) + np.uint64(1)
         run = np.cumsum(agree < length - back)  # suffixes that agree in length - back words stand together
-        order = np.lexsort((pos, doc, mixed, run))
+        mine = np.flatnonzero((kind == WHOLE) | (kind == (RIGHT if back <= reach // 2 else LEFT)))
+        order = mine[np.lexsort((pos[mine], doc[mine], mixed[mine], run[mine]))]
+        if not len(order):
+            continue
         run_, mixed_ = run[order], mixed[order]
         same = np.append(False, (run_[1:] == run_[:-1]) & (mixed_[1:] == mixed_[:-1]))
         if back:
@@ -156,35 +200,38 @@ def block_repeats(frame: pd.DataFrame, length: int = LENGTH, gram: int = GRAM) -
         start = np.flatnonzero(~same)
         size = np.diff(np.append(start, len(order)))
         first = order[np.repeat(start, size)]
-        several = np.repeat((np.maximum.reduceat(doc[order], start) != doc[order[start]]) | (np.maximum.reduceat(pos[order], start) != pos[order[start]]), size) if len(order) else np.zeros(0, bool)
+        several = np.repeat((np.maximum.reduceat(doc[order], start) != doc[order[start]]) | (np.maximum.reduceat(pos[order], start) != pos[order[start]]), size)
         mine, source = order[several], first[several]
         if len(mine):
             parts.append(pd.DataFrame({"row": mine, "back": back, "src_doc": doc[source], "shift": pos[source] - pos[mine]}))
-    if not parts:
-        return pd.DataFrame({"doc_id": [], "src_doc": [], "shift": [], "start": [], "end": []}).astype("int64")
-    found = pd.concat(parts).groupby(["row", "src_doc", "shift"], as_index=False, dropna=False)["back"].agg(["min", "max"])
+    found = pd.concat(parts).groupby(["row", "src_doc", "shift"], as_index=False)["back"].agg(["min", "max"]) if parts else pd.DataFrame(
+        {x: np.zeros(0, np.int64) for x in ("row", "src_doc", "shift", "min", "max")})
     row = found["row"].to_numpy()
-    return pd.DataFrame({"doc_id": doc[row], "src_doc": found["src_doc"].to_numpy(), "shift": found["shift"].to_numpy(),
-                         "start": pos[row] - found["max"].to_numpy(), "end": pos[row] - found["min"].to_numpy() + length})
+    return pa.table({"doc_id": doc[row], "src_doc": found["src_doc"].to_numpy(), "shift": found["shift"].to_numpy(),
+                     "start": pos[row] - found["max"].to_numpy(), "end": pos[row] - found["min"].to_numpy() + length})
 
 
 def sorted_repeats(suffixes: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Repeats within the blocks, each sorted in one partition."""
-    ordered = suffixes.repartition("gram").sortWithinPartitions("gram", "after")
+    ordered = suffixes.repartition("kind", "key").sortWithinPartitions("kind", "key", "after")
 
-    def run(frames):
-        rest = None
-        for frame in frames:
-            rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            last = rest["gram"].to_numpy()
-            open_from = int(np.flatnonzero(last != last[-1]).max(initial=-1)) + 1
-            done, rest = rest.iloc[:open_from], rest.iloc[open_from:].reset_index(drop=True)
-            if len(done):
-                yield block_repeats(done, length, gram)
-        if rest is not None and len(rest):
-            yield block_repeats(rest, length, gram)
-
-    return ordered.mapInPandas(run, "doc_id long, src_doc long, shift long, start long, end long")
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # the rows of blocks that aren't complete yet
+        for batch in slices(batches, "after", 3 << 20):
+            block = np.stack([batch.column("kind").to_numpy(), batch.column("key").to_numpy()])
+            open_from = int(np.flatnonzero((block != block[:, -1:]).any(axis=0)).max(initial=-1)) + 1
+            if open_from or (held and (held[-1].column("kind")[-1].as_py(), held[-1].column("key")[-1].as_py()) != tuple(block[:, 0])):
+                done = pa.Table.from_batches([*held, batch.slice(0, open_from)])
+                held = []
+                yield from block_repeats(done, length, gram).to_batches(max_chunksize=10_000)
+                del done
+                give_back()
+            held.append(batch.slice(open_from))
+        if held:
+            yield from block_repeats(pa.Table.from_batches(held), length, gram).to_batches(max_chunksize=10_000)
+            give_back()
+
+    return ordered.mapInArrow(run, "doc_id long, src_doc long, shift long, start long, end long")
 
 
 def hashed_repeats(suffixes: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -194,11 +241,13 @@ def hashed_repeats(suffixes: DataFrame, length: int = LENGTH, gram: int = GRAM)
     def run(batches):
         for batch in slices(batches, "after", 1 << 20):
             doc, pos, h1, h2 = [], [], [], []
-            for d, p, before, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "before", "after"))):
-                words = before.split()
+            for d, p, kind, before, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "kind", "before", "after"))):
+                words = before.encode().split()
                 base = len(words)
-                words += after.split()
-                for back in range(min(base, reach) + 1):
+                words += after.encode().split()
+                for back in range(reach // 2 + 1) if kind == RIGHT else range(reach // 2 + 1, reach + 1):
+                    if back > base:
+                        break
                     window = words[base - back:base - back + length]
                     if len(window) == length:
                         own = b" ".join(window)
@@ -225,15 +274,34 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     the first place, and ``removed``, false where the row is the first place
     itself. Places are ordered by ``doc_id``, then position.
     """
+    spark = docs.sparkSession
     texts = documents(docs).where((F.length("text") >= 2 * length - 1) & F.col("doc_id").isNotNull()).withColumn("text_key", F.xxhash64("text"))
-    own = cut_lineage(anchors(texts, length, gram))
+    folder = f"{work_folder(spark)}/anchors"
+    anchors(texts, length, gram).write.parquet(folder)
+    own = spark.read.parquet(folder)
     again = own.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    kept = own.join(again, "gram").select("doc_id", "text_key", F.struct("pos", "gram", (F.col("n") > block_rows).alias("hot")).alias("x"))
-    lists = kept.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("x")).alias("chosen")).withColumnsRenamed({"doc_id": "d", "text_key": "k"})
-    chosen = texts.join(lists, texts["doc_id"].eqNullSafe(lists["d"]) & (texts["text_key"] == lists["k"])).select("doc_id", "text", "chosen")
-    suffixes = cut_lineage(contexts(chosen, length, gram).distinct())
-    found = sorted_repeats(suffixes.where("not hot").drop("hot"), length, gram).union(hashed_repeats(suffixes.where("hot").drop("hot"), length, gram))
+    place = ["doc_id", "text_key", "pos"]
+    whole = own.join(again.where(F.col("n") <= block_rows), "gram").select(*place, F.lit(WHOLE).alias("kind"), F.col("gram").alias("key"))
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(x).alias("key")) for k, x in ((RIGHT, "right"), (LEFT, "left"))]))
+    halves = own.join(again.where(F.col("n") > block_rows).select("gram"), "gram").select(*place, sides.alias("x")).select(*place, "x.*").where("key is not null")
+    sizes = halves.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
+
+    def suffixes(chosen: DataFrame) -> DataFrame:
+        """The words around the chosen anchors; texts without any stay where they are."""
+        lists = cut_lineage(chosen.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("pos", "kind", "key"))).alias("chosen")))
+        # at most SIEVE numbers, whatever the corpus: a coarse filter before the texts are shuffled
+        sieve = lists.select(F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("sieve")).distinct()
+        some = texts.withColumn("sieve", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))).join(F.broadcast(sieve), "sieve", "left_semi").drop("sieve")
+        return contexts(some.join(lists, ["doc_id", "text_key"]).select("doc_id", "text", "chosen"), length, gram)
+
+    small = halves.join(sizes.where(F.col("n") <= block_rows).select("kind", "key"), ["kind", "key"]).select(*place, "kind", "key")
+    found = sorted_repeats(suffixes(whole.union(small)), length, gram)
+    large = sizes.where(F.col("n") > block_rows)
+    if not large.isEmpty():
+        found = found.union(hashed_repeats(suffixes(halves.join(large.select("kind", "key"), ["kind", "key"]).select(*place, "kind", "key")), length, gram))
     # overlapping or touching windows with the same source are one passage
+    # rows are many but small and alike, so their number of partitions isn't left to their compressed size
+    found = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "src_doc", "shift")
     along = Window.partitionBy("doc_id", "src_doc", "shift").orderBy("start", "end")
     reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     opened = found.withColumn("new", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
