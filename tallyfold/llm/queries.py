@@ -65,7 +65,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op2_token_blocks": op2_token_blocks,
     "op4_decontamination": decontamination.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
