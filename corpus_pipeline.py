@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import byte_bpe, decontamination, exact_dedup, language_id, simhash
+from tallyfold.llm import byte_bpe, decontamination, exact_dedup, language_id, near_documents
 from tallyfold.llm.common import work_folder
 
 ORACLE_SQL = None
@@ -35,9 +35,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the smallest ``doc_id``, of each SimHash group."""
-    groups = simhash.near_groups(docs)
-    return _keep(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Keeps one document, the smallest ``doc_id``, of those linked by a five-word Jaccard similarity of 0.8 or more."""
+    return near_documents.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,15 +46,18 @@ def shingles(text: bytes, size: int = SHINGLE) -> list[bytes]:
     return list(map(b" ".join, zip(*(own[i:] for i in range(size)))))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes."""
+    total = np.zeros(BITS, dtype=np.int64)
+    for a in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[a:a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
     """A bit is set if it is set in over half of the shingles' hashes."""
     own = shingles(text, size)
-    total = np.zeros(BITS, dtype=np.int64)
-    for a in range(0, len(own), 1 << 16):
-        part = own[a:a + (1 << 16)]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(seed)), dtype=np.uint64, count=len(part))
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(own), bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(seed)), dtype=np.uint64, count=len(own)))
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -144,6 +147,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, block_r
         signed = bits - (1 << 64) if bits >= 1 << 63 else bits
         keys.append(F.struct(F.lit(n).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(signed)).alias("k")))
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("x")).select("x.t", "x.k", "fp")
+    return bucket_pairs(rows, radius, block_rows)
+
+
+def bucket_pairs(rows: DataFrame, radius: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (``a``, ``b``) that connect all fingerprints ``fp`` within ``radius`` of a bucket (``t``, ``k``)."""
     sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block_rows).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")

@@ -1,6 +1,7 @@
 """Decontamination and the whole pipeline."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -10,7 +11,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from compare import compare, duck
 from llm_data import SF
-from tallyfold.llm import decontamination
+from tallyfold.llm import decontamination, near_documents
 from test_dedup import plain_components, plain_fingerprint
 
 
@@ -83,3 +84,24 @@ def test_pipeline_matches_a_plain_version(spark):
     want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept if i not in dirty}
     got = {r.doc_id: r.decoded_sha256 for r in entry.queries()["pipeline"](spark, SF).collect()}
     assert got == want and len(want) > 50
+
+
+@pytest.mark.parametrize("settings", [{}, {"block_rows": 4}, {"block_bytes": 2000}])
+def test_near_stage_is_five_words_at_four_fifths(spark, settings):
+    """Against brute force: pairs far beyond two differing bits, chains, groups split into blocks, short and empty texts."""
+    rng = random.Random(5)
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 99)}" for _ in range(n)]
+    base = [words(n) for n in (12, 60, 100, 300, 500)]
+    docs = [(None, "a b"), (200, "A  b"), (201, ""), (202, None), (203, "one"), (None, " ".join(base[2])), (None, " ".join(words(40)))]
+    for i in range(60):
+        own = list(rng.choice(base))
+        for at in rng.sample(range(len(own)), rng.choice([0, 1, 2, len(own) // 70, len(own) // 40, len(own) // 25])):
+            own[at] = f"edit{rng.randint(0, 9)}"
+        docs.append((i, " ".join(own)))
+    sets = [frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for _, t in docs]
+    order = sorted(range(len(docs)), key=lambda n: (docs[n][0] is None, docs[n][0] or 0))
+    label = plain_components([(place, sets[n]) for place, n in enumerate(order)], lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    want = sorted((docs[n] for place, n in enumerate(order) if label[place] == place), key=repr)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = near_documents.one_of_each(frame, **settings) if settings else corpus_pipeline.drop_near_copies(spark, frame, SF)
+    assert sorted(map(tuple, got.collect()), key=repr) == want and len(want) < 50
