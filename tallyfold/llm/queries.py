@@ -32,7 +32,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.near_paragraphs(_table(spark, sf_dir, "documents"))
+    return paragraph_dedup.near_paragraphs(_table(spark, sf_dir, "documents"), least=1)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

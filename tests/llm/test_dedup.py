@@ -170,6 +170,30 @@ def test_near_paragraphs_match_brute_force(spark):
         assert all(r.removed == ((r.doc_id, r.paragraph) != (r.keep_doc_id, r.keep_paragraph)) for r in got)
 
 
+def test_short_lines_are_compared(spark, tmp_path):
+    """Through the query: lines of any number of words, repeats inside a run, hard-wrapped passages."""
+    rng = random.Random(9)
+    words = lambda n: [rng.choice("abcdefghijklm") * rng.randint(1, 3) + rng.choice("xyz") for _ in range(n)]
+    base = [words(n) for n in (1, 2, 4, 5, 6, 8, 9, 10, 12, 15, 19)] + [["a"] * 5, ["a"] * 7, ["a", "b"] * 4, ["a", "b"] * 9, ["a"] * 30]
+    docs = []
+    for i in range(50):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            line = list(rng.choice(base)) if rng.random() < 0.7 else words(rng.randint(0, 19))
+            if line and rng.random() < 0.3:
+                line[rng.choice([0, -1])] = rng.choice(["edit", "other"])
+            lines.append(" ".join(line).upper() if rng.random() < 0.2 else " ".join(line))
+        docs.append((i, "\n".join(lines)))
+    docs += [(100 + i, "\n".join(" ".join(f"w{k}" for k in range(a, a + 9)) for a in range(0, 63, 9))) for i in range(2)]
+    sets = {(i, n): frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) for i, t in docs for n, line in enumerate(t.split("\n")) if (w := line.lower().split())}
+    label = plain_components([(k, v) for k, v in sets.items()], lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    sizes = list(label.values())
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = entry.queries()["op6_paragraph_dedup"](spark, str(tmp_path)).collect()
+    assert {((r.doc_id, r.paragraph), (r.keep_doc_id, r.keep_paragraph)) for r in got} == {(k, c) for k, c in label.items() if sizes.count(c) > 1}
+    assert sum(r.doc_id == 101 and r.keep_doc_id == 100 for r in got) == 7
+
+
 def test_near_paragraphs_of_odd_documents(odd_docs):
     got = {(r.doc_id, r.keep_doc_id) for r in paragraph_dedup.near_paragraphs(odd_docs).collect()}
     assert got == {(1, 1), (2, 1), (13, 1), (6, 6), (7, 6)}
