@@ -21,6 +21,7 @@ An empty table writes no frame and reads back empty.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -138,7 +140,51 @@ def frames(content: memoryview) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarr
         at += size + 1
 
 
-def encoder(path: str) -> PieceEncoder:
+class TextEncoder:
+    """Whole texts to ids: added tokens of the file are found first, what stands between them goes by pieces.
+
+    An added token that takes in its surroundings (white space, whole words
+    only, normalised text) is left to the library, text by text.
+    """
+
+    def __init__(self, pieces: PieceEncoder, tokenizer):
+        self.pieces, self.tokenizer = pieces, tokenizer
+        added = tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        self.plain = tokenizer.normalizer is None and not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        # the longest of those that begin at one place, as in the library
+        self.pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has. Null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        hit = np.zeros(len(texts), bool)
+        for content in self.added:
+            hit |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not hit.any():
+            return self.pieces.encode(texts)
+        units, ready, size = [], [], []
+        for text, special in zip(texts.to_pylist(), hit.tolist()):
+            if not special:
+                own = [(text, None)]
+            elif self.plain:
+                own = [("", [self.added[x]]) if n % 2 else (x, None) for n, x in enumerate(self.pattern.split(text))]
+            else:
+                own = [("", self.tokenizer.encode(text, add_special_tokens=False).ids)]
+            units += [x for x, _ in own]
+            ready += [x for _, x in own]
+            size.append(len(own))
+        flat, count = self.pieces.encode(pa.array(units, pa.large_string()))
+        given = np.array([x is not None for x in ready])
+        count = np.where(given, [len(x or ()) for x in ready], count)
+        mine = np.repeat(given, count)
+        out = np.empty(len(mine), np.int64)
+        out[~mine] = flat
+        out[mine] = [i for x in ready for i in x or ()]
+        return out, np.add.reduceat(count, np.cumsum(size) - size)
+
+
+def encoder(path: str) -> TextEncoder:
     """This worker's encoder.
 
     The file's pre-tokenizer splits by the public pattern and encodes each match
@@ -146,10 +192,11 @@ def encoder(path: str) -> PieceEncoder:
     the byte alphabet of the vocabulary.
     """
 
-    def build() -> PieceEncoder:
+    def build() -> TextEncoder:
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path).model
+        tokenizer = Tokenizer.from_file(path)
+        model = tokenizer.model
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(printable)]
         alphabet = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
@@ -159,7 +206,7 @@ def encoder(path: str) -> PieceEncoder:
             count = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for own in found for i in own), np.int64, int(count.sum())), count
 
-        return PieceEncoder(ids, public_tokenizers.PATTERN, MEMORY)
+        return TextEncoder(PieceEncoder(ids, public_tokenizers.PATTERN, MEMORY), tokenizer)
 
     return held_by_worker(("token_blocks", path), build)
 

@@ -116,3 +116,18 @@ def test_token_files_of_odd_documents(spark, odd_docs, tmp_path):
 def test_empty_tables(spark, no_docs, tmp_path):
     assert byte_bpe.token_digests(no_docs).count() == 0
     assert token_blocks.token_files(no_docs, str(tmp_path / "none")).count() == 0
+
+
+def test_added_tokens_as_in_the_library():
+    """The library in its default state finds the file's added tokens in a text."""
+    library = Tokenizer.from_file(token_blocks.TOKENIZER)
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", "none", end, end + end, f" {end}  x", "", f"a{end}b <|endoftext|", *odd_texts(), *(f"{a}{end}{b}" for a, b in zip(odd_texts(), odd_texts()[40:]))]
+    flat, count = token_blocks.encoder(token_blocks.TOKENIZER).encode(pa.array([*texts, None]))
+    got = [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
+    assert got[0] == [505, 220, 50256, 734]
+    other = token_blocks.TextEncoder(token_blocks.encoder(token_blocks.TOKENIZER).pieces, library)
+    other.plain = False
+    flat, count = other.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == got[:-1]
