@@ -10,38 +10,66 @@ from __future__ import annotations
 
 import gc
 import re
-from collections.abc import Callable
-from itertools import chain
+from collections.abc import Callable, Iterable
+from itertools import chain, repeat
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+# parts that the public pattern cuts just here: Latin letters, ASCII signs but the apostrophe, one line end, the same once more
+_SIGNS, _LETTERS = r"([!-&(-/:-@\[-`{-~]*)", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PLAIN = re.compile(f"( ?[{_LETTERS}]+){_SIGNS}(\n?)([{_LETTERS}]*){_SIGNS}")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 # white space before a space: such a text is cut by the pattern above, not at every space
 _AWKWARD = r"(^|[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]) "
 
 
 class Memory:
-    """Ids of strings met before. Keys are one Arrow array, ids are flat: some tens of bytes a string."""
+    """Numbers of strings met before: a table from the string to its place, and their numbers in one growing array."""
 
     def __init__(self):
-        self.keys = pa.array([""], pa.large_string())  # the empty string has no ids
-        self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def add(self, keys: pa.Array, flat: np.ndarray, count: np.ndarray) -> None:
-        self.keys = pa.concat_arrays([self.keys, keys])
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-
-    def numbers(self, keys: pa.Array) -> np.ndarray:
-        """The number of each key, -1 where it isn't known."""
-        return pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.place = {"": 0}  # the empty string has no ids
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.start, self.count, self.uses = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.place)
+
+    def add(self, keys: list[str], flat: np.ndarray, count: np.ndarray) -> None:
+        """Keys that aren't known yet, their numbers in a row, and how many each has."""
+        n = len(self.place)
+        self.place.update(zip(keys, range(n, n + len(keys))))
+        self.start, self.count, self.uses = (_room(x, n + len(keys)) for x in (self.start, self.count, self.uses))
+        self.start[n:n + len(keys)] = self.used + np.cumsum(count) - count
+        self.count[n:n + len(keys)] = count
+        self.flat = _room(self.flat, self.used + len(flat))
+        self.flat[self.used:self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        """The place of each key, -1 where it isn't known."""
+        return np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+
+    def used_again(self, most: int) -> Memory:
+        """A memory of at most ``most`` strings: those asked for more than once, the often used first."""
+        uses = self.uses[:len(self.place)]
+        least = 2
+        while np.count_nonzero(uses >= least) > most:
+            least *= 2
+        keep = np.flatnonzero(uses >= least)
+        keep = keep[keep > 0]
+        out = Memory()
+        if len(keep):
+            keys = list(self.place)
+            flat, _ = self.get(keep, np.ones(len(keep), np.int64))
+            out.add([keys[i] for i in keep.tolist()], flat, self.count[keep])
+        return out
 
     def get(self, own: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all numbered keys in a row, and how many each group of keys has; ``groups`` has the number of its keys."""
+        """Numbers of all keys, given by their places, in a row, and how many each group of keys has; ``groups`` has the number of its keys."""
         count = self.count[own]
         total = np.append(0, np.cumsum(count))
         ends = np.cumsum(groups)
@@ -49,6 +77,15 @@ class Memory:
         return self.flat[np.arange(len(shift)) + shift], total[ends] - total[ends - groups]
 
 
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """The same values with place for ``size``, at least half as many again where it has to grow."""
+    if size <= len(values):
+        return values
+    out = np.zeros(max(size, len(values) * 3 // 2), values.dtype)
+    out[:len(values)] = values
+    return out
+
+
 class PieceEncoder:
     """Texts to ids, given the ids of pieces; remembers a bounded number of strings.
 
@@ -57,11 +94,12 @@ class PieceEncoder:
     """
 
     def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], pattern: str, memory: int):
-        self.encode_pieces, self.pattern, self.limit = encode_pieces, regex.compile(pattern), memory
+        self.encode_pieces, self.limit = encode_pieces, memory
+        self.pattern, self.plain = regex.compile(pattern), _PLAIN.fullmatch if pattern == public_tokenizers.PATTERN else lambda x: None
         self.known = Memory()
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has. Null counts as empty."""
+    def encode(self, texts: pa.Array, space: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has. Null counts as empty. ``space``: as if one stood before each text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -74,16 +112,17 @@ class PieceEncoder:
         # a text's first part has no space before it, every other one has
         words = parts.dictionary.cast(pa.large_string())
         width = len(words)
-        own[first] += width
+        if not space:
+            own[first] += width
         used = np.flatnonzero(np.bincount(own, minlength=2 * width))
         spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, pa.scalar(" ", pa.large_string()))
-        units = pa.concat_arrays([spaced, words]).take(pa.array(used))
-        hard = [_BEFORE_SPACE.split(texts[i].as_py()) for i in np.flatnonzero(awkward).tolist()]
-        others = pa.array(list(chain.from_iterable(hard)), pa.large_string())
-        every = pc.unique(pa.concat_arrays([units, others]))
-        self.learn(every)
+        units = pa.concat_arrays([spaced, words]).take(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
+        hard = [_BEFORE_SPACE.split(" " * space + texts[i].as_py()) for i in np.flatnonzero(awkward).tolist()]
+        others = list(chain.from_iterable(hard))
+        self.learn({*units, *others} if others else units)
         place = np.zeros(2 * width, np.int64)
-        place[used] = self.known.numbers(units)
+        place[used] = asked = self.known.numbers(units)
+        self.known.uses[asked] += 1
         numbers = place[own]
         if hard:
             # the awkward texts' parts go where their one empty part stood
@@ -95,30 +134,36 @@ class PieceEncoder:
             numbers = out
         return self.known.get(numbers, size)
 
-    def learn(self, units: pa.Array) -> None:
+    def learn(self, units: Iterable[str]) -> None:
         """Make sure that all these distinct parts of texts are known."""
         gc.disable()  # hundreds of thousands of lists of strings, none in a cycle
         try:
-            new = units.filter(pa.array(self.known.numbers(units) < 0))
-            if len(self.known.keys) + len(new) > self.limit:
-                self.known = Memory()
-                new = units
-            if len(new):
+            new = [x for x in units if x not in self.known.place]
+            if len(self.known) + len(new) > self.limit:
+                self.known = self.known.used_again(self.limit // 2)
+                new = [x for x in units if x not in self.known.place]
+            if new:
                 self._learn(new)
         finally:
             gc.enable()
 
-    def _learn(self, new: pa.Array) -> None:
+    def cut(self, unit: str) -> list[str]:
+        """The matches of the pattern."""
+        plain = self.plain(unit)
+        return [x for x in plain.groups() if x] if plain else self.pattern.findall(unit)
+
+    def _learn(self, new: list[str]) -> None:
         known = self.known
-        parts = list(map(self.pattern.findall, new.to_pylist()))
+        parts = list(map(self.cut, new))
         groups = np.fromiter(map(len, parts), np.int64, len(parts))
-        pieces = pa.array(list(chain.from_iterable(parts)), pa.large_string()).dictionary_encode()
-        distinct = pieces.dictionary
-        fresh = distinct.filter(pa.array(known.numbers(distinct) < 0))
-        if len(fresh):
-            known.add(fresh, *self.encode_pieces(fresh.to_pylist()))
+        pieces = list(chain.from_iterable(parts))
+        fresh = [p for p in dict.fromkeys(pieces) if p not in known.place]
+        if fresh:
+            known.add(fresh, *self.encode_pieces(fresh))
         # a part of one piece is that piece; the others are their pieces in a row
-        flat, count = known.get(known.numbers(distinct)[pieces.indices.to_numpy()], groups)
+        at = known.numbers(pieces)
+        flat, count = known.get(at, groups)
         several = groups > 1
+        known.uses[np.unique(at[np.repeat(several, groups)])] += 1
         if several.any():
-            known.add(new.filter(pa.array(several)), flat[np.repeat(several, count)], count[several])
+            known.add([x for x, n in zip(new, groups.tolist()) if n > 1], flat[np.repeat(several, count)], count[several])

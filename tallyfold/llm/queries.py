@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm import byte_bpe, decontamination, exact_dedup, language_id, paragraph_dedup, quality, simhash, suffix_dedup, token_blocks, toxicity
+from tallyfold.llm import (
+    alignment, byte_bpe, decontamination, exact_dedup, language_id, paragraph_dedup, prefix_counts, quality, simhash, subvectors, suffix_dedup, token_blocks,
+    toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(_table(spark, sf_dir, "documents"))
+
+
+def op13_subvectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subvectors.centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_blocks": op2_token_blocks,
@@ -62,9 +76,13 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_prefix_counts": op11_prefix_counts,
+    "op12_alignment": op12_alignment,
+    "op13_subvectors": op13_subvectors,
 }
 
 ORACLES = {
     "op4_decontamination": decontamination.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op13_subvectors": subvectors.oracle(),
 }

@@ -25,6 +25,8 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import public_tokenizers
@@ -43,6 +45,7 @@ PERCENTILE = 95
 END_ID = 0
 MEMORY = 600_000
 """Strings whose ids a worker remembers."""
+_ID = attrgetter("id")
 _HEAD = struct.Struct("<4sQQQII")
 
 
@@ -184,29 +187,39 @@ class TextEncoder:
         return out, np.add.reduceat(count, np.cumsum(size) - size)
 
 
-def encoder(path: str) -> TextEncoder:
-    """This worker's encoder.
+def byte_alphabet() -> dict[int, int]:
+    """The character that stands for each byte in the file's vocabulary."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
+def piece_encoder(path: str, memory: int = MEMORY) -> PieceEncoder:
+    """Texts to ids with the strings of added tokens as plain text.
 
     The file's pre-tokenizer splits by the public pattern and encodes each match
     by itself, so the library's model is asked once a distinct match, written in
     the byte alphabet of the vocabulary.
     """
+    from tokenizers import Tokenizer
 
-    def build() -> TextEncoder:
-        from tokenizers import Tokenizer
+    model, alphabet = Tokenizer.from_file(path).model, byte_alphabet()
+
+    def ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own = [model.tokenize(p if p.isalpha() and p.isascii() else p.encode().decode("latin-1").translate(alphabet)) for p in pieces]
+        count = np.fromiter(map(len, own), np.int64, len(own))
+        return np.fromiter(map(_ID, chain.from_iterable(own)), np.int64, int(count.sum())), count
 
-        tokenizer = Tokenizer.from_file(path)
-        model = tokenizer.model
-        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        others = [b for b in range(256) if b not in set(printable)]
-        alphabet = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+    return PieceEncoder(ids, public_tokenizers.PATTERN, memory)
 
-        def ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(alphabet))] for p in pieces]
-            count = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((i for own in found for i in own), np.int64, int(count.sum())), count
 
-        return TextEncoder(PieceEncoder(ids, public_tokenizers.PATTERN, MEMORY), tokenizer)
+def encoder(path: str) -> TextEncoder:
+    """This worker's encoder."""
+
+    def build() -> TextEncoder:
+        from tokenizers import Tokenizer
+
+        return TextEncoder(piece_encoder(path), Tokenizer.from_file(path))
 
     return held_by_worker(("token_blocks", path), build)
 
