@@ -35,9 +35,9 @@ from tallyfold.llm.spaced_units import MARK, SpacedUnits, splits_at_marks
 
 SIDE_A = public_tokenizers.path("byte_bpe_50k.json")
 SIDE_B = public_tokenizers.path("piece_bpe_32k.model")
-MEMORY = 250_000
+MEMORY = 150_000
 """Strings whose ids a worker remembers, for each side."""
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 class Spellings:

@@ -33,7 +33,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIMIT = 4096
 MEMORY = 400_000
 """Units whose prefix counts a worker remembers."""
-PAIRS = 1 << 20
+PAIRS = 1 << 19
 """Pairs of pieces whose fit a worker remembers."""
 SLICE = 4 << 20
 _NONE: dict[str, bool] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyfold.llm import (
-    alignment, byte_bpe, decontamination, exact_dedup, language_id, paragraph_dedup, prefix_counts, quality, simhash, subvectors, suffix_dedup, token_blocks,
+    alignment, byte_bpe, decontamination, exact_dedup, language_id, passage_dedup, prefix_counts, quality, simhash, subvectors, suffix_dedup, token_blocks,
     toxicity)
 
 
@@ -34,7 +34,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.near_paragraphs(_table(spark, sf_dir, "documents"), least=1)
+    return passage_dedup.near_passages(_table(spark, sf_dir, "documents"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

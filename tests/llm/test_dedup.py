@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from compare import compare, duck
 from llm_data import SF
-from tallyfold.llm import common, exact_dedup, paragraph_dedup, simhash, suffix_dedup
+from tallyfold.llm import common, exact_dedup, paragraph_dedup, passage_dedup, simhash, suffix_dedup
 
 
 def test_exact_matches_sql(spark):
@@ -170,8 +170,8 @@ def test_near_paragraphs_match_brute_force(spark):
         assert all(r.removed == ((r.doc_id, r.paragraph) != (r.keep_doc_id, r.keep_paragraph)) for r in got)
 
 
-def test_short_lines_are_compared(spark, tmp_path):
-    """Through the query: lines of any number of words, repeats inside a run, hard-wrapped passages."""
+def test_short_lines_are_compared(spark):
+    """With ``least`` of one: lines of any number of words, repeats inside a run, hard-wrapped passages."""
     rng = random.Random(9)
     words = lambda n: [rng.choice("abcdefghijklm") * rng.randint(1, 3) + rng.choice("xyz") for _ in range(n)]
     base = [words(n) for n in (1, 2, 4, 5, 6, 8, 9, 10, 12, 15, 19)] + [["a"] * 5, ["a"] * 7, ["a", "b"] * 4, ["a", "b"] * 9, ["a"] * 30]
@@ -188,8 +188,7 @@ def test_short_lines_are_compared(spark, tmp_path):
     sets = {(i, n): frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) for i, t in docs for n, line in enumerate(t.split("\n")) if (w := line.lower().split())}
     label = plain_components([(k, v) for k, v in sets.items()], lambda a, b: len(a & b) >= 0.8 * len(a | b))
     sizes = list(label.values())
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = entry.queries()["op6_paragraph_dedup"](spark, str(tmp_path)).collect()
+    got = paragraph_dedup.near_paragraphs(spark.createDataFrame(docs, "doc_id long, text string"), least=1).collect()
     assert {((r.doc_id, r.paragraph), (r.keep_doc_id, r.keep_paragraph)) for r in got} == {(k, c) for k, c in label.items() if sizes.count(c) > 1}
     assert sum(r.doc_id == 101 and r.keep_doc_id == 100 for r in got) == 7
 
@@ -199,6 +198,79 @@ def test_near_paragraphs_of_odd_documents(odd_docs):
     assert got == {(1, 1), (2, 1), (13, 1), (6, 6), (7, 6)}
 
 
+def planted(seed=11):
+    """Clean texts, and passages of 58 words or more that stand in several: in running text, hard-wrapped, in capitals, with a word changed."""
+    rng = random.Random(seed)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n)]
+    shared = [words(n) for n in (58, 60, 75, 90, 200)]
+    docs, held = [], {}
+    for i in range(120):
+        body, own = words(rng.randint(0, 200)), []
+        if i % 3:
+            own = [rng.randrange(len(shared))]
+            piece = list(shared[own[0]])
+            if i % 4 == 0 and len(piece) > 80:
+                piece[len(piece) // 2] = "changed"
+            body += piece
+        body += words(rng.randint(0, 150))
+        text = " ".join(body)
+        if i % 5 == 0:
+            text = "\n".join(" ".join(body[k:k + 9]) for k in range(0, len(body), 9))
+        docs.append((i, text.upper() if i % 7 == 0 else text))
+        held[i] = own
+    docs += [(500, "of " * 300), (501, "x of " + "of " * 300), (502, None), (503, ""), (504, "a b c"), (None, docs[1][1]), docs[1]]
+    return docs, held
+
+
+@pytest.mark.parametrize("block_rows", [4, 1000])
+def test_planted_passages_are_found_and_clean_texts_left_alone(spark, tmp_path, block_rows):
+    docs, held = planted()
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = passage_dedup.near_passages(frame, block_rows=block_rows).collect() if block_rows < 1000 else entry.queries()["op6_paragraph_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {i for i, own in held.items() if own}
+    assert all(held[r.keep_doc_id] == held[r.doc_id] and r.keep_doc_id <= r.doc_id and r.removed == (r.doc_id != r.keep_doc_id) for r in got)
+
+
+def test_passages_match_brute_force(spark):
+    """Groups of the same paragraphs by all pairs: what is found is right, equal ones are all found, near ones nearly all."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rng = random.Random(2)
+    for i, t in docs[:60]:
+        w = (t or "").split()
+        for at in rng.sample(range(len(w)), len(w) // 60):
+            w[at] = "edited"
+        docs.append((10_000 + i, " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = passage_dedup.paragraphs(frame, text=True).collect()
+    sets = {}
+    for r in rows:
+        w = r.text.encode().split()
+        sets.setdefault(r.k, frozenset(tuple(w[x:x + 5]) for x in range(len(w) - 4)))
+        assert len(sets[r.k]) >= passage_dedup.DISTINCT
+    holders = {}
+    for k, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(k)
+    close = {(a, b) for own in holders.values() for a in own for b in own if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    stored = passage_dedup.paragraphs(frame)
+    found = {(r.id, r.component) for r in common.components(passage_dedup.near_links(stored, frame)).collect()}
+    label = {k: c for k, c in found}
+    want = {}
+    for a, b in close:
+        want.setdefault(a, set()).add(b)
+        want.setdefault(b, set()).add(a)
+    assert set(label) <= set(want)
+    joined = sum(label.get(a) is not None and label.get(a) == label.get(b) for a, b in close)
+    assert len(close) > 30 and joined >= 0.97 * len(close)
+
+
+def test_passages_of_odd_documents(odd_docs, no_docs):
+    got = {(r.doc_id, r.keep_doc_id) for r in passage_dedup.near_passages(odd_docs).collect()}
+    assert got == {(1, 1), (2, 1), (11, 1), (13, 1), (6, 6), (7, 6)}
+    assert passage_dedup.near_passages(no_docs).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 200), (200, 300)]
     got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -12,7 +12,7 @@ import corpus_pipeline
 from compare import compare, duck
 from llm_data import SF
 from tallyfold.llm import decontamination, near_documents
-from test_dedup import plain_components, plain_fingerprint
+from test_dedup import plain_components
 
 
 def plain_words(text):
@@ -78,7 +78,10 @@ def test_pipeline_matches_a_plain_version(spark):
         if key not in seen:
             seen.add(key)
             kept.append((i, t))
-    label = plain_components([(i, plain_fingerprint(t)) for i, t in kept], lambda a, b: (a ^ b).bit_count() <= 2)
+    runs = {i: frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if (w := t.lower().split()) else frozenset() for i, t in kept}
+    close = {(i, j) for i in runs for j in runs if min(len(runs[i]), len(runs[j])) >= 0.8 * max(len(runs[i]), len(runs[j]))
+             and len(runs[i] & runs[j]) >= 0.8 * len(runs[i] | runs[j])}
+    label = plain_components([(i, i) for i in runs], lambda a, b: (a, b) in close)
     kept = [(i, t) for i, t in kept if label[i] == i]
     dirty = {r[0] for r in plain_hits(kept, items) if r[5]}
     want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept if i not in dirty}
