@@ -66,9 +66,11 @@ def trade_day() -> Column:
     return F.coalesce("tx_date", "filing_date")
 
 
-def top_trades(trades: DataFrame, limit: int = 200, keys: list[str] = ("ticker",)) -> DataFrame:
-    """The largest trades per company (or overall with no keys): amount, then day, then accession."""
+def top_trades(trades: DataFrame, limit: int | None = None, keys: list[str] = ("ticker",)) -> DataFrame:
+    """The ``limit`` largest trades per company (or overall with no keys), all without one: amount, then day, then accession."""
     order = [trade_amount().desc(), trade_day().desc_nulls_last(), c("accession_number").desc()]
+    if limit is None:
+        return trades
     if not keys:
         return trades.orderBy(*order).limit(limit)
     return newest_per(trades, list(keys), order, limit)
@@ -210,12 +212,6 @@ def proxy_records(filings: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- 13F
 
 
-def explode_holdings(filings: DataFrame) -> DataFrame:
-    """13F filings with a nested ``holdings`` array to one row per holding."""
-    head = [x for x in filings.columns if x != "holdings"]
-    return filings.select(*head, F.inline("holdings"))
-
-
 def pick_13f(filings: DataFrame, report_period: str | None = None, keys: list[str] = ("manager_cik",)) -> DataFrame:
     """One filing per manager: newest (report period, filing date, accession), or the newest of a period."""
     if report_period is not None:
@@ -225,8 +221,8 @@ def pick_13f(filings: DataFrame, report_period: str | None = None, keys: list[st
     return filings.join(best, [*keys, "accession_number"], "left_semi")
 
 
-def holdings_rows(holdings: DataFrame, min_value: float = 0.0, limit: int | None = 100) -> DataFrame:
-    """Normalised holdings: numbers coerced, weight of the filing total, the largest ``limit`` per filing.
+def holdings_rows(holdings: DataFrame, min_value: float = 0.0, limit: int | None = None) -> DataFrame:
+    """Normalised holdings: numbers coerced, weight of the filing total; the largest ``limit`` per filing if asked for.
 
     A missing value counts as zero in the filter; ties go by CUSIP.
     """

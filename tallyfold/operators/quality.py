@@ -54,9 +54,3 @@ def core_metric_gaps(metrics: DataFrame, core: list[str] = M.CORE_METRICS) -> Da
     )
     missing = F.concat(F.array_except(F.lit(core), c("m")), F.array_except(F.lit([M.ANNUAL, M.QUARTERLY]), c("p")))
     return have.select("ticker", F.explode(missing).alias("missing"))
-
-
-def period_completeness(metrics: DataFrame, names: list[str]) -> DataFrame:
-    """Share of a ticker's quarters that report each metric."""
-    wide = widen(metrics.where(c("period_type") == M.QUARTERLY), names, ["ticker", "period_end"])
-    return wide.groupBy("ticker").agg(F.count("*").alias("quarters"), *[F.count(n).alias(n) for n in names])

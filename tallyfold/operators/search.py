@@ -115,9 +115,58 @@ def resolve_tickers(requests: DataFrame, tickers: DataFrame) -> DataFrame:
     )
 
 
-def resolve_entities(mentions: DataFrame, companies: DataFrame) -> DataFrame:
+def _grams(df: DataFrame, name: str, q: int) -> DataFrame:
+    """``name`` and its runs of ``q`` characters, ends padded, equal ones numbered."""
+    padded = F.concat(F.lit("\u0001" * (q - 1)), name, F.lit("\u0002" * (q - 1)))
+    rows = df.select(name, F.posexplode(F.transform(F.sequence(F.lit(1), F.length(name) + q - 1), lambda i: F.substr(padded, i, F.lit(q)))).alias("at", "gram"))
+    return rows.select(name, "gram", F.row_number().over(W.partitionBy(name, "gram").orderBy("at")).alias("nth"))
+
+
+def _allowed(longest: Column, cutoff: float) -> Column:
+    """How many edits two texts may differ by, given the longer length."""
+    return F.floor(longest * (1 - cutoff) + 1e-9).cast("int")
+
+
+def _rare_keys(grams: DataFrame, name: str, counts: DataFrame, cutoff: float, q: int, mine: str, others: str) -> DataFrame:
+    """Keys of which two close texts must share one: both lengths and one of the rarest grams.
+
+    Texts of lengths n and m within k edits share at least ``max(n, m) + q - 1 -
+    k q`` numbered grams; with all grams in one order, rare ones first, one of those
+    is among the first ``n - max(n, m) + k q + 1`` of either text.
+    """
+    ranked = grams.join(counts, "gram", "left").groupBy(name).agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "nth"))).alias("__grams"))
+    size = F.length(name)
+    rows = ranked.withColumn("__m", F.explode(F.sequence(F.greatest(F.ceil(size * cutoff - 1e-9).cast("int"), F.lit(1)), F.floor(size / cutoff + 1e-9).cast("int"))))
+    longest = F.greatest(size, c("__m"))
+    first = F.slice("__grams", 1, F.greatest(size - longest + _allowed(longest, cutoff) * q + 1, F.lit(0)))
+    return rows.select(name, size.alias(mine), c("__m").alias(others), F.explode(F.transform(first, lambda g: F.struct(g["gram"], g["nth"]))).alias("__key"))
+
+
+def close_names(words: DataFrame, names: DataFrame, cutoff: float = 0.8, q: int = 2) -> DataFrame:
+    """``word``, ``name`` and ``edits`` of all pairs with at most ``(1 - cutoff)`` of the longer length in edits.
+
+    An equi-join on both lengths and a rare run of characters (ordered by how many
+    names have it) proposes pairs, the edit distance decides; nothing is missed.
+    ``q`` times ``1 - cutoff`` must be below one, so that every text has such a run.
+    """
+    if q * (1 - cutoff) >= 1:
+        raise ValueError("runs of this length can't filter at this cutoff")
+    left, right = words.select("word").where(c("word") != "").distinct(), names.select("name").where(c("name") != "").distinct()
+    grams = _grams(right, "name", q)
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    a = _rare_keys(_grams(left, "word", q), "word", counts, cutoff, q, "__a", "__b")
+    b = _rare_keys(grams, "name", counts, cutoff, q, "__b", "__a")
+    pairs = a.join(b, ["__a", "__b", "__key"]).select("word", "name").distinct()
+    edits = F.levenshtein("word", "name")
+    return pairs.withColumn("edits", edits).where(c("edits") <= _allowed(F.greatest(F.length("word"), F.length("name")), cutoff))
+
+
+def resolve_entities(mentions: DataFrame, companies: DataFrame, cutoff: float | None = None) -> DataFrame:
     """Mentions (cik, symbol, name) to companies (cik, ticker, name): by CIK, then ticker, then exact name.
 
+    With a ``cutoff`` the mentions still open go to the closest name of at least
+    that similarity (:func:`close_names`); ties go to the smaller name, then ticker.
     A mention without a key takes part under a key of its own that no company
     has, so missing keys don't meet in one task.
     """
@@ -130,5 +179,12 @@ def resolve_entities(mentions: DataFrame, companies: DataFrame) -> DataFrame:
     by_sym = companies.select(c("ticker").alias("__sym"), c("ticker").alias("t2")).where(c("__sym").isNotNull()).distinct()
     by_name = companies.select(alnum_key(c("name")).alias("__name"), c("ticker").alias("t3")).where(c("__name").isNotNull()).groupBy("__name").agg(F.min("t3").alias("t3"))
     out = m.join(by_cik, "__cik", "left").join(by_sym, "__sym", "left").join(by_name, "__name", "left")
-    how = F.when(c("t1").isNotNull(), "cik").when(c("t2").isNotNull(), "ticker").when(c("t3").isNotNull(), "name").otherwise("none")
-    return out.select(*mentions.columns, F.coalesce("t1", "t2", "t3").alias("resolved"), how.alias("resolved_by"))
+    how = F.when(c("t1").isNotNull(), "cik").when(c("t2").isNotNull(), "ticker").when(c("t3").isNotNull(), "name")
+    if cutoff is not None:
+        open_ = out.where(how.isNull() & c("name").isNotNull()).select(c("__name").alias("word"))
+        close = close_names(open_, by_name.select(c("__name").alias("name")), cutoff).join(by_name.withColumnRenamed("__name", "name"), "name")
+        best = close.groupBy("word").agg(F.min_by("t3", F.struct("edits", "name", "t3")).alias("t4"))
+        out = out.join(best.withColumnRenamed("word", "__name"), "__name", "left")
+        how = how.when(c("t4").isNotNull(), "fuzzy")
+    last = [c("t4")] if cutoff is not None else []
+    return out.select(*mentions.columns, F.coalesce("t1", "t2", "t3", *last).alias("resolved"), how.otherwise("none").alias("resolved_by"))

@@ -152,17 +152,17 @@ def extract_section(filings: DataFrame, section_name: str, keys=("accession_numb
 
 
 def search(
-    filings: DataFrame, query: str, section_name: str | None = None, max_matches: int = 5, context_chars: int = 280,
+    filings: DataFrame, query: str, section_name: str | None = None, max_matches: int | None = None, context_chars: int = 280,
     keys=("accession_number",), text: str = "markdown",
 ) -> DataFrame:
-    """First matches of a phrase per filing, in text order, with excerpt and line number.
+    """Matches of a phrase per filing, in text order, with excerpt and line number; the first ``max_matches`` if asked for.
 
     White space in the phrase matches any white space and case does not
     count. Parsed sections are searched, the whole text where there are none.
     """
     tokens = [re.escape(t) for t in query.strip().split()]
     key = selector_key(section_name) if section_name else None
-    if not tokens or max_matches <= 0 or key == "":
+    if not tokens or (max_matches is not None and max_matches <= 0) or key == "":
         return filings.select(*keys).where(F.lit(False))
     pattern = "(?iu)" + f"[{WHITE}]+".join(tokens)
     around = max(context_chars, 0)
@@ -181,7 +181,7 @@ def search(
 
     def with_parts(s: Column) -> Column:
         found = F.regexp_extract_all(s["content"], F.lit(pattern), F.lit(0))
-        return F.struct(s.alias("s"), _marked_parts(s["content"], pattern, max_matches + 1).alias("p"), found.alias("f"))
+        return F.struct(s.alias("s"), _marked_parts(s["content"], pattern, -1 if max_matches is None else max_matches + 1).alias("p"), found.alias("f"))
 
     def hits(x: Column) -> Column:
         content = x["s"]["content"]
@@ -210,7 +210,7 @@ def search(
         return F.transform(tail, hit)
 
     rows = pinned(with_sections(candidates, text), __src=F.transform(source, with_parts))
-    rows = pinned(rows, __hits=F.slice(F.flatten(F.transform("__src", hits)), 1, max_matches))
+    rows = pinned(rows, __hits=_first(F.flatten(F.transform("__src", hits)), max_matches))
     return rows.select(*keys, F.posexplode("__hits").alias("n", "h")).select(
         *keys, (c("n") + 1).alias("match_number"), F.lit(query.strip()).alias("query"), "h.*")
 
@@ -230,8 +230,8 @@ def _numbered(items: Column) -> Column:
     return F.when(F.size(F.array_distinct(items)) == F.size(items), plain).otherwise(counted)
 
 
-def compare_sections(pairs: DataFrame, filings: DataFrame, section_name: str, max_changes: int = 5,
-                     excerpt_chars: int = 280, text: str = "markdown") -> DataFrame:
+def compare_sections(pairs: DataFrame, filings: DataFrame, section_name: str, max_changes: int | None = None,
+                     excerpt_chars: int | None = 280, text: str = "markdown") -> DataFrame:
     """Block changes of one section between pairs (accession_number, previous_accession).
 
     Blocks compare as multisets, wherever they stand: with ``m`` blocks in both
@@ -251,7 +251,8 @@ def compare_sections(pairs: DataFrame, filings: DataFrame, section_name: str, ma
     similarity = F.when(total == 0, 1.0).otherwise(F.round((total - F.size("now_only") - F.size("old_only")) / total, 6))
 
     def few(col: str) -> Column:
-        return F.transform(F.slice(c(col), 1, max_changes), lambda b: excerpt(b, excerpt_chars))
+        own = _first(c(col), max_changes)
+        return own if excerpt_chars is None else F.transform(own, lambda b: excerpt(b, excerpt_chars))
 
     return d.select(
         "accession_number", "previous_accession",
@@ -456,17 +457,6 @@ def mda_excerpt(text: Column) -> Column:
     return section_excerpt(text, MDA_START, MDA_END, MDA_NEEDLES)
 
 
-def bounded_excerpt(text: Column, max_section: int = 160_000, max_around: int = 24_000) -> Column:
-    """Risk section up to ``max_section`` characters, else ``max_around`` characters near the words."""
-    start = F.coalesce(*[_at(text, p) for p in RISK_START])
-    rest = F.substr(text, start + 1)
-    end = F.least(*[F.coalesce(_at(rest, p), F.lit(2**31 - 2)) for p in RISK_END], F.lit(max_section))
-    needle = F.locate("risk factors", F.lower(text))
-    near = F.substr(text, F.greatest(needle - 800, F.lit(1)), F.lit(max_around))
-    return F.when(start.isNotNull(), F.substr(text, start, end)).when(needle > 0, near).otherwise(
-        F.substr(text, F.lit(1), F.lit(max_around)))
-
-
 NOTICE = "\n\n[... filing text truncated ...]"
 SKIPS = [("1a", "[... skipped to Item 1A. Risk Factors ...]"),
          ("7", "[... skipped to Item 7. Management's Discussion and Analysis ...]")]

@@ -303,12 +303,14 @@ def a23i(spark, d):
     return Q.income_order_breaks(MP.metrics(spark, d, ["net_income", "operating_income", "gross_profit"]))
 
 
-@query("a23_core_gaps", f"""with {O.metrics(["revenue", "interest_expense", "ebitda"])}, t as (select distinct ticker from metrics where period_end < date '1996-01-01'),
-want(missing) as (values ('revenue'), ('interest_expense'), ('ebitda'))
-select ticker, missing from t cross join want where not exists (select 1 from metrics m where m.ticker = t.ticker and metric_type = missing and period_end < date '1996-01-01')""")
+@query("a23_core_gaps", f"""with {O.metrics(["revenue", "interest_expense", "ebitda"])}, k as (select distinct ticker || '-' || year(period_end) as ticker, metric_type, period_type from metrics),
+t as (select distinct ticker from k), want(missing) as (values ('revenue'), ('interest_expense'), ('ebitda'), ('annual'), ('quarterly'))
+select ticker, missing from t cross join want where not exists (select 1 from k m where m.ticker = t.ticker and (metric_type = missing or period_type = missing))""")
 def a23c(spark, d):
+    """Every company's every year on its own, so that core metrics are really missing."""
     core = ["revenue", "interest_expense", "ebitda"]
-    return Q.core_metric_gaps(MP.metrics(spark, d, core).where(c("period_end") < F.lit("1996-01-01").cast("date")), core)
+    yearly = F.concat(c("ticker"), F.lit("-"), F.year("period_end").cast("string"))
+    return Q.core_metric_gaps(MP.metrics(spark, d, core).withColumn("ticker", yearly), core)
 
 
 @query("a23_label_breaks", f"""with {O.metrics(['revenue'])} select ticker, period_type, period_end, case period_type when 'annual' then 'Quarter' else 'Q' end || substr(period, 1, 0) as lead
@@ -400,6 +402,27 @@ def x10(spark, d):
     return SE.resolve_entities(m, co)
 
 
+FUZZY_SQL = """d as (select doc_id, coalesce(left(text, 24), '') as t from documents),
+m as (select doc_id, t[1:4] || 'x' || t[6:9] || t[11:] as name from d),
+co as (select nm, min(ticker) as ticker from (select regexp_replace(lower(t), '[^a-z0-9]', '', 'g') as nm, 'D' || doc_id as ticker from d) where nm <> '' group by nm),
+w as (select *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') as nm from m),
+near as (select distinct w.nm, co.nm as other, ticker, levenshtein(w.nm, co.nm) as edits from (select distinct nm from w where nm <> '') w, co
+  where levenshtein(w.nm, co.nm) <= floor(greatest(length(w.nm), length(co.nm)) * 0.2 + 1e-9)),
+best as (select nm, min_by(ticker, (edits, other, ticker)) as ticker, min(edits) as edits from near group by nm)"""
+
+
+@query("x10_fuzzy", f"""with {FUZZY_SQL} select doc_id, w.name, best.ticker as resolved,
+  case when best.edits = 0 then 'name' when best.ticker is not null then 'fuzzy' else 'none' end as resolved_by from w left join best on w.nm = best.nm""")
+def x10f(spark, d):
+    """Names with one character changed and one left out, among the names of all documents."""
+    docs = MP.table(spark, d, "documents").select("doc_id", F.coalesce(F.substring("text", 1, 24), F.lit("")).alias("t"))
+    none = F.lit(None).cast("string")
+    mentions = docs.select("doc_id", none.alias("cik"), none.alias("symbol"),
+                           F.concat(F.substring("t", 1, 4), F.lit("x"), F.substring("t", 6, 4), F.substring("t", 11, 24)).alias("name"))
+    companies = docs.select(none.alias("cik"), F.concat(F.lit("D"), "doc_id").alias("ticker"), c("t").alias("name"))
+    return SE.resolve_entities(mentions, companies, cutoff=0.8).select("doc_id", "name", "resolved", "resolved_by")
+
+
 # ------------------------------------------------------------ relations
 # Supplier nations deliver to customer nations; volume gives the confidence.
 
@@ -439,3 +462,35 @@ def x7(spark, d):
 from edges""")
 def x9(spark, d):
     return edges(spark, d).select("src", "dst", (c("confidence") * RL.staleness_factor(c("last_confirmed"), F.lit("2002-01-01").cast("date"))).alias("effective"))
+
+
+# A part sold in one order by several suppliers stands for a director: board seats are suppliers and parts.
+SEATS_SQL = f"""{O.LINES},
+seats as (select 'S' || l_suppkey as ticker, 'P' || l_partkey as person, case when max(l_quantity) >= 49 then 'Chairman' else 'Director' end as role,
+  case when bool_or(l_returnflag = 'A') then ['Audit'] else [] end as committees
+  from lines where tp <= 4 group by l_suppkey, l_partkey),
+sizes as (select person, count(*) as n from seats group by person having count(*) > 1)"""
+
+
+def seats(spark, d):
+    rows = MP.lines(spark, d).where(c("tp") <= 4).groupBy("l_suppkey", "l_partkey").agg(
+        F.when(F.max("l_quantity") >= 49, "Chairman").otherwise("Director").alias("role"),
+        F.when(F.bool_or(c("l_returnflag") == "A"), F.array(F.lit("Audit"))).otherwise(F.array().cast("array<string>")).alias("committees"))
+    return rows.select(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), F.concat(F.lit("P"), "l_partkey").alias("person"), "role", "committees")
+
+
+HEAVY = 12
+
+
+@query("x8_interlocks", f"""with {SEATS_SQL} select a.ticker as company_a, b.ticker as company_b, a.person, a.role as role_at_a, b.role as role_at_b,
+  case when len(a.committees) > 0 and len(b.committees) > 0 then 'Financial oversight interlock'
+    when contains(a.role, 'Chairman') or contains(b.role, 'Chairman') then 'Executive-level interlock' else 'Board-level connection' end as significance
+from seats a join seats b on a.person = b.person and a.ticker < b.ticker join sizes on sizes.person = a.person where n <= {HEAVY}""")
+def x8(spark, d):
+    return RL.interlocks(seats(spark, d), HEAVY)[0]
+
+
+@query("x8_interlock_classes", f"""with {SEATS_SQL} select person, ticker, role, len(committees) as committees, n as companies
+from seats join sizes using (person) where n > {HEAVY}""")
+def x8c(spark, d):
+    return RL.interlocks(seats(spark, d), HEAVY)[1].withColumn("committees", F.size("committees"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyfold.operators import changes as CH
 from tallyfold.operators import filings as FL
 from tallyfold.operators import sections as X
 from tallyfold.plans import mapping as MP
@@ -112,14 +113,14 @@ m2 as (select *, length(before) as st, length(before) + length(found) as en, gre
   row_number() over (partition by accession_number order by position, k) as match_number from m2
 qualify row_number() over (partition by accession_number order by position, k) <= 5""")
 def t4(spark, d):
-    return X.search(texts(spark, d), SEARCH, context_chars=40).select(
+    return X.search(texts(spark, d), SEARCH, max_matches=5, context_chars=40).select(
         "accession_number", "item_code", "matched_text", "excerpt", "line_number", "match_number")
 
 
 @query("t4_search_in_section", f"""with {S_SQL} select accession_number, len(regexp_extract_all(content, '(?i)discussion')) as n from ss
   where item_code = '7'""")
 def t4s(spark, d):
-    hits = X.search(texts(spark, d), "discussion", section_name="Item 7", max_matches=1000)
+    hits = X.search(texts(spark, d), "discussion", section_name="Item 7")
     return hits.groupBy("accession_number").agg(F.count("*").alias("n"))
 
 
@@ -153,11 +154,42 @@ y as (select a, old, count(np) as n, count(op) as o, count(*) filter (op is null
   only_n as current_only_count, only_o as previous_only_count, md5(coalesce(now_text, '')) as now_md5, md5(coalesce(old_text, '')) as old_md5 from y""")
 def t5(spark, d):
     """All changed blocks, whole: no limit of changes or characters."""
-    rows = X.compare_sections(section_pairs(spark, d), texts(spark, d), "7", max_changes=1 << 30, excerpt_chars=1 << 30)
+    rows = X.compare_sections(section_pairs(spark, d), texts(spark, d), "7", excerpt_chars=None)
     return rows.select("accession_number", "previous_accession", "similarity_ratio", "current_only_count", "previous_only_count",
                        F.md5(F.concat_ws("|", "current_only_excerpts")).alias("now_md5"), F.md5(F.concat_ws("|", "previous_only_excerpts")).alias("old_md5"))
 
 
+# Lines as blocks: a longest rising run of their pairs is in order.
+DIFF_SQL = T5_SQL.replace(r"'\n\s*\n'", r"'\n'")
+
+
+@query("t5_block_diff", f"""with recursive {DIFF_SQL},
+both_ as (select a, old, op as i, np as j from x where op is not null and np is not null),
+runs as (select a, old, i, j, 1 as n from both_ where not exists (select 1 from both_ s where s.a = both_.a and s.old = both_.old and s.i < both_.i and s.j < both_.j)
+  union select b.a, b.old, b.i, b.j, r.n + 1 from runs r join both_ b on b.a = r.a and b.old = r.old and b.i > r.i and b.j > r.j),
+best as (select a, old, max(n) as eq from runs group by a, old)
+select y.a as accession_number, y.old as previous_accession, coalesce(eq, 0) as equal, n - only_n - coalesce(eq, 0) as moved, only_n as added, only_o as removed,
+  round(2 * coalesce(eq, 0) / (n + o), 6) as similarity_ratio from y left join best using (a, old)""")
+def t5_diff(spark, d):
+    rows = CH.block_changes(section_pairs(spark, d), texts(spark, d), "7", separator=CH.LINES)
+    return CH.ordered_similarity(rows)
+
+
+@query("t5_block_changes", f"""with {DIFF_SQL} select a as accession_number, old as previous_accession, count(*) filter (op is null) as added, count(*) filter (np is null) as removed,
+  md5(coalesce(string_agg(case when op is null then b end, '|' order by np), '')) as added_md5, md5(coalesce(string_agg(case when np is null then b end, '|' order by op), '')) as removed_md5
+from x group by a, old""")
+def t5_changes(spark, d):
+    rows = CH.block_changes(section_pairs(spark, d), texts(spark, d), "7", separator=CH.LINES)
+
+    def listed(change: str, at: str):
+        own = F.array_sort(F.collect_list(F.when(c("change") == change, F.struct(at, "block"))))
+        return F.md5(F.concat_ws("|", F.transform(own, lambda x: x["block"])))
+
+    return rows.groupBy("accession_number", "previous_accession").agg(
+        F.count_if(c("change") == "added").alias("added"), F.count_if(c("change") == "removed").alias("removed"),
+        listed("added", "current_position").alias("added_md5"), listed("removed", "previous_position").alias("removed_md5"))
+
+
 LN = "list_filter(list_transform(string_split(raw, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 

@@ -90,10 +90,6 @@ def filing_index(
     return out if limit is None else out.limit(limit)
 
 
-def filing_by_accession(filings: DataFrame, accession: str) -> DataFrame:
-    return filings.where(accession_key(c("accession_number")) == accession.replace("-", ""))
-
-
 def dera_num(spark: SparkSession, path: str) -> DataFrame:
     """num.txt: typed, rows with a bad number or date left out."""
     raw = spark.read.csv(path, sep="\t", header=True, mode="PERMISSIVE",

@@ -27,7 +27,7 @@ DEFAULTS = {"cik": None, "currency": "USD", "source": None, "accession": None}
 
 
 def ready_to_store(df: DataFrame) -> DataFrame:
-    """Check required columns, fill optional ones, make period_end a date, drop rows without a value."""
+    """Check required columns, fill optional ones, make period_end a date."""
     missing = [x for x in REQUIRED if x not in df.columns]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
