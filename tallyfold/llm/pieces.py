@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import gc
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
@@ -95,7 +95,7 @@ class PieceEncoder:
 
     def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], pattern: str, memory: int):
         self.encode_pieces, self.limit = encode_pieces, memory
-        self.pattern, self.plain = regex.compile(pattern), _PLAIN.fullmatch if pattern == public_tokenizers.PATTERN else lambda x: None
+        self.pattern, self.plain = regex.compile(pattern), _PLAIN.fullmatch if pattern == public_tokenizers.PATTERN else None
         self.known = Memory()
 
     def encode(self, texts: pa.Array, space: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -119,10 +119,10 @@ class PieceEncoder:
         units = pa.concat_arrays([spaced, words]).take(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
         hard = [_BEFORE_SPACE.split(" " * space + texts[i].as_py()) for i in np.flatnonzero(awkward).tolist()]
         others = list(chain.from_iterable(hard))
-        self.learn({*units, *others} if others else units)
-        place = np.zeros(2 * width, np.int64)
-        place[used] = asked = self.known.numbers(units)
+        asked = self.learn(units, others)
         self.known.uses[asked] += 1
+        place = np.zeros(2 * width, np.int64)
+        place[used] = asked
         numbers = place[own]
         if hard:
             # the awkward texts' parts go where their one empty part stood
@@ -134,22 +134,33 @@ class PieceEncoder:
             numbers = out
         return self.known.get(numbers, size)
 
-    def learn(self, units: Iterable[str]) -> None:
-        """Make sure that all these distinct parts of texts are known."""
+    def learn(self, units: list[str], others: list[str]) -> np.ndarray:
+        """Make sure that all these parts of texts are known; the places of the distinct ``units``."""
         gc.disable()  # hundreds of thousands of lists of strings, none in a cycle
         try:
-            new = [x for x in units if x not in self.known.place]
-            if len(self.known) + len(new) > self.limit:
+            at = self.known.numbers(units)
+            open_ = np.flatnonzero(at < 0)
+            more = {x for x in others if x not in self.known.place}
+            if len(self.known) + len(open_) + len(more) > self.limit:
                 self.known = self.known.used_again(self.limit // 2)
-                new = [x for x in units if x not in self.known.place]
-            if new:
+                at = self.known.numbers(units)
+                open_ = np.flatnonzero(at < 0)
+                more = {x for x in others if x not in self.known.place}
+            new = [units[i] for i in open_.tolist()]
+            if more:
+                self._learn([*new, *(more - set(new))])
+            elif new:
                 self._learn(new)
+            at[open_] = self.known.numbers(new)
+            return at
         finally:
             gc.enable()
 
     def cut(self, unit: str) -> list[str]:
         """The matches of the pattern."""
-        plain = self.plain(unit)
+        if self.plain and unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+            return [unit]
+        plain = self.plain and self.plain(unit)
         return [x for x in plain.groups() if x] if plain else self.pattern.findall(unit)
 
     def _learn(self, new: list[str]) -> None:

@@ -204,9 +204,10 @@ def piece_encoder(path: str, memory: int = MEMORY) -> PieceEncoder:
     from tokenizers import Tokenizer
 
     model, alphabet = Tokenizer.from_file(path).model, byte_alphabet()
+    space = chr(alphabet[ord(" ")])
 
     def ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        own = [model.tokenize(p if p.isalpha() and p.isascii() else p.encode().decode("latin-1").translate(alphabet)) for p in pieces]
+        own = [model.tokenize(space + p[1:] if p[0] == " " and p.isascii() and p[1:].isalpha() else p.encode().decode("latin-1").translate(alphabet)) for p in pieces]
         count = np.fromiter(map(len, own), np.int64, len(own))
         return np.fromiter(map(_ID, chain.from_iterable(own)), np.int64, int(count.sum())), count
 

@@ -242,11 +242,11 @@ def test_passages_match_brute_force(spark):
             w[at] = "edited"
         docs.append((10_000 + i, " ".join(w)))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = passage_dedup.paragraphs(frame, text=True).collect()
-    sets = {}
-    for r in rows:
-        w = r.text.encode().split()
+    texts, sets, spelled = dict(docs), {}, {}
+    for r in passage_dedup.paragraphs(frame).collect():
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id]).encode().split()[r.start:r.end]
         sets.setdefault(r.k, frozenset(tuple(w[x:x + 5]) for x in range(len(w) - 4)))
+        assert spelled.setdefault(r.k, w) == w and len(w) >= passage_dedup.SHORTEST
         assert len(sets[r.k]) >= passage_dedup.DISTINCT
     holders = {}
     for k, own in sets.items():
