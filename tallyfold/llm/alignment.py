@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm import token_blocks
-from tallyfold.llm.common import documents, give_back, held_by_worker, map_texts, work_folder
+from tallyfold.llm.common import documents, give_back, held_by_worker, map_texts, release_held, work_folder
 from tallyfold.llm.spaced_units import MARK, SpacedUnits, splits_at_marks
 
 SIDE_A = public_tokenizers.path("byte_bpe_50k.json")
 SIDE_B = public_tokenizers.path("piece_bpe_32k.model")
-MEMORY = 150_000
+MEMORY = 100_000
 """Strings whose ids a worker remembers, for each side."""
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 class Spellings:
@@ -175,8 +175,14 @@ def written(ids: np.ndarray, group: np.ndarray, side: np.ndarray, text: np.ndarr
     return found
 
 
+def pair_type(a: Spellings, b: Spellings) -> str:
+    """The type that holds every ``a * size_b + b``."""
+    return "int" if len(a.length) * len(b.length) < 1 << 31 else "bigint"
+
+
 def aligned(docs: DataFrame, a: str = SIDE_A, b: str = SIDE_B) -> DataFrame:
     """``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``links`` (id pairs as ``a * size_b + b``, in order) and ``groups_sha256``."""
+    kind = pair_type(spellings_a(a), spellings_b(b))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = sides(a, b)
@@ -201,13 +207,13 @@ def aligned(docs: DataFrame, a: str = SIDE_A, b: str = SIDE_B) -> DataFrame:
         sha = written(np.concatenate([ids_a, ids_b])[order], np.concatenate([group_a, group_b])[order],
                       np.repeat([0, 1], [len(ids_a), len(ids_b)])[order], np.concatenate([text_a, text_b])[order], n)
         first = np.flatnonzero(np.diff(group_a, prepend=-1))
-        links = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text)).astype(np.int32)), pa.array(ids_a[p].astype(np.int64) * wide + ids_b[q]))
+        links = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text)).astype(np.int32)), pa.array((ids_a[p].astype(np.int64) * wide + ids_b[q]).astype(np.int32 if kind == "int" else np.int64)))
         counts = [pa.array(np.bincount(x, minlength=n).astype(np.int64)) for x in (text_a, text_b, text_a[first])]
         out = pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, links, pa.array(sha)], names=["doc_id", "n_a", "n_b", "n_groups", "links", "groups_sha256"])
         give_back()
         return out
 
-    return map_texts(documents(docs), work, "doc_id long, n_a long, n_b long, n_groups long, links array<bigint>, groups_sha256 string", limit=SLICE)
+    return map_texts(documents(docs), work, f"doc_id long, n_a long, n_b long, n_groups long, links array<{kind}>, groups_sha256 string", limit=SLICE)
 
 
 def pair_counts(rows: DataFrame, wide: int) -> DataFrame:
@@ -233,6 +239,7 @@ def alignment(docs: DataFrame, a: str = SIDE_A, b: str = SIDE_B) -> DataFrame:
     shared = spark.sparkContext.broadcast((pair[order], n[order], best[order]))
 
     def held_against(batches):
+        release_held()  # the encoders of the step before
         pair, n, best = shared.value
         for batch in batches:
             links = batch.column("links")

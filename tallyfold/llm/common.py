@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -80,6 +81,14 @@ def held_by_worker(key, build: Callable):
     return _HELD[key]
 
 
+def release_held() -> None:
+    """Let go of the model that this Python worker holds; for later steps that need none."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    give_back()
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
