@@ -26,7 +26,7 @@ from tallyfold.llm.common import documents, give_back, held_by_worker, map_texts
 from tallyfold.llm.pieces import PieceEncoder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-MEMORY = 600_000
+MEMORY = 400_000
 """Strings whose ids a worker remembers."""
 SLICE = 4 << 20
 """Bytes of text that are encoded at once."""

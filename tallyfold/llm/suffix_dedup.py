@@ -48,11 +48,12 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def minimisers(hashes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen positions of a text's windows, and the hash of the words that begin there."""
+def minimisers(hashes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chosen positions of a text's windows, the hash of the words that begin there, and how many words before
+    it the last and the first of the windows begin that chose it."""
     n = len(hashes)
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = np.zeros(n - gram + 1, np.uint64)
     for i in range(gram):
         key = key * np.uint64(_ODD) + hashes[i:n - gram + 1 + i]
@@ -67,8 +68,9 @@ def minimisers(hashes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tu
         span *= 2
     if span < width:
         low = np.minimum(low[:len(low) - (width - span)], low[width - span:])
-    at = np.unique((low & np.uint64(0xFFFFFFFF)).astype(np.int64))
-    return at, key[at]
+    # the windows that chose a place follow each other
+    at, first, count = np.unique((low & np.uint64(0xFFFFFFFF)).astype(np.int64), return_index=True, return_counts=True)
+    return at, key[at], at - first - count + 1, at - first
 
 
 def range_hashes(hashes: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
@@ -82,7 +84,10 @@ def range_hashes(hashes: np.ndarray, start: np.ndarray, size: int) -> np.ndarray
 
 
 def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id``, ``text_key``, ``pos``, ``gram``: the chosen suffixes of each document.
+    """``doc_id``, ``text_key``, ``pos``, ``low``, ``high``, ``gram``: the chosen suffixes of each document.
+
+    The windows that chose it begin ``high`` down to ``low`` words before it. Equal
+    windows choose alike, so it answers for these alone.
 
     ``right`` is a hash of the words that every window with at most half of its
     reach left of the position has, ``left`` of those of all other windows; null
@@ -93,11 +98,13 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
     def run(batches):
         for batch in slices(batches, limit=4 << 20):
-            at, keys, count, sides = [], [], [], []
+            at, keys, count, sides, low, high = [], [], [], [], [], []
             for raw in byte_views(batch.column("text")):
                 own = word_hashes(raw)
-                p, k = minimisers(own, length, gram)
-                fits = p + length - half <= len(own), p > half
+                p, k, least, most = minimisers(own, length, gram)
+                fits = (p + length - half <= len(own)) & (least <= half), (p > half) & (most > half)
+                low.append(least)
+                high.append(most)
                 side = np.zeros((2, len(p)), np.uint64)
                 side[0, fits[0]] = range_hashes(own, p[fits[0]], length - half)
                 side[1, fits[1]] = range_hashes(own, p[fits[1]] - half - 1, half + 1 + gram)
@@ -108,19 +115,18 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             own = pa.array(np.repeat(np.arange(batch.num_rows), count))
             right, left = (pa.array(np.concatenate([x[0][i] for x in sides]).view(np.int64), mask=~np.concatenate([x[1 + i] for x in sides])) for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(own), batch.column("text_key").take(own), pa.array(np.concatenate(at).astype(np.int32)),
-                 pa.array(np.concatenate(keys).view(np.int64)), right, left], names=["doc_id", "text_key", "pos", "gram", "right", "left"])
+                [batch.column("doc_id").take(own), batch.column("text_key").take(own), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (at, low, high)),
+                 pa.array(np.concatenate(keys).view(np.int64)), right, left], names=["doc_id", "text_key", "pos", "low", "high", "gram", "right", "left"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, pos int, gram long, right long, left long")
+    return docs.mapInArrow(run, "doc_id long, text_key long, pos int, low int, high int, gram long, right long, left long")
 
 
 def contexts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The words around each of the documents' ``chosen`` positions.
 
-    ``first`` is the position of the leftmost word given, ``before`` holds the
-    words left of the position and ``after`` those from it on.
+    ``before`` holds the words left of the position and ``after`` those from it on,
+    as far as the windows that chose it reach.
     """
-    reach = length - gram
 
     def run(batches):
         for batch in slices(batches, limit=2 << 20):
@@ -128,15 +134,16 @@ def contexts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             for doc_id, raw, chosen in zip(batch.column("doc_id").to_pylist(), byte_views(batch.column("text")), batch.column("chosen").to_pylist()):
                 words = raw.split()
                 for x in chosen:
-                    p = x["pos"]
-                    rows.append((doc_id, p, x["kind"], x["key"], b" ".join(words[max(0, p - reach):p]), b" ".join(words[p:p + length])))
+                    p, low, high = x["pos"], x["low"], x["high"]
+                    rows.append((doc_id, p, low, high, x["kind"], x["key"], b" ".join(words[p - high:p]), b" ".join(words[p:p + length - low])))
             if rows:
-                doc, pos, kind, key, before, after = zip(*rows)
+                doc, pos, low, high, kind, key, before, after = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(kind, pa.int32()), pa.array(key, pa.int64()),
-                     pa.array(before, pa.binary()).cast(pa.string()), pa.array(after, pa.binary()).cast(pa.string())], names=["doc_id", "pos", "kind", "key", "before", "after"])
+                    [pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (pos, low, high, kind)), pa.array(key, pa.int64()),
+                     pa.array(before, pa.binary()).cast(pa.string()), pa.array(after, pa.binary()).cast(pa.string())],
+                    names=["doc_id", "pos", "low", "high", "kind", "key", "before", "after"])
 
-    return docs.mapInArrow(run, "doc_id long, pos int, kind int, key long, before string, after string")
+    return docs.mapInArrow(run, "doc_id long, pos int, low int, high int, kind int, key long, before string, after string")
 
 
 def _words(text: pa.Array, width: int, right: bool, of: pa.Array) -> np.ndarray:
@@ -178,7 +185,7 @@ def block_repeats(table: pa.Table, length: int = LENGTH, gram: int = GRAM) -> pa
     right, left = _words(after, length, True, every), _words(before, reach, False, every)
     empty = pc.equal(before, "").to_numpy(zero_copy_only=False)
     left[empty] = -1 - np.flatnonzero(empty)[:, None]
-    block, kind = table.column("key").to_numpy(), table.column("kind").to_numpy()
+    block, kind, low, high = (table.column(x).to_numpy() for x in ("key", "kind", "low", "high"))
     agree = _same(right)
     agree[1:][(block[1:] != block[:-1]) | (kind[1:] != kind[:-1])] = 0
     doc, pos = table.column("doc_id").to_numpy(), table.column("pos").to_numpy().astype(np.int64)
@@ -188,7 +195,7 @@ def block_repeats(table: pa.Table, length: int = LENGTH, gram: int = GRAM) -> pa
         if back:
             mixed = mixed * np.uint64(_ODD) + left[:, back - 1].astype(np.uint64) + np.uint64(1)
         run = np.cumsum(agree < length - back)  # suffixes that agree in length - back words stand together
-        mine = np.flatnonzero((kind == WHOLE) | (kind == (RIGHT if back <= reach // 2 else LEFT)))
+        mine = np.flatnonzero(((kind == WHOLE) | (kind == (RIGHT if back <= reach // 2 else LEFT))) & (low <= back) & (back <= high))
         order = mine[np.lexsort((pos[mine], doc[mine], mixed[mine], run[mine]))]
         if not len(order):
             continue
@@ -241,13 +248,11 @@ def hashed_repeats(suffixes: DataFrame, length: int = LENGTH, gram: int = GRAM)
     def run(batches):
         for batch in slices(batches, "after", 1 << 20):
             doc, pos, h1, h2 = [], [], [], []
-            for d, p, kind, before, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "kind", "before", "after"))):
+            for d, p, low, high, kind, before, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "pos", "low", "high", "kind", "before", "after"))):
                 words = before.encode().split()
                 base = len(words)
                 words += after.encode().split()
-                for back in range(reach // 2 + 1) if kind == RIGHT else range(reach // 2 + 1, reach + 1):
-                    if back > base:
-                        break
+                for back in range(low, min(high, reach // 2) + 1) if kind == RIGHT else range(max(low, reach // 2 + 1), high + 1):
                     window = words[base - back:base - back + length]
                     if len(window) == length:
                         own = b" ".join(window)
@@ -280,7 +285,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     anchors(texts, length, gram).write.parquet(folder)
     own = spark.read.parquet(folder)
     again = own.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    place = ["doc_id", "text_key", "pos"]
+    place = ["doc_id", "text_key", "pos", "low", "high"]
     whole = own.join(again.where(F.col("n") <= block_rows), "gram").select(*place, F.lit(WHOLE).alias("kind"), F.col("gram").alias("key"))
     sides = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(x).alias("key")) for k, x in ((RIGHT, "right"), (LEFT, "left"))]))
     halves = own.join(again.where(F.col("n") > block_rows).select("gram"), "gram").select(*place, sides.alias("x")).select(*place, "x.*").where("key is not null")
@@ -288,7 +293,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
 
     def suffixes(chosen: DataFrame) -> DataFrame:
         """The words around the chosen anchors; texts without any stay where they are."""
-        lists = cut_lineage(chosen.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("pos", "kind", "key"))).alias("chosen")))
+        lists = cut_lineage(chosen.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("pos", "low", "high", "kind", "key"))).alias("chosen")))
         # at most SIEVE numbers, whatever the corpus: a coarse filter before the texts are shuffled
         sieve = lists.select(F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("sieve")).distinct()
         some = texts.withColumn("sieve", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))).join(F.broadcast(sieve), "sieve", "left_semi").drop("sieve")
