@@ -94,6 +94,15 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints of DataFrames that nothing refers to any more.
+
+    Its cleaner waits for the driver's garbage collection, which a small driver may not need for hours.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def smallest_sample(docs: DataFrame, group: str, rows: int, seed: int = 7) -> DataFrame:
     """At most ``rows`` documents of each value of ``group``: those whose hashed id is smallest.
 
@@ -148,6 +157,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(near, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", F.col("m").alias("b")))
         links = cut_lineage(tidy(small))
+        del both, low, large, near, small
+        free_shuffles(links.sparkSession)
         now = state(links)
         if now == seen:
             break
