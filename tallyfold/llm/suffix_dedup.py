@@ -294,7 +294,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     def suffixes(chosen: DataFrame) -> DataFrame:
         """The words around the chosen anchors; texts without any stay where they are."""
         lists = cut_lineage(chosen.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("pos", "low", "high", "kind", "key"))).alias("chosen")))
-        free_shuffles(spark)  # those of the anchors aren't needed beside the texts'
+        free_shuffles(spark)  # those of the anchors aren't needed beside the texts
         # at most SIEVE numbers, whatever the corpus: a coarse filter before the texts are shuffled
         sieve = lists.select(F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("sieve")).distinct()
         some = texts.withColumn("sieve", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))).join(F.broadcast(sieve), "sieve", "left_semi").drop("sieve")
