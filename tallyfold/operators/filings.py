@@ -129,6 +129,7 @@ def distinct_events(events: DataFrame, by_summary: bool = True) -> DataFrame:
 def eightk_sections(events: DataFrame) -> DataFrame:
     """Section list of 8-K filings from their item rows, for filings whose text has no item headings."""
     raw = F.trim(F.coalesce("item", F.lit("")))
+    # Fixed value: the item heading that stands before a title.
     after = F.trim(F.regexp_extract(raw, r"(?i)^item\s+\d+(?:\.\d+)?[a-z]?\s*[.:-]?\s*(.*)", 1))
     title = F.coalesce(F.when(after != "", after), K.item_title(c("item_code")))
     plain = F.concat(F.lit("Item "), c("item_code"))

@@ -2,8 +2,8 @@
 
 A filing's text stays in its row from scan to result; nothing is shuffled
 except to bring the two texts of a comparison together. Match positions come
-from marking every match with a control character and splitting there, so the
-regular expressions run inside the engine, once over the whole text.
+from the lengths of what stands between matches, so the regular expressions run
+inside the engine, over the whole text.
 """
 
 from __future__ import annotations
@@ -107,6 +107,7 @@ def with_sections(filings: DataFrame, text: str = "markdown", name: str = "secti
 
 
 def _title(raw: Column) -> Column:
+    # The characters stripped from a title, and a page number at its end.
     bare = strip(squeeze(raw), " .:-")
     bare = F.trim(F.regexp_replace(bare, r"\s+\d+$", ""))
     return F.when(bare != "", bare)
@@ -369,6 +370,7 @@ def _highlight_step(is_head, bare, max_chars: int):
     return step
 
 
+# Fixed value: highlights have at most 320 characters.
 def risk_highlights(text: Column, limit: int | None = None, max_chars: int = 320) -> Column:
     """First bullet or sentence under each "risks related to" heading, and bullets without a heading."""
     step = _highlight_step(lambda x: _lead(x).startswith("risks related to"), lambda x: x, max_chars)
@@ -377,6 +379,7 @@ def risk_highlights(text: Column, limit: int | None = None, max_chars: int = 320
 
 def is_subheading(line: Column) -> Column:
     """Markdown heading, trailing colon, capitals only, or a short line of mostly capitalised words."""
+    # The patterns of words and capitals, 12 words, a share of 0.8, 120 characters.
     x = _bare(line)
     words = F.regexp_extract_all(x, F.lit(r"([A-Za-z][A-Za-z'&/-]*)"), F.lit(1))
     upper = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
@@ -445,6 +448,7 @@ def section_excerpt(text: Column, starts: list[str], ends: list[str], needles: l
     end = F.least(*[F.coalesce(_at(rest, p), F.lit(2**31 - 2)) for p in ends])
     lowered = F.lower(text)
     needle = F.coalesce(*[F.when(F.locate(n, lowered) > 0, F.locate(n, lowered)) for n in needles])
+    # Fixed value: 800 characters.
     near = F.substr(text, F.greatest(needle - 800, F.lit(1)))
     return F.when(start.isNotNull(), strip(F.substr(text, start, end))).otherwise(F.coalesce(near, text))
 
@@ -457,6 +461,7 @@ def mda_excerpt(text: Column) -> Column:
     return section_excerpt(text, MDA_START, MDA_END, MDA_NEEDLES)
 
 
+# The texts that mark what was left out.
 NOTICE = "\n\n[... filing text truncated ...]"
 SKIPS = [("1a", "[... skipped to Item 1A. Risk Factors ...]"),
          ("7", "[... skipped to Item 7. Management's Discussion and Analysis ...]")]
