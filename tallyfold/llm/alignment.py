@@ -38,6 +38,8 @@ SIDE_B = public_tokenizers.path("piece_bpe_32k.model")
 MEMORY = 100_000
 """Strings whose ids a worker remembers, for each side."""
 SLICE = 1 << 19
+ROWS = 250
+"""Texts whose links are held against the counts at once."""
 
 
 class Spellings:
@@ -241,14 +243,17 @@ def alignment(docs: DataFrame, a: str = SIDE_A, b: str = SIDE_B) -> DataFrame:
     def held_against(batches):
         release_held()  # the encoders of the step before
         pair, n, best = shared.value
-        for batch in batches:
-            links = batch.column("links")
-            at = np.searchsorted(pair, links.flatten().to_numpy(zero_copy_only=False))
-            size = pc.list_value_length(links).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(size)
-            sums = [np.append(0, np.cumsum(x[at].astype(np.int64))) for x in (best, n)]
-            own = [batch.column(x) for x in ("doc_id", "n_a", "n_b", "n_groups")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(size), *(pa.array(x[ends] - x[ends - size]) for x in sums), batch.column("groups_sha256")],
-                                             names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):  # links by the hundred thousand, not by the million
+                batch = whole.slice(first, ROWS)
+                links = batch.column("links")
+                at = np.searchsorted(pair, links.flatten().to_numpy(zero_copy_only=False))
+                size = pc.list_value_length(links).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.cumsum(size)
+                sums = [np.append(0, np.cumsum(x[at].astype(np.int64))) for x in (best, n)]
+                own = [batch.column(x) for x in ("doc_id", "n_a", "n_b", "n_groups")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size), *(pa.array(x[ends] - x[ends - size]) for x in sums), batch.column("groups_sha256")],
+                                                 names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+        give_back()
 
     return rows.mapInArrow(held_against, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
