@@ -9,6 +9,7 @@ from tallyfold.functions import columns as K
 from tallyfold.operators import bundles as BU
 from tallyfold.operators import facts as X
 from tallyfold.operators import filings as FL
+from tallyfold.operators import known as KN
 from tallyfold.operators import reconcile as RC
 from tallyfold.operators import series as S
 from tallyfold.operators import ttm as T
@@ -465,3 +466,47 @@ def r2(spark, d):
     ledger = Ledger(spark, f"{base}/ledger")
     IN.mark_unique(ledger, twice, f"{base}/checkpoint").awaitTermination()
     return ledger.read().select("accession_number", "form_type")
+
+
+# ---------------------------------------------------------------- two times
+
+# A value is known from June 30 of its filing's year; the next year's filing repeats it, restated.
+REPORTED = f"""{FAST}, rep as (select ticker, metric_type, period_type, period_end, value, accession,
+   make_date(cast(split_part(accession, '-', 2) as integer), 6, 30) as filed from done)"""
+KNOWN_DAYS = ("1997-12-31", "1998-12-31")
+KNOWN_COLS = ["revenue", "net_income", "cost_of_revenue", "operating_expenses", "total_assets", "long_term_debt"]
+
+
+def reported(spark, d):
+    rows = X.extract_filings(filing_facts(spark, d))
+    return rows.withColumn("filed", F.make_date(F.substring_index("accession", "-", -1).cast("int"), F.lit(6), F.lit(30)))
+
+
+def _known_sql(day: str) -> str:
+    return f"""(with metrics as (select * from (select *, row_number() over (partition by ticker, metric_type, period_type, period_end
+   order by filed desc, accession desc) as newest from rep where filed <= date '{day}') where newest = 1), {ttm_sql('1997-12-31')}
+select ticker, date '{day}' as known_on, {", ".join(KNOWN_COLS)} from ttm)"""
+
+
+@query("w6_as_known", f"""with {REPORTED} select ticker, {", ".join(KNOWN_COLS)} from {_known_sql(KNOWN_DAYS[1])}""")
+def w6k(spark, d):
+    """TTM at the end of 1997, as it was known a year later."""
+    return KN.ttm_as_known(reported(spark, d), KNOWN_DAYS[1], as_of="1997-12-31").select("ticker", *KNOWN_COLS)
+
+
+@query("w6_known_at_points", f"""with {REPORTED} {" union all ".join("select * from " + _known_sql(x) for x in KNOWN_DAYS)}""")
+def w6kp(spark, d):
+    """TTM at the end of 1997 for every ticker, as it was known then and after the next year's filing restated it."""
+    rows = reported(spark, d)
+    days = F.explode(F.array(*[F.lit(x).cast("date") for x in KNOWN_DAYS]))
+    points = MP.table(spark, d, "supplier").select(
+        F.concat(F.lit("S"), "s_suppkey").alias("ticker"), F.lit("1997-12-31").cast("date").alias("as_of"), days.alias("known_on"))
+    return KN.ttm_known_at(KN.versions(rows), points).select("ticker", "known_on", *KNOWN_COLS)
+
+
+@query("w6_restatements", f"""with {REPORTED}, v as (select *, lag(value) over (partition by ticker, metric_type, period_type, period_end order by filed, accession) as before
+   from rep) select ticker, metric_type, period_type, period_end, filed as known_from, before, value,
+   case when before <> 0 then round(value / before - 1, 9) end as change from v where before is not null and before <> value""")
+def w6r(spark, d):
+    """Every value that a later filing replaced."""
+    return KN.restatements(KN.versions(reported(spark, d))).withColumn("change", F.round("change", 9))

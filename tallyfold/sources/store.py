@@ -123,10 +123,19 @@ class MetricStore:
             T.StructField("ticker", T.StringType()), T.StructField("deleted_at", T.TimestampType())]))
         self.runs = Log(spark, f"{self.path}/maintenance", M.MAINTENANCE_SCHEMA)
 
-    def read(self) -> DataFrame:
-        """Current rows: newest per key, not older than a delete of the ticker."""
-        current = newest_per_key(self.rows.read(), M.PK, ["ingested_at", "batch"])
-        gone = self.deletes.read().groupBy("ticker").agg(F.max("deleted_at").alias("deleted_at"))
+    def read(self, known_at: str | None = None) -> DataFrame:
+        """Current rows: newest per key, not older than a delete of the ticker.
+
+        With ``known_at`` (a timestamp) the rows as the store held them then: later
+        batches and deletes don't count. :meth:`compact_to` keeps one version,
+        so a compacted store only knows times after its compaction.
+        """
+        rows, deletes = self.rows.read(), self.deletes.read()
+        if known_at is not None:
+            until = F.lit(known_at).cast("timestamp")
+            rows, deletes = rows.where(c("ingested_at") <= until), deletes.where(c("deleted_at") <= until)
+        current = newest_per_key(rows, M.PK, ["ingested_at", "batch"])
+        gone = deletes.groupBy("ticker").agg(F.max("deleted_at").alias("deleted_at"))
         alive = current.join(gone, "ticker", "left").where(
             c("deleted_at").isNull() | (c("ingested_at") > c("deleted_at")))
         return alive.select(*[f.name for f in M.METRICS_SCHEMA])
