@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tallyfold.operators import changes as CH
 from tallyfold.operators import filings as FL
 from tallyfold.operators import sections as X
+from tallyfold.operators import text_index as TI
+from tallyfold.plans import jobs
 from tallyfold.plans import mapping as MP
 
 c = F.col
@@ -124,6 +126,22 @@ def t4s(spark, d):
     return hits.groupBy("accession_number").agg(F.count("*").alias("n"))
 
 
+PHRASES = ["discussion and analysis", "Risks  related to", "item 1a. risk factors", "the", "management's", "no such phrase here"]
+
+
+@query("t4_index_search", f"""with {S_SQL}, ph as (select unnest([{", ".join(q(x) for x in PHRASES)}]) as phrase union select 'to ' || source from documents where source is not null)
+select phrase, accession_number, item_code, hits from (
+  select phrase, accession_number, item_code, len(regexp_extract_all(content, '(?i)' || regexp_replace(replace(phrase, '.', '[.]'), ' +', '[[:space:]]+', 'g'))) as hits from ss, ph) where hits > 0""")
+def t4_index(spark, d):
+    """Six phrases and one per source, looked up in an index of all sections."""
+    index = TI.TextIndex(spark, jobs.work_folder(spark))
+    rows = texts(spark, d)
+    index.add(rows, "b1")
+    sources = MP.table(spark, d, "documents").where("source is not null").select(F.concat(F.lit("to "), "source").alias("phrase"))
+    phrases = spark.createDataFrame([(x,) for x in PHRASES], "phrase string").union(sources)
+    return index.search(phrases).select("phrase", "accession_number", "item_code", "hits")
+
+
 def section_pairs(spark, d):
     pairs = FL.prior_comparable(texts(spark, d).drop("markdown"))
     return pairs.where(c("prior").isNotNull()).select(

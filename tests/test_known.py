@@ -89,3 +89,18 @@ def test_points_equal_single_days(spark):
 def test_versions_shuffle_once(spark):
     plan = KN.versions(spark.createDataFrame(reports(), SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_store_as_it_was(spark, tmp_path):
+    from tallyfold.sources.store import MetricStore
+
+    store = MetricStore(spark, str(tmp_path / "store"))
+    rows = "ticker string, metric_type string, value double, period string, period_type string, period_end date"
+    store.upsert(spark.createDataFrame([("A", "revenue", 1.0, "p", "quarterly", ENDS[0]), ("B", "revenue", 2.0, "p", "quarterly", ENDS[0])], rows))
+    then = str(spark.sql("select current_timestamp()").first()[0])
+    store.upsert(spark.createDataFrame([("A", "revenue", 5.0, "p", "quarterly", ENDS[0])], rows))
+    store.delete_tickers(["B"])
+    held = lambda x: {r.ticker: r.value for r in x.collect()}
+    assert held(store.read()) == {"A": 5.0}
+    assert held(store.read(then)) == {"A": 1.0, "B": 2.0}
+    assert held(store.read("2000-01-01 00:00:00")) == {}
