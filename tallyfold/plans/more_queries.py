@@ -23,6 +23,7 @@ from tallyfold.plans.ingest_queries import (
 from tallyfold.plans.reconcile_queries import CUR_SQL, curated
 from tallyfold.plans import series_queries as SQ
 from tallyfold.plans.series_queries import has, lst, ttm_sql
+from tallyfold.sources import clustered as CL
 from tallyfold.sources import readers as RD
 from tallyfold.sources.store import CompanyState, Ledger, MetricStore
 from tallyfold.streaming import ingest as IN
@@ -510,3 +511,11 @@ def w6kp(spark, d):
 def w6r(spark, d):
     """Every value that a later filing replaced."""
     return KN.restatements(KN.versions(reported(spark, d))).withColumn("change", F.round("change", 9))
+
+
+@query("s8_by_ticker", f"""with {O.metrics()}, {ttm_sql()} select ticker, revenue, net_income, interest_expense, free_cash_flow, total_assets, common_shares_outstanding from ttm""")
+def s8t(spark, d):
+    """TTM of all tickers on the table laid out by ticker: one shuffle to write it, none to answer."""
+    table = CL.write_by_ticker(MP.metrics(spark, d), jobs.work_folder(spark))
+    return T.ttm_wide(table).select(
+        "ticker", "revenue", "net_income", "interest_expense", "free_cash_flow", "total_assets", "common_shares_outstanding")
