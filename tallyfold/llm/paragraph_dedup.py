@@ -132,11 +132,20 @@ def links(buckets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     ``buckets`` has ``bucket``, ``k1``, ``k2`` and ``n``, the bucket's rows;
     ``texts`` has ``k1``, ``k2``, ``node`` and ``text``.
     """
-    mine = F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int")
-    placed = (buckets.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("mine", mine)
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "k1", "k2"))
-    full = placed.join(texts, ["k1", "k2"]).select("bucket", "i", "j", "node.doc_id", "node.par", "text")
+    placed = in_blocks(buckets, ["k1", "k2"], block_rows)
+    return block_links(placed.join(texts, ["k1", "k2"]).select("bucket", "i", "j", "node.doc_id", "node.par", "text"), similarity)
+
+
+def in_blocks(members: DataFrame, key: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``members`` (``bucket``, its rows ``n``, and others) once for each pair of blocks ``i``, ``j`` of its bucket that takes it in."""
+    mine = F.pmod(F.xxhash64(*key), F.col("blocks")).cast("int")
+    placed = (members.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("mine", mine)
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    return placed.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("blocks", "mine", "other", "n")
+
+
+def block_links(full: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified links between the rows (``doc_id``, ``par``, ``text``) of each pair of blocks (``bucket``, ``i``, ``j``)."""
     ordered = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:

@@ -3,9 +3,12 @@
 A text is its words in lower case (A-Z), whatever lines they stand on. A paragraph
 begins where the hash of ``GRAM`` words is the smallest of ``STARTS`` in a row, and
 ends at the first place, ``SHORTEST`` words on or later, where it is the smallest of
-``ENDS`` in a row; a text's own two ends count as such places. Both depend on the
-words nearby alone, so a passage that stands in two texts is cut in the same way
-in both, wherever it begins: of 58 equal words at least one whole paragraph is equal.
+``ENDS`` in a row; a text's own two ends count as such places. Where a paragraph ends
+before the next begins, another one begins at that end, and the last ``SHORTEST`` words of
+a text are one if no other reaches its end: every word of a text of ``SHORTEST`` words
+or more stands in a paragraph. Cuts depend on the words nearby alone, so a passage
+that stands in two texts is cut in the same way in both, wherever it begins: of 58
+equal words at least one whole paragraph is equal.
 
 Features are the distinct runs of five words. ``BANDS`` bands of ``ROWS`` minima find a
 pair at a Jaccard similarity of 0.8 with a probability above 0.98 for one paragraph, and
@@ -26,7 +29,7 @@ nothing. Equal paragraphs are recognised by 64-bit hashes of their words.
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import byte_views, components, documents, free_shuffles, give_back, slices, work_folder
-from tallyfold.llm.paragraph_dedup import SIMILARITY, links
+from tallyfold.llm.paragraph_dedup import SIMILARITY, block_links, in_blocks
 from tallyfold.llm.suffix_dedup import range_hashes
 
 GRAM, STARTS, ENDS, SHORTEST = 3, 32, 8, 16
@@ -96,7 +99,19 @@ class Slice:
         ends[(self.first + self.size)[full]] = True
         start, last = np.flatnonzero(begins), np.flatnonzero(ends)
         start = start[self.room[start] >= SHORTEST]
-        return start, last[np.searchsorted(last, start + SHORTEST)]
+        end = last[np.searchsorted(last, start + SHORTEST)]
+        # words between an end and the next begin, or the text's end, get paragraphs of their own
+        stop = start + self.room[start]
+        until, at = np.minimum(np.append(start[1:], len(self.hashes)), stop), end
+        parts = [(start, end)]
+        while (open_ := at < until).any():
+            until, stop = until[open_], stop[open_]
+            more = np.minimum(at[open_], stop - SHORTEST)
+            at = last[np.searchsorted(last, more + SHORTEST)]
+            parts.append((more, at))
+        start, end = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(start)
+        return start[order], end[order]
 
 
 def distinct_runs(runs: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -135,7 +150,10 @@ def band_keys(runs: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.n
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_key``, ``start``, ``end``, the content's hash ``k``, and the band keys ``b0``, ``b1`` and so on."""
+    """``doc_id``, ``text_key``, ``start``, ``end``, the content's hash ``k``, and the band keys ``b0``, ``b1`` and so on.
+
+    Equal paragraphs have the same band keys; those of one slice give them once, the others have null.
+    """
     keys = [f"b{i}" for i in range(BANDS)]
 
     def run(batches):
@@ -149,9 +167,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 continue
             doc = np.searchsorted(own.first, start, "right") - 1
             k = range_hashes(own.hashes, start, end - start).view(np.int64)
+            again = np.ones(len(k), bool)
+            again[np.unique(k, return_index=True)[1]] = False
             at = pa.array(doc)
             columns = [batch.column("doc_id").take(at), batch.column("text_key").take(at), *(pa.array((x - own.first[doc]).astype(np.int32)) for x in (start, end)), pa.array(k),
-                       *map(pa.array, band_keys(runs, start, end))]
+                       *(pa.array(x, mask=again) for x in band_keys(runs, start, end))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "start", "end", "k", *keys])
             give_back()
 
@@ -159,54 +179,51 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, text_key long, start int, end int, k long, " + ", ".join(f"{x} long" for x in keys))
 
 
-def paragraph_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``k`` and ``text`` of the paragraphs at ``places`` (``doc_id``, ``text_key``, ``start``, ``end``, ``k``), one each."""
-    lists = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end", "k")).alias("chosen"))
+def paragraph_texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``k``, ``text`` and ``held`` of the paragraphs that each document's ``chosen`` names (``start``, ``end``, ``k``, ``held``)."""
     # at most SIEVE numbers, whatever the corpus: a coarse filter before the texts are shuffled
-    sieve = places.select(F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("sieve")).distinct()
+    sieve = lists.select(F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("sieve")).distinct()
     some = documents(docs).withColumn("sieve", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))).join(F.broadcast(sieve), "sieve", "left_semi").drop("sieve")
 
     def run(batches):
         for batch in slices(batches, limit=2 << 20):
-            k, text = [], []
-            for raw, chosen in zip(byte_views(batch.column("text")), (x.values for x in batch.column("chosen"))):
+            chosen, text = batch.column("chosen"), []
+            flat = chosen.flatten()
+            places = zip(*(flat.field(x).to_pylist() for x in ("start", "end")))
+            for raw, n in zip(byte_views(batch.column("text")), chosen.value_lengths().to_pylist()):
                 words = raw.lower().split()
-                for a, b, key in zip(*(chosen.field(x).to_pylist() for x in ("start", "end", "k"))):
-                    k.append(key)
-                    text.append(b" ".join(words[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], names=["k", "text"])
+                text += [b" ".join(words[a:b]) for a, b in islice(places, n)]
+            yield pa.RecordBatch.from_arrays([flat.field("k"), pa.array(text, pa.binary()).cast(pa.string()), flat.field("held")], names=["k", "text", "held"])
 
     some = some.withColumn("text_key", F.xxhash64("text"))
-    return some.join(lists, ["doc_id", "text_key"]).select("text", "chosen").mapInArrow(run, "k long, text string")
+    return some.join(lists, ["doc_id", "text_key"]).select("text", "chosen").mapInArrow(run, "k long, text string, held array<struct<bucket: long, n: long>>")
 
 
 def near_links(rows: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Confirmed links (``a``, ``b``: content hashes) between different paragraphs."""
     spark = docs.sparkSession
     keys = [f"b{i}" for i in range(BANDS)]
-    place = F.min(F.struct("doc_id", "text_key", "start", "end")).alias("place")
-    distinct = rows.groupBy("k").agg(*[F.first(x).alias(x) for x in keys])
-    keyed = distinct.select(F.explode(F.array(*keys)).alias("bucket"), "k")
-    # one shuffle of 16 bytes a row; equal paragraphs are one row by now
-    dealt = keyed.repartition("bucket")
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).where("n > 1")
+    # one shuffle of 16 bytes a row; of equal paragraphs of a slice there is one row
+    dealt = rows.select(F.explode(F.array(*keys)).alias("bucket"), "k").where("bucket is not null").repartition("bucket")
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).where("low < high")
     folder = f"{work_folder(spark)}/members"
     # a pair that stands alone in several bands is compared once
     pairs = sizes.where("n = 2").select("low", "high").distinct().select(F.xxhash64("low", "high").alias("bucket"), F.lit(2).cast("long").alias("n"), F.explode(F.array("low", "high")).alias("k"))
-    more = dealt.join(sizes.where("n > 2").select("bucket", "n"), "bucket").select("bucket", "n", "k")
-    pairs.union(more).select("bucket", "n", F.col("k").alias("k1"), F.lit(0).alias("k2")).write.parquet(folder)
-    del distinct, keyed, dealt, sizes, pairs, more
+    more = dealt.join(sizes.where("n > 2").select("bucket", "n"), "bucket").select("bucket", "n", "k").distinct()
+    pairs.union(more).write.parquet(folder)
+    del dealt, sizes, pairs, more
     free_shuffles(spark)
-    shared = spark.read.parquet(folder)
-    wanted = shared.select(F.col("k1").alias("k")).distinct()
-    places = rows.join(wanted, "k", "left_semi").groupBy("k").agg(place).select("place.*", "k")
-    texts_folder = f"{work_folder(spark)}/texts"
-    paragraph_texts(docs, places).write.parquet(texts_folder)
-    del wanted, places
-    free_shuffles(spark)  # those of whole texts aren't needed beside those of paragraphs
-    texts = spark.read.parquet(texts_folder)
-    nodes = texts.select(F.col("k").alias("k1"), F.lit(0).alias("k2"), F.struct(F.col("k").alias("doc_id"), F.lit(0).alias("par")).alias("node"), "text")
-    return links(shared, nodes, similarity, block_rows).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+    held = spark.read.parquet(folder).groupBy("k").agg(F.collect_list(F.struct("bucket", "n")).alias("held"))
+    place = F.min(F.struct("doc_id", "text_key", "start", "end")).alias("place")
+    places = rows.where("b0 is not null").groupBy("k").agg(place).join(held, "k").select("place.*", "k", "held")
+    lists_folder, texts_folder = f"{work_folder(spark)}/lists", f"{work_folder(spark)}/texts"
+    places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end", "k", "held")).alias("chosen")).write.parquet(lists_folder)
+    del held, places
+    free_shuffles(spark)  # those of paragraphs aren't needed beside those of whole texts
+    paragraph_texts(docs, spark.read.parquet(lists_folder)).write.parquet(texts_folder)
+    free_shuffles(spark)  # nor the other way round
+    members = spark.read.parquet(texts_folder).select("k", "text", F.explode("held").alias("x")).select("x.*", F.col("k").alias("doc_id"), F.lit(0).alias("par"), "text")
+    return block_links(in_blocks(members, ["doc_id"], block_rows), similarity).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
 
 
 def near_passages(docs: DataFrame, least: int = LEAST, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -225,7 +242,8 @@ def near_passages(docs: DataFrame, least: int = LEAST, similarity: float = SIMIL
     merged = classes.join(found, classes["k"] == found["id"], "left").select("k", F.coalesce("component", "k").alias("c"), "keep", "last")
     groups = merged.groupBy("c").agg(F.min("keep").alias("keep"), F.max("last").alias("last")).where("keep.doc_id < last")
     labelled = merged.select("k", "c").join(groups, "c").select("k", "keep")
-    hits = rows.select("doc_id", "start", "end", "k").distinct().join(labelled, "k")
+    # one shuffle for both: equal rows of a document meet where its passages are put together
+    hits = rows.select("doc_id", "start", "end", "k").join(labelled, "k").repartition("doc_id").distinct()
     along = Window.partitionBy("doc_id").orderBy("start", "end", "k")
     reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     opened = hits.withColumn("new", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))

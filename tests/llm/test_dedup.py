@@ -265,6 +265,29 @@ def test_passages_match_brute_force(spark):
     assert len(close) > 30 and joined >= 0.97 * len(close)
 
 
+def test_every_word_stands_in_a_paragraph(spark):
+    """Each word of a text of ``SHORTEST`` words or more, between cuts and at the text's end too."""
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n)]
+    docs = [(i, " ".join(words(n))) for i, n in enumerate([0, 1, 15, 16, 17, 31, 40, 58, 400, 1500, *(rng.randint(16, 300) for _ in range(60))])]
+    covered = {i: set() for i, _ in docs}
+    for r in passage_dedup.paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert r.end - r.start >= passage_dedup.SHORTEST
+        covered[r.doc_id] |= set(range(r.start, r.end))
+    sizes = {i: len(t.split()) for i, t in docs}
+    assert covered == {i: set(range(n if n >= passage_dedup.SHORTEST else 0)) for i, n in sizes.items()}
+
+
+def test_a_repeat_between_cuts_is_found(spark):
+    """Texts that agree just in the words that used to stand between two paragraphs' ends and begins are compared there."""
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n)]
+    shared = words(30)
+    docs = [(i, " ".join(words(120) + shared)) for i in range(40)]
+    got = passage_dedup.near_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.end == 150 and r.start >= 120} == set(range(40))
+
+
 def test_passages_of_odd_documents(odd_docs, no_docs):
     got = {(r.doc_id, r.keep_doc_id) for r in passage_dedup.near_passages(odd_docs).collect()}
     assert got == {(1, 1), (2, 1), (11, 1), (13, 1), (6, 6), (7, 6)}
