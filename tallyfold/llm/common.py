@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -98,9 +99,12 @@ def free_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files and checkpoints of DataFrames that nothing refers to any more.
 
     Its cleaner waits for the driver's garbage collection, which a small driver may not need for hours.
+    A query that has just ended is still held by Spark's listeners for a moment, so one collection isn't enough.
     """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.2, 0.8):
+        time.sleep(pause)
+        spark.sparkContext._jvm.System.gc()
 
 
 def smallest_sample(docs: DataFrame, group: str, rows: int, seed: int = 7) -> DataFrame:

@@ -3,18 +3,17 @@
 Words are runs without ASCII white space, exactly as written. Of every window of
 ``LENGTH`` words one position is chosen by content alone: where the hash of
 ``GRAM`` words is smallest. Equal windows choose the same place, so only suffixes
-that start at chosen positions are kept, about one in twenty, and of those only
-the ones whose first words occur again. They are sorted by what follows;
+that start at chosen positions are kept, about one in twenty. A window either
+reaches far right of the position or far left of it, so a suffix only meets those
+with the same further words on that side, about thirty, and one that meets none
+goes no further. They are sorted by what follows;
 neighbours are compared for how far they agree to the right, then to the left,
 and a window of ``LENGTH`` words that agrees is a repeat. The result is exact:
 every window of ``LENGTH`` words that occurs at two places is found, and no other.
 
-Suffixes that share their first ``GRAM`` words form a block. A block beyond
-``BLOCK_ROWS`` (a line that very many documents share) is split by content: a
-window either reaches far right of the position or far left of it, so suffixes
-only meet those with the same further words on that side. What is still too
-large is a repeated passage itself; its windows are grouped by 128-bit hashes,
-with counts combined before the shuffle.
+Suffixes that share these words form a block. A block beyond ``BLOCK_ROWS`` is a
+repeated passage itself; its windows are grouped by 128-bit hashes, with counts
+combined before the shuffle.
 
 Null, empty and shorter texts have no windows, rows without a ``doc_id`` are left
 out. Rows that repeat a ``doc_id`` and
@@ -38,7 +37,7 @@ LENGTH = 50
 GRAM = 8
 BLOCK_ROWS = 20_000
 SIEVE = 1 << 20
-WHOLE, RIGHT, LEFT = 0, 1, 2
+RIGHT, LEFT = 1, 2
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -84,7 +83,7 @@ def range_hashes(hashes: np.ndarray, start: np.ndarray, size: int) -> np.ndarray
 
 
 def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id``, ``text_key``, ``pos``, ``low``, ``high``, ``gram``: the chosen suffixes of each document.
+    """``doc_id``, ``text_key``, ``pos``, ``low``, ``high``, ``right``, ``left``: the chosen suffixes of each document.
 
     The windows that chose it begin ``high`` down to ``low`` words before it. Equal
     windows choose alike, so it answers for these alone.
@@ -98,10 +97,10 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
     def run(batches):
         for batch in slices(batches, limit=4 << 20):
-            at, keys, count, sides, low, high = [], [], [], [], [], []
+            at, count, sides, low, high = [], [], [], [], []
             for raw in byte_views(batch.column("text")):
                 own = word_hashes(raw)
-                p, k, least, most = minimisers(own, length, gram)
+                p, _, least, most = minimisers(own, length, gram)
                 fits = (p + length - half <= len(own)) & (least <= half), (p > half) & (most > half)
                 low.append(least)
                 high.append(most)
@@ -109,16 +108,15 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 side[0, fits[0]] = range_hashes(own, p[fits[0]], length - half)
                 side[1, fits[1]] = range_hashes(own, p[fits[1]] - half - 1, half + 1 + gram)
                 at.append(p)
-                keys.append(k)
                 count.append(len(p))
                 sides.append((side, *fits))
             own = pa.array(np.repeat(np.arange(batch.num_rows), count))
             right, left = (pa.array(np.concatenate([x[0][i] for x in sides]).view(np.int64), mask=~np.concatenate([x[1 + i] for x in sides])) for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(own), batch.column("text_key").take(own), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (at, low, high)),
-                 pa.array(np.concatenate(keys).view(np.int64)), right, left], names=["doc_id", "text_key", "pos", "low", "high", "gram", "right", "left"])
+                 right, left], names=["doc_id", "text_key", "pos", "low", "high", "right", "left"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, pos int, low int, high int, gram long, right long, left long")
+    return docs.mapInArrow(run, "doc_id long, text_key long, pos int, low int, high int, right long, left long")
 
 
 def contexts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -195,7 +193,7 @@ def block_repeats(table: pa.Table, length: int = LENGTH, gram: int = GRAM) -> pa
         if back:
             mixed = mixed * np.uint64(_ODD) + left[:, back - 1].astype(np.uint64) + np.uint64(1)
         run = np.cumsum(agree < length - back)  # suffixes that agree in length - back words stand together
-        mine = np.flatnonzero(((kind == WHOLE) | (kind == (RIGHT if back <= reach // 2 else LEFT))) & (low <= back) & (back <= high))
+        mine = np.flatnonzero((kind == (RIGHT if back <= reach // 2 else LEFT)) & (low <= back) & (back <= high))
         order = mine[np.lexsort((pos[mine], doc[mine], mixed[mine], run[mine]))]
         if not len(order):
             continue
@@ -271,6 +269,16 @@ def hashed_repeats(suffixes: DataFrame, length: int = LENGTH, gram: int = GRAM)
         "doc_id", F.col("lo.doc_id").alias("src_doc"), (F.col("lo.pos") - F.col("pos")).alias("shift"), F.col("pos").alias("start"), (F.col("pos") + length).alias("end"))
 
 
+def recurring(own: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Anchors once for each side (``kind``, ``key``) whose words ``n`` anchors have, two or more; ``low`` and ``high`` are those of its windows."""
+    half = (length - gram) // 2
+    sides = F.array(F.struct(F.lit(RIGHT).alias("kind"), F.col("right").alias("key"), F.col("low"), F.least("high", F.lit(half)).alias("high")),
+                    F.struct(F.lit(LEFT).alias("kind"), F.col("left").alias("key"), F.greatest("low", F.lit(half + 1)).alias("low"), F.col("high")))
+    dealt = own.select("doc_id", "text_key", "pos", F.explode(sides).alias("x")).select("doc_id", "text_key", "pos", "x.*").where("key is not null")
+    again = dealt.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return dealt.join(again, ["kind", "key"])
+
+
 def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Passages of at least ``length`` words that stand at two places or more.
 
@@ -281,30 +289,25 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     """
     spark = docs.sparkSession
     texts = documents(docs).where((F.length("text") >= 2 * length - 1) & F.col("doc_id").isNotNull()).withColumn("text_key", F.xxhash64("text"))
-    folder = f"{work_folder(spark)}/anchors"
+    folder, chosen_folder = f"{work_folder(spark)}/anchors", f"{work_folder(spark)}/chosen"
     anchors(texts, length, gram).write.parquet(folder)
-    own = spark.read.parquet(folder)
-    again = own.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    place = ["doc_id", "text_key", "pos", "low", "high"]
-    whole = own.join(again.where(F.col("n") <= block_rows), "gram").select(*place, F.lit(WHOLE).alias("kind"), F.col("gram").alias("key"))
-    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(x).alias("key")) for k, x in ((RIGHT, "right"), (LEFT, "left"))]))
-    halves = own.join(again.where(F.col("n") > block_rows).select("gram"), "gram").select(*place, sides.alias("x")).select(*place, "x.*").where("key is not null")
-    sizes = halves.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
+    recurring(spark.read.parquet(folder), length, gram).write.parquet(chosen_folder)
+    free_shuffles(spark)  # those of the anchors aren't needed beside the texts
+    chosen = spark.read.parquet(chosen_folder)
 
     def suffixes(chosen: DataFrame) -> DataFrame:
         """The words around the chosen anchors; texts without any stay where they are."""
         lists = cut_lineage(chosen.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("pos", "low", "high", "kind", "key"))).alias("chosen")))
-        free_shuffles(spark)  # those of the anchors aren't needed beside the texts
+        free_shuffles(spark)
         # at most SIEVE numbers, whatever the corpus: a coarse filter before the texts are shuffled
         sieve = lists.select(F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("sieve")).distinct()
         some = texts.withColumn("sieve", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))).join(F.broadcast(sieve), "sieve", "left_semi").drop("sieve")
         return contexts(some.join(lists, ["doc_id", "text_key"]).select("doc_id", "text", "chosen"), length, gram)
 
-    small = halves.join(sizes.where(F.col("n") <= block_rows).select("kind", "key"), ["kind", "key"]).select(*place, "kind", "key")
-    found = sorted_repeats(suffixes(whole.union(small)), length, gram)
-    large = sizes.where(F.col("n") > block_rows)
+    found = sorted_repeats(suffixes(chosen.where(F.col("n") <= block_rows)), length, gram)
+    large = chosen.where(F.col("n") > block_rows)
     if not large.isEmpty():
-        found = found.union(hashed_repeats(suffixes(halves.join(large.select("kind", "key"), ["kind", "key"]).select(*place, "kind", "key")), length, gram))
+        found = found.union(hashed_repeats(suffixes(large), length, gram))
     # overlapping or touching windows with the same source are one passage
     # rows are many but small and alike, so their number of partitions isn't left to their compressed size
     found = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "src_doc", "shift")
