@@ -199,21 +199,48 @@ def paragraph_texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return some.join(lists, ["doc_id", "text_key"]).select("text", "chosen").mapInArrow(run, "k long, text string, held array<struct<bucket: long, n: long>>")
 
 
+def shared_buckets(dealt: DataFrame) -> DataFrame:
+    """``bucket``, ``n`` and ``k`` of the buckets that ``n`` different paragraphs (``bucket``, ``k``) share, two or more.
+
+    One shuffle of 16 bytes a row, and rows are sorted where they arrive. Two paragraphs
+    alone in a bucket have one of their own, so that they are compared once in whatever bands they meet.
+    """
+
+    def solve(bucket: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (k[1:] != k[:-1]))[:len(k)]
+        bucket, k = bucket[new], k[new]
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(k)])
+        size = np.diff(np.append(start, len(k)))
+        two = start[size == 2]
+        both = (k[two].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ k[two + 1].view(np.uint64)) * _MIX
+        bucket[two] = bucket[two + 1] = (both ^ (both >> np.uint64(32))).view(np.int64)
+        n = np.repeat(size, size)
+        return pa.RecordBatch.from_arrays([pa.array(x[n > 1]) for x in (bucket, n, k)], names=["bucket", "n", "k"])
+
+    def run(batches):
+        bucket = k = np.zeros(0, np.int64)
+        for batch in batches:
+            bucket, k = (np.append(x, batch.column(c).to_numpy()) for x, c in ((bucket, "bucket"), (k, "k")))
+            done = np.searchsorted(bucket, bucket[-1]) if len(bucket) else 0  # the last bucket may go on
+            if done:
+                yield solve(bucket[:done].copy(), k[:done])
+            k = np.unique(k[done:])
+            bucket = np.repeat(bucket[-1:], len(k))
+        if len(k):
+            yield solve(bucket.copy(), k)
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "k").mapInArrow(run, "bucket long, n long, k long")
+
+
 def near_links(rows: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Confirmed links (``a``, ``b``: content hashes) between different paragraphs."""
     spark = docs.sparkSession
     keys = [f"b{i}" for i in range(BANDS)]
-    # one shuffle of 16 bytes a row; of equal paragraphs of a slice there is one row
-    dealt = rows.select(F.explode(F.array(*keys)).alias("bucket"), "k").where("bucket is not null").repartition("bucket")
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).where("low < high")
+    dealt = rows.select(F.explode(F.array(*keys)).alias("bucket"), "k").where("bucket is not null")
     folder = f"{work_folder(spark)}/members"
-    # a pair that stands alone in several bands is compared once
-    pairs = sizes.where("n = 2").select("low", "high").distinct().select(F.xxhash64("low", "high").alias("bucket"), F.lit(2).cast("long").alias("n"), F.explode(F.array("low", "high")).alias("k"))
-    more = dealt.join(sizes.where("n > 2").select("bucket", "n"), "bucket").select("bucket", "n", "k").distinct()
-    pairs.union(more).write.parquet(folder)
-    del dealt, sizes, pairs, more
+    shared_buckets(dealt).write.parquet(folder)
     free_shuffles(spark)
-    held = spark.read.parquet(folder).groupBy("k").agg(F.collect_list(F.struct("bucket", "n")).alias("held"))
+    held = spark.read.parquet(folder).groupBy("k").agg(F.collect_set(F.struct("bucket", "n")).alias("held"))
     place = F.min(F.struct("doc_id", "text_key", "start", "end")).alias("place")
     places = rows.where("b0 is not null").groupBy("k").agg(place).join(held, "k").select("place.*", "k", "held")
     lists_folder, texts_folder = f"{work_folder(spark)}/lists", f"{work_folder(spark)}/texts"

@@ -1,8 +1,12 @@
 """Exact, SimHash, suffix and paragraph dedup against plain versions."""
 
+import glob
 import hashlib
+import os
 import random
 import re
+import tempfile
+import time
 
 import numpy as np
 import pytest
@@ -142,6 +146,32 @@ def test_repeated_passages_are_exact(spark, block_rows):
     assert all(r.removed == ((r.doc_id, r.start) != (r.source_doc_id, r.source_start)) for r in got)
 
 
+def test_only_what_can_repeat_goes_further(spark):
+    """Lines of 20 words in many texts are no repeat of 50 words; their suffixes meet no other."""
+    rng = random.Random(4)
+    own = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    line, passage = own(20), own(70)
+    docs = [(i, " ".join(own(60) + line + own(60) + (passage if i in (3, 8) else []))) for i in range(30)]
+    anchors = suffix_dedup.anchors(spark.createDataFrame(docs, "doc_id long, text string").withColumn("text_key", F.xxhash64("text")))
+    assert {r.doc_id for r in suffix_dedup.recurring(anchors).collect()} == {3, 8}
+
+
+def test_finished_shuffles_are_removed(spark):
+    """Also those of the query that has just ended."""
+    folder = f"{spark.conf.get('spark.local.dir', tempfile.gettempdir())}/blockmgr-*/*/shuffle_*"
+    before = set(glob.glob(folder))
+    rows = spark.range(100_000).repartition("id")
+    rows.write.format("noop").mode("overwrite").save()
+    mine = set(glob.glob(folder)) - before
+    del rows
+    common.free_shuffles(spark)
+    for _ in range(30):
+        if not any(map(os.path.exists, mine)):
+            break
+        time.sleep(0.1)
+    assert mine and not any(map(os.path.exists, mine))
+
+
 def test_repeated_passages_of_odd_documents(odd_docs):
     got = {(r.doc_id, r.source_doc_id) for r in suffix_dedup.repeated_passages(odd_docs).collect()}
     assert (7, 6) in got and {d for d, _ in got} == {6, 7}
@@ -265,6 +295,15 @@ def test_passages_match_brute_force(spark):
     assert len(close) > 30 and joined >= 0.97 * len(close)
 
 
+def test_a_pair_is_compared_once(spark):
+    """However many bands it meets in and however many copies there are; a bucket's size is that of its different paragraphs."""
+    rows = [(1, 5), (1, 9), (1, 9), (2, 9), (2, 5), (3, 5), (3, 5), (4, 1), (4, 2), (4, 7), (4, 2), (5, 8)]
+    for parts in (1, 3):
+        got = passage_dedup.shared_buckets(spark.createDataFrame(rows, "bucket long, k long").repartition(parts)).distinct().collect()
+        assert sorted((r.n, r.k) for r in got) == [(2, 5), (2, 9), (3, 1), (3, 2), (3, 7)]
+        assert len({r.bucket for r in got}) == 2
+
+
 def test_every_word_stands_in_a_paragraph(spark):
     """Each word of a text of ``SHORTEST`` words or more, between cuts and at the text's end too."""
     rng = random.Random(5)
