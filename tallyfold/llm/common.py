@@ -95,6 +95,12 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that :func:`work_folder` named, once no DataFrame reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files and checkpoints of DataFrames that nothing refers to any more.
 

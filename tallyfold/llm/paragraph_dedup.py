@@ -35,6 +35,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 BLOCK_ROWS = 1000
+FEW = 16
+"""So many sets of a bucket are intersected with each other without asking their parities."""
 
 
 def paragraphs(text: bytes, least: int = MIN_WORDS) -> list[tuple[int, list[bytes]]]:
@@ -106,8 +108,18 @@ def paragraph_rows(docs: DataFrame, least: int = MIN_WORDS, text: bool = False)
     return documents(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, par int, n_words int, k1 long, k2 long, " + ("text string" if text else "bands array<bigint>"))
 
 
+def parity(runs: frozenset) -> int:
+    """Which of 64 bins hold an odd number of the runs."""
+    out = 0
+    for x in runs:
+        out ^= 1 << (hash(x) & 63)
+    return out
+
+
 def bucket_forest(sets: list[frozenset], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """A spanning forest (index pairs) of the pairs whose exact Jaccard is high enough."""
+    if len(sets) > FEW:
+        return sketched_forest(sets, similarity)
     out: list[tuple[int, int]] = []
     left = list(range(len(sets)))
     while len(left) > 1:
@@ -126,6 +138,30 @@ def bucket_forest(sets: list[frozenset], similarity: float = SIMILARITY) -> list
     return out
 
 
+def sketched_forest(sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
+    """The same for many sets: pairs whose parities differ in more bins than the similarity leaves runs to stand in one of them alone aren't intersected."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    bins = np.fromiter(map(parity, sets), np.uint64, len(sets))
+    out: list[tuple[int, int]] = []
+    left = np.arange(len(sets))
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            own, linked = sets[at], []
+            near = np.bitwise_count(bins[left] ^ bins[at]) * (1 + similarity) <= (size[left] + len(own)) * (1 - similarity) + 1e-6
+            for i in np.flatnonzero(near).tolist():
+                x = sets[left[i]]
+                both = len(own & x)
+                if both >= similarity * (len(own) + len(x) - both):
+                    linked.append(i)
+            found = left[linked].tolist()
+            out.extend((at, x) for x in found)
+            queue.extend(found)
+            left = np.delete(left, linked)
+    return out
+
+
 def links(buckets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Verified links (``a``, ``b``: nodes) between the paragraphs of each bucket.
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from compare import compare, duck
 from llm_data import SF
+from tallyfold import session
 from tallyfold.llm import common, exact_dedup, paragraph_dedup, passage_dedup, simhash, suffix_dedup
 
 
@@ -304,6 +305,70 @@ def test_a_pair_is_compared_once(spark):
         assert len({r.bucket for r in got}) == 2
 
 
+def test_what_no_text_could_confirm_is_dropped(spark):
+    """Paragraphs that meet in a bucket but whose sketches differ too much go no further; near ones do, in groups of their own."""
+    rng = random.Random(6)
+    words = lambda n: [rng.choice("abcdefghij") * rng.randint(1, 3) + rng.choice("xyz") + str(rng.randrange(50)) for _ in range(n)]
+    body = words(20)
+    docs = [(i, " ".join(words(20))) for i in range(30)] + [(100, " ".join(body)), (101, " ".join(body[:-1] + ["end"]))]
+    rows = passage_dedup.paragraphs(spark.createDataFrame(docs, "doc_id long, text string").repartition(1))
+    rows = rows.where("start = 0").withColumn("bucket", F.lit(7).cast("long"))
+    own = {r.k: r.doc_id for r in rows.collect()}
+    got = passage_dedup.shared_buckets(rows.select("bucket", "k", "sketch")).collect()
+    assert sorted((own[r.k], r.n) for r in got) == [(100, 2), (101, 2)]
+
+
+@pytest.mark.parametrize("direct", [2048, 3])
+def test_sketch_groups_match_brute_force(monkeypatch, direct):
+    """Any two of a bucket that sketches allow to be near are in one group, also where buckets are dealt by parts of sketches."""
+    monkeypatch.setattr(passage_dedup, "DIRECT", direct)
+    rng = np.random.default_rng(1)
+    limit = passage_dedup.allowed()
+    for turn in range(40):
+        n = int(rng.integers(0, 120))
+        bucket = np.sort(rng.integers(-3, 6, n)) * 10 ** 17
+        sketch = rng.integers(0, 1 << 27, 8)[rng.integers(0, 8, n)]
+        for _ in range(3):
+            sketch = sketch ^ np.where(rng.random(n) < 0.5, 1 << rng.integers(0, 27, n), 0)
+        count = rng.integers(10, 23, n)
+        if turn % 5 == 0:
+            count[:1] = 31
+        allowed = lambda i, j: bucket[i] == bucket[j] and (max(count[i], count[j]) == 31 or int(sketch[i] ^ sketch[j]).bit_count() * 9 <= count[i] + count[j])
+        want = plain_components([(i, i) for i in range(n)], allowed)
+        got = passage_dedup.sketch_groups(bucket, (sketch << 5 | count).astype(np.uint32), limit)
+        assert got.tolist() == [want[i] for i in range(n)]
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
+def test_forests_of_many_sets(monkeypatch, similarity):
+    """The same with and without parities, and few sets are intersected."""
+    rng = random.Random(2)
+    for _ in range(60):
+        base = [frozenset(rng.randrange(300) for _ in range(rng.randint(1, 20))) for _ in range(rng.randint(1, 6))]
+        sets = [frozenset(b"%d" % x for x in rng.choice(base) ^ {rng.randrange(300) for _ in range(rng.randint(0, 3))}) for _ in range(rng.randint(1, 60))]
+        monkeypatch.setattr(paragraph_dedup, "FEW", 1000)
+        plain = paragraph_dedup.bucket_forest(sets, similarity)
+        monkeypatch.setattr(paragraph_dedup, "FEW", 0)
+        assert paragraph_dedup.bucket_forest(sets, similarity) == plain
+    met = []
+
+    class Counted(frozenset):
+        def __and__(self, other):
+            met.append(1)
+            return frozenset.__and__(self, other)
+
+    assert paragraph_dedup.bucket_forest([Counted(b"%d %d" % (i, x) for x in range(16)) for i in range(300)], 0.8) == [] and len(met) < 4000
+
+
+def test_folders_of_finished_steps_are_removed(spark):
+    """Texts of paragraphs and what named them don't stay on disk beside the last steps."""
+    names = lambda: set(glob.glob(f"{session.shared_folder(spark).removeprefix('file:')}/llm-*/*"))
+    before = names()
+    docs, _ = planted()
+    assert passage_dedup.near_passages(spark.createDataFrame(docs, "doc_id long, text string")).count()
+    assert {os.path.basename(x) for x in names() - before} == {"paragraphs"}
+
+
 def test_every_word_stands_in_a_paragraph(spark):
     """Each word of a text of ``SHORTEST`` words or more, between cuts and at the text's end too."""
     rng = random.Random(5)
