@@ -51,7 +51,7 @@ SHINGLE = 5
 DISTINCT = 10
 LEAST = 16
 BANDS, ROWS = 4, 2
-BLOCK_ROWS = 1000
+BLOCK_ROWS = 4000
 SIEVE = 1 << 20
 BINS, COUNT = 27, 5
 """Bins of a sketch, above so many bits that hold the number of different runs."""
@@ -337,8 +337,9 @@ def near_links(rows: DataFrame, docs: DataFrame, similarity: float = SIMILARITY,
     shared_buckets(dealt, similarity).write.parquet(folder)
     free_shuffles(spark)
     held = spark.read.parquet(folder).groupBy("k").agg(F.collect_set(F.struct("bucket", "n")).alias("held"))
-    place = F.min(F.struct("doc_id", "text_key", "start", "end")).alias("place")
-    places = rows.where("b0 is not null").groupBy("k").agg(place).join(held, "k").select("place.*", "k", "held")
+    place = F.struct("doc_id", "text_key", "start", "end").alias("place")
+    places = rows.where("b0 is not null").select("k", place).join(held, "k").groupBy("k").agg(F.min("place").alias("place"), F.first("held").alias("held"))
+    places = places.select("place.*", "k", "held")
     lists_folder, texts_folder = f"{work_folder(spark)}/lists", f"{work_folder(spark)}/texts"
     places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end", "k", "held")).alias("chosen")).write.parquet(lists_folder)
     del held, places
@@ -365,12 +366,19 @@ def near_passages(docs: DataFrame, least: int = LEAST, similarity: float = SIMIL
     paragraphs(docs).write.parquet(folder)
     rows = spark.read.parquet(folder)
     found = components(near_links(rows, docs, similarity, block_rows))
-    classes = rows.groupBy("k").agg(F.min(F.struct("doc_id", "start")).alias("keep"), F.max("doc_id").alias("last"))
-    merged = classes.join(found, classes["k"] == found["id"], "left").where("component is not null or keep.doc_id < last").select("k", F.coalesce("component", "k").alias("c"), "keep", "last")
-    groups = merged.groupBy("c").agg(F.min("keep").alias("keep"), F.max("last").alias("last")).where("keep.doc_id < last")
-    labelled = merged.select("k", "c").join(groups, "c").select("k", "keep")
+    # first and last document alone: numbers are aggregated by hash, places only for what is left
+    classes = rows.groupBy("k").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    merged = classes.join(found, classes["k"] == found["id"], "left").where("component is not null or first < last")
+    merged = cut_lineage(merged.select("k", F.coalesce("component", "k").alias("c"), "first", "last"))
+    groups = merged.groupBy("c").agg(F.min("first").alias("keep_doc_id"), F.max("last").alias("last")).where("keep_doc_id < last")
+    labelled = merged.select("k", "c").join(groups.drop("last"), "c")
+    held = cut_lineage(rows.select("doc_id", "start", "end", "k").join(labelled, "k"))
+    del classes, merged, groups, labelled
+    free_shuffles(spark)
+    firsts = held.where("doc_id = keep_doc_id").groupBy("c").agg(F.min("start").alias("keep_start"))
+    placed = held.join(firsts, "c").select("doc_id", "start", "end", "k", F.struct(F.col("keep_doc_id").alias("doc_id"), F.col("keep_start").alias("start")).alias("keep"))
     # one shuffle for both: equal rows of a document meet where its passages are put together
-    hits = rows.select("doc_id", "start", "end", "k").join(labelled, "k").repartition("doc_id").distinct()
+    hits = placed.repartition("doc_id").distinct()
     along = Window.partitionBy("doc_id").orderBy("start", "end", "k")
     reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     opened = hits.withColumn("new", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
