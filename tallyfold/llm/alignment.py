@@ -21,6 +21,8 @@ ignored; an empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -104,9 +106,11 @@ class Sides:
 
         def answer(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
             # the model puts the first mark back
-            found = [x if u != MARK else alone for x, u in zip(model.encode([u[1:] for u in units], num_threads=1), units)]
+            found = model.encode([u[1:] for u in units], num_threads=1)
+            if MARK in units:
+                found[units.index(MARK)] = alone
             count = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((i for x in found for i in x), np.int64, int(count.sum())), count
+            return np.fromiter(chain.from_iterable(found), np.int64, int(count.sum())), count
 
         self.b, self.spelled_b = SpacedUnits(answer, MEMORY), spellings_b(b)
 
@@ -122,8 +126,7 @@ def coalesce(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b:
     Each side's ranges are in order and don't overlap among themselves.
     """
     start, end = np.concatenate([start_a, start_b]), np.concatenate([end_a, end_b])
-    side = np.repeat([0, 1], [len(start_a), len(start_b)])
-    order = np.lexsort((side, start))
+    order = np.argsort(start, kind="stable")  # of equal starts the first side's comes first
     reached = np.maximum.accumulate(end[order])
     breaks = np.append(False, start[order][1:] >= reached[:-1])[:len(order)]
     group = np.empty(len(order), np.int64)
@@ -154,21 +157,26 @@ def spelled_right(ids: np.ndarray, count: np.ndarray, spelled: Spellings, want:
     return good
 
 
+@lru_cache(maxsize=4)
+def numerals(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of each number below ``size`` as the first bytes of eight, and how many there are."""
+    if size > 10 ** 7:
+        raise ValueError("ids of more than seven digits")
+    text = [b"%d" % i for i in range(size)]
+    return np.frombuffer(b"".join(x.ljust(8, b"\0") for x in text), "<u8"), np.fromiter(map(len, text), np.int64, size)
+
+
 def written(ids: np.ndarray, group: np.ndarray, side: np.ndarray, text: np.ndarray, texts: int) -> list[str]:
     """The digest of each text's groups, as ``a1,a2|b1;a3|b2,b3``; tokens come in that order. Empty without tokens."""
     if not len(ids):
         return [""] * texts
-    digits = np.floor(np.log10(np.maximum(ids, 1))).astype(np.int64) + 1
-    end = np.cumsum(digits + 1)
-    out = np.empty(int(end[-1]), np.uint8)
-    left = ids.copy()
-    for k in range(int(digits.max())):  # from the last digit to the first
-        has = digits > k
-        out[end[has] - 2 - k] = 48 + left[has] % 10
-        left //= 10
-    out[end - 1] = ord(",")
-    out[end[:-1][(side[1:] != side[:-1])] - 1] = ord("|")
-    out[end[:-1][(group[1:] != group[:-1])] - 1] = ord(";")
+    cell, length = numerals(1 << int(ids.max()).bit_length())
+    digits = length[ids]
+    sign = np.full(len(ids), ord(","), np.uint64)
+    sign[:-1][side[1:] != side[:-1]] = ord("|")
+    sign[:-1][group[1:] != group[:-1]] = ord(";")
+    cells = (cell[ids] | sign << (digits * 8).astype(np.uint64)).view(np.uint8)
+    out, end = cells[cells != 0], np.cumsum(digits + 1)
     found = [""] * texts
     data = memoryview(out)
     cuts = np.flatnonzero(np.diff(text, prepend=-1))
@@ -196,7 +204,8 @@ def aligned(docs: DataFrame, a: str = SIDE_A, b: str = SIDE_B) -> DataFrame:
         good = pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
         good = good & spelled_right(ids_a, count_a, own.spelled_a, want) & spelled_right(ids_b, count_b, own.spelled_b, want)
         text_a, text_b = (np.repeat(np.arange(n), x) for x in (count_a, count_b))
-        ids_a, text_a, ids_b, text_b = ids_a[good[text_a]], text_a[good[text_a]], ids_b[good[text_b]], text_b[good[text_b]]
+        if not (good | (count_a + count_b == 0)).all():
+            ids_a, text_a, ids_b, text_b = ids_a[good[text_a]], text_a[good[text_a]], ids_b[good[text_b]], text_b[good[text_b]]
         # both sides spell the same texts in a row, so a text's ranges never meet another's
         end_a, end_b = np.cumsum(own.spelled_a.length[ids_a]), np.cumsum(own.spelled_b.length[ids_b])
         start_a, start_b = end_a - own.spelled_a.length[ids_a], end_b - own.spelled_b.length[ids_b]

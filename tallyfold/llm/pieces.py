@@ -11,7 +11,7 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import public_tokenizers
@@ -156,15 +156,28 @@ class PieceEncoder:
         finally:
             gc.enable()
 
+    def whole(self, unit: str) -> bool:
+        """Whether the pattern matches just all of it: letters, with a space before them or none."""
+        return unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha())
+
     def cut(self, unit: str) -> list[str]:
         """The matches of the pattern."""
-        if self.plain and unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+        if self.plain and self.whole(unit):
             return [unit]
         plain = self.plain and self.plain(unit)
         return [x for x in plain.groups() if x] if plain else self.pattern.findall(unit)
 
     def _learn(self, new: list[str]) -> None:
         known = self.known
+        if self.plain:
+            # most are one piece: they need no lists of their own
+            alone = list(map(self.whole, new))
+            ready = list(compress(new, alone))
+            if ready:
+                known.add(ready, *self.encode_pieces(ready))
+                new = [x for x, one in zip(new, alone) if not one]
+        if not new:
+            return
         parts = list(map(self.cut, new))
         groups = np.fromiter(map(len, parts), np.int64, len(parts))
         pieces = list(chain.from_iterable(parts))

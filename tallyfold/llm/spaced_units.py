@@ -9,6 +9,7 @@ each distinct unit once; a worker remembers a bounded number of them.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
 from itertools import chain
@@ -55,8 +56,7 @@ class SpacedUnits:
         units = marked.to_numpy(zero_copy_only=False).tolist()
         hard = [_UNIT.findall(MARK + texts[i].as_py().replace(" ", MARK)) if len(texts[i].as_py()) else [] for i in np.flatnonzero(awkward).tolist()]
         others = list(chain.from_iterable(hard))
-        self._learn({*units, *others} if others else units)
-        numbers = self.known.numbers(units)
+        numbers = self._learn(units, others)
         self.known.uses[numbers] += 1
         numbers = numbers[own]
         if hard:
@@ -75,10 +75,22 @@ class SpacedUnits:
         places, size = self.places(texts)
         return self.known.get(places, size)
 
-    def _learn(self, units) -> None:
-        new = [x for x in units if x not in self.known.place]
-        if len(self.known) + len(new) > self.limit or self.known.used > self.room:
-            self.known = self.known.used_again(self.limit // 2) if self.known.used <= self.room else Memory()
-            new = [x for x in units if x not in self.known.place]
-        if new:
-            self.known.add(new, *self.answer(new))
+    def _learn(self, units: list[str], others: list[str]) -> np.ndarray:
+        """Make sure that all these units are known; the places of the distinct ``units``."""
+        gc.disable()  # tens of thousands of lists of numbers, none in a cycle
+        try:
+            at = self.known.numbers(units)
+            new, more = np.flatnonzero(at < 0), {x for x in others if x not in self.known.place}
+            if len(self.known) + len(new) + len(more) > self.limit or self.known.used > self.room:
+                self.known = self.known.used_again(self.limit // 2) if self.known.used <= self.room else Memory()
+                at = self.known.numbers(units)
+                new, more = np.flatnonzero(at < 0), {x for x in others if x not in self.known.place}
+            keys = [units[i] for i in new.tolist()]
+            at[new] = len(self.known) + np.arange(len(new))
+            if more:
+                keys += more.difference(keys)
+            if keys:
+                self.known.add(keys, *self.answer(keys))
+            return at
+        finally:
+            gc.enable()

@@ -132,5 +132,31 @@ def test_groups_are_the_common_ends():
         assert set(zip(p.tolist(), q.tolist())) == want and (a[p] == b[q]).all()
 
 
+def test_units_are_looked_up_once_and_words_not_cut(monkeypatch):
+    """A slice's units ask the table once, and a part that is one word needs no matches of the pattern."""
+    asked, cut = [], []
+    numbers = alignment.token_blocks.PieceEncoder.__init__.__globals__["Memory"].numbers
+    monkeypatch.setattr("tallyfold.llm.pieces.Memory.numbers", lambda self, keys: asked.append(len(keys)) or numbers(self, keys))
+    own = alignment.Sides(alignment.SIDE_A, alignment.SIDE_B)
+    texts = ["the cat sat, here", "a cat  sat", "", None, "naïve cat ..."]
+    ids, count = own.b.encode(pa.array(texts[:1]))
+    assert len(asked) == 1 and ids.tolist() == MODEL.encode(texts[0])
+    whole = own.a.cut
+    monkeypatch.setattr(own.a, "cut", lambda unit: cut.append(unit) or whole(unit))
+    ids, count = own.a.encode(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in SIDE_A.encode(t or "", add_special_tokens=False).ids]
+    assert cut and not any(x[1:].isalpha() and (x[0] == " " or x[0].isalpha()) for x in cut)
+
+
+def test_digests_of_ids_of_any_length():
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([[0, 9, 10, 99_999, 100_000, 1_234_567], rng.integers(0, 50_000, 94)])
+    group, side, text = np.arange(100) // 2, np.arange(100) % 2, np.arange(100) // 20
+    want = [hashlib.sha256(";".join(f"{ids[i]}|{ids[i + 1]}" for i in range(a, a + 20, 2)).encode()).hexdigest() for a in range(0, 100, 20)]
+    assert alignment.written(ids, group, side, text, 6) == [*want, ""]
+    cell, length = alignment.numerals(128)
+    assert bytes(cell[[0, 7, 127]]) == b"0".ljust(8, b"\0") + b"7".ljust(8, b"\0") + b"127".ljust(8, b"\0") and length[[0, 7, 127]].tolist() == [1, 1, 3]
+
+
 def test_empty_tables(no_docs):
     assert alignment.alignment(no_docs).count() == 0
