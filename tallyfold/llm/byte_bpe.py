@@ -28,8 +28,10 @@ from tallyfold.llm.pieces import PieceEncoder
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MEMORY = 400_000
 """Strings whose ids a worker remembers."""
-SLICE = 4 << 20
+SLICE = 2 << 20
 """Bytes of text that are encoded at once."""
+STEP = 1 << 17
+"""Pairs that go into the index of a replay at once."""
 
 
 class Ranks:
@@ -139,7 +141,8 @@ def replay(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
                 index[r] = [at[lo:hi]]
                 heapq.heappush(heap, r)
 
-    note(np.arange(n), -1)
+    for a in range(0, n, STEP):  # what a look-up of pairs needs besides is many times the pairs
+        note(np.arange(a, min(a + STEP, n)), -1)
     while heap:
         r = heapq.heappop(heap)
         at = np.sort(np.concatenate(index.pop(r)))
@@ -224,5 +227,5 @@ def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
 def token_digests(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every text, encoded and decoded again."""
     both = encode(docs, path, decoded=True)
-    text = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
+    text = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -25,6 +25,8 @@ _PLAIN = re.compile(f"( ?[{_LETTERS}]+){_SIGNS}(\n?)([{_LETTERS}]*){_SIGNS}")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 # white space before a space: such a text is cut by the pattern above, not at every space
 _AWKWARD = r"(^|[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]) "
+KEYS = 1 << 15
+"""Keys whose numbers are looked up at once."""
 
 
 class Memory:
@@ -73,8 +75,12 @@ class Memory:
         count = self.count[own]
         total = np.append(0, np.cumsum(count))
         ends = np.cumsum(groups)
-        shift = np.repeat(self.start[own] - total[:-1], count)
-        return self.flat[np.arange(len(shift)) + shift], total[ends] - total[ends - groups]
+        out = np.empty(total[-1], self.flat.dtype)
+        for a in range(0, len(own), KEYS):  # places of a whole slice's numbers would be many times the numbers
+            b = min(a + KEYS, len(own))
+            shift = np.repeat(self.start[own[a:b]] - total[a:b], count[a:b])
+            out[total[a]:total[b]] = self.flat[np.arange(total[a], total[b]) + shift]
+        return out, total[ends] - total[ends - groups]
 
 
 def _room(values: np.ndarray, size: int) -> np.ndarray:
@@ -105,9 +111,9 @@ class PieceEncoder:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         awkward = pc.match_substring_regex(texts, _AWKWARD).to_numpy(zero_copy_only=False)
         easy = pc.split_pattern(pc.if_else(pa.array(awkward), "", texts), " ")
+        size = pc.list_value_length(easy).to_numpy().astype(np.int64)
         parts = easy.flatten().dictionary_encode()
         own = parts.indices.to_numpy().astype(np.int64)
-        size = pc.list_value_length(easy).to_numpy().astype(np.int64)
         first = np.cumsum(size) - size
         # a text's first part has no space before it, every other one has
         words = parts.dictionary.cast(pa.large_string())
@@ -117,6 +123,7 @@ class PieceEncoder:
         used = np.flatnonzero(np.bincount(own, minlength=2 * width))
         spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, pa.scalar(" ", pa.large_string()))
         units = pa.concat_arrays([spaced, words]).take(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
+        del easy, parts, words, spaced  # before the new ones among them are encoded, which takes most
         hard = [_BEFORE_SPACE.split(" " * space + texts[i].as_py()) for i in np.flatnonzero(awkward).tolist()]
         others = list(chain.from_iterable(hard))
         asked = self.learn(units, others)

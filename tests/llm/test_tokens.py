@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 from llm_data import SF
 from tallyfold.llm import byte_bpe, token_blocks
+from tallyfold.llm.pieces import Memory
 
 RANKS, PIECES = byte_bpe.encoder(byte_bpe.RANKS, public_tokenizers.PATTERN)
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS.ranks, special_tokens={})
@@ -131,3 +133,30 @@ def test_added_tokens_as_in_the_library():
     other.plain = False
     flat, count = other.encode(pa.array(texts))
     assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == got[:-1]
+
+
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_little_memory_beside_the_result():
+    """A worker's peak: pairs go into the index step by step, and numbers of known strings are gathered key block by key block."""
+    rng = random.Random(5)
+    pieces = [x.encode() for x in dict.fromkeys(" " + "".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", k=rng.randint(4, 13))) for _ in range(55_000))]
+    (flat, count), peak = peak_of(lambda: byte_bpe.replay(pieces, RANKS))
+    assert peak < 90 * sum(map(len, pieces))
+    cuts = np.cumsum(count)
+    for i in range(0, len(pieces), 50):
+        assert flat[cuts[i] - count[i]:cuts[i]].tolist() == LIBRARY.encode_ordinary(pieces[i].decode())
+    known = Memory()
+    known.add([x.decode() for x in pieces], flat, count)
+    own = np.array(rng.choices(range(len(pieces) + 1), k=400_000))
+    (ids, size), peak = peak_of(lambda: known.get(own, np.full(400, 1000)))
+    assert peak < 4 * ids.nbytes
+    plain = [known.flat[known.start[x]:known.start[x] + known.count[x]] for x in own]
+    assert (ids == np.concatenate(plain)).all() and size.tolist() == [sum(map(len, plain[a:a + 1000])) for a in range(0, 400_000, 1000)]
