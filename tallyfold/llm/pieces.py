@@ -3,7 +3,10 @@
 A tokenizer that splits text by a pattern and encodes each match by itself gives
 the same ids for equal pieces, so a slice of texts needs each distinct piece
 once. Texts are first cut before single spaces, where a piece always ends, and
-the distinct parts are found in Arrow; only those reach Python.
+the distinct parts are found in Arrow. Parts of common characters are cut by
+their bytes, all at once; only the distinct pieces, and parts with anything
+else, reach Python. Pieces are remembered, parts aren't: most parts of several
+pieces never come again.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Callable
-from itertools import chain, compress, repeat
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -19,9 +22,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-# parts that the public pattern cuts just here: Latin letters, ASCII signs but the apostrophe, one line end, the same once more
-_SIGNS, _LETTERS = r"([!-&(-/:-@\[-`{-~]*)", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_PLAIN = re.compile(f"( ?[{_LETTERS}]+){_SIGNS}(\n?)([{_LETTERS}]*){_SIGNS}")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 # white space before a space: such a text is cut by the pattern above, not at every space
 _AWKWARD = r"(^|[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]) "
@@ -29,6 +29,71 @@ KEYS = 1 << 15
 """Keys whose numbers are looked up at once."""
 
 
+def _kinds() -> np.ndarray:
+    """What each byte of a text is: 1 letter (ASCII, and U+00C0 to U+027F in two bytes), 2 ASCII sign but the apostrophe, 3 digit, 4 line end, 0 other."""
+    kind = np.zeros(256, np.uint8)
+    kind[0x21:0x7F] = 2
+    kind[ord("'")] = 0
+    kind[ord("0"):ord("9") + 1] = 3
+    kind[ord("\n")] = 4
+    for letters in (slice(ord("A"), ord("Z") + 1), slice(ord("a"), ord("z") + 1), slice(0xC3, 0xCA), slice(0x80, 0xC0)):
+        kind[letters] = 1
+    return kind
+
+
+_KIND = _kinds()
+
+
+def runs(units: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
+    """The pieces of the public pattern of parts of texts in a row, how many each part has, and which pieces are still to be cut by the pattern.
+
+    Where a part has letters, signs and digits of :func:`_kinds` only, a space in front and single line ends, its pieces are
+    the runs of one kind. Any other part is one row that is still to be cut; an empty one has no row.
+    """
+    if not len(units):
+        return units, np.zeros(0, np.int64), np.zeros(0, bool)
+    at = np.frombuffer(units.buffers()[1], np.int64)[units.offset:units.offset + len(units) + 1]
+    data = np.frombuffer(units.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+    at = at - at[0]
+    size = np.diff(at)
+    kind = _KIND[data]
+    second = np.flatnonzero((data == 0x97) | (data == 0xB7))
+    kind[second[(second > 0) & (data[second - 1] == 0xC3)]] = 0  # U+00D7 and U+00F7 are signs
+    first = at[:-1][size > 0]
+    spaced = at[:-1][size > 1]
+    spaced = spaced[(data[spaced] == ord(" ")) & (kind[spaced + 1] != 4)]
+    kind[spaced] = kind[spaced + 1]
+    new = np.ones(len(data), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    new[first] = True
+    kind[~new & (kind == 4)] = 0
+    others = np.append(0, np.cumsum(kind == 0))
+    hard = others[at[1:]] > others[at[:-1]]
+    new[np.repeat(hard, size)] = False
+    new[first] = True
+    upto = np.append(0, np.cumsum(new))
+    count = upto[at[1:]] - upto[at[:-1]]
+    starts = np.append(np.flatnonzero(new), len(data))
+    pieces = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data))
+    return pieces, count, np.repeat(hard, count)
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, count: np.ndarray, own: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all keys ``own`` in a row, and how many each group of keys has; ``groups`` has the number of its keys.
+
+    A key's numbers stand in ``flat`` from its ``start`` on, ``count`` of them.
+    """
+    count = count[own]
+    total = np.append(0, np.cumsum(count))
+    ends = np.cumsum(groups)
+    out = np.empty(total[-1], flat.dtype)
+    for a in range(0, len(own), KEYS):  # places of a whole slice's numbers would be many times the numbers
+        b = min(a + KEYS, len(own))
+        shift = np.repeat(start[own[a:b]] - total[a:b], count[a:b])
+        out[total[a]:total[b]] = flat[np.arange(total[a], total[b]) + shift]
+    return out, total[ends] - total[ends - groups]
+
+
 class Memory:
     """Numbers of strings met before: a table from the string to its place, and their numbers in one growing array."""
 
@@ -72,15 +137,7 @@ class Memory:
 
     def get(self, own: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all keys, given by their places, in a row, and how many each group of keys has; ``groups`` has the number of its keys."""
-        count = self.count[own]
-        total = np.append(0, np.cumsum(count))
-        ends = np.cumsum(groups)
-        out = np.empty(total[-1], self.flat.dtype)
-        for a in range(0, len(own), KEYS):  # places of a whole slice's numbers would be many times the numbers
-            b = min(a + KEYS, len(own))
-            shift = np.repeat(self.start[own[a:b]] - total[a:b], count[a:b])
-            out[total[a]:total[b]] = self.flat[np.arange(total[a], total[b]) + shift]
-        return out, total[ends] - total[ends - groups]
+        return gathered(self.flat, self.start, self.count, own, groups)
 
 
 def _room(values: np.ndarray, size: int) -> np.ndarray:
@@ -101,7 +158,7 @@ class PieceEncoder:
 
     def __init__(self, encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], pattern: str, memory: int):
         self.encode_pieces, self.limit = encode_pieces, memory
-        self.pattern, self.plain = regex.compile(pattern), _PLAIN.fullmatch if pattern == public_tokenizers.PATTERN else None
+        self.pattern, self.plain = regex.compile(pattern), pattern == public_tokenizers.PATTERN
         self.known = Memory()
 
     def encode(self, texts: pa.Array, space: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -122,69 +179,67 @@ class PieceEncoder:
             own[first] += width
         used = np.flatnonzero(np.bincount(own, minlength=2 * width))
         spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, pa.scalar(" ", pa.large_string()))
-        units = pa.concat_arrays([spaced, words]).take(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
+        units = pa.concat_arrays([spaced, words]).take(pa.array(used))
         del easy, parts, words, spaced  # before the new ones among them are encoded, which takes most
-        hard = [_BEFORE_SPACE.split(" " * space + texts[i].as_py()) for i in np.flatnonzero(awkward).tolist()]
-        others = list(chain.from_iterable(hard))
-        asked = self.learn(units, others)
-        self.known.uses[asked] += 1
         place = np.zeros(2 * width, np.int64)
-        place[used] = asked
+        place[used] = np.arange(len(used))
         numbers = place[own]
-        if hard:
+        if awkward.any():
             # the awkward texts' parts go where their one empty part stood
+            hard = [_BEFORE_SPACE.split(" " * space + texts[i].as_py()) for i in np.flatnonzero(awkward).tolist()]
+            others = pa.array(chain.from_iterable(hard), pa.large_string()).dictionary_encode()
             size[awkward] = [len(x) for x in hard]
             out = np.empty(int(size.sum()), np.int64)
             mine = np.repeat(awkward, size)
-            out[mine] = self.known.numbers(others)
+            out[mine] = len(used) + others.indices.to_numpy()
             out[~mine] = np.delete(numbers, first[awkward])
             numbers = out
-        return self.known.get(numbers, size)
+            units = pa.concat_arrays([units, others.dictionary])
+        flat, count = self.of_units(units)
+        return gathered(flat, np.cumsum(count) - count, count, numbers, size)
 
-    def learn(self, units: list[str], others: list[str]) -> np.ndarray:
-        """Make sure that all these parts of texts are known; the places of the distinct ``units``."""
+    def of_units(self, units: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct parts of texts in a row, and how many each has."""
+        if self.plain:
+            pieces, count, todo = runs(units)
+        else:
+            pieces, count = units, np.ones(len(units), np.int64)
+            todo = np.ones(len(units), bool)
+        pieces = pieces.dictionary_encode()
+        own = pieces.indices.to_numpy()
+        whole = np.ones(len(pieces.dictionary), bool)
+        whole[own[todo]] = False
+        asked = self.learn(pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), whole)
+        self.known.uses[asked] += 1
+        return self.known.get(asked[own], count)
+
+    def learn(self, units: list[str], whole: np.ndarray) -> np.ndarray:
+        """Make sure that all these distinct strings are known, and say their places; those that aren't ``whole`` pieces are cut first."""
         gc.disable()  # hundreds of thousands of lists of strings, none in a cycle
         try:
             at = self.known.numbers(units)
-            open_ = np.flatnonzero(at < 0)
-            more = {x for x in others if x not in self.known.place}
-            if len(self.known) + len(open_) + len(more) > self.limit:
+            new = at < 0
+            if len(self.known) + np.count_nonzero(new) > self.limit:
                 self.known = self.known.used_again(self.limit // 2)
                 at = self.known.numbers(units)
-                open_ = np.flatnonzero(at < 0)
-                more = {x for x in others if x not in self.known.place}
-            new = [units[i] for i in open_.tolist()]
-            if more:
-                self._learn([*new, *(more - set(new))])
-            elif new:
-                self._learn(new)
-            at[open_] = self.known.numbers(new)
+                new = at < 0
+            ready, todo = np.flatnonzero(new & whole), np.flatnonzero(new & ~whole)
+            if len(ready):
+                at[ready] = len(self.known) + np.arange(len(ready))
+                keys = [units[i] for i in ready.tolist()]
+                self.known.add(keys, *self.encode_pieces(keys))
+            if len(todo):
+                at[todo] = self._learn([units[i] for i in todo.tolist()])
             return at
         finally:
             gc.enable()
 
-    def whole(self, unit: str) -> bool:
-        """Whether the pattern matches just all of it: letters, with a space before them or none."""
-        return unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha())
-
     def cut(self, unit: str) -> list[str]:
         """The matches of the pattern."""
-        if self.plain and self.whole(unit):
-            return [unit]
-        plain = self.plain and self.plain(unit)
-        return [x for x in plain.groups() if x] if plain else self.pattern.findall(unit)
+        return self.pattern.findall(unit)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> np.ndarray:
         known = self.known
-        if self.plain:
-            # most are one piece: they need no lists of their own
-            alone = list(map(self.whole, new))
-            ready = list(compress(new, alone))
-            if ready:
-                known.add(ready, *self.encode_pieces(ready))
-                new = [x for x, one in zip(new, alone) if not one]
-        if not new:
-            return
         parts = list(map(self.cut, new))
         groups = np.fromiter(map(len, parts), np.int64, len(parts))
         pieces = list(chain.from_iterable(parts))
@@ -198,3 +253,4 @@ class PieceEncoder:
         known.uses[np.unique(at[np.repeat(several, groups)])] += 1
         if several.any():
             known.add([x for x, n in zip(new, groups.tolist()) if n > 1], flat[np.repeat(several, count)], count[several])
+        return known.numbers(new)

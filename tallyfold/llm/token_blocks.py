@@ -194,6 +194,21 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
 
+_ALPHABET = np.array([c for _, c in sorted(byte_alphabet().items())], "<u2")
+
+
+def in_alphabet(pieces: list[str]) -> list[str]:
+    """Each string's UTF-8 bytes in the byte alphabet, which has no line end."""
+    column = pa.array(pieces, pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[1:len(pieces) + 1] + np.arange(len(pieces))
+    out = np.empty(ends[-1] + 1, "<u2")
+    cut = np.zeros(len(out), bool)
+    cut[ends] = True
+    out[cut] = ord("\n")
+    out[~cut] = _ALPHABET[np.frombuffer(column.buffers()[2] or b"", np.uint8)[:len(out) - len(pieces)]]
+    return out[:-1].tobytes().decode("utf-16-le").split("\n")
+
+
 def piece_encoder(path: str, memory: int = MEMORY) -> PieceEncoder:
     """Texts to ids with the strings of added tokens as plain text.
 
@@ -203,11 +218,10 @@ def piece_encoder(path: str, memory: int = MEMORY) -> PieceEncoder:
     """
     from tokenizers import Tokenizer
 
-    model, alphabet = Tokenizer.from_file(path).model, byte_alphabet()
-    space = chr(alphabet[ord(" ")])
+    model = Tokenizer.from_file(path).model
 
     def ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        own = [model.tokenize(space + p[1:] if p[0] == " " and p.isascii() and p[1:].isalpha() else p.encode().decode("latin-1").translate(alphabet)) for p in pieces]
+        own = list(map(model.tokenize, in_alphabet(pieces)))
         count = np.fromiter(map(len, own), np.int64, len(own))
         return np.fromiter(map(_ID, chain.from_iterable(own)), np.int64, int(count.sum())), count
 

@@ -9,13 +9,14 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from llm_data import SF
 from tallyfold.llm import byte_bpe, token_blocks
-from tallyfold.llm.pieces import Memory
+from tallyfold.llm.pieces import Memory, PieceEncoder, runs
 
 RANKS, PIECES = byte_bpe.encoder(byte_bpe.RANKS, public_tokenizers.PATTERN)
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS.ranks, special_tokens={})
@@ -160,3 +161,36 @@ def test_little_memory_beside_the_result():
     assert peak < 4 * ids.nbytes
     plain = [known.flat[known.start[x]:known.start[x] + known.count[x]] for x in own]
     assert (ids == np.concatenate(plain)).all() and size.tolist() == [sum(map(len, plain[a:a + 1000])) for a in range(0, 400_000, 1000)]
+
+
+def test_parts_are_cut_by_their_bytes():
+    """Runs of one kind are the pattern's matches; what they can't tell is left to the pattern."""
+    rng = random.Random(11)
+    letters = [chr(c) for c in range(0xA0, 0x2B0)]
+    units = ["", " ", "\n", " \n", "a\n", "a\n\n", "a\nb", "it's", " 's", "12st.", "a b", *(f" x{c}y" for c in letters), *letters]
+    units += ["".join(rng.choice("ab\n.,!1é×ß'÷Ǿ \xa0") for _ in range(rng.randint(1, 9))) for _ in range(5000)]
+    units = pa.concat_arrays([pa.array(["before"], pa.large_string()), pa.array(units, pa.large_string())]).slice(1)
+    pieces, count, todo = runs(units)
+    ends = np.cumsum(count)
+    for unit, a, b in zip(units.to_pylist(), ends - count, ends):
+        want = regex.findall(public_tokenizers.PATTERN, unit)
+        assert pieces[a:b].to_pylist() == ([unit] if todo[a:b].any() else want) and (not todo[a:b].any() or b - a == 1)
+    easy = pa.array(["word", " word.", " of,\nThe", " a1", "ß×ß", " naïve", "..."], pa.large_string())
+    assert runs(easy)[2].tolist() == [False] * 9 + [True] + [False] * 2
+
+
+def test_parts_of_several_pieces_are_not_remembered():
+    asked = []
+    own = PieceEncoder(lambda p: asked.extend(p) or byte_bpe.replay([x.encode() for x in p], RANKS), public_tokenizers.PATTERN, 50)
+    own.cut = None  # no part needs the pattern
+    texts = ["one two, two. one!", "(two) one;\nTwo 12 two"]
+    for _ in range(2):
+        flat, count = own.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == [LIBRARY.encode_ordinary(t) for t in texts]
+    assert len(asked) == len(set(asked)) and set(own.known.place) == {"", *asked}
+
+
+def test_byte_alphabet_of_many_strings():
+    strings = [*(x for x in odd_texts() if x), "\n", "\x00", "\U0010ffff", "a"]
+    alphabet = token_blocks.byte_alphabet()
+    assert token_blocks.in_alphabet(strings) == ["".join(chr(alphabet[b]) for b in x.encode()) for x in strings]
