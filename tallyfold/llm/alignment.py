@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm import token_blocks
 from tallyfold.llm.common import documents, give_back, held_by_worker, map_texts, release_held, work_folder
-from tallyfold.llm.spaced_units import MARK, SpacedUnits, splits_at_marks
+from tallyfold.llm.pieces import PieceEncoder, parts_of, runs
+from tallyfold.llm.spaced_units import MARK, splits_at_marks
 
 SIDE_A = public_tokenizers.path("byte_bpe_50k.json")
 SIDE_B = public_tokenizers.path("piece_bpe_32k.model")
@@ -92,27 +93,63 @@ def pair_bound(a: Spellings, b: Spellings) -> int:
     return shorter_a + shorter_b
 
 
-class Sides:
-    """Encoders and spellings of both sides."""
+def splits_at_kinds(pieces: list[str]) -> bool:
+    """Whether no piece joins what :func:`runs` cuts, and none holds a line end beside anything."""
+    found = [x.replace(MARK, " ") for x in pieces]
+    return not any("\n" in x and len(x) > 1 for x in found) and not (runs(pa.array(found, pa.large_string()))[1] > 1).any()
 
-    def __init__(self, a: str, b: str):
-        from sentencepiece import SentencePieceProcessor
 
-        self.a, self.spelled_a = token_blocks.piece_encoder(a, MEMORY), spellings_a(a)
-        model = SentencePieceProcessor(model_file=b)
-        if not splits_at_marks([model.id_to_piece(i) for i in range(model.vocab_size()) if not model.is_byte(i)]):
+class MarkedUnits(PieceEncoder):
+    """Ids of a sentencepiece BPE model, by parts of texts with a space before each; an empty text is that space.
+
+    No piece of the model holds a mark after another character (checked), so
+    parts are encoded by themselves. Where no piece joins characters of
+    different kinds either, so are their runs. A part that isn't cut into runs
+    is asked whole.
+    """
+
+    def __init__(self, model, memory: int):
+        learned = [model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+        if not splits_at_marks(learned):
             raise ValueError("pieces of this model reach across spaces")
-        alone = [model.piece_to_id(MARK)]
+        alone, before = [model.piece_to_id(MARK)], len(model.encode("\n"))
 
         def answer(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            # the model puts the first mark back
-            found = model.encode([u[1:] for u in units], num_threads=1)
-            if MARK in units:
-                found[units.index(MARK)] = alone
+            inner = [u[0] != " " for u in units]
+            # the model puts a mark in front; a run inside a part goes behind a line end, whose ids are dropped
+            found = model.encode(["\n" + u if x else u[1:] for u, x in zip(units, inner)], num_threads=1)
+            if " " in units:
+                found[units.index(" ")] = alone
+            found = [ids[before:] if x else ids for ids, x in zip(found, inner)]
             count = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter(chain.from_iterable(found), np.int64, int(count.sum())), count
 
-        self.b, self.spelled_b = SpacedUnits(answer, MEMORY), spellings_b(b)
+        super().__init__(answer, public_tokenizers.PATTERN, memory)
+        common = "".join(chr(c) for c in range(0x21, 0x280))
+        self.plain = splits_at_kinds(learned) and model.normalize(f"a\n{common}").removeprefix(MARK) == f"a\n{common}"
+
+    def encode(self, texts: pa.Array, space: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        if not space:
+            raise ValueError("the model puts a mark before each text")
+        return super().encode(texts, space)
+
+    def learn(self, units: list[str], whole: np.ndarray) -> np.ndarray:
+        return super().learn(units, np.ones(len(units), bool))
+
+
+class Sides:
+    """Encoders and spellings of both sides."""
+
+    def __init__(self, a: str, b: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.a, self.spelled_a = token_blocks.piece_encoder(a, MEMORY), spellings_a(a)
+        self.b, self.spelled_b = MarkedUnits(SentencePieceProcessor(model_file=b), MEMORY), spellings_b(b)
+
+    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each side's ids of a space and each text, in a row, and how many each text has; texts are cut once for both."""
+        parts = parts_of(texts, True, self.a.plain)
+        return [self.a.of_parts(parts), self.b.of_parts(parts if self.b.plain == self.a.plain else parts_of(texts, True, self.b.plain))]
 
 
 def sides(a: str, b: str) -> Sides:
@@ -199,7 +236,7 @@ def aligned(docs: DataFrame, a: str = SIDE_A, b: str = SIDE_B) -> DataFrame:
         texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
         n = len(texts)
         wide = len(own.spelled_b.length)
-        (ids_a, count_a), (ids_b, count_b) = own.a.encode(texts, space=True), own.b.encode(texts)
+        (ids_a, count_a), (ids_b, count_b) = own.encode(texts)
         want = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
         good = pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
         good = good & spelled_right(ids_a, count_a, own.spelled_a, want) & spelled_right(ids_b, count_b, own.spelled_b, want)

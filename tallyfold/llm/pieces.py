@@ -15,6 +15,7 @@ import gc
 import re
 from collections.abc import Callable
 from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -27,6 +28,8 @@ _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 _AWKWARD = r"(^|[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]) "
 KEYS = 1 << 15
 """Keys whose numbers are looked up at once."""
+ROOM = 8 << 20
+"""Numbers that a worker remembers, about; without spaces, one part can have thousands."""
 
 
 def _kinds() -> np.ndarray:
@@ -149,6 +152,61 @@ def _room(values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+class Parts(NamedTuple):
+    """Texts as parts, and parts as distinct strings."""
+
+    strings: list[str]
+    whole: np.ndarray
+    """Whether each string is a piece of the pattern already."""
+    own: np.ndarray
+    """The strings of the distinct parts in a row, by their places, ..."""
+    count: np.ndarray
+    """... and how many each part has."""
+    numbers: np.ndarray
+    """The parts of all texts in a row, by their places, ..."""
+    size: np.ndarray
+    """... and how many each text has."""
+
+
+def parts_of(texts: pa.Array, space: bool = False, plain: bool = True) -> Parts:
+    """Cut texts. Null counts as empty. ``space``: as if one stood before each text. ``plain``: parts are cut by :func:`runs`."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    awkward = pc.match_substring_regex(texts, _AWKWARD).to_numpy(zero_copy_only=False)
+    easy = pc.split_pattern(pc.if_else(pa.array(awkward), "", texts), " ")
+    size = pc.list_value_length(easy).to_numpy().astype(np.int64)
+    parts = easy.flatten().dictionary_encode()
+    own = parts.indices.to_numpy().astype(np.int64)
+    first = np.cumsum(size) - size
+    # a text's first part has no space before it, every other one has
+    words = parts.dictionary.cast(pa.large_string())
+    width = len(words)
+    if not space:
+        own[first] += width
+    used = np.flatnonzero(np.bincount(own, minlength=2 * width))
+    spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, pa.scalar(" ", pa.large_string()))
+    units = pa.concat_arrays([spaced, words]).take(pa.array(used))
+    place = np.zeros(2 * width, np.int64)
+    place[used] = np.arange(len(used))
+    numbers = place[own]
+    if awkward.any():
+        # the awkward texts' parts go where their one empty part stood
+        hard = [_BEFORE_SPACE.split(" " * space + texts[i].as_py()) for i in np.flatnonzero(awkward).tolist()]
+        others = pa.array(chain.from_iterable(hard), pa.large_string()).dictionary_encode()
+        size[awkward] = [len(x) for x in hard]
+        out = np.empty(int(size.sum()), np.int64)
+        mine = np.repeat(awkward, size)
+        out[mine] = len(used) + others.indices.to_numpy()
+        out[~mine] = np.delete(numbers, first[awkward])
+        numbers = out
+        units = pa.concat_arrays([units, others.dictionary])
+    pieces, count, todo = runs(units) if plain else (units, np.ones(len(units), np.int64), np.ones(len(units), bool))
+    pieces = pieces.dictionary_encode()
+    own = pieces.indices.to_numpy()
+    whole = np.ones(len(pieces.dictionary), bool)
+    whole[own[todo]] = False
+    return Parts(pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), whole, own, count, numbers, size)
+
+
 class PieceEncoder:
     """Texts to ids, given the ids of pieces; remembers a bounded number of strings.
 
@@ -163,55 +221,14 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array, space: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has. Null counts as empty. ``space``: as if one stood before each text."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if not len(texts):
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        awkward = pc.match_substring_regex(texts, _AWKWARD).to_numpy(zero_copy_only=False)
-        easy = pc.split_pattern(pc.if_else(pa.array(awkward), "", texts), " ")
-        size = pc.list_value_length(easy).to_numpy().astype(np.int64)
-        parts = easy.flatten().dictionary_encode()
-        own = parts.indices.to_numpy().astype(np.int64)
-        first = np.cumsum(size) - size
-        # a text's first part has no space before it, every other one has
-        words = parts.dictionary.cast(pa.large_string())
-        width = len(words)
-        if not space:
-            own[first] += width
-        used = np.flatnonzero(np.bincount(own, minlength=2 * width))
-        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, pa.scalar(" ", pa.large_string()))
-        units = pa.concat_arrays([spaced, words]).take(pa.array(used))
-        del easy, parts, words, spaced  # before the new ones among them are encoded, which takes most
-        place = np.zeros(2 * width, np.int64)
-        place[used] = np.arange(len(used))
-        numbers = place[own]
-        if awkward.any():
-            # the awkward texts' parts go where their one empty part stood
-            hard = [_BEFORE_SPACE.split(" " * space + texts[i].as_py()) for i in np.flatnonzero(awkward).tolist()]
-            others = pa.array(chain.from_iterable(hard), pa.large_string()).dictionary_encode()
-            size[awkward] = [len(x) for x in hard]
-            out = np.empty(int(size.sum()), np.int64)
-            mine = np.repeat(awkward, size)
-            out[mine] = len(used) + others.indices.to_numpy()
-            out[~mine] = np.delete(numbers, first[awkward])
-            numbers = out
-            units = pa.concat_arrays([units, others.dictionary])
-        flat, count = self.of_units(units)
-        return gathered(flat, np.cumsum(count) - count, count, numbers, size)
-
-    def of_units(self, units: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct parts of texts in a row, and how many each has."""
-        if self.plain:
-            pieces, count, todo = runs(units)
-        else:
-            pieces, count = units, np.ones(len(units), np.int64)
-            todo = np.ones(len(units), bool)
-        pieces = pieces.dictionary_encode()
-        own = pieces.indices.to_numpy()
-        whole = np.ones(len(pieces.dictionary), bool)
-        whole[own[todo]] = False
-        asked = self.learn(pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), whole)
+        return self.of_parts(parts_of(texts, space, self.plain))
+
+    def of_parts(self, parts: Parts) -> tuple[np.ndarray, np.ndarray]:
+        """The same, of texts that have been cut."""
+        asked = self.learn(parts.strings, parts.whole)
         self.known.uses[asked] += 1
-        return self.known.get(asked[own], count)
+        flat, count = self.known.get(asked[parts.own], parts.count)
+        return gathered(flat, np.cumsum(count) - count, count, parts.numbers, parts.size)
 
     def learn(self, units: list[str], whole: np.ndarray) -> np.ndarray:
         """Make sure that all these distinct strings are known, and say their places; those that aren't ``whole`` pieces are cut first."""
@@ -219,8 +236,8 @@ class PieceEncoder:
         try:
             at = self.known.numbers(units)
             new = at < 0
-            if len(self.known) + np.count_nonzero(new) > self.limit:
-                self.known = self.known.used_again(self.limit // 2)
+            if len(self.known) + np.count_nonzero(new) > self.limit or self.known.used > ROOM:
+                self.known = self.known.used_again(self.limit // 2) if self.known.used <= ROOM else Memory()
                 at = self.known.numbers(units)
                 new = at < 0
             ready, todo = np.flatnonzero(new & whole), np.flatnonzero(new & ~whole)

@@ -148,6 +148,40 @@ def test_units_are_looked_up_once_and_words_not_cut(monkeypatch):
     assert cut and not any(x[1:].isalpha() and (x[0] == " " or x[0].isalpha()) for x in cut)
 
 
+def test_both_sides_take_one_cut():
+    """Side B asks its model for runs of letters, signs and digits, each once; where its pieces joined them, for whole parts."""
+    own, asked = alignment.Sides(alignment.SIDE_A, alignment.SIDE_B), []
+    answer = own.b.encode_pieces
+    own.b.encode_pieces = lambda units: asked.extend(units) or answer(units)
+    texts = ["the cat sat, here", "(cat) sat.\nThe 12st, the", "it's naïve... the"]
+    (ids_a, _), (ids_b, _) = own.encode(pa.array(texts))
+    assert ids_a.tolist() == [i for t in texts for i in SIDE_A.encode(" " + t, add_special_tokens=False).ids]
+    assert ids_b.tolist() == [i for t in texts for i in MODEL.encode(t)]
+    assert len(asked) == len(set(asked)) and {" the", " cat", ",", ".", "\n", "The", "st", " 12", " it's"} < set(asked) and " sat," not in asked
+    odd = [t for t in odd_texts() if t and "▁" not in t]
+    for own.b.plain in (True, False):
+        own.b.known = type(own.b.known)()
+        ids, count = own.encode(pa.array([*odd, None, ""]))[1]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [*MODEL.encode(odd), *[[MODEL.piece_to_id("▁")]] * 2]
+    assert " sat," not in asked and any(x.startswith(" ") and "." in x and x[1:2].isalpha() for x in asked)
+
+
+def test_pieces_that_join_kinds_are_found():
+    assert alignment.splits_at_kinds(["▁the", "...", "▁(", "é", "▁▁", "\n", "12", "'s.a"])
+    assert not any(alignment.splits_at_kinds(["a", x]) for x in ("a.", "▁a1", "\n\n", "▁\n", "\na", "(é"))
+
+
+def test_numbers_remembered_are_bounded(monkeypatch):
+    """Parts without spaces have many numbers each, so the count of strings alone bounds little."""
+    monkeypatch.setattr("tallyfold.llm.pieces.ROOM", 2000)
+    own = alignment.Sides(alignment.SIDE_A, alignment.SIDE_B)
+    for i in range(40):
+        text = chr(0x4E00 + i) * 500
+        for (ids, _), want in zip(own.encode(pa.array([text])), (SIDE_A.encode(" " + text, add_special_tokens=False).ids, MODEL.encode(text))):
+            assert ids.tolist() == want
+        assert max(own.a.known.used, own.b.known.used) < 10_000
+
+
 def test_digests_of_ids_of_any_length():
     rng = np.random.default_rng(3)
     ids = np.concatenate([[0, 9, 10, 99_999, 100_000, 1_234_567], rng.integers(0, 50_000, 94)])
