@@ -70,12 +70,14 @@ def runs(units: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray, n
     new[1:] = kind[1:] != kind[:-1]
     new[first] = True
     kind[~new & (kind == 4)] = 0
-    others = np.append(0, np.cumsum(kind == 0))
-    hard = others[at[1:]] > others[at[:-1]]
+    narrow = np.int32 if len(data) < 1 << 31 else np.int64
+    upto = np.zeros(len(data) + 1, narrow)
+    np.cumsum(kind == 0, out=upto[1:])
+    hard = upto[at[1:]] > upto[at[:-1]]
     new[np.repeat(hard, size)] = False
     new[first] = True
-    upto = np.append(0, np.cumsum(new))
-    count = upto[at[1:]] - upto[at[:-1]]
+    np.cumsum(new, out=upto[1:])
+    count = (upto[at[1:]] - upto[at[:-1]]).astype(np.int64)
     starts = np.append(np.flatnonzero(new), len(data))
     pieces = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data))
     return pieces, count, np.repeat(hard, count)

@@ -45,6 +45,10 @@ PERCENTILE = 95
 END_ID = 0
 MEMORY = 600_000
 """Strings whose ids a worker remembers."""
+STEP = 1 << 14
+"""Strings that are encoded at once; the library's tokens take many times their ids."""
+BLOCKS = 256
+"""Blocks that are packed at once."""
 _ID = attrgetter("id")
 _HEAD = struct.Struct("<4sQQQII")
 
@@ -75,8 +79,12 @@ def unpack(packed: np.ndarray, width: int) -> np.ndarray:
 
 def write_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarray, bytes]:
     """Starts of the blocks, and the blocks. Ids are unsigned 32-bit numbers; a part block is filled with its last id."""
-    if not len(ids):
-        return np.zeros(0, np.uint64), b""
+    parts = [x for a in range(0, len(ids), BLOCKS * BLOCK) for x in _blocks(ids[a:a + BLOCKS * BLOCK], percentile)]
+    size = np.fromiter(map(len, parts), np.uint64, len(parts))
+    return np.cumsum(size) - size, b"".join(parts)
+
+
+def _blocks(ids: np.ndarray, percentile: int) -> list[bytes]:
     rows = np.append(ids, np.full(-len(ids) % BLOCK, ids[-1])).astype(np.uint64).reshape(-1, BLOCK)
     low = rows.min(axis=1)
     over = rows - low[:, None]
@@ -93,8 +101,7 @@ def write_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndar
             where = np.flatnonzero(patch[i])
             parts[block] = b"".join((struct.pack("<IBBH", int(low[block]), w, 0, len(where)), body[i].tobytes(),
                                      where.astype("<u2").tobytes(), diff[i, where].astype("<u4").tobytes()))
-    size = np.fromiter(map(len, parts), np.uint64, len(parts))
-    return np.cumsum(size) - size, b"".join(parts)
+    return parts
 
 
 def read_blocks(starts: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
@@ -209,7 +216,7 @@ def in_alphabet(pieces: list[str]) -> list[str]:
     return out[:-1].tobytes().decode("utf-16-le").split("\n")
 
 
-def piece_encoder(path: str, memory: int = MEMORY) -> PieceEncoder:
+def piece_encoder(path: str, memory: int = MEMORY, tokenizer=None) -> PieceEncoder:
     """Texts to ids with the strings of added tokens as plain text.
 
     The file's pre-tokenizer splits by the public pattern and encodes each match
@@ -218,12 +225,15 @@ def piece_encoder(path: str, memory: int = MEMORY) -> PieceEncoder:
     """
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path).model
+    model = (tokenizer or Tokenizer.from_file(path)).model
 
     def ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        own = list(map(model.tokenize, in_alphabet(pieces)))
-        count = np.fromiter(map(len, own), np.int64, len(own))
-        return np.fromiter(map(_ID, chain.from_iterable(own)), np.int64, int(count.sum())), count
+        flat, count = [], []
+        for a in range(0, len(pieces), STEP):
+            own = list(map(model.tokenize, in_alphabet(pieces[a:a + STEP])))
+            count.append(np.fromiter(map(len, own), np.int64, len(own)))
+            flat.append(np.fromiter(map(_ID, chain.from_iterable(own)), np.int64, int(count[-1].sum())))
+        return np.concatenate(flat), np.concatenate(count)
 
     return PieceEncoder(ids, public_tokenizers.PATTERN, memory)
 
@@ -234,7 +244,8 @@ def encoder(path: str) -> TextEncoder:
     def build() -> TextEncoder:
         from tokenizers import Tokenizer
 
-        return TextEncoder(piece_encoder(path), Tokenizer.from_file(path))
+        tokenizer = Tokenizer.from_file(path)
+        return TextEncoder(piece_encoder(path, tokenizer=tokenizer), tokenizer)
 
     return held_by_worker(("token_blocks", path), build)
 

@@ -194,3 +194,15 @@ def test_byte_alphabet_of_many_strings():
     strings = [*(x for x in odd_texts() if x), "\n", "\x00", "\U0010ffff", "a"]
     alphabet = token_blocks.byte_alphabet()
     assert token_blocks.in_alphabet(strings) == ["".join(chr(alphabet[b]) for b in x.encode()) for x in strings]
+
+
+def test_blocks_and_pieces_are_done_in_steps(monkeypatch):
+    """What a worker needs besides the result doesn't grow with a slice: blocks are packed, and new pieces encoded, some at a time."""
+    ids = np.random.default_rng(3).integers(0, 50_000, 2_000_000).astype(np.int64)
+    (starts, data), peak = peak_of(lambda: token_blocks.write_blocks(ids))
+    assert (token_blocks.read_blocks(starts, np.frombuffer(data, np.uint8), len(ids)) == ids).all()
+    assert peak < 2 * ids.nbytes
+    want = token_blocks.piece_encoder(token_blocks.TOKENIZER).encode(pa.array(odd_texts()))
+    monkeypatch.setattr(token_blocks, "STEP", 7)
+    got = token_blocks.piece_encoder(token_blocks.TOKENIZER).encode(pa.array(odd_texts()))
+    assert all((a == b).all() for a, b in zip(got, want))
