@@ -26,14 +26,16 @@ KEYS = ["ticker", "cik", "accession", "form", "strategy", "metric_type", "alias_
 DEBT = "__ltd_"
 
 
+CONCEPT_ROWS = [
+    (M.TAG_PREFIX + tag, metric, rank)
+    for metric, tags in M.CONCEPT_ALIASES.items()
+    for rank, tag in enumerate(tags)
+]
+
+
 def concept_table(spark: SparkSession) -> DataFrame:
     """The fixed concept dictionary (55 rows), safe to broadcast at any scale."""
-    rows = [
-        (M.TAG_PREFIX + tag, metric, rank)
-        for metric, tags in M.CONCEPT_ALIASES.items()
-        for rank, tag in enumerate(tags)
-    ]
-    return spark.createDataFrame(rows, "concept string, metric_type string, alias_rank int")
+    return spark.createDataFrame(CONCEPT_ROWS, "concept string, metric_type string, alias_rank int")
 
 
 def map_concepts(facts: DataFrame) -> DataFrame:
@@ -134,16 +136,18 @@ def _claims(per_filing: bool, has_start: bool) -> Column:
 
 def _best_per_slot(facts: DataFrame, per_filing: bool) -> DataFrame:
     """First shuffle: the largest value of every slot and period end (a plain hash aggregate)."""
-    has_start = "period_start" in facts.columns
+    has_start = "period_start" in facts.columns or "bucket" in facts.columns
     for name, kind in (("accession", "string"), ("form", "string"), ("strategy", "int"), ("fiscal_year", "int")):
         if name not in facts.columns:
             facts = facts.withColumn(name, F.lit(None).cast(kind))
-    start = c("period_start") if has_start else F.lit(None).cast("date")
+    if "bucket" not in facts.columns:
+        start = c("period_start") if has_start else F.lit(None).cast("date")
+        facts = facts.withColumn("bucket", duration_bucket(start, c("period_end")))
     if "is_dimensioned" not in facts.columns:
         facts = facts.withColumn("is_dimensioned", F.lit(False))
     if not per_filing:
         facts = facts.where(_usable())
-    claimed = facts.withColumn("bucket", duration_bucket(start, c("period_end"))).select(
+    claimed = facts.select(
         "ticker", "cik", "accession", "form", "strategy", "numeric_value", "period_end", "fiscal_year", "is_dimensioned",
         F.inline(_claims(per_filing, has_start)),
     ).where(c("role").isNotNull())
@@ -375,9 +379,56 @@ def extract_companies(facts: DataFrame, standardized: DataFrame | None = None) -
     return complete_periods(merged_company_rows(facts, standardized), debt_rule=True)
 
 
-def extract_filings(facts: DataFrame) -> DataFrame:
-    """The fast path: metric rows per filing; facts carry ticker, cik, accession and form."""
-    mapped = map_concepts(facts).where(filing_unit_ok())
+BUCKETS = [name for name, _, _ in M.DURATION_BUCKETS]
+
+
+def _by_filing(mapped: DataFrame) -> DataFrame:
+    """The mapped facts of a filing in one partition, as narrow rows.
+
+    Concept, label, length of the period and dimension travel as one number beside the
+    value; all else is equal in most neighbours and left out by the shuffle's compression.
+    """
+    has_accession = "accession" in mapped.columns
+    for name in ("accession", "form"):
+        if name not in mapped.columns:
+            mapped = mapped.withColumn(name, F.lit(None).cast("string"))
+    if "fiscal_year" not in mapped.columns:
+        mapped = mapped.withColumn("fiscal_year", F.lit(None).cast("int"))
+    has_start, has_dims = "period_start" in mapped.columns, "is_dimensioned" in mapped.columns
+    bucket = duration_bucket(c("period_start"), c("period_end")) if has_start else F.lit(None).cast("string")
+    dimension = F.coalesce(c("is_dimensioned").cast("int"), F.lit(2)) if has_dims else F.lit(0)
+    at = F.create_map(*[F.lit(x) for i, (concept, _, _) in enumerate(CONCEPT_ROWS) for x in (concept, i)])
+    code = at[c("concept")]
+    for part, width in ((F.array_position(F.lit(LABELS), c("fiscal_period")), len(LABELS) + 1),
+                        (F.array_position(F.lit(BUCKETS), bucket), len(BUCKETS) + 1), (dimension, 3)):
+        code = code * width + F.coalesce(part, F.lit(0)).cast("int")
+    rows = mapped.select("ticker", "cik", "accession", "form", "fiscal_year", "period_end", "numeric_value", code.alias("code"))
+    rows = rows.repartition("accession" if has_accession else "ticker")
+
+    n, names = c("code"), {}
+    names["is_dimensioned"] = F.when(n % 3 < 2, n % 3 == 1)
+    n = F.floor(n / 3).cast("int")
+    if has_start:
+        names["bucket"] = F.nullif(F.get(F.lit(["", *BUCKETS]), n % (len(BUCKETS) + 1)), F.lit(""))
+    n = F.floor(n / (len(BUCKETS) + 1)).cast("int")
+    names["fiscal_period"] = F.nullif(F.get(F.lit(["", *LABELS]), n % (len(LABELS) + 1)), F.lit(""))
+    n = F.floor(n / (len(LABELS) + 1)).cast("int")
+    names["metric_type"] = F.get(F.lit([m for _, m, _ in CONCEPT_ROWS]), n)
+    names["alias_rank"] = F.get(F.lit([r for _, _, r in CONCEPT_ROWS]), n)
+    return rows.withColumns(names).drop("code")
+
+
+def extract_filings(facts: DataFrame, filings: DataFrame | None = None) -> DataFrame:
+    """The fast path: metric rows per filing; facts carry ticker, cik, accession and form.
+
+    One shuffle, by accession: the keys of all later steps hold it, so none of them
+    moves a row again. A task has whole filings, the facts of a company (or a
+    concept) are spread over those of its filings. ``filings`` names the accessions
+    to extract, all others are left out after that shuffle.
+    """
+    mapped = _by_filing(map_concepts(facts).where(filing_unit_ok()))
+    if filings is not None:
+        mapped = mapped.join(filings.select("accession"), "accession", "left_semi")
     rows = candidate_rows(mapped, per_filing=True).withColumn("flow_dated", F.lit(False))
     source = F.when(c("form").isin("10-K", "10-K/A"), "10-K").otherwise("10-Q")
     stored = _stored(rows, [*M.PK, "accession", "form"], source, c("accession"))

@@ -187,3 +187,10 @@ def test_extraction_scans_facts_once(spark, tmp_path):
     plan = X.extract_companies(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
     assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_fast_path_shuffles_facts_once_by_filing(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    filing(spark, [(REV, 10.0, "Q1", D(2024, 1, 1), D(2024, 3, 31), False)]).write.parquet(path)
+    plan = X.extract_filings(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
