@@ -20,7 +20,7 @@ from pyspark.sql.window import Window as W
 from tallyfold import model as M
 from tallyfold.functions.derived import with_derived
 from tallyfold.operators.ttm import NAMES, ttm_raw, ttm_wide
-from tallyfold.sources.store import newest_per_key
+from tallyfold.sources.store import by_period, newest_per_key
 
 c = F.col
 ORDER = ("accession",)
@@ -29,11 +29,12 @@ ORDER = ("accession",)
 def versions(reported: DataFrame, keys: list[str] = M.PK, known: str = "filed", order: list[str] = ORDER) -> DataFrame:
     """Keys, ``value``, the columns of ``order``, ``known_from`` and ``known_until`` (exclusive, null while it holds).
 
-    One shuffle by key: the last of a day, the changes and their ends are found
-    in one order. A key has as many rows as filings report its period.
+    One shuffle by company and period: the last of a day, the changes and their ends
+    are found in one order. A key has as many rows as filings report its period.
     """
     w = W.partitionBy(*keys).orderBy("known_from", *order)
     rows = reported.where(c(known).isNotNull()).select(*keys, *order, "value", c(known).cast("date").alias("known_from"))
+    rows = by_period(rows, keys)
     rows = rows.withColumn("__next", F.lead("known_from").over(w))
     daily = rows.where(c("__next").isNull() | (c("__next") != c("known_from"))).drop("__next")
     daily = daily.withColumns({"__n": F.row_number().over(w), "__before": F.lag("value").over(w)})

@@ -4,9 +4,12 @@ import itertools
 import random
 from datetime import date, timedelta
 
+from pyspark.sql import functions as F
+
 from tallyfold import model as M
 from tallyfold.operators import known as KN
 from tallyfold.operators import ttm as T
+from tallyfold.sources.store import by_period
 
 SCHEMA = "ticker string, metric_type string, period_type string, period_end date, value double, accession string, filed date"
 ENDS = [date(2023, 3, 31), date(2023, 6, 30), date(2023, 9, 30), date(2023, 12, 31), date(2024, 3, 31)]
@@ -104,3 +107,22 @@ def test_store_as_it_was(spark, tmp_path):
     assert held(store.read()) == {"A": 5.0}
     assert held(store.read(then)) == {"A": 1.0, "B": 2.0}
     assert held(store.read("2000-01-01 00:00:00")) == {}
+
+
+def test_versions_of_filings_shuffle_facts_and_rows_once_each(spark, tmp_path):
+    from test_facts import D, REV, filing
+    from tallyfold.operators import facts as X
+
+    path = str(tmp_path / "facts")
+    filing(spark, [(REV, 10.0, "Q1", D(2024, 1, 1), D(2024, 3, 31), False)]).write.parquet(path)
+    rows = X.extract_filings(spark.read.parquet(path)).withColumn("filed", F.lit("2024-05-01").cast("date"))
+    plan = KN.restatements(KN.versions(rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_metrics_of_a_period_move_together(spark):
+    rows = spark.range(400).selectExpr("concat('T', id % 5) ticker", "concat('m', id) metric_type", "'q' period_type", "date '2024-03-31' period_end", "id value")
+    dealt = by_period(rows, M.PK)
+    assert dealt.columns == rows.columns and dealt.count() == 400
+    placed = dealt.select("ticker", "period_end", F.spark_partition_id().alias("at")).distinct().groupBy("ticker", "period_end").count()
+    assert placed.where("count > 1").count() == 0
