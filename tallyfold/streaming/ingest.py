@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyfold import model as M
 from tallyfold.operators.facts import extract_filings
 from tallyfold.sources.readers import with_ticker
-from tallyfold.sources.store import Ledger, MetricStore, newest_per_key, ticker_list
+from tallyfold.sources.store import Ledger, MetricStore, by_period, newest_per_key, ticker_list
 
 c = F.col
 
@@ -41,7 +41,7 @@ def in_scope(filings: DataFrame, tickers: DataFrame, scope: list[str] | None = N
 def newest_filing_rows(rows: DataFrame, filings: DataFrame) -> DataFrame:
     """Rows of several filings for the same key: the newest filing (date, accession) wins."""
     dates = filings.groupBy("accession").agg(F.max("filing_date").alias("filing_date"))
-    dated = rows.join(dates, "accession")
+    dated = by_period(rows.join(dates, "accession"), M.PK)
     return newest_per_key(dated, M.PK, ["filing_date", "accession"]).drop("filing_date")
 
 
@@ -65,12 +65,15 @@ class FilingIngest:
         if batch is not None:
             # a repeated batch must not be hidden by its own first attempt
             seen = seen.where(c("batch") != batch)
-        fresh = scoped.join(seen.select(c("accession_number").alias("accession")), "accession", "left_anti").persist()
+        # a row per filing meets the ledger, and is kept; the facts are read again and shuffled by filing only
+        offered = scoped.groupBy("accession").agg(
+            F.min("ticker").alias("ticker"), F.min("form").alias("form_type"), F.max("filing_date").alias("filing_date"))
+        fresh = offered.join(seen.select(c("accession_number").alias("accession")), "accession", "left_anti").persist()
         try:
-            count = self.store.upsert(newest_filing_rows(extract_filings(fresh), fresh), batch)
-            done = fresh.groupBy("accession").agg(
-                F.min("ticker").alias("ticker"), F.min("form").alias("form_type"), F.max("filing_date").alias("filed_date")
-            ).withColumnRenamed("accession", "accession_number")
+            if fresh.isEmpty():
+                scoped = scoped.where(F.lit(False))
+            count = self.store.upsert(newest_filing_rows(extract_filings(scoped, fresh), fresh), batch)
+            done = fresh.withColumnsRenamed({"accession": "accession_number", "filing_date": "filed_date"})
             self.ledger.log.append(done.withColumn("processed_at", F.current_timestamp()), batch)
         finally:
             fresh.unpersist()

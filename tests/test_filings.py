@@ -472,3 +472,35 @@ def test_stream_unique_filings(spark, tmp_path):
     stream = spark.readStream.schema("accession_number string, filed_at timestamp").parquet(src)
     IN.drain_to_parquet(IN.unique_filings(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert sorted(r.accession_number for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_ingest_moves_facts_by_filing_and_rows_by_period(spark, tmp_path):
+    from test_facts import D, REV, filing
+    from tallyfold.operators.facts import extract_filings
+
+    path = str(tmp_path / "facts")
+    rows = [(REV, 10.0, "Q1", D(2024, 1, 1), D(2024, 3, 31), False, "A1"), (REV, 20.0, "Q1", D(2024, 1, 1), D(2024, 3, 31), False, "A2")]
+    filing(spark, rows).write.parquet(path)
+    facts = spark.read.parquet(path)
+    fresh = spark.createDataFrame([("A2", "2024-05-01")], "accession string, filing_date string")
+    out = IN.newest_filing_rows(extract_filings(facts, fresh), fresh)
+    assert [(r.accession, r.value) for r in out.collect()] == [("A2", 20.0)]
+    plan = extract_filings(facts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_batch_keeps_a_row_per_filing_not_its_facts(spark, tmp_path, monkeypatch):
+    from test_facts import D, REV, filing
+
+    facts = filing(spark, [(REV, float(i), "Q1", D(2024, 1, 1), D(2024, 3, 31), False) for i in range(9)]).drop("ticker")
+    ref = spark.createDataFrame([("1", "T")], "cik string, ticker string")
+    job = IN.FilingIngest(MetricStore(spark, str(tmp_path / "s")), Ledger(spark, str(tmp_path / "l")), ref)
+    kept, persist = [], type(facts).persist
+
+    def counted(self, *a):
+        kept.append(self.count())
+        return persist(self, *a)
+
+    monkeypatch.setattr(type(facts), "persist", counted)
+    assert job.run_batch(facts) == 1 and job.run_batch(facts) == 0
+    assert kept == [1, 0]
