@@ -115,9 +115,22 @@ def ticker_key(text: Column) -> Column:
 WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+# White space other than the space itself, one by one.
+ODD_WHITE = [chr(x) for x in (*range(9, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
 def squeeze(text: Column) -> Column:
-    """Runs of white space become one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, f"[{WHITE}]+", " "))
+    """Runs of white space become one space, ends trimmed.
+
+    The regular expression is slow, so only texts go through it that hold two spaces in a row or other white space.
+    """
+    def squeezed(t: Column) -> Column:
+        odd = t.contains("  ")
+        for x in ODD_WHITE:
+            odd = odd | t.contains(x)
+        return F.trim(F.when(odd, F.regexp_replace(t, f"[{WHITE}]+", " ")).otherwise(t))
+
+    return F.element_at(F.transform(F.array(text), squeezed), 1)
 
 
 def alnum_key(text: Column) -> Column:

@@ -15,18 +15,25 @@ from pyspark.sql.window import Window as W
 
 from tallyfold.functions.columns import squeeze
 from tallyfold.operators.sections import extract_section
+from tallyfold.session import stored
 
 c = F.col
 PARAGRAPHS, LINES = r"\n\s*\n", r"\n"
 
 
 def section_blocks(filings: DataFrame, section_name: str, separator: str = PARAGRAPHS, text: str = "markdown") -> DataFrame:
-    """``accession_number``, ``position`` (from 1), ``block`` and ``nth``, its number among the section's equal blocks."""
+    """``accession_number``, ``position`` (from 1), ``block`` and its ``digest``."""
     found = extract_section(filings, section_name, ("accession_number",), text)
     parts = F.filter(F.transform(F.split("content", separator), squeeze), lambda b: b != "")
     rows = found.select("accession_number", F.posexplode(parts).alias("at", "block"))
-    same = W.partitionBy("accession_number", F.xxhash64("block"), "block").orderBy("at")
-    return rows.select("accession_number", (c("at") + 1).alias("position"), "block", F.row_number().over(same).alias("nth"))
+    return rows.select("accession_number", (c("at") + 1).alias("position"), F.unhex(F.sha2("block", 256)).alias("digest"), "block")
+
+
+def numbered(blocks: DataFrame) -> DataFrame:
+    """``nth``, the number of a block among its section's equal ones. Only digests move, once, by filing."""
+    same = W.partitionBy("accession_number", "digest").orderBy("position")
+    rows = blocks.select("accession_number", "digest", "position").repartition("accession_number")
+    return rows.withColumn("nth", F.row_number().over(same))
 
 
 def rising_run(values: Column) -> Column:
@@ -50,18 +57,22 @@ def block_changes(pairs: DataFrame, filings: DataFrame, section_name: str, separ
 
     ``change`` (equal, moved, added, removed), ``previous_position``,
     ``current_position``, ``block``. Pairs of which one filing lacks the section
-    have none. Only filings of a pair are parsed, each once.
+    have none. Filings are parsed once: their blocks are stored in the shared folder, and
+    all joins read them there. Where the pairs name less than half of the filings, only those are parsed.
     """
     key = ["accession_number", "previous_accession"]
     asked = pairs.select(F.explode(F.array(*key)).alias("accession_number")).distinct()
-    rows = section_blocks(filings.join(asked, "accession_number", "left_semi"), section_name, separator, text)
+    # a semi join moves whole texts, which only pays where it leaves most of them out
+    if 2 * asked.count() < filings.select("accession_number").count():
+        filings = filings.join(asked, "accession_number", "left_semi")
+    rows = stored(section_blocks(filings, section_name, separator, text))
+    own = numbered(rows)
     present = rows.select("accession_number").distinct()
-    whole = pairs.select(*key).distinct().join(present, "accession_number", "left_semi").join(
-        present.withColumnRenamed("accession_number", "previous_accession"), "previous_accession", "left_semi")
-    digest = F.sha2("block", 256).alias("digest")
-    now = whole.join(rows.select("accession_number", digest, "nth", c("position").alias("current_position")), "accession_number")
-    old = whole.join(rows.select(c("accession_number").alias("previous_accession"), digest, "nth", c("position").alias("previous_position")), "previous_accession")
-    both = now.join(old, [*key, "digest", "nth"], "full")
+    whole = stored(pairs.select(*key).distinct().join(present, "accession_number", "left_semi").join(
+        present.withColumnRenamed("accession_number", "previous_accession"), "previous_accession", "left_semi"))
+    now = whole.join(own.withColumnRenamed("position", "current_position"), "accession_number")
+    old = whole.join(own.withColumnsRenamed({"accession_number": "previous_accession", "position": "previous_position"}), "previous_accession")
+    both = stored(now.join(old, [*key, "digest", "nth"], "full").select(*key, "current_position", "previous_position"))
     runs = both.where(c("current_position").isNotNull() & c("previous_position").isNotNull()).groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("previous_position", "current_position"))).alias("p"))
     kept = runs.select(*key, F.explode(rising_run(F.transform("p", lambda x: x["current_position"]))).alias("current_position"), F.lit(True).alias("in_order"))

@@ -62,19 +62,19 @@ def _marked_parts(text: Column, pattern: str, limit: int = -1) -> Column:
 # ---------------------------------------------------------------- sections
 
 
-def with_sections(filings: DataFrame, text: str = "markdown", name: str = "sections") -> DataFrame:
-    """Add the parsed item sections as an array of structs, in text order.
+def _outlined(filings: DataFrame, text: str) -> DataFrame:
+    """Add ``__parts`` (the text cut before each heading) and ``__outline``, what tells the sections apart.
 
-    When a code occurs more than once the last one counts, which skips the
-    table of contents. A section ends where the next kept one starts.
+    Headings are read from the matches, never again from the texts below them;
+    no section's text is put together here.
     """
     pattern = FLAGS + HEADING
-    rows = pinned(filings, __parts=_marked_parts(F.coalesce(c(text), F.lit("")), pattern))
-    rows = pinned(rows, __heads=F.transform(
-        F.slice("__parts", 2, F.greatest(F.size("__parts") - 1, F.lit(0))), lambda p: F.struct(
-            alnum_key(F.regexp_extract(p, pattern, 2)).alias("key"),
-            F.length(p).alias("len"), _newlines(p).alias("nl"),
-        )))
+    whole = F.coalesce(c(text), F.lit(""))
+    rows = pinned(filings, __found=F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), __tails=F.split(whole, pattern, -1))
+    rows = pinned(rows, __parts=F.transform("__tails", lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.get("__found", i - 1), p))))
+    rows = pinned(rows, __heads=F.transform("__found", lambda h, i: F.struct(
+        alnum_key(F.regexp_extract(h, pattern, 2)).alias("key"), F.length(F.get("__parts", i + 1)).alias("len"),
+        _newlines(F.get("__parts", i + 1)).alias("nl"))))
     rows = pinned(rows, __keys=F.transform("__heads", lambda h: h["key"]))
     later = lambda i: F.slice("__keys", i + 2, F.greatest(F.size("__keys") - i - 1, F.lit(0)))
     rows = pinned(rows, __kept=F.filter(
@@ -82,28 +82,44 @@ def with_sections(filings: DataFrame, text: str = "markdown", name: str = "secti
 
     def section(i: Column, n: Column) -> Column:
         end = F.coalesce(F.try_element_at("__kept", n + 2), F.size("__heads"))
-        part = F.element_at("__parts", i + 2)
-        raw = F.array_join(F.slice("__parts", i + 2, end - i), "")
-        matched = F.length(F.regexp_extract(part, pattern, 0))
-        heading = squeeze(F.regexp_extract(part, pattern, 1))
-        code = F.upper(F.regexp_replace(F.lower(F.regexp_extract(part, pattern, 2)), "[^0-9a-z.]+", ""))
+        head = F.get("__found", i)
+        code = F.upper(F.regexp_replace(F.lower(F.regexp_extract(head, pattern, 2)), "[^0-9a-z.]+", ""))
         before = F.slice("__heads", 1, i)
         return F.struct(
-            (n + 1).alias("position"), heading.alias("heading"), code.alias("item_code"), alnum_key(code).alias("item_key"),
-            _title(F.regexp_extract(part, pattern, 3)).alias("title"),
+            (n + 1).alias("position"), squeeze(F.regexp_extract(head, pattern, 1)).alias("heading"), code.alias("item_code"),
+            alnum_key(code).alias("item_key"), _title(F.regexp_extract(head, pattern, 3)).alias("title"),
             (F.length(F.element_at("__parts", 1)) + _total(F.transform(before, lambda h: h["len"]))).alias("start"),
             (_newlines(F.element_at("__parts", 1)) + _total(F.transform(before, lambda h: h["nl"])) + 1).alias("line_number"),
-            strip(raw).alias("content"),
-            strip(F.substr(raw, matched + 1)).alias("body"),
+            i.alias("first"), (end - i).alias("parts"), F.length(head).alias("matched"),
         )
 
     rows = pinned(rows, __s=F.transform("__kept", section))
     full = F.transform("__s", lambda s: s.withField("title_key", alnum_key(s["title"]))
-                       .withField("text_length", F.length(s["content"]))
                        .withField("match_keys", F.array_distinct(F.array_compact(F.array(
                            s["item_key"], alnum_key(F.concat(F.lit("item "), s["item_code"])),
                            alnum_key(s["heading"]), alnum_key(s["title"]))))))
-    return pinned(rows, **{name: full}).drop("__parts", "__heads", "__keys", "__kept", "__s")
+    return pinned(rows, __outline=full).drop("__found", "__tails", "__heads", "__keys", "__kept", "__s")
+
+
+def _raw(s: Column) -> Column:
+    """The text of an outlined section, heading and all."""
+    return F.array_join(F.slice("__parts", s["first"] + 2, s["parts"]), "")
+
+
+def with_sections(filings: DataFrame, text: str = "markdown", name: str = "sections") -> DataFrame:
+    """Add the parsed item sections as an array of structs, in text order.
+
+    When a code occurs more than once the last one counts, which skips the
+    table of contents. A section ends where the next kept one starts.
+    """
+    rows = pinned(_outlined(filings, text), __texts=F.transform("__outline", _raw))
+    plain = ["position", "heading", "item_code", "item_key", "title", "start", "line_number"]
+    rows = pinned(rows, __contents=F.transform("__texts", lambda raw: strip(raw)))
+    full = F.transform("__outline", lambda s, n: F.struct(
+        *[s[x].alias(x) for x in plain], F.get("__contents", n).alias("content"),
+        strip(F.substr(F.get("__texts", n), s["matched"] + 1)).alias("body"), s["title_key"].alias("title_key"),
+        F.length(F.get("__contents", n)).alias("text_length"), s["match_keys"].alias("match_keys")))
+    return pinned(rows, **{name: full}).drop("__parts", "__outline", "__texts", "__contents")
 
 
 def _title(raw: Column) -> Column:
@@ -143,10 +159,12 @@ def _first_selected(sections_col: str, key: str) -> Column:
 def extract_section(filings: DataFrame, section_name: str, keys=("accession_number",), text: str = "markdown") -> DataFrame:
     """The first section that a code, heading or title selects ("mda" is an alias), one row per filing that has it."""
     key = selector_key(section_name)
-    found = pinned(with_sections(filings, text), __hit=_first_selected("sections", key))
-    fields = ["item_code", "heading", "title", "line_number", "text_length", "content"]
-    return found.where(c("__hit").isNotNull() & F.lit(bool(key))).select(
-        *keys, *[c(f"__hit.{f}").alias(f) for f in fields])
+    found = pinned(_outlined(filings, text), __hit=_first_selected("__outline", key)).where(c("__hit").isNotNull() & F.lit(bool(key)))
+    # only the section that was asked for is put together
+    found = pinned(found, content=strip(_raw(c("__hit"))))
+    return found.select(
+        *keys, *[c(f"__hit.{f}").alias(f) for f in ("item_code", "heading", "title", "line_number")],
+        F.length("content").alias("text_length"), "content")
 
 
 # ---------------------------------------------------------------- search

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,17 @@ def numbered_once(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=False)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to a folder of its own below the shared one, as compressed columns, and read from there.
+
+    For large inputs that several branches of a plan read some columns of; a checkpoint
+    would hold all of their rows uncompressed.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tallyfold-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder.
 

@@ -116,3 +116,12 @@ def test_interlocks_lose_no_link(spark):
     assert {(r.company_a, r.company_b, r.person) for r in again} == {x for x in rebuilt if x[:2] in set(asked)}
     whole = {(r.company_a, r.company_b, r.person): r.significance for r in RL.interlocks(seats, heavy=100)[0].collect()}
     assert all(whole[r.company_a, r.company_b, r.person] == r.significance for r in [*light, *again])
+
+
+def test_block_changes_parse_each_text_once(spark):
+    """Later steps read stored blocks: the plan holds no regular expression of headings any more."""
+    filings = spark.createDataFrame([(str(i), f"Item 7. Discussion\na\nb {i}") for i in range(4)], "accession_number string, markdown string")
+    pairs = spark.createDataFrame([("1", "0")], "accession_number string, previous_accession string")
+    out = CH.block_changes(pairs, filings, "7", separator=CH.LINES)
+    assert "regexp" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.change, r.block) for r in out.collect()} == {("equal", "a"), ("equal", "Item 7. Discussion"), ("added", "b 1"), ("removed", "b 0")}
