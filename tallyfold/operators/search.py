@@ -115,51 +115,64 @@ def resolve_tickers(requests: DataFrame, tickers: DataFrame) -> DataFrame:
     )
 
 
-def _grams(df: DataFrame, name: str, q: int) -> DataFrame:
-    """``name`` and its runs of ``q`` characters, ends padded, equal ones numbered."""
-    padded = F.concat(F.lit("\u0001" * (q - 1)), name, F.lit("\u0002" * (q - 1)))
-    rows = df.select(name, F.posexplode(F.transform(F.sequence(F.lit(1), F.length(name) + q - 1), lambda i: F.substr(padded, i, F.lit(q)))).alias("at", "gram"))
-    return rows.select(name, "gram", F.row_number().over(W.partitionBy(name, "gram").orderBy("at")).alias("nth"))
-
-
 def _allowed(longest: Column, cutoff: float) -> Column:
     """How many edits two texts may differ by, given the longer length."""
     return F.floor(longest * (1 - cutoff) + 1e-9).cast("int")
 
 
-def _rare_keys(grams: DataFrame, name: str, counts: DataFrame, cutoff: float, q: int, mine: str, others: str) -> DataFrame:
-    """Keys of which two close texts must share one: both lengths and one of the rarest grams.
+def _lengths(name: str, cutoff: float) -> Column:
+    """The lengths that a text close to this one may have."""
+    size = F.length(name)
+    return F.sequence(F.greatest(F.ceil(size * cutoff - 1e-9).cast("int"), F.lit(1)), F.floor(size / cutoff + 1e-9).cast("int"))
+
+
+def _pieces(df: DataFrame, name: str, cutoff: float, mine: str, others: str, cut: bool) -> DataFrame:
+    """Keys of which two texts within k edits share one: both lengths, the number of a piece and its characters.
 
-    Texts of lengths n and m within k edits share at least ``max(n, m) + q - 1 -
-    k q`` numbered grams; with all grams in one order, rare ones first, one of those
-    is among the first ``n - max(n, m) + k q + 1`` of either text.
+    The one side is cut into k + 1 even pieces, of which k edits leave one as it is
+    (``cut``). The other side gives what stands in its text where that piece can be: with i
+    pieces before it and k - i behind, the first piece left whole has moved by at most i places
+    counted from the start, and by at most k - i counted from the end.
     """
-    ranked = grams.join(counts, "gram", "left").groupBy(name).agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "nth"))).alias("__grams"))
-    size = F.length(name)
-    rows = ranked.withColumn("__m", F.explode(F.sequence(F.greatest(F.ceil(size * cutoff - 1e-9).cast("int"), F.lit(1)), F.floor(size / cutoff + 1e-9).cast("int"))))
-    longest = F.greatest(size, c("__m"))
-    first = F.slice("__grams", 1, F.greatest(size - longest + _allowed(longest, cutoff) * q + 1, F.lit(0)))
-    return rows.select(name, size.alias(mine), c("__m").alias(others), F.explode(F.transform(first, lambda g: F.struct(g["gram"], g["nth"]))).alias("__key"))
+    rows = df.select(name, F.length(name).alias(mine), F.explode(_lengths(name, cutoff)).alias(others))
+    size = c("__b")  # of the text that is cut
+    rows = rows.withColumn("__k", _allowed(F.greatest("__a", "__b"), cutoff))
+    start = lambda i: F.floor(size * i / (c("__k") + 1)).cast("int")
+    width = lambda i: start(i + 1) - start(i)
+    shift = c("__a") - c("__b")  # how much longer the other side is
+
+    def piece(i: Column, at: Column) -> Column:
+        return F.struct(i.alias("i"), F.substr(name, at + 1, width(i)).alias("text"))
+
+    numbers = F.sequence(F.lit(0), c("__k"))
+    if cut:
+        keys = F.transform(numbers, lambda i: piece(i, start(i)))
+    else:
+        def places(i: Column) -> Column:
+            low = F.greatest(start(i) - i, start(i) + shift - (c("__k") - i), F.lit(0))
+            high = F.least(start(i) + i, start(i) + shift + (c("__k") - i), c("__a") - width(i))
+            return F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda at: piece(i, at))).otherwise(
+                F.array().cast("array<struct<i:int,text:string>>"))
+
+        keys = F.array_distinct(F.flatten(F.transform(numbers, places)))
+    return rows.select(name, mine, others, F.explode(keys).alias("__key"))
 
 
 def close_names(words: DataFrame, names: DataFrame, cutoff: float = 0.8, q: int = 2) -> DataFrame:
     """``word``, ``name`` and ``edits`` of all pairs with at most ``(1 - cutoff)`` of the longer length in edits.
 
-    An equi-join on both lengths and a rare run of characters (ordered by how many
-    names have it) proposes pairs, the edit distance decides; nothing is missed.
-    ``q`` times ``1 - cutoff`` must be below one, so that every text has such a run.
+    An equi-join on both lengths and a piece of the name proposes pairs, the edit
+    distance decides before pairs are made distinct; nothing is missed. ``q`` times
+    ``1 - cutoff`` must be below one: shorter pieces would tell nothing apart.
     """
     if q * (1 - cutoff) >= 1:
-        raise ValueError("runs of this length can't filter at this cutoff")
+        raise ValueError("pieces of this length can't filter at this cutoff")
     left, right = words.select("word").where(c("word") != "").distinct(), names.select("name").where(c("name") != "").distinct()
-    grams = _grams(right, "name", q)
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    a = _rare_keys(_grams(left, "word", q), "word", counts, cutoff, q, "__a", "__b")
-    b = _rare_keys(grams, "name", counts, cutoff, q, "__b", "__a")
-    pairs = a.join(b, ["__a", "__b", "__key"]).select("word", "name").distinct()
-    edits = F.levenshtein("word", "name")
-    return pairs.withColumn("edits", edits).where(c("edits") <= _allowed(F.greatest(F.length("word"), F.length("name")), cutoff))
+    a = _pieces(left, "word", cutoff, "__a", "__b", False)
+    b = _pieces(right, "name", cutoff, "__b", "__a", True)
+    limit = _allowed(F.greatest("__a", "__b"), cutoff)
+    near = a.join(b, ["__a", "__b", "__key"]).select("word", "name", F.levenshtein("word", "name").alias("edits"), limit.alias("__limit"))
+    return near.where(c("edits") <= c("__limit")).select("word", "name", "edits").distinct()
 
 
 def resolve_entities(mentions: DataFrame, companies: DataFrame, cutoff: float | None = None) -> DataFrame:

@@ -125,3 +125,13 @@ def test_block_changes_parse_each_text_once(spark):
     out = CH.block_changes(pairs, filings, "7", separator=CH.LINES)
     assert "regexp" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.change, r.block) for r in out.collect()} == {("equal", "a"), ("equal", "Item 7. Discussion"), ("added", "b 1"), ("removed", "b 0")}
+
+
+def test_close_names_proposes_few_pairs_where_all_share_common_runs(spark):
+    """Texts of the same few runs of two characters: pieces tell them apart, rare runs did not."""
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abcd") for _ in range(24)) for _ in range(200)})
+    left, right = (spark.createDataFrame([(x,) for x in names], f"{k} string") for k in ("word", "name"))
+    a, b = SE._pieces(left, "word", 0.8, "__a", "__b", False), SE._pieces(right, "name", 0.8, "__b", "__a", True)
+    assert a.join(b, ["__a", "__b", "__key"]).select("word", "name").distinct().count() < len(names) ** 2 / 4
+    assert {(r.word, r.edits) for r in SE.close_names(left, right).collect()} >= {(x, 0) for x in names}
