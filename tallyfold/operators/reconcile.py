@@ -60,8 +60,9 @@ def dera_points(candidates: DataFrame) -> DataFrame:
     def resolved(name: str) -> Column:
         return F.max(F.when(c("metric_type") == name, size))
 
-    # candidates are made distinct before the periods are gathered
-    bounded = candidates.select(*POINT, "value").distinct().withColumns({
+    # one shuffle, by period; candidates are made distinct before a period's are held together
+    placed = candidates.select("ticker", "period_type", "period_end", "value", "metric_type").repartition(*keys)
+    bounded = placed.distinct().withColumns({
         "lo": resolved("net_income").over(w)["value"], "hi": resolved("gross_profit").over(w)["value"]})
     inside = (c("metric_type") == "operating_income") & (c("value") > c("lo")) & (c("value") < c("hi"))
     wide = bounded.groupBy(*keys).agg(
@@ -224,9 +225,9 @@ def with_tolerance(points: DataFrame) -> DataFrame:
 
 
 def write_fixture(points: DataFrame, path: str) -> None:
-    """The fixture rows as JSON lines, in the order of ticker, metric, type and date over all files."""
+    """The fixture rows as JSON lines (gzip), in the order of ticker, metric, type and date over all files."""
     order = ["ticker", "metric_type", "period_type", "period_end"]
-    points.select(*order, *[x for x in points.columns if x not in order]).orderBy(*order).write.mode("overwrite").json(path)
+    points.select(*order, *[x for x in points.columns if x not in order]).orderBy(*order).write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def fiscal_year_totals(points: DataFrame) -> DataFrame:
