@@ -1,8 +1,9 @@
 """A positional index of texts: many phrases at once, without reading the texts.
 
 A text is a row of words, the runs between white space, in lower case. The index
-has a row per word and text with the word's places, delta-coded, and a row
-per word in a vocabulary. A phrase is looked up in the vocabulary first: its first word
+has segments, runs of texts as a task reads them, and in each a row per word with the
+numbers of its texts and its places in them, delta-coded; :func:`postings` has a row
+per word and text instead. A phrase is looked up in the vocabulary first: its first word
 may be the end of a longer one, its last word the beginning, a single word may
 stand anywhere inside; words between must be equal. All of these are equalities of
 parts of words with the lengths that are asked for, so no phrase meets a word
@@ -22,12 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.functions.columns import WHITE
+from tallyfold.functions.columns import WHITE, squeeze
 from tallyfold.operators.sections import pinned, with_sections
+from tallyfold.session import cut_lineage
 from tallyfold.sources.store import Log
 
 c = F.col
 BUCKETS = 256
+BITS = 1 << 22
+FEW = 10_000
 KEYS = ("accession_number", "position")
 
 
@@ -59,6 +63,156 @@ def postings(texts: DataFrame, keys=KEYS, text: str = "content") -> DataFrame:
     return lists.select("term", *keys, gaps.alias("gaps"))
 
 
+SEGMENT_BYTES = 16 << 20
+SEGMENT = T.StructType([
+    T.StructField("segment", T.LongType()), T.StructField("term", T.StringType()), T.StructField("numbers", T.ArrayType(T.IntegerType())),
+    T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("gaps", T.ArrayType(T.IntegerType())),
+    T.StructField("accession_numbers", T.ArrayType(T.StringType())), T.StructField("positions", T.ArrayType(T.IntegerType())),
+    T.StructField("item_codes", T.ArrayType(T.StringType()))])
+
+
+def _segment(batch):
+    """The rows of one segment: its texts in a row without a term, then a row per term with the lists of all its texts.
+
+    A text has a number in its segment; ``numbers`` holds the distances from text to text,
+    ``counts`` the places in each, ``gaps`` first place and distances for one text after the other.
+    """
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    keys = [batch.column(i) for i in range(3)]
+    told = [f"{a}\x00{p}" for a, p in zip(keys[0].to_pylist(), keys[1].to_pylist())]
+    name = int.from_bytes(hashlib.sha256("\x01".join(told).encode()).digest()[:8], "big", signed=True)
+    texts = pc.fill_null(batch.column(3), "")
+    lists = pc.split_pattern(texts, " ")
+    coded = lists.flatten().dictionary_encode()
+    terms, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    sizes = np.diff(lists.offsets.to_numpy(zero_copy_only=False))
+    number = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    place = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+    # terms in order, so that equal beginnings stand together in the file
+    by_name = pc.sort_indices(terms).to_numpy(zero_copy_only=False)
+    rank = np.empty(len(by_name), dtype=np.int32)
+    rank[by_name] = np.arange(len(by_name), dtype=np.int32)
+    codes, terms = rank[codes], terms.take(pa.array(by_name))
+    if len(terms) and terms[0].as_py() == "":  # a text without words
+        kept = codes > 0
+        codes, number, place, terms = codes[kept] - 1, number[kept], place[kept], terms.slice(1)
+    order = np.argsort(codes, kind="stable")
+    codes, number, place = codes[order], number[order], place[order]
+    new_text = np.ones(len(codes), dtype=bool)
+    new_text[1:] = (codes[1:] != codes[:-1]) | (number[1:] != number[:-1])
+    gaps = place.copy()
+    gaps[1:] -= np.where(new_text[1:], 0, place[:-1]).astype(np.int32)
+    starts = np.flatnonzero(new_text)
+    counts = np.diff(np.append(starts, len(codes))).astype(np.int32)
+    list_codes, numbers = codes[starts], number[starts]
+    new_term = np.ones(len(starts), dtype=bool)
+    new_term[1:] = list_codes[1:] != list_codes[:-1]
+    steps = numbers.copy()
+    steps[1:] -= np.where(new_term[1:], 0, numbers[:-1]).astype(np.int32)
+    edges = np.arange(len(terms) + 1)
+    per_term = np.searchsorted(list_codes, edges).astype(np.int32)
+    words_per_term = np.searchsorted(codes, edges).astype(np.int32)
+
+    def lists_of(values, offsets):
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+
+    n, kinds = len(terms), (pa.string(), pa.int32(), pa.string())
+    none = [pa.nulls(n, pa.list_(k)) for k in kinds]
+    schema = pa.schema([("segment", pa.int64()), ("term", pa.string()), *[(x, pa.list_(pa.int32())) for x in ("numbers", "counts", "gaps")],
+                        *[(x, pa.list_(k)) for x, k in zip(("accession_numbers", "positions", "item_codes"), kinds)]])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([name], pa.int64()), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.list_(pa.int32()))] * 3, *[pa.array([k.to_pylist()], pa.list_(t)) for k, t in zip(keys, kinds)]], schema=schema)
+    rows = pa.RecordBatch.from_arrays([
+        pa.array(np.full(n, name, dtype=np.int64)), terms.cast(pa.string()), lists_of(steps, per_term), lists_of(counts, per_term), lists_of(gaps, words_per_term), *none], schema=schema)
+    for at in range(0, n, 20000):
+        yield rows.slice(at, 20000)
+
+
+def segments(texts: DataFrame, text: str = "content") -> DataFrame:
+    """The packed index of section texts (``accession_number``, ``position``, ``item_code``, text): nothing is shuffled.
+
+    A segment is a run of texts as a task reads them, of about 16 MB at most unless one text has more.
+    Its name is a digest of its texts' keys, so a task run twice writes the same.
+    """
+    rows = texts.select("accession_number", "position", "item_code", squeeze(F.lower(text)).alias("words"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, size = [], 0
+        for batch in batches:
+            step = max(1, int(batch.num_rows * SEGMENT_BYTES / 4 / max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                held.append(part)
+                size += part.nbytes
+                if size >= SEGMENT_BYTES:
+                    yield from _segment(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held, size = [], 0
+        if held and sum(x.num_rows for x in held):
+            yield from _segment(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return rows.mapInArrow(run, SEGMENT)
+
+
+def maybe_of(packed: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows of a packed index whose term is among ``terms``, and few others.
+
+    A set of ``BITS`` bits, one per hash, goes out to the tasks; the driver sees hashes below that number.
+    """
+    def at(term: str) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(BITS)).cast("int").alias("at")
+
+    import numpy as np
+
+    bits = np.zeros(BITS, dtype=bool)
+    bits[terms.select(at("term")).distinct().toArrow()["at"].to_numpy()] = True
+    small = np.packbits(bits).tobytes()
+    names = ["term", "segment", "numbers", "counts", "gaps"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = np.unpackbits(np.frombuffer(small, dtype=np.uint8)).astype(bool)
+        for batch in batches:
+            kept = held[batch.column("at").to_numpy()]
+            if kept.any():
+                yield batch.select(names).filter(pa.array(kept))
+
+    rows = packed.select(*names, at("term"))
+    return rows.mapInArrow(run, T.StructType([rows.schema[x] for x in names]))
+
+
+def unpacked(packed: DataFrame, more: list[str]) -> DataFrame:
+    """A row per list of a packed index: the columns ``more``, ``segment``, ``number`` and ``gaps``."""
+    own = packed.select(*more, "segment", "numbers", "counts", "gaps")
+    schema = T.StructType([*own.select(*more, "segment").schema, T.StructField("number", T.IntegerType()), T.StructField("gaps", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            numbers, counts, gaps = (batch.column(x) for x in ("numbers", "counts", "gaps"))
+            sizes = np.diff(numbers.offsets.to_numpy(zero_copy_only=False))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            steps = numbers.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sums = np.concatenate([[0], np.cumsum(steps)])
+            begin = np.cumsum(sizes) - sizes
+            number = (sums[1:] - np.repeat(sums[begin], sizes)).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(counts.flatten().to_numpy(zero_copy_only=False))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), gaps.flatten())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(x).take(row) for x in [*more, "segment"]], pa.array(number), lists], names=[*more, "segment", "number", "gaps"])
+
+    return own.mapInArrow(run, schema)
+
+
 def places(gaps: Column) -> Column:
     """Delta-coded places as they were."""
     start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
@@ -83,6 +237,9 @@ def matching_terms(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
 
     The driver sees the distinct lengths of phrase words by kind, nothing else.
     """
+    asked = cut_lineage(asked)
+    if asked.count() <= FEW:  # by its count, as a checkpoint has no size that the engine knows
+        asked = F.broadcast(asked)
     lengths: dict[str, list[int]] = {}
     for r in asked.select("kind", F.length("word").alias("n")).distinct().collect():
         lengths.setdefault(r["kind"], []).append(r["n"])
@@ -128,7 +285,13 @@ def phrase_hits(index: DataFrame, vocabulary: DataFrame, phrases: DataFrame, key
     terms = matching_terms(vocabulary, phrase_words(phrases))
     if "bucket" in join_on:
         terms = terms.withColumn("bucket", bucket(c("term")))
-    own = index.join(terms, list(join_on)).select("phrase", "n", "i", *keys, "times", "room", places(c("gaps")).alias("p"))
+    return _gathered(index.join(terms, list(join_on)), keys)
+
+
+def _gathered(lists: DataFrame, keys) -> DataFrame:
+    """Hits from the lists of matching terms; the lists of a text are brought together once."""
+    own = lists.select("phrase", "n", "i", *keys, "times", "room", "gaps").repartition(*keys)
+    own = own.select("phrase", "n", "i", *keys, "times", "room", places(c("gaps")).alias("p"))
     # one list per word of the phrase and text, of all the terms it matches
     flat = own.select("phrase", "n", "i", *keys, F.transform("p", lambda x: x - c("i")).alias("p"), "times",
                       F.when(c("room"), F.transform("p", lambda x: x - c("i"))).otherwise(F.array().cast("array<int>")).alias("room"))
@@ -145,36 +308,36 @@ def phrase_hits(index: DataFrame, vocabulary: DataFrame, phrases: DataFrame, key
 
 
 class TextIndex:
-    """Postings and vocabulary of filing sections in the shared folder, one folder per batch.
+    """Packed postings of filing sections in the shared folder, one folder per batch.
 
-    Postings lie in folders by a hash of the term: a search reads those of the
-    terms that its phrases match.
+    A batch is written as it is read, segment by segment, without a shuffle. A search
+    reads the vocabulary, then the lists of the terms that its phrases match.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        text, number = T.StringType(), T.IntegerType()
-        root = path.rstrip("/")
-        keyed = [T.StructField("term", text), T.StructField("accession_number", text), T.StructField("position", number)]
-        self.lists = Log(spark, f"{root}/lists", T.StructType([*keyed, T.StructField("gaps", T.ArrayType(number)), T.StructField("bucket", text)]), ["bucket"])
-        self.terms = Log(spark, f"{root}/terms", T.StructType([T.StructField("term", text), T.StructField("texts", T.LongType())]))
-        self.texts = Log(spark, f"{root}/texts", T.StructType([*keyed[1:], T.StructField("item_code", text)]))
+        self.lists = Log(spark, f"{path.rstrip('/')}/lists", SEGMENT, compression="zstd")
 
     def add(self, filings: DataFrame, batch: str, text: str = "markdown") -> int:
-        """Index a batch of filings; returns its number of lists."""
-        own = section_texts(filings, text)
-        rows = postings(own).withColumn("bucket", bucket(c("term")))
-        count = self.lists.append(rows.hint("rebalance", "bucket"), batch)
-        written = self.lists.read().where(c("batch") == batch)
-        self.terms.append(written.groupBy("term").agg(F.count("*").alias("texts")), batch)
-        self.texts.append(own.select("accession_number", "position", "item_code"), batch)
-        return count
+        """Index a batch of filings; returns its number of rows, one per segment and one per segment and term."""
+        return self.lists.append(segments(section_texts(filings, text)), batch)
 
     def vocabulary(self) -> DataFrame:
         """``term`` and ``texts``, the number of texts that hold it."""
-        return self.terms.read().groupBy("term").agg(F.sum("texts").alias("texts"))
+        return self.lists.read().where(c("term").isNotNull()).groupBy("term").agg(F.sum(F.size("numbers")).alias("texts"))
+
+    def texts(self) -> DataFrame:
+        """``segment``, ``number``, ``accession_number``, ``position`` and ``item_code`` of each text."""
+        told = F.arrays_zip(c("accession_numbers").alias("accession_number"), c("positions").alias("position"), c("item_codes").alias("item_code"))
+        rows = self.lists.read().where(c("term").isNull()).select("segment", F.posexplode(told).alias("number", "t"))
+        return rows.select("segment", "number", "t.accession_number", "t.position", "t.item_code")
 
     def search(self, phrases: DataFrame) -> DataFrame:
-        """Hits of all phrases: ``phrase``, ``accession_number``, ``position``, ``item_code``, ``starts``, ``hits``."""
-        hits = phrase_hits(self.lists.read(), self.vocabulary(), phrases, join_on=("bucket", "term"))
-        codes = self.texts.read().select("accession_number", "position", "item_code")
-        return hits.join(codes, ["accession_number", "position"]).select("phrase", "accession_number", "position", "item_code", "starts", "hits")
+        """Hits of all phrases: ``phrase``, ``accession_number``, ``position``, ``item_code``, ``starts``, ``hits``.
+
+        Rows of other terms are left out as they are read; packed rows meet the terms, and are unpacked then.
+        """
+        terms = cut_lineage(matching_terms(self.vocabulary(), phrase_words(phrases)))
+        packed = maybe_of(self.lists.read().where(c("term").isNotNull()), terms)
+        lists = unpacked(packed.join(terms, "term"), ["phrase", "n", "i", "times", "room"])
+        hits = _gathered(lists, ("segment", "number"))
+        return hits.join(self.texts(), ["segment", "number"]).select("phrase", "accession_number", "position", "item_code", "starts", "hits")

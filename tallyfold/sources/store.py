@@ -100,8 +100,8 @@ def with_fixed_signs(metrics: DataFrame) -> DataFrame:
 class Log:
     """Append-only Parquet log with one folder per batch."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition_by: list[str] = ()):
-        self.spark, self.path, self.partition_by = spark, path.rstrip("/"), list(partition_by)
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition_by: list[str] = (), compression: str = "snappy"):
+        self.spark, self.path, self.partition_by, self.compression = spark, path.rstrip("/"), list(partition_by), compression
         self.schema = T.StructType(list(schema.fields) + [T.StructField("batch", T.StringType())])
 
         # an empty first batch makes the folder exist; kept as it is when there is one
@@ -118,7 +118,7 @@ class Log:
         seen = Observation()
         names = [f.name for f in self.schema if f.name != "batch"]
         out = df.select(*names).observe(seen, F.count(F.lit(1)).alias("rows"))
-        out.write.mode("overwrite").partitionBy(*self.partition_by).parquet(f"{self.path}/batch={batch}")
+        out.write.mode("overwrite").option("compression", self.compression).partitionBy(*self.partition_by).parquet(f"{self.path}/batch={batch}")
         return seen.get.get("rows", 0)
 
 

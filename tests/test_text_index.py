@@ -57,3 +57,16 @@ def test_a_search_reads_no_texts_and_forms_no_pairs(spark):
     phrases = spark.createDataFrame([("a b",)], "phrase string")
     plan = TI.phrase_hits(index, index.select("term").distinct(), phrases)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_the_index_is_packed_without_a_shuffle_and_tells_places_apart(spark, tmp_path):
+    texts = spark.createDataFrame([("x", 1, "7", "b a a\tb  A"), ("y", 1, "7", "a"), ("z", 2, None, None), ("z", 3, "1", "  ")],
+                                  "accession_number string, position int, item_code string, content string").coalesce(1)
+    packed = TI.segments(texts)
+    assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    rows = packed.collect()
+    assert {(r.term, tuple(r.numbers), tuple(r.counts), tuple(r.gaps)) for r in rows if r.term is not None} == {
+        ("a", (0, 1), (3, 1), (1, 1, 2, 0)), ("b", (0,), (2,), (0, 3))}
+    lists = TI.unpacked(packed.where("term is not null"), ["term"]).collect()
+    assert {(r.term, r.number, tuple(r.gaps)) for r in lists} == {("a", 0, (1, 1, 2)), ("a", 1, (0,)), ("b", 0, (0, 3))}
+    assert [r.accession_numbers for r in rows if r.term is None] == [["x", "y", "z", "z"]]
